@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def micros(ts):
+    """Wall-clock microseconds of a timestamp without zone, whatever the session zone is."""
+    return F.unix_micros(F.from_utc_timestamp(F.col(ts).cast("timestamp"), F.current_timezone()))
+
+
 def residues_of(text):
     """ASCII letters in upper case, standard residues only."""
     return F.regexp_replace(F.upper(F.regexp_replace(text, "[^A-Za-z]", "")), f"[^{K.RESIDUES}]", "")

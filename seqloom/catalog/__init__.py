@@ -1,4 +1,4 @@
-from seqloom.catalog import scalars  # noqa: F401
+from seqloom.catalog import aggregates, filters, joins, scalars, sets  # noqa: F401
 from seqloom.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from seqloom import bindings as V, constants as K
 from seqloom.catalog.registry import query
 from seqloom.catalog.scalars import micromolar_sql, unit_sql
+from seqloom.functions import chemistry as C
 from seqloom.operators import filters as L
 
 A = K.RESIDUES
@@ -37,17 +38,15 @@ v_um AS (SELECT a.*, p.sequence, {micromolar_sql('number', 'u', 'sequence')} AS
 
 
 def usable_activity(spark, sf):
-    m = L.activity_filter(V.measurements(spark, sf)).join(V.peptides(spark, sf), "p_partkey")
-    return L.with_micromolar(m)
+    master = V.peptides(spark, sf).select("p_partkey", "sequence", C.peptide_mass(F.col("sequence")).alias("mass"))
+    return L.with_micromolar(L.activity_filter(V.measurements(spark, sf)).join(master, "p_partkey"))
 
 
 @query("activity_filter", V.with_views(V.MEASUREMENTS, FILTERED, body="""SELECT m AS metric, u AS unit, count(*) AS n, round(sum(um), 4) AS total
   FROM v_um WHERE um > 0 GROUP BY ALL"""))
 def activity_filter(spark, sf):
-    from seqloom.functions.chemistry import normalize_unit
-
-    return usable_activity(spark, sf).groupBy("metric", normalize_unit(F.col("unit")).alias("unit")).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("um"), 4).alias("total")
+    return usable_activity(spark, sf).groupBy("metric", C.normalize_unit(F.col("unit")).alias("unit")).agg(
+        F.count("*").alias("n"), F.round(F.sum("um"), 4).alias("total")
     )
 
 
@@ -68,7 +67,7 @@ def labelled(spark, sf):
 def known_label(spark, sf):
     return labelled(spark, sf).groupBy(
         L.known_label(F.col("hemolysis")).alias("known"), L.pretrain_eligible(F.col("activity")).alias("pretrain")
-    ).agg(F.count(F.lit(1)).alias("n"))
+    ).agg(F.count("*").alias("n"))
 
 
 @query("length_between", V.with_views(V.PEPTIDES, body="SELECT p_partkey, sequence FROM v_pep WHERE sequence IS NOT NULL AND length(sequence) BETWEEN 10 AND 14"))
@@ -102,13 +101,12 @@ def keep_if(spark, sf):
 def filter_null(spark, sf):
     kept, dropped = L.filter_null(V.measurements(spark, sf), ["raw_value"])
     parts = kept.select(F.lit(True).alias("kept")).union(dropped.select(F.lit(False).alias("kept")))
-    return parts.groupBy("kept").agg(F.count(F.lit(1)).alias("n"))
+    return parts.groupBy("kept").agg(F.count("*").alias("n"))
 
 
 CLEANED = """v_dup AS (SELECT *, min(name) OVER (PARTITION BY aligned) AS first_name,
   length(regexp_extract(aligned, '^-*')) AS lead, length(regexp_extract(aligned, '-*$')) AS trail FROM v_aln),
 v_cl AS (SELECT *, CASE WHEN name <> first_name THEN 'duplicate'
-  WHEN substr(aligned, 5, 1) <> 'C' AND substr(aligned, 5, 1) <> 'E' AND false THEN 'misaligned_cysteine'
   WHEN lead > 2 THEN 'leading_gaps' WHEN trail > 2 THEN 'trailing_gaps' WHEN trail > 0 THEN 'filled' ELSE 'ok' END AS reason FROM v_dup)"""
 
 
@@ -133,7 +131,7 @@ def clean_counts(spark, sf):
 def min_aligned(spark, sf):
     a = V.aligned(spark, sf).withColumn("chain", F.when(F.col("frag") % 2 == 0, "H").otherwise("K"))
     ok, failed = L.min_aligned(a, 30, chain="chain", wanted="H")
-    return ok.select(F.lit("accepted").alias("outcome")).union(failed.select("reason")).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    return ok.select(F.lit("accepted").alias("outcome")).union(failed.select("reason")).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
 @query("drop_unaligned_tail", V.with_views(V.ALIGNED, body="SELECT name FROM v_aln WHERE right(aligned, 3) <> '---'"))
@@ -141,11 +139,10 @@ def tail(spark, sf):
     return L.drop_unaligned_tail(V.aligned(spark, sf)).select("name")
 
 
-@query("chain_filter", """SELECT d.doc_id, CASE lang WHEN 'en' THEN 'H' WHEN 'fr' THEN 'K' ELSE 'L' END AS h FROM documents d
-  WHERE lang NOT IN ('fr', 'de', 'es') AND NOT source LIKE '%9'""")
+@query("chain_filter", "SELECT doc_id, 'H' AS h FROM documents WHERE lang NOT IN ('fr', 'de') AND source NOT LIKE '%9'")
 def chain_filter(spark, sf):
     d = V.table(spark, sf, "documents").select(
-        "doc_id", F.when(F.col("lang") == "en", "H").when(F.col("lang") == "fr", "K").when(F.col("lang").isin("de", "es"), "L").otherwise("L").alias("h"),
+        "doc_id", F.when(F.col("lang") == "fr", "K").when(F.col("lang") == "de", "L").otherwise("H").alias("h"),
         F.when(F.col("source").endswith("9"), "H").otherwise("K").alias("l"),
     )
     return L.chain_filter(d, "h", "l").select("doc_id", "h")

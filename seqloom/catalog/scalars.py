@@ -103,7 +103,7 @@ GROUP BY ALL""")
 def is_valid(spark, sf):
     text = F.upper(F.regexp_replace("text", "[^A-Za-z ]", ""))
     w = V.table(spark, sf, "documents").select("doc_id", F.explode(F.split(text, " ")).alias("w"))
-    return w.groupBy("doc_id", S.is_valid_sequence(F.col("w")).alias("valid")).agg(F.count(F.lit(1)).alias("n"))
+    return w.groupBy("doc_id", S.is_valid_sequence(F.col("w")).alias("valid")).agg(F.count("*").alias("n"))
 
 
 @query("peptide_mass", V.with_views(V.SEQS, body=f"SELECT doc_id, round({mass_sql()}, 4) AS mass FROM v_seq"))
@@ -127,7 +127,7 @@ def parse_float(spark, sf):
 
 @query("normalize_unit", V.with_views(V.MEASUREMENTS, body=f"SELECT {unit_sql('unit')} AS unit, count(*) AS n FROM v_meas GROUP BY 1"))
 def unit(spark, sf):
-    return V.measurements(spark, sf).groupBy(C.normalize_unit(F.col("unit")).alias("unit")).agg(F.count(F.lit(1)).alias("n"))
+    return V.measurements(spark, sf).groupBy(C.normalize_unit(F.col("unit")).alias("unit")).agg(F.count("*").alias("n"))
 
 
 @query("to_micromolar", V.with_views(V.MEASUREMENTS, body=f"""
@@ -135,7 +135,7 @@ SELECT l_orderkey, line, m.p_partkey, round({micromolar_sql('v', 'u', 'sequence'
 FROM (SELECT *, TRY_CAST(trim(raw_value) AS DOUBLE) AS v, {unit_sql('unit')} AS u FROM v_meas) m JOIN v_pep USING (p_partkey)"""))
 def micromolar(spark, sf):
     m = V.measurements(spark, sf).join(V.peptides(spark, sf), "p_partkey")
-    um = C.to_micromolar(S.parse_float(F.col("raw_value")), F.col("unit"), F.col("sequence"))
+    um = C.to_micromolar(S.parse_float(F.col("raw_value")), F.col("unit"), C.peptide_mass(F.col("sequence")))
     return m.select("l_orderkey", "line", "p_partkey", q6(um).alias("um"))
 
 
@@ -241,7 +241,7 @@ def tokenize(spark, sf):
 def one_hot(spark, sf):
     hot = V.aligned(spark, sf).select(F.posexplode(S.one_hot(F.col("aligned"))).alias("pos", "row"))
     flat = hot.select((F.col("pos") + 1).cast("bigint").alias("pos"), F.posexplode("row").alias("aa_index", "on"))
-    return flat.where("on = 1").groupBy("pos", F.col("aa_index").cast("bigint").alias("aa_index")).agg(F.count(F.lit(1)).alias("n"))
+    return flat.where("on = 1").groupBy("pos", F.col("aa_index").cast("bigint").alias("aa_index")).agg(F.count("*").alias("n"))
 
 
 def _numbering():
@@ -297,7 +297,7 @@ def parent(spark, sf):
     c = V.table(spark, sf, "conversations")
     base = F.concat(F.lit("conv"), F.col("conv_id"))
     name = F.when(F.col("turn") == 0, base).otherwise(F.concat(base, F.lit("_human_sample_"), F.col("turn")))
-    return c.groupBy(S.parent_name(name).alias("parent")).agg(F.count(F.lit(1)).alias("n"))
+    return c.groupBy(S.parent_name(name).alias("parent")).agg(F.count("*").alias("n"))
 
 
 @query("rescale", """WITH s AS (SELECT min(value) AS lo, max(value) AS hi FROM events)
@@ -342,7 +342,7 @@ def apply_round(spark, sf):
   WHEN p > 0.0001 THEN '***' ELSE '****' END AS stars, count(*) AS n FROM (SELECT pow(value / 500.0::DOUBLE, 2) - 0.0000001 AS p FROM events) GROUP BY 1""")
 def stars(spark, sf):
     p = F.pow(F.col("value") / 500.0, F.lit(2.0)) - 0.0000001
-    return V.table(spark, sf, "events").groupBy(S.pvalue_stars(p).alias("stars")).agg(F.count(F.lit(1)).alias("n"))
+    return V.table(spark, sf, "events").groupBy(S.pvalue_stars(p).alias("stars")).agg(F.count("*").alias("n"))
 
 
 @query("extract_numbers", """SELECT page_id, len(x) AS n, round(list_sum(x), 4) AS total FROM (

@@ -34,10 +34,13 @@ def normalize_unit(u: Column) -> Column:
     return F.replace(low, F.lit(" "), F.lit(""))
 
 
-def to_micromolar(value: Column, unit: Column, s: Column) -> Column:
-    """Concentration in micromolar; null for non-positive values and unknown units."""
+def to_micromolar(value: Column, unit: Column, mass: Column) -> Column:
+    """Concentration in micromolar; null for non-positive values and unknown units.
+
+    Takes the mass, so that a table computes it once per sequence and not once per record.
+    """
     u = normalize_unit(unit)
-    mass = F.nullif(peptide_mass(s), F.lit(0.0))
+    mass = F.nullif(mass, F.lit(0.0))
     return F.when(
         value > 0,
         F.when(u.isin(K.UNITS_UM), value)

@@ -34,8 +34,8 @@ def activity_filter(df: DataFrame) -> DataFrame:
 
 
 def with_micromolar(df: DataFrame) -> DataFrame:
-    """Adds `um` for rows with `number`, `unit`, `sequence`; drops rows without a finite positive value."""
-    um = C.to_micromolar(F.col("number"), F.col("unit"), F.col("sequence"))
+    """Adds `um` for rows with `number`, `unit`, `mass`; drops rows without a finite positive value."""
+    um = C.to_micromolar(F.col("number"), F.col("unit"), F.col("mass"))
     return df.withColumn("um", um).where(S.is_finite(F.col("um")) & (F.col("um") > 0))
 
 
@@ -133,7 +133,7 @@ def clean_alignment(
 
 
 def reason_counts(df: DataFrame) -> DataFrame:
-    return df.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return df.groupBy("reason").agg(F.count("*").alias("n"))
 
 
 def min_aligned(df: DataFrame, n: int = 50, aligned: str = "aligned", chain: str = None, wanted: str = None) -> tuple:

@@ -74,7 +74,7 @@ def running(
     if not points:
         return local.drop("_b")
     totals = cut.groupBy(*by, "_b").agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(_col(c)).alias(f"_s_{name}") for name, c in sums.items()],
+        F.count("*").alias("_n"), *[F.sum(_col(c)).alias(f"_s_{name}") for name, c in sums.items()],
         *[F.max(_col(c)).alias(f"_m_{name}") for name, c in peaks.items()],
     )
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -189,7 +189,7 @@ def ranked_values(df: DataFrame, value, by: list = ()) -> DataFrame:
     by = list(by)
     counted = (
         df.select(*by, _col(value).cast("double").alias("value")).where(F.col("value").isNotNull())
-        .groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy(*by, "value").agg(F.count("*").alias("n"))
     )
     return running(counted, ["value"], by, {"upto": "n"}, "_i").drop("_i")
 

@@ -48,7 +48,7 @@ def dipeptide_deviation(df: DataFrame, key: str = "sequence_id", sequence: str =
     long = df.where(F.length(sequence) >= 2)
     seen = (
         text_windows(long, key, sequence, 2).where(F.length("window") == 2)
-        .groupBy(key, F.col("window").alias("pair")).agg(F.count(F.lit(1)).alias("k"))
+        .groupBy(key, F.col("window").alias("pair")).agg(F.count("*").alias("k"))
     )
     pairs = F.explode(F.array(*[F.lit(a + b) for a in K.RESIDUES for b in K.RESIDUES]))
     grid = long.select(key, (F.length(sequence) - 1).alias("m"), pairs.alias("pair"))
