@@ -1,4 +1,4 @@
-from seqloom.catalog import aggregates, filters, joins, scalars, sets, windows  # noqa: F401
+from seqloom.catalog import aggregates, alignment, filters, joins, metrics, scalars, sets, windows  # noqa: F401
 from seqloom.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
