@@ -15,6 +15,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan with fewer splits than cores are spread over the cores before CPU-heavy work.
+
+    Few splits means few bytes, so this never shuffles a large table.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def micros(ts):
     """Wall-clock microseconds of a timestamp without zone, whatever the session zone is."""
     return F.unix_micros(F.from_utc_timestamp(F.col(ts).cast("timestamp"), F.current_timezone()))
@@ -32,7 +41,9 @@ def residues_sql(text: str) -> str:
 
 
 def seqs(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", residues_of(F.col("text")).alias("sequence"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select(
+        "doc_id", residues_of(F.col("text")).alias("sequence")
+    )
 
 
 SEQS = f"v_seq AS (SELECT doc_id, {residues_sql('text')} AS sequence FROM documents)"
