@@ -59,7 +59,7 @@ def leakage_counts(spark, sf):
 @query("filter_training")
 def filter_training(spark, sf):
     p = V.peptides(spark, sf)
-    return S.filter_training(p.where("p_type <> 'PROMO'"), p.where("p_type = 'PROMO'"), 0.9, 0.8)[1]
+    return S.filter_training(p.where("p_type <> 'PROMO'"), p.where("p_type = 'PROMO'"), 0.9, 0.8, by="p_type")[1]
 
 
 @query("novelty")

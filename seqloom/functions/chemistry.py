@@ -7,6 +7,7 @@ expression over at most 20 integer counts.
 from pyspark.sql import Column, functions as F
 
 from seqloom import constants as K
+from seqloom.functions.sequences import let
 
 
 def residue_counts(s: Column) -> dict:
@@ -125,7 +126,7 @@ def isoelectric_point_from(terms: Column) -> Column:
 
 
 def isoelectric_point(s: Column) -> Column:
-    return F.when(F.length(s) > 0, isoelectric_point_from(charge_terms(s)))
+    return F.when(F.length(s) > 0, let(charge_terms(s), isoelectric_point_from))
 
 
 def hydrophobic_moment(s: Column, scale: dict = None, angle: float = 100.0) -> Column:

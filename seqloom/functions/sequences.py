@@ -5,6 +5,11 @@ from pyspark.sql import Column, functions as F
 from seqloom import constants as K
 
 
+def let(value: Column, fn) -> Column:
+    """fn(value) with `value` computed once, for use inside lambdas, which recompute what they inline."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def normalize_sequence(s: Column) -> Column:
     return F.upper(F.trim(F.coalesce(s, F.lit(""))))
 
@@ -121,11 +126,12 @@ def place_by_position(numbering: Column, positions) -> Column:
         F.transform(entries, lambda e: F.struct(F.trim(e["key"]).alias("k"), e["value"].alias("v")))
     )
     wanted = F.array(*[F.lit(p) for p in positions])
-    placed = F.array_join(
-        F.transform(wanted, lambda p: F.coalesce(F.try_element_at(slots, p), F.lit(K.GAP))), ""
-    )
-    known = F.size(F.array_except(F.map_keys(slots), wanted)) == 0
-    return F.when(known, placed)
+
+    def fill(m):
+        placed = F.array_join(F.transform(wanted, lambda p: F.coalesce(F.try_element_at(m, p), F.lit(K.GAP))), "")
+        return F.when(F.size(F.array_except(F.map_keys(m), wanted)) == 0, placed)
+
+    return let(slots, fill)
 
 
 def region_of(position: Column, scheme: str = "imgt", chain: str = "H") -> Column:
@@ -176,13 +182,3 @@ def parse_list(s: Column, *delims: str) -> Column:
     if rest:
         return F.transform(parts, lambda x: parse_list(x, *rest))
     return F.transform(parts, lambda x: F.trim(x).try_cast("double"))
-
-
-def windows_of(s: Column, k: int) -> Column:
-    """All substrings of length k in order, built in one pass over the letters."""
-    chars = letters(s)
-    n = F.size(chars) - F.lit(k) + 1
-    return F.when(
-        n > 0,
-        F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(chars, i, k), "")),
-    ).otherwise(F.array().cast("array<string>"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import IntegerType
 
 from seqloom import constants as K
+from seqloom.functions.sequences import let
 from seqloom.operators import ordered as O
 from seqloom.operators.fragments import text_windows
 from seqloom.operators.joins import product
@@ -45,29 +46,32 @@ def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def lcs_native(a: Column, b: Column) -> Column:
     """The same length as a nested fold, without Python; for short texts."""
-    xs, ys = F.split(a, ""), F.split(b, "")
-    empty = F.transform(F.sequence(F.lit(0), F.size(ys)), lambda _: F.lit(0))
-
-    def step(prev, x):
-        start = F.array(F.lit(0))
-        return F.aggregate(
-            F.sequence(F.lit(1), F.size(ys)), start,
-            lambda cur, j: F.concat(
-                cur,
-                F.array(
-                    F.when(F.element_at(ys, j) == x, F.element_at(prev, j) + 1)
-                    .otherwise(F.greatest(F.element_at(prev, j + 1), F.element_at(cur, -1)))
+    def fold(ys):
+        def step(prev, x):
+            return F.aggregate(
+                F.sequence(F.lit(1), F.size(ys)), F.array(F.lit(0)),
+                lambda cur, j: F.concat(
+                    cur,
+                    F.array(
+                        F.when(F.element_at(ys, j) == x, F.element_at(prev, j) + 1)
+                        .otherwise(F.greatest(F.element_at(prev, j + 1), F.element_at(cur, -1)))
+                    ),
                 ),
-            ),
-        )
+            )
+
+        empty = F.array_repeat(F.lit(0), F.size(ys) + 1)
+        return F.element_at(F.aggregate(F.split(a, ""), empty, step), -1)
+
+    return F.when((F.length(a) > 0) & (F.length(b) > 0), let(F.split(b, ""), fold)).otherwise(0)
+
 
-    return F.when((F.length(a) > 0) & (F.length(b) > 0), F.element_at(F.aggregate(xs, empty, step), -1)).otherwise(0)
+def residue_counts(s: Column) -> Column:
+    return F.array(*[F.length(s) - F.length(F.replace(s, F.lit(c), F.lit(""))) for c in K.RESIDUES])
 
 
 def residue_overlap(a: Column, b: Column) -> Column:
-    """Upper bound of the common subsequence: shared residues counted without order."""
-    n = lambda s, c: F.length(s) - F.length(F.replace(s, F.lit(c), F.lit("")))
-    return reduce(lambda x, y: x + y, [F.least(n(a, c), n(b, c)) for c in K.RESIDUES])
+    """Upper bound of the common subsequence from two count arrays: shared residues without order."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x)
 
 
 def lcs_identity(a: Column, b: Column) -> Column:
@@ -83,10 +87,10 @@ def words(df: DataFrame, key: str, sequence: str, k: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame, t: float) -> DataFrame:
     """Pairs (a, b) whose common subsequence reaches t of the shorter length."""
-    j = pairs.join(left.select(F.col("id").alias("a"), F.col("sequence").alias("_sa")), "a")
-    j = j.join(right.select(F.col("id").alias("b"), F.col("sequence").alias("_sb")), "b")
+    j = pairs.join(left.select(F.col("id").alias("a"), F.col("sequence").alias("_sa"), F.col("counts").alias("_ca")), "a")
+    j = j.join(right.select(F.col("id").alias("b"), F.col("sequence").alias("_sb"), F.col("counts").alias("_cb")), "b")
     need = F.least(F.length("_sa"), F.length("_sb")) * t - 1e-9
-    j = j.where(residue_overlap(F.col("_sa"), F.col("_sb")) >= need)
+    j = j.where(residue_overlap(F.col("_ca"), F.col("_cb")) >= need)
     j = j.withColumn("_l", lcs_length("_sa", "_sb"))
     return j.where(F.col("_l") >= need).select("a", "b", (F.col("_l") / F.least(F.length("_sa"), F.length("_sb"))).alias("identity"))
 
@@ -100,12 +104,15 @@ def _leaders(posts: DataFrame, n: int) -> DataFrame:
     return cut.withColumn("_r", F.row_number().over(then)).where(F.col("_r") <= n).select("word", "id")
 
 
-def cluster_by_identity(df: DataFrame, t: float = 0.8, sequence: str = "sequence", k: int = None, min_length: int = 0) -> DataFrame:
+def cluster_by_identity(
+    df: DataFrame, t: float = 0.8, sequence: str = "sequence", k: int = None, min_length: int = 0, by: str = None
+) -> DataFrame:
     """Greedy clustering by falling length: (sequence, cluster_id, rep, identity, is_rep).
 
     Equals the sequential rule: take sequences by (length desc, sha1); each joins the first
     representative with identity >= t that shares a word with it, else becomes one. `min_length`
-    drops shorter sequences, as the external tool does by default at 11.
+    drops shorter sequences, as the external tool does by default at 11. `by` clusters every value
+    of a column on its own, all of them in the same rounds.
 
     Rounds. The `n` first undecided sequences of every word are compared with each other; one that
     leads in all its words and has no similar predecessor is a representative. New representatives
@@ -113,10 +120,15 @@ def cluster_by_identity(df: DataFrame, t: float = 0.8, sequence: str = "sequence
     row, and `n` doubles, so a word shared by most rows costs representatives x members.
     """
     k = k or word_size(t)
-    base = df.select(F.col(sequence).alias("sequence")).where(F.length("sequence") >= max(min_length, 1)).distinct()
+    scope = F.col(by) if by else F.lit("")
+    base = df.select(scope.cast("string").alias("scope"), F.col(sequence).alias("sequence"))
+    base = base.where(F.length("sequence") >= max(min_length, 1)).distinct()
     base = base.withColumns({"_len": -F.length("sequence"), "_sha": F.sha1("sequence")})
-    nodes = cut_lineage(O.running(base, ["_len", "_sha"], index="id").select("id", "sequence"))
-    posts = cut_lineage(words(nodes, "id", "sequence", k))
+    nodes = cut_lineage(O.running(base, ["_len", "_sha", "scope"], index="id").select("id", "scope", "sequence", residue_counts(F.col("sequence")).alias("counts")))
+    posts = words(nodes, "id", "sequence", k)
+    if by:
+        posts = posts.join(nodes.select("id", "scope"), "id").select(F.concat_ws("|", "word", "scope").alias("word"), "id")
+    posts = cut_lineage(posts)
     size = posts.groupBy("id").agg(F.count("*").alias("n"))
     none = nodes.join(size, "id", "left_anti")
     state = cut_lineage(none.select("id", F.col("id").alias("rep"), F.lit(1.0).alias("identity")))
@@ -146,19 +158,22 @@ def cluster_by_identity(df: DataFrame, t: float = 0.8, sequence: str = "sequence
     reps = nodes.select(F.col("id").alias("rep"), F.col("sequence").alias("_rep"))
     out = state.join(nodes, "id").join(reps, "rep")
     return out.select(
-        "sequence", F.sha1("_rep").alias("cluster_id"), F.col("_rep").alias("rep"), "identity", (F.col("id") == F.col("rep")).alias("is_rep")
+        *([F.col("scope").alias(by)] if by else []), "sequence", F.sha1("_rep").alias("cluster_id"), F.col("_rep").alias("rep"), "identity", (F.col("id") == F.col("rep")).alias("is_rep")
     )
 
 
-def representatives(df: DataFrame, t: float = 0.9, sequence: str = "sequence", min_length: int = 0) -> DataFrame:
-    return cluster_by_identity(df, t, sequence, min_length=min_length).where("is_rep").select("sequence")
+def representatives(df: DataFrame, t: float = 0.9, sequence: str = "sequence", min_length: int = 0, by: str = None) -> DataFrame:
+    kept = cluster_by_identity(df, t, sequence, min_length=min_length, by=by).where("is_rep")
+    return kept.select(*([by] if by else []), "sequence")
 
 
 def similar_to(train: DataFrame, test: DataFrame, t: float = 0.6, sequence: str = "sequence", k: int = None) -> DataFrame:
     """Distinct training sequences with identity >= t to some test sequence sharing a word."""
     k = k or word_size(t)
-    left = train.select(F.col(sequence).alias("sequence")).distinct().withColumn("id", F.sha1("sequence"))
-    right = test.select(F.col(sequence).alias("sequence")).distinct().withColumn("id", F.sha1("sequence"))
+    keyed = lambda df: df.select(F.col(sequence).alias("sequence")).distinct().withColumns(
+        {"id": F.sha1("sequence"), "counts": residue_counts(F.col("sequence"))}
+    )
+    left, right = keyed(train), keyed(test)
     same = left.join(right.select("id"), "id", "left_semi").select("sequence")
     rest = left.join(right.select("id"), "id", "left_anti")
     a = words(rest, "id", "sequence", k).withColumnRenamed("id", "a")
@@ -182,15 +197,18 @@ def shares_word(train: DataFrame, test: DataFrame, k: int, key: str, sequence: s
     return w.join(probe, "word", "left_semi").select(key).distinct()
 
 
-def filter_training(train: DataFrame, test: DataFrame, internal: float = 0.9, against: float = 0.6, min_length: int = 0) -> tuple:
-    """(kept sequences, one-row counters): internal de-duplication, then the filter against the test set."""
-    before = train.select("sequence").distinct()
-    inner = cut_lineage(representatives(before, internal, min_length=min_length))
+def filter_training(
+    train: DataFrame, test: DataFrame, internal: float = 0.9, against: float = 0.6, min_length: int = 0, by: str = "split"
+) -> tuple:
+    """(kept rows, counters per set) for one or more training sets told apart by the column `by`:
+    internal de-duplication of each set, then the filter of all of them against the test set."""
+    before = train.select(by, "sequence").distinct()
+    inner = cut_lineage(representatives(before, internal, min_length=min_length, by=by))
     kept = cut_lineage(filter_against(inner, test, against))
-    counters = before.sparkSession.range(1).select(
-        before.agg(F.count("*")).scalar().alias("before"), inner.agg(F.count("*")).scalar().alias("after_internal"),
-        kept.agg(F.count("*")).scalar().alias("after_train_vs_test"),
-    )
+    tag = lambda df, n: df.select(by, F.lit(n).alias("stage"))
+    stages = ["before", "after_internal", "after_train_vs_test"]
+    rows = reduce(lambda a, b: a.union(b), [tag(d, n) for d, n in zip((before, inner, kept), stages)])
+    counters = rows.groupBy(by).agg(*[F.count_if(F.col("stage") == n).alias(n) for n in stages])
     return kept, counters
 
 
@@ -203,8 +221,8 @@ def novelty(df: DataFrame, train: DataFrame, key: str, sequence: str = "sequence
     of the lengths.
     """
     q = df.select(key, F.col(sequence).alias("_q")).where(F.length("_q") > 0)
-    texts = cut_lineage(q.select("_q").distinct().withColumn("a", F.sha1("_q")))
-    tr = cut_lineage(train.select(F.col(sequence).alias("_t")).where(F.length("_t") > 0).distinct().withColumn("b", F.sha1("_t")))
+    texts = cut_lineage(q.select("_q").distinct().withColumns({"a": F.sha1("_q"), "_cq": residue_counts(F.col("_q"))}))
+    tr = cut_lineage(train.select(F.col(sequence).alias("_t")).where(F.length("_t") > 0).distinct().withColumns({"b": F.sha1("_t"), "_ct": residue_counts(F.col("_t"))}))
     k = 5
     one = words(tr, "b", "_t", k).groupBy("word").agg(F.min("b").alias("b"))
     guess = words(texts, "a", "_q", k).join(one, "word").select("a", "b").distinct()
@@ -223,7 +241,7 @@ def novelty(df: DataFrame, train: DataFrame, key: str, sequence: str = "sequence
     visits = visits.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     banded = tr.withColumns({"_band": band(F.length("_t")), "_block": F.pmod(F.xxhash64("b"), F.lit(spread)).cast("int")})
     pairs = visits.join(banded, ["_band", "_block"])
-    bound = residue_overlap(F.col("_q"), F.col("_t")) / F.greatest(F.length("_q"), F.length("_t"))
+    bound = residue_overlap(F.col("_cq"), F.col("_ct")) / F.greatest(F.length("_q"), F.length("_t"))
     ratio = F.least(F.length("_q"), F.length("_t")) / F.greatest(F.length("_q"), F.length("_t"))
     better = pairs.where(ratio > F.col("low")).where(bound > F.col("low"))
     better = better.groupBy("a").agg(F.max(lcs_identity(F.col("_q"), F.col("_t"))).alias("high"))
