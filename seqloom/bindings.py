@@ -12,7 +12,8 @@ WIDTH = 40
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if name in ("documents", "conversations", "pages") else df
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -41,9 +42,7 @@ def residues_sql(text: str) -> str:
 
 
 def seqs(spark, sf) -> DataFrame:
-    return spread(table(spark, sf, "documents").select("doc_id", "text")).select(
-        "doc_id", residues_of(F.col("text")).alias("sequence")
-    )
+    return table(spark, sf, "documents").select("doc_id", residues_of(F.col("text")).alias("sequence"))
 
 
 SEQS = f"v_seq AS (SELECT doc_id, {residues_sql('text')} AS sequence FROM documents)"

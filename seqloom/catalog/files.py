@@ -128,7 +128,7 @@ def read_blocks(spark, sf):
 
 
 def file_stream(spark, sf, name):
-    schema = V.table(spark, sf, name).schema
+    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf}/{name}.parque[t]")
 
 

@@ -55,7 +55,7 @@ def exact_hits(spark, sf):
 
 
 REGEX_SQL = " UNION ALL ".join(
-    f"SELECT doc_id, '{p}' AS motif, list_sum(list_transform(regexp_extract_all(sequence, '{r}'), lambda m: length(m))) AS covered, "
+    f"SELECT doc_id, '{p}' AS motif, CAST(list_sum(list_transform(regexp_extract_all(sequence, '{r}'), lambda m: length(m))) AS BIGINT) AS covered, "
     f"len(regexp_extract_all(sequence, '{r}')) AS n, length(regexp_extract(sequence, '^(.*?){r}', 1)) AS first_start FROM v_seq WHERE regexp_matches(sequence, '{r}')"
     for p, r in zip(V.PROSITE_PATTERNS, ["TH[EA].{2}N", "S.T.{1,3}R", "RE[DS].E"])
 )

@@ -8,6 +8,7 @@ from seqloom.catalog.filters import usable_activity
 from seqloom.catalog.motifs import exact_active
 from seqloom.catalog.registry import query
 from seqloom.catalog.scalars import charge_sql, unit_sql  # noqa: F401
+from seqloom.functions import sequences as S
 from seqloom.operators import aggregates as G, filters as L, motifs as M, scoring as C, splits as P
 from seqloom.plans import dataset_build as B, reports as R
 
@@ -39,7 +40,7 @@ def _seed_sql(key, seed):
 SELECT name, length(s) AS n, CASE WHEN length(s) > 1 THEN least(length(s) - ({_seed_sql('name', 5)} % (length(s) - 1) + 1) + 1, length(s) - length(regexp_replace(s, '[^AC]', '', 'g'))) ELSE least(1, length(s) - length(regexp_replace(s, '[^AC]', '', 'g'))) END AS n_masked FROM s"""))
 def mask(spark, sf):
     a = V.aligned(spark, sf).select("name", F.replace(F.col("aligned"), F.lit("-"), F.lit("")).alias("sequence"))
-    a = a.withColumn("fixed", F.transform(F.filter(F.split("sequence", ""), lambda c: c != ""), lambda c: c.isin("A", "C")))
+    a = a.withColumn("fixed", F.transform(S.letters(F.col("sequence")), lambda c: c.isin("A", "C")))
     m = P.order_agnostic_mask(a, "name", fixed="fixed", seed=5)
     return m.select("name", F.size("tgt").cast("bigint").alias("n"), F.size(F.filter("src", lambda x: x == K.TOKEN_MASK)).cast("bigint").alias("n_masked"))
 
@@ -47,7 +48,7 @@ def mask(spark, sf):
 @query("order_agnostic_mask_unfixed")
 def mask_all(spark, sf):
     a = V.aligned(spark, sf).select("name", F.col("aligned").alias("sequence"))
-    a = a.withColumn("fixed", F.transform(F.filter(F.split("sequence", ""), lambda c: c != ""), lambda c: c == "-"))
+    a = a.withColumn("fixed", F.transform(S.letters(F.col("sequence")), lambda c: c == "-"))
     m = P.order_agnostic_mask(a, "name", fixed="fixed", from_free=False, seed=5)
     return m.groupBy(F.size("tgt").alias("n")).agg(F.avg("n_masked").alias("masked"), F.count("*").alias("rows"))
 

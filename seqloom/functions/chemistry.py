@@ -132,15 +132,17 @@ def isoelectric_point(s: Column) -> Column:
 def hydrophobic_moment(s: Column, scale: dict = None, angle: float = 100.0) -> Column:
     """Length of the mean hydrophobicity vector; residue i points at i x angle, i from 0."""
     scale = scale or K.KYTE_DOOLITTLE
-    table = F.create_map(*[F.lit(x) for kv in scale.items() for x in kv])
-    chars = F.filter(F.split(s, ""), lambda c: c != "")
+    table = F.array(*[F.lit(float(scale.get(chr(65 + i), 0.0))) for i in range(26)])
+    values = F.transform(F.split(s, ""), lambda c: F.get(table, F.ascii(c) - 65))
 
-    def part(fn):
-        terms = F.transform(chars, lambda c, i: F.element_at(table, c) * fn(F.radians(i * F.lit(angle))))
-        return F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x)
+    def length(h):
+        def part(fn):
+            terms = F.transform(h, lambda v, i: v * fn(F.radians(i * F.lit(angle))))
+            return F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x)
 
-    x, y = part(F.cos), part(F.sin)
-    return F.when(F.length(s) > 0, F.sqrt(x * x + y * y) / F.length(s))
+        return F.hypot(part(F.cos), part(F.sin))
+
+    return F.when(F.length(s) > 0, let(values, length) / F.length(s))
 
 
 def dipeptide_expected(a: Column, b: Column) -> Column:

@@ -56,7 +56,7 @@ def parent_name(name: Column, marker: str = "_human_sample_") -> Column:
 
 def letters(s: Column) -> Column:
     """Array of single characters; empty text gives an empty array."""
-    return F.filter(F.split(s, ""), lambda c: c != "")
+    return F.when(F.length(s) > 0, F.split(s, "")).otherwise(F.array().cast("array<string>"))
 
 
 def _lookup(keys, values) -> Column:

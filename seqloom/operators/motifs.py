@@ -16,6 +16,7 @@ from seqloom.functions.sequences import letters
 from seqloom.operators import ordered as O
 from seqloom.operators.fragments import text_windows
 from seqloom.operators.joins import product
+from seqloom.operators.storage import cut_lineage
 
 HEAD = 5
 MAX_INLINE_PATTERNS = 500
@@ -70,19 +71,26 @@ def load_negative(df: DataFrame) -> DataFrame:
     return m.withColumns({"kind": F.lit("exact"), "regex": F.lit(None).cast("string")})
 
 
-def exact_hits(texts: DataFrame, motifs: DataFrame, key: str, sequence: str = "sequence") -> DataFrame:
-    """(key, start, end, motif) of every occurrence, overlapping ones included; 0-based, end excluded."""
-    table = motifs.where("kind = 'exact'").select("motif").distinct()
+def _no_hits(texts: DataFrame, key: str, extra: list = ()) -> DataFrame:
+    zero = F.lit(0).cast("bigint")
+    none = texts.select(key, zero.alias("start"), zero.alias("end"), F.lit("").alias("motif"), *[F.lit(0).alias(c) for c in extra])
+    return none.where(F.lit(False))
+
+
+def exact_hits(texts: DataFrame, motifs: DataFrame, key: str, sequence: str = "sequence", extra: list = ()) -> DataFrame:
+    """(key, start, end, motif) of every occurrence, overlapping ones included; 0-based, end excluded.
+    `extra` columns of the motif table are carried along."""
+    table = motifs.where("kind = 'exact'").select("motif", *extra).distinct()
     head = F.least(F.length("motif"), F.lit(HEAD))
     info = table.agg(F.max(F.length("motif")).alias("longest"), F.collect_set(head).alias("heads")).first()
     if not info["heads"]:
-        return texts.select(key, F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("end"), F.lit("").alias("motif")).where(F.lit(False))
+        return _no_hits(texts, key, extra)
     keyed = table.withColumn("_head", F.left("motif", head))
     windows = text_windows(texts, key, sequence, info["longest"])
     heads = [F.left("window", F.lit(h)) for h in sorted(info["heads"])]
     probe = windows.withColumn("_head", F.explode(F.array_distinct(F.array(*heads))) if len(heads) > 1 else heads[0])
     hits = probe.join(keyed, "_head").where(F.startswith(F.col("window"), F.col("motif")))
-    return hits.select(key, "start", (F.col("start") + F.length("motif")).alias("end"), "motif")
+    return hits.select(key, "start", (F.col("start") + F.length("motif")).alias("end"), "motif", *extra)
 
 
 def regex_hits(texts: DataFrame, motifs: DataFrame, key: str, sequence: str = "sequence") -> DataFrame:
@@ -103,7 +111,7 @@ def regex_hits(texts: DataFrame, motifs: DataFrame, key: str, sequence: str = "s
 
     if len(few) <= MAX_INLINE_PATTERNS:
         if not few:
-            return texts.select(key, F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("end"), F.lit("").alias("motif")).where(F.lit(False))
+            return _no_hits(texts, key)
         listed = F.array(*[F.struct(F.lit(r["motif"]).alias("motif"), F.lit(r["regex"]).alias("regex")) for r in few])
         found = texts.select(key, F.explode(F.transform(listed, lambda p: F.struct(p["motif"].alias("motif"), pieces(p["regex"]).alias("p")))).alias("x"))
         found = found.select(key, "x.motif", F.col("x.p").alias("p"))
@@ -126,9 +134,11 @@ def covered_positions(spans: DataFrame, key: str) -> DataFrame:
 
 def coverage(texts: DataFrame, active: DataFrame, negative: DataFrame, key: str, sequence: str = "sequence") -> DataFrame:
     """(key, pos, active, negative) for every position under a span of either set."""
-    spans = motif_spans(texts, active, key, sequence).withColumn("_a", F.lit(1)).withColumn("_n", F.lit(0))
-    hom = motif_spans(texts, negative, key, sequence).withColumn("_a", F.lit(0)).withColumn("_n", F.lit(1))
-    both = spans.unionByName(hom).select(key, "start", "end", "_a", "_n").distinct()
+    side = lambda df, a, n: df.withColumn("_a", F.lit(a)).withColumn("_n", F.lit(n))
+    table = side(active, 1, 0).unionByName(side(negative, 0, 1))
+    table = table.groupBy("motif", "kind").agg(F.max("_a").alias("_a"), F.max("_n").alias("_n"))
+    exact = exact_hits(texts, table, key, sequence, ["_a", "_n"]).select(key, "start", "end", "_a", "_n")
+    both = exact.unionByName(side(regex_hits(texts, active, key, sequence), 1, 0).select(key, "start", "end", "_a", "_n"))
     rows = both.select(key, "_a", "_n", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"))
     return rows.groupBy(key, "pos").agg(F.max("_a").alias("active"), F.max("_n").alias("negative"))
 
@@ -212,6 +222,7 @@ LENGTH_PROBS = {"min": 0, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95,
 def summarize_split(profile: DataFrame, split: str) -> DataFrame:
     """Per split: counts, position totals and floor quantiles of length, fractions and free positions."""
     has = lambda c: F.count_if(F.col(c))
+    profile = cut_lineage(profile)
     out = profile.groupBy(split).agg(
         F.count("*").alias("n"), has("has_active").alias("with_active"), F.count_if(~F.col("has_active")).alias("without_active"),
         has("has_negative").alias("with_negative"), F.sum("active_positions").alias("active_total"),

@@ -10,6 +10,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from seqloom.operators.storage import cut_lineage
+
 MAX_BUCKETS = 256
 
 
@@ -191,6 +193,8 @@ def ranked_values(df: DataFrame, value, by: list = ()) -> DataFrame:
         df.select(*by, _col(value).cast("double").alias("value")).where(F.col("value").isNotNull())
         .groupBy(*by, "value").agg(F.count("*").alias("n"))
     )
+    # Read several times below: stored once, so that the input is not computed again each time.
+    counted = cut_lineage(counted)
     return running(counted, ["value"], by, {"upto": "n"}, "_i").drop("_i")
 
 

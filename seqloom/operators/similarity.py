@@ -20,6 +20,7 @@ from seqloom.operators.storage import cut_lineage
 
 SALTS = 16
 FIRST_BATCH = 64
+GROWTH = 4
 
 
 def word_size(t: float) -> int:
@@ -117,7 +118,7 @@ def cluster_by_identity(
     Rounds. The `n` first undecided sequences of every word are compared with each other; one that
     leads in all its words and has no similar predecessor is a representative. New representatives
     then claim the rest of their words. Members are never compared with members, copies are one
-    row, and `n` doubles, so a word shared by most rows costs representatives x members.
+    row, and `n` grows, so a word shared by most rows costs representatives x members.
     """
     k = k or word_size(t)
     scope = F.col(by) if by else F.lit("")
@@ -154,7 +155,7 @@ def cluster_by_identity(
         state = cut_lineage(
             every.groupBy("id").agg(F.min(F.struct("rep", "identity")).alias("s")).select("id", "s.rep", "s.identity")
         )
-        batch *= 2
+        batch *= GROWTH
     reps = nodes.select(F.col("id").alias("rep"), F.col("sequence").alias("_rep"))
     out = state.join(nodes, "id").join(reps, "rep")
     return out.select(
