@@ -98,7 +98,7 @@ PEPTIDES = f"""v_pep AS (SELECT p_partkey, {residues_sql('p_name')} ||
 
 def measurements(spark, sf) -> DataFrame:
     """Activity evidence rows: one per line item, on the peptide of its part."""
-    li = table(spark, sf, "lineitem")
+    li = spread(table(spark, sf, "lineitem"))
     n = F.col("l_linenumber")
     return li.select(
         "l_orderkey", n.alias("line"), F.col("l_partkey").alias("p_partkey"),

@@ -20,7 +20,7 @@ from seqloom.operators.storage import cut_lineage
 
 SALTS = 16
 FIRST_BATCH = 64
-GROWTH = 4
+GROWTH = 2
 
 
 def word_size(t: float) -> int:
