@@ -130,8 +130,8 @@ def shifted(spark, sf):
 
 @query("best_split", """WITH s AS (SELECT event_type = 'purchase' AS big, CASE WHEN event_type = 'purchase' THEN value + 20 ELSE value END AS v FROM events WHERE event_type IN ('view', 'purchase')),
 c AS (SELECT v, count(*) FILTER (WHERE NOT big) AS s, count(*) FILTER (WHERE big) AS l FROM s GROUP BY v),
-r AS (SELECT v, (sum(s) OVER (ORDER BY v) / (sum(s) OVER ())::DOUBLE + 1 - sum(l) OVER (ORDER BY v) / (sum(l) OVER ())::DOUBLE) * 50 AS e FROM c)
-SELECT round(max(e), 6) AS efficiency, arg_min(v, (-round(e, 9), v)) AS threshold FROM r""")
+r AS (SELECT v, sum(s) OVER (ORDER BY v) / (sum(s) OVER ())::DOUBLE AS below, 1 - sum(l) OVER (ORDER BY v) / (sum(l) OVER ())::DOUBLE AS above FROM c)
+SELECT round((below + above) * 50, 6) AS efficiency, v AS threshold FROM r WHERE round(below - above, 12) >= 0 ORDER BY v LIMIT 1""")
 def best_split(spark, sf):
     return rounded(M.best_split(shifted(spark, sf), "value", "event_type", "view", "purchase"), "threshold")
 

@@ -40,7 +40,11 @@ def to_micromolar(value: Column, unit: Column, mass: Column) -> Column:
 
     Takes the mass, so that a table computes it once per sequence and not once per record.
     """
-    u = normalize_unit(unit)
+    return micromolar_of(value, normalize_unit(unit), mass)
+
+
+def micromolar_of(value: Column, u: Column, mass: Column) -> Column:
+    """The conversion for an already normalised unit."""
     mass = F.nullif(mass, F.lit(0.0))
     return F.when(
         value > 0,

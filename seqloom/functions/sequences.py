@@ -39,15 +39,18 @@ def stable_key(s: Column) -> Column:
 def parse_float(s: Column) -> Column:
     """Number or null; never an error. 'nan' and 'inf' parse, as callers test for finiteness.
 
-    The pattern keeps out spellings only the JVM accepts, such as '1d' or hexadecimal floats.
+    Spellings only the JVM accepts ('1d', '2f', hexadecimal) are no numbers.
     """
     text = F.trim(s)
-    number = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)$"
-    return F.when(text.rlike(number), text.try_cast("double"))
+    plain = F.length(F.translate(text, "dDxXpP", "")) == F.length(text)
+    suffix = F.lower(F.right(text, F.lit(1))) == "f"
+    infinite = F.lower(F.right(text, F.lit(3))) == "inf"
+    return F.when(plain & (~suffix | infinite), text.try_cast("double"))
 
 
 def is_finite(x: Column) -> Column:
-    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
+    """Not null, NaN or infinite; NaN sorts above infinity, so one comparison does."""
+    return F.coalesce(F.abs(x) < F.lit(float("inf")), F.lit(False))
 
 
 def parent_name(name: Column, marker: str = "_human_sample_") -> Column:

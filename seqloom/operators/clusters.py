@@ -87,6 +87,12 @@ def density_clusters(df: DataFrame, key: str, vector: str, eps: float, min_sampl
     return df.select(key, vector).join(known, vector).select(key, "cluster", "core")
 
 
+def best_eps(df: DataFrame, key: str, vector: str, candidates: list, min_samples: int = 5) -> float:
+    """The candidate radius that gives most clusters, the larger one on a tie."""
+    count = lambda e: density_clusters(df, key, vector, e, min_samples).agg(F.max("cluster")).first()[0] + 1
+    return max((count(e), e) for e in candidates)[1]
+
+
 def kmeans(df: DataFrame, key: str, vector: str, k: int, cosine: bool = False, seed: int = 7, max_iter: int = 20) -> tuple:
     """(assignment (key, cluster), centroids (cluster, member, n)): Lloyd's algorithm of Spark ML; the
     centroid member is the row nearest to its mean."""

@@ -23,19 +23,26 @@ def load_master(df: DataFrame, order: str, min_len: int = 5, max_len: int = 100)
 
 
 def activity_filter(df: DataFrame) -> DataFrame:
-    """Evidence rows with an accepted metric, comparator and number; adds `metric`, `number`."""
-    metric = F.upper(F.trim(F.coalesce("metric", F.lit(""))))
-    number = S.parse_float(F.col("raw_value"))
-    return (
-        df.where(metric.isin(K.ACTIVITY_METRICS))
-        .where(F.trim(F.coalesce("comparator", F.lit(""))).isin(K.COMPARATORS))
-        .withColumn("metric", metric).withColumn("number", number).where(S.is_finite(F.col("number")))
+    """Evidence rows with an accepted metric, comparator and number; adds `metric`, `number`, and the
+    normalised unit `u`."""
+    text = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    parsed = once(
+        df.withColumnRenamed("metric", "_m").where(F.upper(text(F.col("_m"))).isin(K.ACTIVITY_METRICS))
+        .where(text(F.col("comparator")).isin(K.COMPARATORS)),
+        metric=F.upper(text(F.col("_m"))), number=S.parse_float(F.col("raw_value")), u=C.normalize_unit(F.col("unit")),
     )
+    return parsed.drop("_m").where(S.is_finite(F.col("number")))
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once per row: as generated columns they are not copied into
+    every filter and expression above them."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def with_micromolar(df: DataFrame) -> DataFrame:
-    """Adds `um` for rows with `number`, `unit`, `mass`; drops rows without a finite positive value."""
-    um = C.to_micromolar(F.col("number"), F.col("unit"), F.col("mass"))
+    """Adds `um` for rows of activity_filter with a `mass`; drops rows without a finite positive value."""
+    um = C.micromolar_of(F.col("number"), F.col("u"), F.col("mass"))
     return df.withColumn("um", um).where(S.is_finite(F.col("um")) & (F.col("um") > 0))
 
 

@@ -207,9 +207,10 @@ def normalize(df: DataFrame, value: str, name: str = None) -> DataFrame:
 
 
 def best_split(df: DataFrame, value: str, group: str, smaller, larger) -> DataFrame:
-    """Threshold that separates most of both samples by share: (efficiency %, threshold).
+    """Threshold that leaves equal shares of both samples on their right side: (efficiency %, threshold).
 
-    Rows below or at the threshold should be `smaller`; 100 / 0 when the samples are disjoint.
+    The line is the first value where the share of `smaller` at or below it reaches the share of
+    `larger` above it; the efficiency is the mean of both shares there, 100 / 0 when disjoint.
     """
     side = df.where(F.col(group).isin(smaller, larger)).select((F.col(group) == larger).cast("int").alias("big"), F.col(value).alias("v"))
     counts = side.where(F.col("v").isNotNull()).groupBy("v").agg(
@@ -217,13 +218,14 @@ def best_split(df: DataFrame, value: str, group: str, smaller, larger) -> DataFr
     )
     run = O.running(counts, ["v"], sums={"us": "s", "ul": "l"}, index="_i")
     t = counts.agg(F.struct(F.sum("s").alias("s"), F.sum("l").alias("l")).alias("x")).scalar()
-    right = (F.col("us") / t.getField("s") + 1 - F.col("ul") / t.getField("l")) * 50
+    below, above = F.col("us") / t.getField("s"), 1 - F.col("ul") / t.getField("l")
+    at = F.when(F.round(below - above, 12) >= 0, F.struct("v", ((below + above) * 50).alias("e")))
     edge = side.agg(
         F.struct(
             F.min(F.when(F.col("big") == 1, F.col("v"))).alias("l0"), F.max(F.when(F.col("big") == 1, F.col("v"))).alias("l1"),
             F.min(F.when(F.col("big") == 0, F.col("v"))).alias("s0"), F.max(F.when(F.col("big") == 0, F.col("v"))).alias("s1"),
         ).alias("x")
     ).scalar()
-    best = run.agg(F.max(right).alias("e"), F.min_by("v", F.struct(-right, F.col("v"))).alias("threshold"))
+    best = run.agg(F.min(at).alias("m")).select(F.col("m.e").alias("e"), F.col("m.v").alias("threshold"))
     eff = F.when(edge.getField("l0") > edge.getField("s1"), 100.0).when(edge.getField("l1") < edge.getField("s0"), 0.0)
     return best.select(eff.otherwise(F.col("e")).alias("efficiency"), "threshold")

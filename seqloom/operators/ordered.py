@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seqloom.operators.storage import cut_lineage
 
-MAX_BUCKETS = 256
+MAX_BUCKETS = 8192
+CASE_LIMIT = 32
 
 
 def _col(c):
@@ -40,15 +41,35 @@ def cut_points(df: DataFrame, order: list, buckets: int) -> list:
 
 
 def bucket_of(order: list, points: list) -> Column:
-    """Index of the bucket of a row, by binary search over the cut points."""
+    """Index of the bucket of a row: the number of cut points at or below its key, by binary search.
+
+    A few points become a tree of comparisons; many are searched in a literal array, which keeps
+    the generated code small.
+    """
     key = F.struct(*[_col(c).alias(f"k{i}") for i, c in enumerate(order)])
+    bounds = [F.struct(*[F.lit(v).alias(f"k{i}") for i, v in enumerate(p)]) for p in points]
+    if len(points) > CASE_LIMIT:
+        steps = len(points).bit_length()
+        # Once the search is closed `mid` may point one past the end, hence a repeated last bound.
+        listed = F.array(*bounds, bounds[-1])
+
+        def halve(acc, _):
+            mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+            left = acc["k"] < F.element_at(listed, mid + 1)
+            open_ = acc["lo"] < acc["hi"]
+            return F.struct(
+                acc["k"].alias("k"), F.when(open_ & ~left, mid + 1).otherwise(acc["lo"]).alias("lo"),
+                F.when(open_ & left, mid).otherwise(acc["hi"]).alias("hi"),
+            )
+
+        start = F.struct(key.alias("k"), F.lit(0).alias("lo"), F.lit(len(points)).alias("hi"))
+        return F.aggregate(F.array(*[F.lit(i) for i in range(steps)]), start, halve, lambda acc: acc["lo"])
 
     def search(lo, hi):
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        bound = F.struct(*[F.lit(v).alias(f"k{i}") for i, v in enumerate(points[mid])])
-        return F.when(key < bound, search(lo, mid)).otherwise(search(mid + 1, hi))
+        return F.when(key < bounds[mid], search(lo, mid)).otherwise(search(mid + 1, hi))
 
     return search(0, len(points))
 

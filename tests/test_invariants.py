@@ -176,6 +176,16 @@ def test_density_clusters_brute_force(spark):
     assert [got[i] for i in range(len(x))] == want.tolist()
 
 
+def test_density_radius(spark):
+    g = np.random.default_rng(1)
+    x = np.vstack([g.normal(c, 0.2, (12, 2)) for c in (0, 3)])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "k bigint, v array<double>")
+    assert U.best_eps(df, "k", "v", [0.01, 0.8, 20.0]) == 0.8
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    got = U.distance_percentile(df.withColumnRenamed("k", "id"), "v", 5).first()["eps"]
+    assert got == pytest.approx(np.percentile(d, 5))
+
+
 def test_connected_components(spark):
     edges = [(0, 1), (1, 2), (5, 4), (7, 8), (8, 9), (9, 2)]
     nodes = spark.range(12)
@@ -262,8 +272,10 @@ def test_bootstrap_counts(spark):
     assert got["a"]["mean"] + got["b"]["mean"] == pytest.approx(1000)
 
 
-def test_ordered_scans_with_one_hot_group(spark):
+@pytest.mark.parametrize("case_limit", [32, 0])
+def test_ordered_scans_with_one_hot_group(spark, case_limit, monkeypatch):
     """A third of all rows in one group: positions, sums and neighbours stay right across buckets."""
+    monkeypatch.setattr(O, "CASE_LIMIT", case_limit)
     r = random.Random(1)
     rows = [(0 if i % 3 == 0 else i % 40, i, r.randint(0, 9)) for i in range(3000)]
     df = spark.createDataFrame(rows, "g int, t int, v int").repartition(7)
