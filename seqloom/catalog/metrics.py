@@ -136,8 +136,8 @@ def best_split(spark, sf):
     return rounded(M.best_split(shifted(spark, sf), "value", "event_type", "view", "purchase"), "threshold")
 
 
-@query("vector_summary", """SELECT source, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, max(x) AS max, min(x) AS min, round(sum(x), 6) AS sum,
-  round(avg(x) FILTER (WHERE x > 0), 6) AS mean_positive, round(sum(z) / count(z), 6) AS z_score, round(sum(z), 6) AS z_sum FROM (
+@query("vector_summary", """SELECT source, round(avg(x), 6) AS mean, round(coalesce(stddev_samp(x), 0), 6) AS std, max(x) AS max, min(x) AS min, round(sum(x), 6) AS sum,
+  round(coalesce(avg(x) FILTER (WHERE x > 0), 0), 6) AS mean_positive, round(coalesce(sum(z) / count(z), 0), 6) AS z_score, round(coalesce(sum(z), 0), 6) AS z_sum FROM (
   SELECT source, x, CASE WHEN x < -0.7 THEN 0.5 * (x - 0.7) WHEN x > 0.7 THEN 0.5 * (x + 0.7) END AS z FROM (SELECT source, (n_chars % 401 - 200) / 100.0::DOUBLE AS x FROM documents)) GROUP BY 1""")
 def vector_summary(spark, sf):
     d = V.table(spark, sf, "documents").select("source", ((F.col("n_chars") % 401 - 200) / 100.0).alias("x"))

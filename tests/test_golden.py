@@ -46,7 +46,7 @@ def test_units_and_numbers(spark):
 
 def test_comparators_and_metrics(spark):
     data = [("MIC ", "<=", "1"), ("mic", ">", "1"), ("LD50", "", "1"), ("IC50", "~", "nan"), ("EC50", " = ", "2")]
-    df = spark.createDataFrame(data, "metric string, comparator string, raw_value string")
+    df = spark.createDataFrame(data, "metric string, comparator string, raw_value string").withColumn("unit", F.lit("uM"))
     assert sorted(rows(L.activity_filter(df), "metric", "number")) == [("EC50", 2.0), ("MIC", 1.0)]
 
 
