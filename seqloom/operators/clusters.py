@@ -1,7 +1,5 @@
 """Clustering of numeric rows: density, k-means, thresholded norms, connected components."""
 
-from functools import reduce
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -189,7 +187,3 @@ def _strict_part(threshold: float):
         return pd.DataFrame({"id": pdf["id"], "part": pdf["cluster_id"].astype("int64"), "sub": [label[x] for x in range(len(v))]})
 
     return run
-
-
-def union_of(frames: list) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)

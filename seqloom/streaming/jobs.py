@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from seqloom.operators import joins as J, scoring as C
-from seqloom.sources.readers import path_exists
 
 
 def incremental_scoring(
@@ -21,9 +20,9 @@ def incremental_scoring(
     def run(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
         rows = batch.groupBy(key).agg(F.max(sequence).alias(sequence))
-        parts = [f"{table}/batch={i}" for i in range(batch_id) if path_exists(spark, f"{table}/batch={i}")]
-        if parts:
-            done = spark.read.parquet(*parts)
+        if batch_id > 0:
+            # Earlier batches are committed, so their folders are complete.
+            done = spark.read.parquet(table).where(F.col("batch") < batch_id).drop("batch")
             rows = rows.join(done.select(key), key, "left_anti")
             cache = done.groupBy(F.col(sequence).alias("seq")).agg(F.first(F.struct(*names)).alias("hit"))
             filled, pending = J.fill_from_cache(rows, done, cache, key, [sequence], "hit")
