@@ -1,6 +1,6 @@
 """One query for each operator over its whole table, with production parameters."""
 
-from seqloom.llm import codec, packing, token_files
+from seqloom.llm import codec, minhash, packing, token_files
 from seqloom.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -15,6 +15,11 @@ def _tokens(spark, sf):
     return token_files.token_index(table(spark, sf, "documents"))
 
 
+@query("op2_minhash")
+def _near(spark, sf):
+    return minhash.near_duplicates(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @query("op3_bpe")
 def _bpe(spark, sf):
     coded = codec.encode(table(spark, sf, "documents"), keep_ids=False)
