@@ -1,6 +1,6 @@
 """One query for each operator over its whole table, with production parameters."""
 
-from seqloom.llm import codec, minhash, packing, token_files
+from seqloom.llm import codec, minhash, packing, secrets, token_files
 from seqloom.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -26,6 +26,11 @@ def _bpe(spark, sf):
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+@query("op6_secrets")
+def _secrets(spark, sf):
+    return secrets.digest(table(spark, sf, "documents"))
+
+
 @query("op8_packing")
 def _packing(spark, sf):
     return packing.pack_documents(table(spark, sf, "documents"))
