@@ -1,6 +1,6 @@
 """One query for each operator over its whole table, with production parameters."""
 
-from seqloom.llm import codec, minhash, packing, secrets, token_files
+from seqloom.llm import codec, minhash, packing, quality, secrets, token_files
 from seqloom.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -31,6 +31,12 @@ def _secrets(spark, sf):
     return secrets.digest(table(spark, sf, "documents"))
 
 
+@query("op7_quality")
+def _quality(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return quality.classify(docs, table(spark, sf, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 @query("op8_packing")
 def _packing(spark, sf):
     return packing.pack_documents(table(spark, sf, "documents"))
