@@ -1,6 +1,6 @@
 """One query for each operator over its whole table, with production parameters."""
 
-from seqloom.llm import codec, minhash, packing, quality, secrets, token_files
+from seqloom.llm import codec, lm, minhash, packing, quality, secrets, token_files
 from seqloom.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -40,3 +40,8 @@ def _quality(spark, sf):
 @query("op8_packing")
 def _packing(spark, sf):
     return packing.pack_documents(table(spark, sf, "documents"))
+
+
+@query("op9_lm")
+def _lm(spark, sf):
+    return lm.score(table(spark, sf, "documents"))
