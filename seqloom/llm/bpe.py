@@ -7,6 +7,9 @@ from array import array
 import numpy as np
 
 _DOUBLE = re.compile(r"\s ")
+#: One pre-token: letters (the Latin blocks hold no others here), with the space before them.
+_WORD = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SAFE = re.compile(r"(?<=\S)(?=[ \t\n\r])")
 _loaded = {}
 
@@ -35,10 +38,10 @@ class Encoder:
     called with whole texts.
     """
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep, self.cache = Tokenizer.from_file(path), keep, {}
+        self.tokenizer, self.keep, self.cache, self.tails = Tokenizer.from_file(path), keep, {}, {}
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         pre = type(self.tokenizer.pre_tokenizer).__name__
@@ -51,41 +54,63 @@ class Encoder:
         size = self.tokenizer.get_vocab_size()
         self.code, self.dtype = ("H", np.uint16) if size <= 1 << 16 else ("I", np.uint32)
         self._lengths = None
+        self.model, self.letters = self.tokenizer.model, {b: c for c, b in _byte_letters().items()}
+        if self.chunked:
+            self.model._resize_cache(0)  # chunks are kept here
+
+    def _ids(self, chunks: list) -> list:
+        """Ids of chunks as bytes. A word and the signs after it are pre-tokens of their own; what is one pre-token goes
+        to the library's model, all else to its encoder."""
+        out, rest, places = [b""] * len(chunks), [], []
+        for k, c in enumerate(chunks):
+            body = c.rstrip(_PUNCTUATION)
+            if not _WORD.fullmatch(body):
+                rest.append(c)
+                places.append(k)
+                continue
+            raw = body.encode().decode("latin-1").translate(self.letters)
+            out[k] = array(self.code, [t.id for t in self.model.tokenize(raw)]).tobytes()
+            if len(body) < len(c):
+                tail = c[len(body) :]
+                if tail not in self.tails:
+                    self.tails[tail] = array(self.code, self.tokenizer.encode(tail, add_special_tokens=False).ids).tobytes() if len(tail) < 9 else None
+                if self.tails[tail] is None:
+                    rest.append(c)
+                    places.append(k)
+                else:
+                    out[k] += self.tails[tail]
+        for i in range(0, len(rest), 20_000):
+            for k, e in zip(places[i : i + 20_000], self.tokenizer.encode_batch_fast(rest[i : i + 20_000], add_special_tokens=False)):
+                out[k] = array(self.code, e.ids).tobytes()
+        return out
 
-    def _fill(self, chunks):
-        missing = list({c for c in chunks if c not in self.cache})
-        if missing:
-            if len(self.cache) + len(missing) > self.keep:
-                self.cache.clear()
-                missing = list(set(chunks))
-            for i in range(0, len(missing), 20_000):
-                some = missing[i : i + 20_000]
-                for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                    self.cache[c] = array(self.code, e.ids).tobytes()
-
-    def _chunks(self, text: str) -> list:
+    def _cut(self, text: str) -> list:
+        """(chunk without or None, chunks whose leading space is left out) in turn."""
+        if self.special is not None and self.special.search(text):
+            return [x for i, p in enumerate(self.special.split(text)) for x in ([(p, ())] if i % 2 else self._cut(p))]
         if _DOUBLE.search(text):
-            return _SAFE.split(text)
-        parts = text.split(" ")
-        return [parts[0], *[" " + p for p in parts[1:]]]
+            return [(None, (c[1:],)) if c[:1] == " " else (c, ()) for c in _SAFE.split(text)]
+        head, *rest = text.split(" ")
+        return [(head, rest)]
 
     def encode(self, texts: list) -> list:
         """Id arrays of whole texts; a null text is empty."""
         texts = ["" if t is None else t for t in texts]
         if not self.chunked:
             return [np.array(e.ids, dtype=self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        cut = []
-        for t in texts:
-            if self.special is not None and self.special.search(t):
-                parts = []
-                for i, p in enumerate(self.special.split(t)):
-                    parts += [p] if i % 2 else self._chunks(p)
-                cut.append(parts)
-            else:
-                cut.append(self._chunks(t))
-        self._fill([c for parts in cut for c in parts])
+        cut = [self._cut(t) for t in texts]
+        spaced = set().union(*(rest for parts in cut for _, rest in parts))
+        new = spaced.difference(self.cache)
+        if new and len(self.cache) + len(new) > self.keep:
+            self.cache.clear()
+            new = spaced
+        new = list(new)
+        self.cache.update(zip(new, self._ids([" " + c for c in new])))
+        heads = list({head for parts in cut for head, _ in parts if head})
+        first = dict(zip(heads, self._ids(heads)))
+        first[None] = first[""] = b""
         get = self.cache.__getitem__
-        return [np.frombuffer(b"".join(map(get, parts)), dtype=self.dtype) for parts in cut]
+        return [np.frombuffer(b"".join([x for head, rest in parts for x in (first[head], *map(get, rest))]), dtype=self.dtype) for parts in cut]
 
     def _tables(self):
         if self._lengths is None:
