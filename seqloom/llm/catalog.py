@@ -1,6 +1,6 @@
 """One query for each operator over its whole table, with production parameters."""
 
-from seqloom.llm import codec, lm, minhash, packing, quality, secrets, token_files
+from seqloom.llm import codec, lm, minhash, packing, quality, secrets, token_files, vectors
 from seqloom.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -26,6 +26,25 @@ def _bpe(spark, sf):
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+#: Components and products are exact in SQL too: floor gives whole numbers.
+TOP_K_SQL = """
+WITH good AS (
+    SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) for x in embedding] AS p FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), scores AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.p, c.p) AS BIGINT) AS score
+    FROM good q JOIN good c ON q.vec_id <> c.vec_id AND len(q.p) = len(c.p) WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scores QUALIFY rank <= 10
+"""
+
+
+@query("op4_kd_search", TOP_K_SQL)
+def _search(spark, sf):
+    return vectors.top_k(table(spark, sf, "embeddings"))
+
+
 @query("op6_secrets")
 def _secrets(spark, sf):
     return secrets.digest(table(spark, sf, "documents"))
@@ -45,3 +64,26 @@ def _packing(spark, sf):
 @query("op9_lm")
 def _lm(spark, sf):
     return lm.score(table(spark, sf, "documents"))
+
+
+#: The links, and the components by spreading the smallest id along them.
+NEAR_VECTORS_SQL = """
+WITH RECURSIVE good AS (
+    SELECT vec_id, label, [CAST(x AS DOUBLE) for x in embedding] AS v FROM embeddings
+    WHERE label IS NOT NULL AND len(embedding) > 0 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+      AND len([x for x in embedding if x <> 0]) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+), reach(a, b) AS (
+    SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least AS (SELECT a, min(b) AS b FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, least(e.vec_id, coalesce(least.b, e.vec_id)) AS component_id,
+       e.vec_id = least(e.vec_id, coalesce(least.b, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN least ON least.a = e.vec_id
+"""
+
+
+@query("op10_near_vectors", NEAR_VECTORS_SQL)
+def _near_vectors(spark, sf):
+    return vectors.near_duplicate_vectors(table(spark, sf, "embeddings"))
