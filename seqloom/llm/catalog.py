@@ -1,6 +1,6 @@
 """One query for each operator over its whole table, with production parameters."""
 
-from seqloom.llm import codec, lm, minhash, packing, quality, secrets, token_files, vectors
+from seqloom.llm import chat, codec, lm, minhash, packing, quality, secrets, token_files, vectors
 from seqloom.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -45,6 +45,11 @@ def _search(spark, sf):
     return vectors.top_k(table(spark, sf, "embeddings"))
 
 
+@query("op5_chat")
+def _chat(spark, sf):
+    return chat.repair(table(spark, sf, "conversations"))
+
+
 @query("op6_secrets")
 def _secrets(spark, sf):
     return secrets.digest(table(spark, sf, "documents"))
