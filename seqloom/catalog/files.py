@@ -59,13 +59,14 @@ def repertoire(spark, sf):
     """Several gzip files, each with a metadata line and a header line, made from the documents."""
     path = scratch_path(spark, "repertoire")
     d = V.seqs(spark, sf).join(V.table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
-    body = d.repartition(4).select(F.concat_ws(",", "doc_id", F.concat(F.lit('"'), F.col("sequence"), F.lit('"')), "lang").alias("line"))
+    units = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    body = d.repartition(units).select(F.concat_ws(",", "doc_id", F.concat(F.lit('"'), F.col("sequence"), F.lit('"')), "lang").alias("line"))
     numbered = body.withColumn("p", F.spark_partition_id())
     heads = numbered.select("p").distinct().select("p", F.explode(F.array(
         F.struct(F.lit(0).alias("o"), F.lit('"{""Run"": 1}"').alias("line")), F.struct(F.lit(1).alias("o"), F.lit("doc,sequence_alignment_aa_heavy,locus_heavy").alias("line"))
     )).alias("h"))
     rows = numbered.select("p", F.lit(2).alias("o"), "line").union(heads.select("p", "h.o", "h.line"))
-    rows.repartition(4, "p").sortWithinPartitions("p", "o").select("line", F.col("p").alias("unit")).write.partitionBy("unit").option("compression", "gzip").text(path)
+    rows.repartition(units, "p").sortWithinPartitions("p", "o").select("line", F.col("p").alias("unit")).write.partitionBy("unit").option("compression", "gzip").text(path)
     return R.read_paired_repertoire(spark, path, ["doc", "locus_heavy", "sequence_alignment_aa_heavy"]).drop("name")
 
 
@@ -76,7 +77,7 @@ def list_sources(spark, sf):
         F.when(F.col("lang") == "fr", "human").otherwise(F.concat(F.lit("src"), F.col("lang"))).alias("dir"), "doc_id", "lang"
     )
     for chain, rows in (("heavy", d.where("lang < 'es'")), ("light", d.where("lang >= 'es'"))):
-        rows.select("dir", "doc_id").repartition(1).write.mode("append").partitionBy("dir").csv(f"{path}/{chain}")
+        rows.select("dir", "doc_id").repartition("dir").write.mode("append").partitionBy("dir").csv(f"{path}/{chain}")
     files = R.list_sources(spark, path, pattern="*.csv*")
     tagged = files.select(F.regexp_replace("species", "^dir=", "").alias("species"), F.regexp_extract("path", r"/(heavy|light)/", 1).alias("chain"))
     return tagged.where("species <> 'human'").distinct()
@@ -140,12 +141,13 @@ def incremental_scoring(spark, sf):
     return spark.read.parquet(f"{path}/table").select("doc_id", F.round("charge_score", 6).alias("charge_score"))
 
 
-def _windows(spark, sf, **options):
+def _windows(spark, sf, mode="update", **options):
     path = scratch_path(spark, "windows")
     e = file_stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    N.run_to_table(N.windowed_metrics(e, "ts", "value", **options), f"{path}/table", f"{path}/checkpoint").awaitTermination()
+    N.run_to_table(N.windowed_metrics(e, "ts", "value", **options), f"{path}/table", f"{path}/checkpoint", mode).awaitTermination()
     wall = lambda c: F.unix_micros(F.from_utc_timestamp(c, F.current_timezone())).alias(c)
-    out = spark.read.parquet(f"{path}/table")
+    keys = ["start", "end", *options.get("by", [])]
+    out = N.latest(spark, f"{path}/table", keys)
     return out.select(wall("start"), wall("end"), *options.get("by", []), "n", F.round("mean", 6).alias("mean"))
 
 
@@ -166,9 +168,11 @@ def sliding(spark, sf):
 
 @query("stream_session_windows", f"""WITH l AS (SELECT user_id, value, epoch_us(ts) AS t, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events),
 s AS (SELECT *, sum(CASE WHEN p IS NULL OR t - p >= {2 * HOUR} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t) AS k FROM l)
-SELECT min(t) AS start, max(t) + {2 * HOUR} AS "end", user_id, count(*) AS n, round(avg(value), 6) AS mean FROM s GROUP BY user_id, k""")
+SELECT min(t) AS start, max(t) + {2 * HOUR} AS "end", user_id, count(*) AS n, round(avg(value), 6) AS mean FROM s GROUP BY user_id, k
+HAVING max(t) + {2 * HOUR} <= (SELECT epoch_us(max(ts)) // 1000 * 1000 - {HOUR // 6} FROM events)""")
 def sessions(spark, sf):
-    return _windows(spark, sf, by=["user_id"], gap="2 hours")
+    """The sessions that have closed: ten minutes after their end something newer was seen."""
+    return _windows(spark, sf, "append", by=["user_id"], gap="2 hours")
 
 
 @query("stream_quality_counters", f"""SELECT source, CASE WHEN n_chars < 500 THEN 'too short' WHEN lang <> 'en' THEN 'wrong type' ELSE 'ok' END AS reason, count(*) AS n FROM documents GROUP BY ALL""")

@@ -79,14 +79,15 @@ def score_cache(spark, sf):
     )
 
 
-@query("hstack", """SELECT s_suppkey, s_name, s_acctbal, c_name, c_acctbal AS s_acctbal_2 FROM supplier JOIN customer ON s_suppkey = c_custkey""")
+@query("hstack", """SELECT s_suppkey, s_name, s_acctbal, c_name, c_acctbal AS s_acctbal_2 FROM supplier LEFT JOIN (FROM customer WHERE c_custkey % 3 <> 0) ON s_suppkey = c_custkey""")
 def hstack(spark, sf):
-    b = short(spark, sf, "customer", F.col("c_custkey").alias("s_suppkey"), "c_name", F.col("c_acctbal").alias("s_acctbal"))
+    # A third of the left keys has no partner on the right.
+    b = short(spark, sf, "customer", F.col("c_custkey").alias("s_suppkey"), "c_name", F.col("c_acctbal").alias("s_acctbal")).where("s_suppkey % 3 <> 0")
     return J.hstack(short(spark, sf, "supplier", "s_suppkey", "s_name", "s_acctbal"), b, ["s_suppkey"])
 
 
 @query("zip_columns", """SELECT a.o_orderkey, b.l_orderkey, b.l_linenumber FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS r FROM orders) a
-  JOIN (SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_extendedprice, l_orderkey, l_partkey, l_linenumber) AS r FROM lineitem) b USING (r)""")
+  FULL JOIN (SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_extendedprice, l_orderkey, l_partkey, l_linenumber) AS r FROM lineitem) b USING (r)""")
 def zip_columns(spark, sf):
     a = short(spark, sf, "orders", "o_orderkey", "o_totalprice")
     b = short(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")

@@ -9,10 +9,12 @@ def text_windows(df: DataFrame, key, sequence: str, k: int) -> DataFrame:
     """(key, start, window): the text of up to k letters from every 0-based start.
 
     Texts are first cut into blocks that overlap by k-1 letters, so that the cost is linear in
-    the length and a row never carries a whole text.
+    the length and a row never carries a whole text. A block is at least k letters, so the next one
+    holds all that a window needs.
     """
+    size = max(BLOCK, k)
     keys = [key] if isinstance(key, str) else list(key)
-    parts = df.select(*keys, F.regexp_extract_all(sequence, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)).alias("_p"))
+    parts = df.select(*keys, F.regexp_extract_all(sequence, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)).alias("_p"))
     joined = F.transform(
         "_p",
         lambda p, i: F.concat(p, F.coalesce(F.left(F.get("_p", i + 1), F.lit(k - 1)), F.lit(""))),
@@ -22,5 +24,5 @@ def text_windows(df: DataFrame, key, sequence: str, k: int) -> DataFrame:
     starts = F.posexplode(F.transform(F.sequence(F.lit(1), own), lambda j: F.substr("_b", j, F.lit(k))))
     return (
         blocks.select(*keys, "_i", starts.alias("_j", "window"))
-        .select(*keys, (F.col("_i").cast("bigint") * BLOCK + F.col("_j")).alias("start"), "window")
+        .select(*keys, (F.col("_i").cast("bigint") * size + F.col("_j")).alias("start"), "window")
     )

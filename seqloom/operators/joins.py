@@ -75,15 +75,15 @@ def _renamed(a: DataFrame, b: DataFrame, on: list) -> DataFrame:
 
 
 def hstack(a: DataFrame, b: DataFrame, on: list) -> DataFrame:
-    """Column-wise concatenation by key, a clashing name gets the suffix _2."""
-    return a.join(_renamed(a, b, on), on)
+    """Column-wise concatenation by key: all rows of `a`, null where `b` has none; a clashing name gets the suffix _2."""
+    return a.join(_renamed(a, b, on), on, "left")
 
 
 def zip_columns(a: DataFrame, b: DataFrame, order_a: list, order_b: list) -> DataFrame:
-    """Column-wise concatenation by rank in an explicit order of each side."""
+    """Column-wise concatenation by rank in an explicit order of each side; the shorter side is filled with null."""
     left = O.running(a, order_a, index="_row")
     right = O.running(_renamed(a, b, []), [f"{c}_2" if c in a.columns else c for c in order_b], index="_row")
-    return left.join(right, "_row").drop("_row")
+    return left.join(right, "_row", "full").drop("_row")
 
 
 def merge_on(a: DataFrame, b: DataFrame, left_on: str, right_on: str, order: str, ignore_case: bool = False) -> DataFrame:

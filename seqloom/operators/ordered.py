@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seqloom.operators.storage import cut_lineage
 
-MAX_BUCKETS = 8192
+#: Up to so many cut points are compared as a tree of conditions; more would make the generated code too large.
 CASE_LIMIT = 32
 
 
@@ -21,7 +21,17 @@ def _col(c):
 
 
 def bucket_count(spark) -> int:
-    return max(1, min(MAX_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def join_on(left: DataFrame, right: DataFrame, keys: list, how: str = "inner") -> DataFrame:
+    """Equi-join on key columns in which null equals null; the keys come from the left side."""
+    keys = list(keys)
+    named = right.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    if not keys:
+        return left.crossJoin(named)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)])
+    return left.join(named, same, how).drop(*[f"_key{i}" for i in range(len(keys))])
 
 
 def cut_points(df: DataFrame, order: list, buckets: int) -> list:
@@ -81,7 +91,7 @@ def running(
     """Add the 0-based position `index`, inclusive running sums, and the running maxima of all
     earlier rows (`max_before`), per `by` in `order`. `points` reuses known cut points.
 
-    `order` must be a total order of non-null values; `by` columns must not be null.
+    `order` must be a total order of non-null values; null `by` values are a group of their own.
     """
     sums, peaks, by = sums or {}, max_before or {}, list(by)
     if points is None:
@@ -94,8 +104,6 @@ def running(
         {name: F.sum(_col(c)).over(upto) for name, c in sums.items()}
         | {name: F.max(_col(c)).over(here.rowsBetween(Window.unboundedPreceding, -1)) for name, c in peaks.items()}
     )
-    if not points:
-        return local.drop("_b")
     totals = cut.groupBy(*by, "_b").agg(
         F.count("*").alias("_n"), *[F.sum(_col(c)).alias(f"_s_{name}") for name, c in sums.items()],
         *[F.max(_col(c)).alias(f"_m_{name}") for name, c in peaks.items()],
@@ -107,7 +115,7 @@ def running(
         *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in sums],
         *[F.max(f"_m_{n}").over(before).alias(f"_m_{n}") for n in peaks],
     )
-    out = local.join(shift, [*by, "_b"])
+    out = join_on(local, shift, [*by, "_b"])
     return out.select(
         *df.columns,
         (F.col(index) + F.col("_n")).alias(index),
@@ -133,8 +141,6 @@ def neighbours(df: DataFrame, order: list, columns: dict, by: list = (), points:
         {name: fn[way](_col(c)).over(here) for name, (c, way) in columns.items()}
         | {"_first": F.row_number().over(here) == 1, "_last": F.lead(F.lit(1)).over(here).isNull()}
     )
-    if not points:
-        return local.drop("_b", "_first", "_last")
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(ordering)])
     edges = cut.groupBy(*by, "_b").agg(
         *[
@@ -146,7 +152,7 @@ def neighbours(df: DataFrame, order: list, columns: dict, by: list = (), points:
     edges = edges.select(
         *by, "_b", *[fn[way](f"_e_{name}").over(across).alias(f"_e_{name}") for name, (_, way) in columns.items()]
     )
-    out = local.join(edges, [*by, "_b"])
+    out = join_on(local, edges, [*by, "_b"])
     return out.select(
         *df.columns,
         *[
@@ -172,8 +178,6 @@ def carry(df: DataFrame, order: list, columns: dict, by: list = (), points: list
         return F.first(c, ignorenulls=True).over(w.rowsBetween(strict, Window.unboundedFollowing))
 
     local = cut.withColumns({name: scan(_col(c), way, here, 0) for name, (c, way) in columns.items()})
-    if not points:
-        return local.drop("_b")
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(ordering)])
     edges = cut.groupBy(*by, "_b").agg(
         *[
@@ -186,7 +190,7 @@ def carry(df: DataFrame, order: list, columns: dict, by: list = (), points: list
         *by, "_b",
         *[scan(F.col(f"_e_{name}"), way, across, 1).alias(f"_e_{name}") for name, (_, way) in columns.items()],
     )
-    out = local.join(edges, [*by, "_b"])
+    out = join_on(local, edges, [*by, "_b"])
     return out.select(
         *df.columns, *[F.coalesce(name, f"_e_{name}").alias(name) for name in columns]
     )
@@ -194,7 +198,9 @@ def carry(df: DataFrame, order: list, columns: dict, by: list = (), points: list
 
 def with_margin(df: DataFrame, index: str, chunk: int, margin: int) -> DataFrame:
     """Copy rows near a chunk border into the neighbour chunk, so that a frame of +-`margin` rows
-    is complete inside one chunk. Adds `_chunk` and `_core` (true for the row's own chunk)."""
+    is complete inside one chunk. A chunk is at least as long as the margin, so a row goes to its own
+    and the two next to it. Adds `_chunk` and `_core` (true for the row's own chunk)."""
+    chunk = max(chunk, margin)
     own = F.floor(F.col(index) / chunk)
     copies = F.array_distinct(
         F.array(own, F.floor((F.col(index) - margin) / chunk), F.floor((F.col(index) + margin) / chunk))
@@ -229,7 +235,7 @@ def quantiles(df: DataFrame, value, probs: dict, by: list = (), interpolate: boo
     ranked = ranked_values(df, value, by)
     totals = ranked.groupBy(*by).agg(F.sum("n").alias("_total")) if by else None
     if by:
-        ranked = ranked.join(totals, by)
+        ranked = join_on(ranked, totals, by)
     else:
         ranked = ranked.withColumn("_total", ranked.agg(F.sum("n")).scalar())
 

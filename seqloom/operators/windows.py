@@ -81,7 +81,7 @@ def ecdf(df: DataFrame, value: str, by: list = (), weight: str = None) -> DataFr
     summed = O.running(counted, [value], by, {"_upto": "w"}, "_i")
     if by:
         total = counted.groupBy(*by).agg(F.sum("w").alias("_all"))
-        summed = summed.join(total, by)
+        summed = O.join_on(summed, total, by)
     else:
         summed = summed.withColumn("_all", counted.agg(F.sum("w")).scalar())
     return summed.select(*by, value, (F.col("_upto") / F.col("_all")).alias("cdf"))
@@ -152,7 +152,7 @@ def peak_region(df: DataFrame, series: list, order: list, value: str, min_change
         F.max(y).alias("_top"), F.max(F.abs("_d")).alias("_steep"),
         F.min_by("pos", F.struct(-y, F.col("pos"))).alias("_at"), F.max("pos").alias("_end"),
     )
-    rel = sloped.join(top, list(series)).withColumn("_d", F.col("_d") / F.col("_steep"))
+    rel = O.join_on(sloped, top, list(series)).withColumn("_d", F.col("_d") / F.col("_steep"))
     side = O.neighbours(rel, ["pos"], {"_dp": ("_d", "prev"), "_dn": ("_d", "next")}, series)
     changed = 100 * F.abs((y - F.col("_top")) / F.col("_top")) > min_change
     out, keys = {}, [*series, "_at", "_end"]
@@ -190,7 +190,7 @@ def split_in(df: DataFrame, k: int, order: list, by: list = ()) -> DataFrame:
     by = list(by)
     at = O.running(df, order, by, index="_i")
     if by:
-        at = at.join(df.groupBy(*by).agg(F.count("*").alias("_n")), by)
+        at = O.join_on(at, df.groupBy(*by).agg(F.count("*").alias("_n")), by)
     else:
         at = at.withColumn("_n", df.agg(F.count("*")).scalar())
     every, rem = F.floor(F.col("_n") / k), F.col("_n") % k

@@ -40,7 +40,10 @@ def windowed_metrics(
     gap: str = None, delay: str = "10 minutes",
 ) -> DataFrame:
     """Count, mean and sum per event-time window: tumbling, sliding (`slide`) or session (`gap`).
-    Rows later than `delay` are dropped. Works on streams and on tables."""
+
+    Works on streams and on tables. In update or append mode rows later than `delay` behind the newest one seen in an
+    earlier batch are dropped, and so is the state of windows that end before; complete mode drops neither. Session
+    windows need append mode, which gives a window once, after it has closed."""
     when = F.session_window(time, gap) if gap else F.window(time, size, slide) if slide else F.window(time, size)
     return (
         stream.withWatermark(time, delay).groupBy(when.alias("w"), *by)
@@ -54,10 +57,11 @@ def quality_counters(stream: DataFrame, source: str, reason) -> DataFrame:
     return stream.groupBy(source, F.coalesce(reason, F.lit("ok")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-def run_to_table(df: DataFrame, table: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """Processes what is available and keeps the newest result below `table/batch=i`.
+def run_to_table(df: DataFrame, table: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Processes what is available and keeps each batch's rows in `table/batch=i`; a replayed batch overwrites its own.
 
-    In update mode a batch holds the changed groups only; `latest` merges them.
+    In append mode the batches together are the result. In update mode a batch holds the groups that changed in it, in
+    complete mode all groups; `latest` takes the newest row of each group.
     """
     def save(batch: DataFrame, batch_id: int):
         batch.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")

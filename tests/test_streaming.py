@@ -37,3 +37,34 @@ def test_counters_in_update_mode(spark, tmp_path):
     N.run_to_table(q, str(tmp_path / "t"), str(tmp_path / "c"), "update").awaitTermination()
     got = {(r["source"], r["reason"], r["n"]) for r in N.latest(spark, str(tmp_path / "t"), ["source", "reason"]).collect()}
     assert got == {("x", "short", 2), ("y", "ok", 1), ("x", "ok", 1)}
+
+
+def _windows_of(spark, tmp_path, files, name, **options):
+    src = str(tmp_path / f"{name}-in")
+    for rows in files:
+        spark.createDataFrame(rows, "t timestamp, u string, v double").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema("t timestamp, u string, v double").option("maxFilesPerTrigger", 1).parquet(src)
+    mode = options.pop("mode", "update")
+    table = str(tmp_path / f"{name}-t")
+    N.run_to_table(N.windowed_metrics(stream, "t", "v", ["u"], **options), table, str(tmp_path / f"{name}-c"), mode).awaitTermination()
+    return sorted((r["start"], r["end"], r["u"], r["n"], r["total"]) for r in N.latest(spark, table, ["start", "end", "u"]).collect())
+
+
+def test_windows_do_not_depend_on_the_number_of_files(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 5, 1)
+    rows = [(start + timedelta(minutes=7 * i), "ab"[i % 2], float(i)) for i in range(63)]
+    cuts = {n: [rows[i * 63 // n : (i + 1) * 63 // n] for i in range(n)] for n in (1, 3, 7)}
+    for kind, options in {"tumbling": {}, "sliding": {"slide": "30 minutes"}, "session": {"gap": "1 hour", "mode": "append"}}.items():
+        got = {n: _windows_of(spark, tmp_path, files, f"{kind}{n}", **dict(options)) for n, files in cuts.items()}
+        assert got[1] == got[3] == got[7]
+        assert kind == "session" or sum(r[3] for r in got[1]) == 63 * (2 if options else 1)
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    from datetime import datetime
+
+    files = [[(datetime(2024, 5, 1, 12), "a", 1.0)], [(datetime(2024, 5, 1, 15), "a", 2.0)], [(datetime(2024, 5, 1, 12, 30), "a", 4.0)], [(datetime(2024, 5, 1, 15, 1), "a", 8.0)]]
+    got = _windows_of(spark, tmp_path, files, "late")
+    assert [(r[0].hour, r[3], r[4]) for r in got] == [(12, 1, 1.0), (15, 2, 10.0)]
