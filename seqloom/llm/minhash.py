@@ -13,6 +13,11 @@ BANDS, ROWS = 56, 6
 #: At similarity 0.75 the mean is 224 with a deviation of 5.3, so a linked pair falls below with probability 2e-7.
 BITS, ALIKE = 256, 196
 
+#: Coordinates of the wide sketch, a bit each, of documents that meet others outside their component, and the least
+#: number of equal bits: the mean at similarity 0.75 is 1792 with a deviation of 15, so a linked pair falls below with
+#: probability 1e-7, while most pairs of similarity under 0.67 are dropped unread.
+WIDE, WIDE_ALIKE = 2048, 1714
+
 _SEEDS = np.random.default_rng(7).integers(0, 1 << 63, 1 << 14, dtype=np.uint64)
 
 
@@ -27,16 +32,22 @@ def sketches(sets: list, t: int) -> np.ndarray:
     out = np.full(n * t, np.iinfo(np.uint64).max, dtype=np.uint64)
     items = np.concatenate(sets) if n else np.empty(0, np.uint64)
     rows = np.repeat(np.arange(n, dtype=np.int64), [len(s) for s in sets])
+    empty, left = np.ones(n * t, dtype=bool), np.full(n, t, dtype=np.int64)
     for i in range(2 * t):
         if not len(items):
             break
         h = mix(items ^ _SEEDS[i % len(_SEEDS)] + np.uint64(i // len(_SEEDS)))
-        bins = (h >> np.uint64(32)) * np.uint64(t) >> np.uint64(32) if i < t else np.full(len(h), i - t, dtype=np.uint64)
-        value = np.uint64(i << 48) | (mix(h) >> np.uint64(16))
-        np.minimum.at(out, rows * t + bins.astype(np.int64), value)
-        full = (out.reshape(n, t) < np.uint64((i + 1) << 48)).all(axis=1)
-        if full.any():
-            stay = ~full[rows]
+        bins = ((h >> np.uint64(32)) * np.uint64(t) >> np.uint64(32)).astype(np.int64) if i < t else i - t
+        at = rows * t + bins
+        # A bin that an earlier round has filled keeps its value.
+        new = empty[at]
+        at = at[new]
+        np.minimum.at(out, at, np.uint64(i << 48) | (mix(h[new]) >> np.uint64(16)))
+        empty[at] = False
+        at = np.unique(at)
+        left -= np.bincount(at // t, minlength=n)
+        stay = left[rows] > 0
+        if not stay.all():
             items, rows = items[stay], rows[stay]
     return out.reshape(n, t)
 
@@ -76,6 +87,23 @@ def _described(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, check long, node long, n_shingles long, bits array<long>, keys array<long>")
 
 
+def _wide(texts: DataFrame, words: int) -> DataFrame:
+    """(wide_node, wide): the wide sketch of each node's text as WIDE bits."""
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            sizes = pc.binary_length(batch.column(1)).to_pylist()
+            for i, j in slices(sizes, 1 << 21):
+                marks = (mix(sketches(shingle_sets(batch.column(1)[i:j].to_pylist(), words), WIDE)) & np.uint64(1)).astype(np.uint8)
+                bits = np.ascontiguousarray(np.packbits(marks, axis=1)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(list(bits), pa.list_(pa.int64()))], names=["wide_node", "wide"])
+
+    return texts.select("node", "text").mapInArrow(run, "wide_node long, wide array<long>")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose full shingle sets are similar enough."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
@@ -116,7 +144,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, bands: i
     empty set and are linked with nothing. Null ids take part and are never the smallest; repeated rows give one row
     each. Equal sets are one node (known by a 64-bit hash). Other columns are not read; an empty table gives no rows.
 
-    In each band's bucket all members are compared with the smallest one; then, in buckets whose members are not yet
+    In each band's bucket all members are compared with the one that meets most others; then, in buckets whose members are not yet
     in one component, those of different components are compared. A pair is dropped unread only if its sketches differ
     far more than those of a linked pair can; every other is verified on full sets.
     """
@@ -126,8 +154,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, bands: i
     nodes = described.df.where("node is not null")
     sample = nodes.dropDuplicates(["node"])
     keyed = sample.select("node", "n_shingles", F.explode("keys").alias("bucket"))
-    lead = keyed.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").drop("last")
-    members = State(keyed.join(lead, "bucket"), "buckets")
+    shared_by = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = State(keyed.join(shared_by, "bucket"), "buckets")
+    # The head of a bucket is the member that meets most others in all bands: in a group of copies of one text that
+    # differ from each other more than from it, that text.
+    met = members.df.groupBy("node").agg(F.sum("size").alias("met"))
+    heads = members.df.join(met, "node").groupBy("bucket").agg(F.max_by("node", F.struct("met", "node")).alias("lead"))
 
     # The whole text of one document of each node that shares a bucket.
     named = nodes.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "check")).alias("at"), F.first("bits").alias("bits"))
@@ -138,11 +170,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, bands: i
     def sizes_fit(x, y):
         return (100 * F.least(x, y)) >= (percent * F.greatest(x, y))
 
-    def alike(x, y):
-        return sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(BITS // 64)), F.lit(0)) <= BITS - ALIKE
+    def alike(x, y, bits=BITS, least=ALIKE):
+        return sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(bits // 64)), F.lit(0)) <= bits - least
 
     bits = texts.df.select("node", "bits")
-    stars = members.df.where("lead <> node").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    stars = members.df.join(heads, "bucket").where("lead <> node").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     stars = stars.join(bits.select(F.col("node").alias("a"), F.col("bits").alias("p")), "a").join(bits.select(F.col("node").alias("b"), F.col("bits").alias("q")), "b").where(alike(F.col("p"), F.col("q"))).select("a", "b")
     links = State(_verified(stars, texts.df, words, percent), "links")
     roots = connected_components(links.df)
@@ -150,17 +182,20 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, bands: i
     # Buckets with members of several components: pairs across components.
     settled = members.df.join(roots, "node", "left").select("bucket", "node", "n_shingles", F.coalesce("root", "node").alias("root"))
     mixed = settled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-    # The smallest member of a bucket was compared with all others, so a bucket needs three members to hold a new pair.
-    open_ = State(settled.join(mixed, "bucket").join(bits, "node"), "open")
-    x, y = open_.df.alias("x"), open_.df.alias("y")
+    open_rows = State(settled.join(mixed, "bucket").join(bits, "node"), "open")
+    wide = State(_wide(texts.df.join(open_rows.df.select("node").distinct(), "node"), words), "wide")
+    open_ = open_rows.df.join(wide.df, F.col("node") == F.col("wide_node")).drop("wide_node")
+    x, y = open_.alias("x"), open_.alias("y")
+    apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & sizes_fit(F.col("x.n_shingles"), F.col("y.n_shingles"))
+    near = alike(F.col("x.bits"), F.col("y.bits")) & alike(F.col("x.wide"), F.col("y.wide"), WIDE, WIDE_ALIKE)
     across = (
-        x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & sizes_fit(F.col("x.n_shingles"), F.col("y.n_shingles")) & alike(F.col("x.bits"), F.col("y.bits")))
+        x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & apart & near)
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(links.df, ["a", "b"], "left_anti")
     )
     more = State(_verified(across, texts.df, words, percent), "links")
     if more.df.limit(1).count():
         roots = connected_components(links.df.union(more.df))
-    for state in (members, texts, links, open_, more):
+    for state in (members, texts, links, open_rows, wide, more):
         state.drop()
 
     grouped = all_docs.join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))
