@@ -68,10 +68,10 @@ def value_counts(spark, sf):
     return G.value_counts(V.table(spark, sf, "documents"), "lang")
 
 
-@query("overlap_counts", """WITH d AS (SELECT DISTINCT p_brand, p_type FROM part WHERE p_size > 25)
+@query("overlap_counts", """WITH d AS (SELECT DISTINCT p_brand, p_type FROM part)
 SELECT a.p_type AS split_a, b.p_type AS split_b, count(*) AS shared FROM d a JOIN d b ON a.p_brand = b.p_brand AND a.p_type < b.p_type GROUP BY ALL""")
 def overlap(spark, sf):
-    return G.overlap_counts(V.table(spark, sf, "part").where("p_size > 25"), "p_brand", "p_type")
+    return G.overlap_counts(V.table(spark, sf, "part"), "p_brand", "p_type")
 
 
 @query("group_mean_vs_baseline", V.with_views(V.SCORES, """m AS (

@@ -162,31 +162,31 @@ def charge(spark, sf):
 def _pi_sql():
     """The halvings written out as one step per query block."""
     ctes = [f"""b0 AS (SELECT doc_id, sequence, {K.PI_START}::DOUBLE AS ph, {K.PI_LOW}::DOUBLE AS lo, {K.PI_HIGH}::DOUBLE AS hi
-      FROM v_seq WHERE length(sequence) > 0)"""]
+      FROM v_seq)"""]
     for i in range(K.PI_STEPS):
         ctes.append(f"""b{i + 1} AS (SELECT doc_id, sequence, (lo2 + hi2) / 2 AS ph, lo2 AS lo, hi2 AS hi FROM (
           SELECT doc_id, sequence, CASE WHEN up THEN ph ELSE lo END AS lo2, CASE WHEN up THEN hi ELSE ph END AS hi2
           FROM (SELECT *, {charge_sql('ph')} > 0 AS up FROM b{i})))""")
-    return V.with_views(V.SEQS, *ctes, body=f"SELECT doc_id, round(ph, 4) AS pi FROM b{K.PI_STEPS}")
+    return V.with_views(V.SEQS, *ctes, body=f"SELECT doc_id, CASE WHEN length(sequence) > 0 THEN round(ph, 4) END AS pi FROM b{K.PI_STEPS}")
 
 
 @query("isoelectric_point", _pi_sql())
 def pi(spark, sf):
-    terms = V.seqs(spark, sf).where(F.length("sequence") > 0).select("doc_id", C.charge_terms(F.col("sequence")).alias("t"))
-    return terms.select("doc_id", F.round(C.isoelectric_point_from(F.col("t")), 4).alias("pi"))
+    terms = V.seqs(spark, sf).select("doc_id", "sequence", C.charge_terms(F.col("sequence")).alias("t"))
+    return terms.select("doc_id", F.when(F.length("sequence") > 0, F.round(C.isoelectric_point_from(F.col("t")), 4)).alias("pi"))
 
 
 def _moment_sql(scale):
     t = scale_sql("cc[i + 1]", scale)
     x = "list_sum(list_transform(ii, lambda i: ({t}) * {f}(radians(i * 100.0::DOUBLE))))"
-    return f"sqrt(pow({x.format(t=t, f='cos')}, 2) + pow({x.format(t=t, f='sin')}, 2)) / n"
+    return f"sqrt(pow({x.format(t=t, f='cos')}, 2) + pow({x.format(t=t, f='sin')}, 2)) / nullif(n, 0)"
 
 
 @query("hydrophobic_moment", V.with_views(V.SEQS, MOMENT_CTE, body=f"""SELECT doc_id, round({_moment_sql(K.KYTE_DOOLITTLE)}, 6) AS moment_kd,
-  round({_moment_sql(K.EISENBERG)}, 6) AS moment_eisenberg FROM terms WHERE n > 0"""))
+  round({_moment_sql(K.EISENBERG)}, 6) AS moment_eisenberg FROM terms"""))
 def moment(spark, sf):
     s = F.col("sequence")
-    return V.seqs(spark, sf).where(F.length(s) > 0).select(
+    return V.seqs(spark, sf).select(
         "doc_id", q6(C.hydrophobic_moment(s)).alias("moment_kd"),
         q6(C.hydrophobic_moment(s, K.EISENBERG)).alias("moment_eisenberg"),
     )

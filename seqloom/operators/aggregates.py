@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from seqloom import constants as K
 from seqloom.functions.sequences import letters
 from seqloom.operators import ordered as O
+from seqloom.operators.storage import cut_lineage
 
 
 def join_distinct(x: Column) -> Column:
@@ -21,17 +22,18 @@ def potency(um_min: Column) -> Column:
 def aggregate_activity(df: DataFrame, key: str = "sequence") -> DataFrame:
     """Per sequence: potency, min and median micromolar, record count, distinct metrics, units, sources.
 
-    The text sets are taken over distinct (key, metric, unit, source) rows, so that a sequence
-    with very many records stays small.
+    The input is read once, into counts of distinct (key, value, metric, unit, source) rows; all else comes from these,
+    so that a sequence with very many records stays small.
     """
-    numbers = df.groupBy(key).agg(F.min("um").alias("activity_uM_min"), F.count("*").alias("activity_records"))
-    median = O.quantiles(df, "um", {"activity_uM_median": 0.5}, [key])
-    texts = df.select(key, "metric", "unit", "database").distinct().groupBy(key).agg(
+    counts = cut_lineage(df.groupBy(key, "um", "metric", "unit", "database").agg(F.count("*").alias("n")))
+    median = O.quantiles(counts, "um", {"activity_uM_median": 0.5}, [key], count="n")
+    base = counts.groupBy(key).agg(
+        F.min("um").alias("activity_uM_min"), F.sum("n").alias("activity_records"),
         join_distinct(F.col("metric")).alias("activity_metrics"), join_distinct(F.col("unit")).alias("activity_units"),
         join_distinct(F.col("database")).alias("databases"),
     )
     return (
-        numbers.join(median, key).join(texts, key).withColumn("value", potency(F.col("activity_uM_min")))
+        O.join_on(base, median, [key]).withColumn("value", potency(F.col("activity_uM_min")))
         .select(key, "value", "activity_uM_min", "activity_uM_median", "activity_records", "activity_metrics",
                 "activity_units", "databases")
     )
@@ -43,15 +45,16 @@ def summarize_metrics(df: DataFrame, columns: list) -> DataFrame:
     A column without values keeps its row with n = 0.
     """
     doubles = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns]
-    long = df.select(*doubles).unpivot([], columns, "metric", "v")
-    base = long.groupBy("metric").agg(
-        F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
-        F.min("v").alias("min"), F.max("v").alias("max"),
-    )
+    wide = df.select(*doubles)
+    parts = [
+        F.struct(F.lit(c).alias("metric"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+        for c in columns
+    ]
+    base = wide.agg(F.array(*parts).alias("r")).select(F.inline("r"))
+    long = wide.unpivot([], columns, "metric", "v")
     median = O.quantiles(long, "v", {"median": 0.5}, ["metric"])
-    names = df.sparkSession.createDataFrame([(c,) for c in columns], "metric string")
     return (
-        names.join(base, "metric", "left").join(median, "metric", "left")
+        base.join(median, "metric", "left")
         .select("metric", F.coalesce("n", F.lit(0)).alias("n"), "mean", "std", "median", "min", "max")
     )
 

@@ -1,14 +1,11 @@
 """Clustering of numeric rows: density, k-means, thresholded norms, connected components."""
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seqloom.operators import ordered as O
 from seqloom.operators.joins import product
 from seqloom.operators.storage import cut_lineage
 
-STRICT_LIMIT = 5000
-
 
 def euclidean(a: Column, b: Column) -> Column:
     squares = F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0)))
@@ -132,8 +129,7 @@ def threshold_clusters(
 
     The threshold is the mean pair norm plus sigma deviations unless given. Connected mode joins
     chains; one column needs no pairs at all, as a chain breaks only at a gap of the sorted values.
-    Strict mode wants all members within the threshold: within each connected part, pairs are
-    taken by rising distance; a part above STRICT_LIMIT rows raises an error.
+    Strict mode wants all members within the threshold of each other (complete_linkage).
     """
     sums = df.agg(F.struct(*[F.sum(c).alias(c) for c in columns]).alias("s")).scalar()
     rows = df.select(F.col(key).alias("id"), F.array(*[(F.col(c) / sums.getField(c)).cast("double") for c in columns]).alias("v"))
@@ -154,36 +150,33 @@ def threshold_clusters(
         part = labels.join(rank, "label").select("id", "cluster_id")
     if not strict:
         return part.withColumnRenamed("id", key)
-    big = part.groupBy("cluster_id").count().agg(F.max("count")).first()[0]
-    if big is not None and big > STRICT_LIMIT:
-        raise ValueError(f"strict mode: a connected part has {big} rows; lower the threshold")
-    kind = dict(rows.dtypes)["id"]
-    done = rows.join(part, "id").groupBy("cluster_id").applyInPandas(_strict_part(threshold), f"id {kind}, part bigint, sub bigint")
-    rank = O.running(done.select("part", "sub").distinct(), ["part", "sub"], index="cluster_id")
-    return done.join(rank, ["part", "sub"]).select(F.col("id").alias(key), "cluster_id")
-
-
-def _strict_part(threshold: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        v = np.array(pdf["v"].tolist())
-        d = np.sqrt(((v[:, None, :] - v[None, :, :]) ** 2).sum(-1))
-        i, j = np.triu_indices(len(v), 1)
-        seen = np.empty((2 * len(i),), dtype="int64")
-        order = np.lexsort((j, i, d[i, j]))
-        seen[0::2], seen[1::2] = i[order], j[order]
-        groups, label = [], {}
-        for x in dict.fromkeys(seen.tolist() or [0]):
-            for g, members in enumerate(groups):
-                if (d[x, members] <= threshold).all():
-                    members.append(x)
-                    label[x] = g
-                    break
-            else:
-                label[x] = len(groups)
-                groups.append([x])
-        return pd.DataFrame({"id": pdf["id"], "part": pdf["cluster_id"].astype("int64"), "sub": [label[x] for x in range(len(v))]})
-
-    return run
+    labels = complete_linkage(rows.select("id"), pairs_within(rows, "v", threshold))
+    rank = O.running(labels.select("label").distinct(), ["label"], index="cluster_id")
+    return labels.join(rank, "label").select(F.col("id").alias(key), "cluster_id")
+
+
+def complete_linkage(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, label) of clusters whose members are all paired with each other; label is the smallest id.
+
+    Clusters grow in rounds: of the clusters that could be joined wholly, two that are each other's nearest are. Their
+    distance is the largest of a pair between them; equal distances are ordered by the smaller, then the larger label.
+    The work is over the pair table (a, b, d), which shrinks every round; nothing depends on the size of a cluster.
+    """
+    labels = cut_lineage(nodes.select("id", F.col("id").alias("label")))
+    table = cut_lineage(pairs.select("a", "b", "d", F.lit(1).cast("bigint").alias("n")))
+    while True:
+        size = labels.groupBy("label").agg(F.count("*").alias("m"))
+        whole = table.join(size.select(F.col("label").alias("a"), F.col("m").alias("ma")), "a")
+        whole = whole.join(size.select(F.col("label").alias("b"), F.col("m").alias("mb")), "b").where(F.col("n") == F.col("ma") * F.col("mb"))
+        step = F.struct("d", "a", "b")
+        ends = whole.select(F.col("a").alias("c"), step.alias("s")).union(whole.select(F.col("b").alias("c"), step.alias("s")))
+        # A pair that is the nearest of both its ends.
+        near = ends.groupBy("c").agg(F.min("s").alias("s")).groupBy("s").agg(F.count("*").alias("k")).where("k = 2")
+        moves = cut_lineage(near.select(F.col("s.b").alias("old"), F.col("s.a").alias("new")))
+        if moves.isEmpty():
+            return labels
+        labels = cut_lineage(labels.join(moves, F.col("label") == F.col("old"), "left").select("id", F.coalesce("new", "label").alias("label")))
+        for c in ("a", "b"):
+            table = table.join(moves, F.col(c) == F.col("old"), "left").withColumn(c, F.coalesce("new", c)).drop("old", "new")
+        merged = table.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d", "n")
+        table = cut_lineage(merged.groupBy("a", "b").agg(F.max("d").alias("d"), F.sum("n").alias("n")))

@@ -213,26 +213,28 @@ def with_margin(df: DataFrame, index: str, chunk: int, margin: int) -> DataFrame
     )
 
 
-def ranked_values(df: DataFrame, value, by: list = ()) -> DataFrame:
-    """Distinct values per group with their count `n` and cumulative count `upto`."""
+def ranked_values(df: DataFrame, value, by: list = (), count: str = None) -> DataFrame:
+    """Distinct values per group with their count `n` (the sum of `count`, if rows stand for many) and cumulative
+    count `upto`."""
     by = list(by)
+    times = F.col(count) if count else F.lit(1)
     counted = (
-        df.select(*by, _col(value).cast("double").alias("value")).where(F.col("value").isNotNull())
-        .groupBy(*by, "value").agg(F.count("*").alias("n"))
+        df.select(*by, _col(value).cast("double").alias("value"), times.cast("bigint").alias("_times")).where(F.col("value").isNotNull())
+        .groupBy(*by, "value").agg(F.sum("_times").alias("n"))
     )
     # Read several times below: stored once, so that the input is not computed again each time.
     counted = cut_lineage(counted)
     return running(counted, ["value"], by, {"upto": "n"}, "_i").drop("_i")
 
 
-def quantiles(df: DataFrame, value, probs: dict, by: list = (), interpolate: bool = True) -> DataFrame:
+def quantiles(df: DataFrame, value, probs: dict, by: list = (), interpolate: bool = True, count: str = None) -> DataFrame:
     """Exact quantiles per group, one column per name in `probs`.
 
     Works on counts of distinct values, so no group is ever collected. `interpolate=True` is linear
     interpolation between ranks; False takes the value at rank floor((n-1)p).
     """
     by = list(by)
-    ranked = ranked_values(df, value, by)
+    ranked = ranked_values(df, value, by, count)
     totals = ranked.groupBy(*by).agg(F.sum("n").alias("_total")) if by else None
     if by:
         ranked = join_on(ranked, totals, by)

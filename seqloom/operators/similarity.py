@@ -7,6 +7,7 @@ share at least one word of k residues; this candidate rule is part of the defini
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import IntegerType
@@ -27,22 +28,57 @@ def word_size(t: float) -> int:
     return 5 if t >= 0.7 else 4 if t >= 0.6 else 3 if t >= 0.5 else 2
 
 
-def _lcs(a: str, b: str) -> int:
-    """Bit-parallel longest common subsequence: one bit per letter of `a`."""
-    where = {}
-    for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for c in b:
-        hit = row & where.get(c, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+#: Pairs of one bit-parallel step.
+LANES = 4096
+
+
+def _lcs_lanes(short: list, long: list) -> np.ndarray:
+    """Longest common subsequence of many pairs at once, bit-parallel: one bit per letter of the shorter text, in as many
+    64-bit words as it needs, and one step per letter of the longest other text for all pairs together."""
+    n = len(short)
+    words = max(1, -(-max(map(len, short)) // 64))
+    steps = max(map(len, long))
+    letters = {c: i for i, c in enumerate(sorted(set("".join(short))))}
+    none = len(letters)
+    where = np.zeros((none + 1, n, words), dtype=np.uint64)
+    for k, t in enumerate(short):
+        for i, c in enumerate(t):
+            where[letters[c], k, i >> 6] |= np.uint64(1 << (i & 63))
+    other = np.full((steps, n), none, dtype=np.int64)
+    for k, t in enumerate(long):
+        other[: len(t), k] = [letters.get(c, none) for c in t]
+    row = np.full((n, words), np.iinfo(np.uint64).max, dtype=np.uint64)
+    lanes = np.arange(n)
+    for codes in other:
+        hit = row & where[codes, lanes]
+        carry = np.zeros(n, dtype=np.uint64)
+        rest = row ^ hit  # row - hit without borrows, as hit is part of row
+        for w in range(words):
+            total = row[:, w] + hit[:, w]
+            over = total < row[:, w]
+            total = total + carry
+            carry = (over | (total < carry)).astype(np.uint64)
+            row[:, w] = total | rest[:, w]
+    zeros = np.bitwise_count(~row).sum(axis=1)
+    return zeros.astype(np.int32)
 
 
 @F.pandas_udf(IntegerType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_lcs(x, y) if len(x) <= len(y) else _lcs(y, x) for x, y in zip(a, b)], dtype="int32")
+    pairs = [(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b)]
+    out = np.zeros(len(pairs), dtype=np.int32)
+    # Pairs of like size go together, so that no lane waits long for another.
+    order = sorted((i for i, p in enumerate(pairs) if p[0]), key=lambda i: (-(-len(pairs[i][0]) // 64), len(pairs[i][1])))
+    at = 0
+    while at < len(order):
+        size = -(-len(pairs[order[at]][0]) // 64)
+        upto = at
+        while upto < len(order) and upto - at < max(1, LANES // size) and -(-len(pairs[order[upto]][0]) // 64) == size:
+            upto += 1
+        some = order[at:upto]
+        out[some] = _lcs_lanes([pairs[i][0] for i in some], [pairs[i][1] for i in some])
+        at = upto
+    return pd.Series(out)
 
 
 def lcs_native(a: Column, b: Column) -> Column:
@@ -357,8 +393,12 @@ def similar_pairs(df: DataFrame, max_mutations: int, aligned: str = "aligned", w
     rows = texts.select("t", "n", F.posexplode(segs).alias("_p", "g")).select("t", "n", "g.i", "g.s")
     l, r = rows.alias("l"), rows.alias("r")
     j = l.join(r, (F.col("l.i") == F.col("r.i")) & (F.col("l.s") == F.col("r.s")) & (F.col("l.t") < F.col("r.t")))
+    # A pair counts at its first equal segment only.
+    part = lambda t, i: F.substring(t, cuts[i] + 1, cuts[i + 1] - cuts[i])
+    earlier = [(F.col("l.i") > i) & (part("l.t", i) == part("r.t", i)) for i in range(m - 1)]
+    j = j.where(~reduce(lambda a, b: a | b, earlier, F.lit(False)))
     pairs = j.select(F.col("l.t").alias("a"), F.col("r.t").alias("b"), F.col("l.n").alias("n_a"), F.col("r.n").alias("n_b"))
-    return pairs.withColumn("mutations", n_mutations(F.col("a"), F.col("b"))).where(F.col("mutations") <= max_mutations).distinct()
+    return pairs.withColumn("mutations", n_mutations(F.col("a"), F.col("b"))).where(F.col("mutations") <= max_mutations)
 
 
 def preservation(positions: DataFrame, key: list, sample: str, parent: str, region: Column, vernier: Column = None) -> DataFrame:

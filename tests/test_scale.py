@@ -68,3 +68,19 @@ def test_columns_side_by_side_keep_all_rows(spark):
     b = spark.createDataFrame([(2, "q")], "k int, p string")
     assert sorted(map(tuple, J.hstack(a, b, ["k"]).collect())) == [(1, "x", None), (2, "y", "q"), (3, "z", None)]
     assert sorted(map(tuple, J.zip_columns(b, a, ["k"], ["k"]).select("p", "p_2").collect()), key=str) == [("q", "x"), (None, "y"), (None, "z")]
+
+
+def test_strict_clusters_are_complete_and_maximal(spark):
+    from seqloom.operators import clusters as C
+
+    rng = np.random.default_rng(6)
+    x = rng.uniform(0, 10, (50, 2))
+    x[20:28] = x[20]
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "k long, a double, b double")
+    got = dict(C.threshold_clusters(df, "k", ["a", "b"], threshold=0.006, strict=True).collect())
+    scaled = x / x.sum(axis=0)
+    d = np.sqrt(((scaled[:, None] - scaled[None]) ** 2).sum(-1))
+    groups = [[i for i in got if got[i] == g] for g in sorted(set(got.values()))]
+    assert sorted(got) == list(range(50)) and len(groups) < 43
+    assert all(d[np.ix_(g, g)].max() <= 0.006 for g in groups)
+    assert not any(d[np.ix_(g, h)].max() <= 0.006 for k, g in enumerate(groups) for h in groups[:k])
