@@ -170,8 +170,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, bands: i
     def sizes_fit(x, y):
         return (100 * F.least(x, y)) >= (percent * F.greatest(x, y))
 
-    def alike(x, y, bits=BITS, least=ALIKE):
-        return sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(bits // 64)), F.lit(0)) <= bits - least
+    def alike(x, y):
+        return sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(BITS // 64)), F.lit(0)) <= BITS - ALIKE
+
+    def widely_alike(x, y):
+        # A fold and not a sum of terms: the code of so many terms is too long for the JVM to compile.
+        return F.aggregate(F.zip_with(x, y, lambda p, q: p.bitwiseXOR(q)), F.lit(0), lambda n, z: n + F.bit_count(z)) <= WIDE - WIDE_ALIKE
 
     bits = texts.df.select("node", "bits")
     stars = members.df.join(heads, "bucket").where("lead <> node").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
@@ -187,7 +191,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, bands: i
     open_ = open_rows.df.join(wide.df, F.col("node") == F.col("wide_node")).drop("wide_node")
     x, y = open_.alias("x"), open_.alias("y")
     apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & sizes_fit(F.col("x.n_shingles"), F.col("y.n_shingles"))
-    near = alike(F.col("x.bits"), F.col("y.bits")) & alike(F.col("x.wide"), F.col("y.wide"), WIDE, WIDE_ALIKE)
+    near = alike(F.col("x.bits"), F.col("y.bits")) & widely_alike(F.col("x.wide"), F.col("y.wide"))
     across = (
         x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & apart & near)
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(links.df, ["a", "b"], "left_anti")
