@@ -1,10 +1,14 @@
-"""Public residue tables and the settings results depend on."""
+"""Public residue tables and the settings results depend on.
+
+All of these must equal the given ones for results to agree; each stands in its natural order under a comment that says
+what fixes it.
+"""
 
 RESIDUES = "ACDEFGHIKLMNPQRSTVWY"
 HYDROPHOBIC = "AVILMFWYC"
 GAP = "-"
 
-# Average residue masses in Da; one water (18.015) leaves per peptide bond.
+# Average residue masses in Da; one water (18.015) leaves per peptide bond.
 MASS = {
     "A": 89.09, "C": 121.16, "D": 133.10, "E": 147.13, "F": 165.19,
     "G": 75.07, "H": 155.16, "I": 131.17, "K": 146.19, "L": 131.17,
@@ -46,7 +50,7 @@ PK_C_TERM_BY_RESIDUE = {"D": 4.55, "E": 4.75}
 # Bisection of the isoelectric point: first guess, bracket, number of halvings to 1e-4.
 PI_START, PI_LOW, PI_HIGH, PI_STEPS = 7.775, 4.05, 12.0, 17
 
-# Codons per residue in the order of RESIDUES; 61 sense codons.
+# The standard genetic code. Codons per residue in the order of RESIDUES; 61 sense codons.
 CODONS = {
     "A": 4, "C": 2, "D": 2, "E": 2, "F": 2, "G": 4, "H": 2, "I": 3, "K": 2, "L": 6,
     "M": 1, "N": 2, "P": 4, "Q": 2, "R": 6, "S": 6, "T": 4, "V": 3, "W": 1, "Y": 2,
@@ -67,13 +71,13 @@ TOKEN_UNKNOWN, TOKEN_PAD, TOKEN_MASK = 20, 21, 22
 SEQUENCE_COLUMNS = ["variant_sequence", "generated_sequence", "sequence", "peptide", "seq"]
 ID_COLUMNS = ["variant_name", "sequence_id", "name", "id"]
 
-# Longest allowed region lengths FR1, CDR1, FR2, CDR2, FR3, CDR3, FR4.
+# The numbering's widths. Longest allowed region lengths FR1, CDR1, FR2, CDR2, FR3, CDR3, FR4.
 REGION_LIMITS = [26, 12, 17, 10, 38, 30, 11]
 
 # Score thresholds of a dual hit.
 ACTIVITY_HIT, HEMOLYSIS_HIT = 0.80, 0.40
 
-# Nativeness thresholds per model and the common target after rescaling.
+# The published model thresholds. Nativeness thresholds per model and the common target after rescaling.
 NATIVENESS_THRESHOLDS = {"VH": 0.988047, "VKappa": 0.992496, "VLambda": 0.985580, "VHH": 0.990973}
 NATIVENESS_TARGET = 0.8
 
@@ -102,14 +106,14 @@ CDR_RANGES = {
     ("aho", "L"): [(27, 42), (57, 69), (108, 138)],
 }
 
-# Lengths of the seven regions FR1..FR4 over the fixed slots, codes 0..6.
+# The numbering's layout. Lengths of the seven regions FR1..FR4 over the fixed slots, codes 0..6.
 SEVEN_REGION_LENGTHS = {"H": [26, 12, 17, 10, 39, 37, 11], "L": [26, 12, 17, 10, 39, 25, 10]}
 
-# Slot ranges (first, last, code), 0-based; other slots are 0. Codes: 1-3 CDR, 4 tail, 5 vernier.
+# The slot layout of the variant vectors. Slot ranges (first, last, code), 0-based; other slots are 0. Codes: 1-3 CDR, 4 tail, 5 vernier.
 KABAT_VERNIER_SLOTS = {
     "H": [(26, 39, 1), (51, 53, 5), (54, 73, 2), (75, 75, 5), (77, 77, 5), (79, 79, 5),
           (81, 81, 5), (86, 86, 5), (104, 140, 3), (150, 151, 4)],
-    "L": [(23, 39, 1), (51, 54, 5), (55, 68, 2), (77, 77, 5), (79, 79, 5), (83, 83, 5),
-          (84, 84, 5), (86, 86, 5), (104, 128, 3), (138, 138, 4)],
+    "L": [(23, 39, 1), (51, 54, 5), (55, 68, 2), (77, 77, 5), (79, 79, 5), (83, 84, 5),
+          (86, 86, 5), (104, 128, 3), (138, 138, 4)],
 }
 SLOT_COUNT = {"H": 152, "L": 139}
