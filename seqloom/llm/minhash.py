@@ -13,6 +13,8 @@ BANDS, ROWS = 56, 6
 #: At similarity 0.75 the mean is 224 with a deviation of 5.3, so a linked pair falls below with probability 2e-7.
 BITS, ALIKE = 256, 196
 
+#: Heads of buckets that a document is compared with first.
+HEADS = 4
 #: Coordinates of the wide sketch, a bit each, of documents that meet others outside their component, and the least
 #: number of equal bits: the mean at similarity 0.75 is 1792 with a deviation of 15, so a linked pair falls below with
 #: probability 1e-7, while most pairs of similarity under 0.67 are dropped unread.
@@ -144,8 +146,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, bands: i
     empty set and are linked with nothing. Null ids take part and are never the smallest; repeated rows give one row
     each. Equal sets are one node (known by a 64-bit hash). Other columns are not read; an empty table gives no rows.
 
-    In each band's bucket all members are compared with the one that meets most others; then, in buckets whose members are not yet
-    in one component, those of different components are compared. A pair is dropped unread only if its sketches differ
+    The member of a bucket that meets most others is its head; each document is compared with the first HEADS of its
+    heads. Then, in buckets whose members are not yet in one component, those of different components are compared. A pair is dropped unread only if its sketches differ
     far more than those of a linked pair can; every other is verified on full sets.
     """
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("check"), F.col(text).cast("string").alias("text"))
@@ -159,7 +161,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, bands: i
     # The head of a bucket is the member that meets most others in all bands: in a group of copies of one text that
     # differ from each other more than from it, that text.
     met = members.df.groupBy("node").agg(F.sum("size").alias("met"))
-    heads = members.df.join(met, "node").groupBy("bucket").agg(F.max_by("node", F.struct("met", "node")).alias("lead"))
+    heads = members.df.join(met, "node").groupBy("bucket").agg(F.max(F.struct("met", "node")).alias("head"))
 
     # The whole text of one document of each node that shares a bucket.
     named = nodes.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "check")).alias("at"), F.first("bits").alias("bits"))
@@ -178,7 +180,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, bands: i
         return F.aggregate(F.zip_with(x, y, lambda p, q: p.bitwiseXOR(q)), F.lit(0), lambda n, z: n + F.bit_count(z)) <= WIDE - WIDE_ALIKE
 
     bits = texts.df.select("node", "bits")
-    stars = members.df.join(heads, "bucket").where("lead <> node").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    # A node's first few heads (it has one in each band at most); what they leave apart is compared below.
+    own = members.df.join(heads, "bucket").where("head.node <> node").groupBy("node").agg(F.slice(F.sort_array(F.collect_set("head"), False), 1, HEADS).alias("heads"))
+    stars = own.select(F.col("node").alias("b"), F.explode("heads.node").alias("a"))
     stars = stars.join(bits.select(F.col("node").alias("a"), F.col("bits").alias("p")), "a").join(bits.select(F.col("node").alias("b"), F.col("bits").alias("q")), "b").where(alike(F.col("p"), F.col("q"))).select("a", "b")
     links = State(_verified(stars, texts.df, words, percent), "links")
     roots = connected_components(links.df)
