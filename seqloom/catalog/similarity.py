@@ -184,7 +184,16 @@ def annotate(spark, sf):
     return S.annotate_conservation(three_fragments(spark, sf)).groupBy("pos", "conservation").agg(F.count("*").alias("n"))
 
 
-@query("density_clusters")
+@query("density_clusters", """WITH RECURSIVE near AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a, embeddings b WHERE list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) <= 0.9),
+core AS (SELECT a FROM near GROUP BY a HAVING count(*) >= 5),
+inner_pairs AS (SELECT a, b FROM near WHERE a IN (SELECT a FROM core) AND b IN (SELECT a FROM core)),
+reach(a, b) AS (SELECT a, b FROM inner_pairs UNION SELECT r.a, p.b FROM reach r JOIN inner_pairs p ON r.b = p.a),
+part AS (SELECT a, min(b) AS label FROM reach GROUP BY a),
+ranked AS (SELECT a, dense_rank() OVER (ORDER BY label) - 1 AS cluster FROM part),
+border AS (SELECT n.a, min(r.cluster) AS cluster FROM near n JOIN ranked r ON r.a = n.b GROUP BY n.a)
+SELECT vec_id, coalesce(ranked.cluster, border.cluster, -1) AS cluster, ranked.a IS NOT NULL AS core
+FROM embeddings LEFT JOIN ranked ON ranked.a = vec_id LEFT JOIN border ON border.a = vec_id""")
 def density(spark, sf):
     return C.density_clusters(V.table(spark, sf, "embeddings"), "vec_id", "embedding", 0.9, 5)
 

@@ -61,14 +61,25 @@ def bert(spark, sf):
     return b.select("doc_id", n(1).alias("masked"), n(2).alias("replaced"), n(0).alias("untouched"))
 
 
-@query("bootstrap")
+#: Draws of 40 runs: rank by rank, from a digest.
+DRAWS = """r AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS i, value, event_type FROM events),
+d AS (SELECT run, CAST('0x' || left(sha1(i || '|' || run || '|0'), 15) AS BIGINT) % (SELECT count(*) FROM events) AS i FROM r, (SELECT unnest(range(40)) AS run)),
+s AS (SELECT run, value, event_type FROM d JOIN r USING (i))"""
+
+
+def _spread_sql(c):
+    return f"round(avg({c}), 6) AS {c}, round(stddev_pop({c}), 6) AS {c}_se, round(quantile_cont({c}, 0.025), 6) AS {c}_low, round(quantile_cont({c}, 0.975), 6) AS {c}_high"
+
+
+@query("bootstrap", V.with_views(DRAWS, "m AS (SELECT run, avg(value) AS mean, median(value) AS median FROM s GROUP BY run)", body=f"SELECT {_spread_sql('mean')}, {_spread_sql('median')} FROM m"))
 def bootstrap(spark, sf):
-    return P.bootstrap(V.table(spark, sf, "events"), "value", ["event_id"], 40)
+    return rounded(P.bootstrap(V.table(spark, sf, "events"), "value", ["event_id"], 40))
 
 
-@query("bootstrap_counts")
+@query("bootstrap_counts", V.with_views(DRAWS, "c AS (SELECT run, event_type, count(*) AS c FROM s GROUP BY ALL)",
+    body="SELECT event_type AS value, round(sum(c) / 40::DOUBLE, 6) AS mean, round(sqrt(greatest(sum(c * c) / 40::DOUBLE - pow(sum(c) / 40::DOUBLE, 2), 0)), 6) AS std FROM c GROUP BY 1"))
 def bootstrap_counts(spark, sf):
-    return P.bootstrap_counts(V.table(spark, sf, "events"), "event_type", ["event_id"], 40)
+    return rounded(P.bootstrap_counts(V.table(spark, sf, "events"), "event_type", ["event_id"], 40))
 
 
 @query("run_grid", """SELECT t AS temperature, s AS seed, 'Temp' || t || '_Seed' || s AS subgroup, count(*) AS n, round(avg(n_chars * t + s), 6) AS score FROM documents,

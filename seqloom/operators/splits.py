@@ -134,7 +134,9 @@ def resample(df: DataFrame, value: str, runs: int, order: list, seed=0, poisson:
     ranked = O.running(df.select(*order, F.col(value).alias("value")), order, index="_i").select("_i", "value")
     n = df.agg(F.count("*")).scalar()
     draws = ranked.select("_i", each)
-    draws = draws.select("run", F.pmod(F.xxhash64("_i", "run", F.lit(str(seed))), n).alias("_i"))
+    # 60 bits of a digest, so that every rank of a table of any size can be drawn.
+    digest = F.sha1(F.concat_ws("|", F.col("_i").cast("string"), F.col("run").cast("string"), F.lit(str(seed))))
+    draws = draws.select("run", (F.conv(F.left(digest, F.lit(15)), 16, 10).cast("bigint") % n).alias("_i"))
     return draws.join(ranked, "_i").select("run", "value", F.lit(1).alias("w"))
 
 
