@@ -3,10 +3,10 @@
 from pyspark.sql import functions as F
 
 from seqloom import bindings as V, constants as K
-from seqloom.catalog.aggregates import rounded
+from seqloom.catalog.aggregates import _summary_sql, rounded
 from seqloom.catalog.filters import usable_activity
 from seqloom.catalog.motifs import exact_active
-from seqloom.catalog.registry import query
+from seqloom.catalog.registry import ORACLES, query
 from seqloom.catalog.scalars import charge_sql, unit_sql  # noqa: F401
 from seqloom.functions import sequences as S
 from seqloom.operators import aggregates as G, filters as L, motifs as M, scoring as C, splits as P
@@ -136,16 +136,22 @@ def property_report(spark, sf):
     return R.property_report(p)[1]
 
 
-@query("motif_report")
+@query("motif_report", ORACLES["logo_frequency"])
 def motif_report(spark, sf):
     d = V.seqs(spark, sf).withColumnRenamed("doc_id", "sequence_id")
-    return R.motif_report(d, V.pairs(spark, sf), exact_active(spark, sf))["logo"]
+    return rounded(R.motif_report(d, V.pairs(spark, sf), exact_active(spark, sf))["logo"])
 
 
-@query("score_report")
+SCORED = f"""t AS (SELECT 1 / (1 + exp(-({charge_sql(7.4)}))) AS charge_score,
+  length(regexp_replace(sequence, '[^{K.HYDROPHOBIC}]', '', 'g')) / length(sequence) AS hydrophobic_score, p_size / 50::DOUBLE AS hemolysis_score FROM v_pep),
+u AS (SELECT *, (charge_score + hydrophobic_score) / 2 AS activity_mean_score FROM t)"""
+
+
+@query("score_report", V.with_views(V.PEPTIDES, SCORED, body=_summary_sql("u", ["charge_score", "hydrophobic_score", "hemolysis_score", "activity_mean_score"]) + """
+  UNION ALL SELECT 'dual_hit_rate', count(*), round(avg(CASE WHEN activity_mean_score >= 0.8::DOUBLE AND hemolysis_score < 0.4::DOUBLE THEN 1.0::DOUBLE ELSE 0 END), 6), NULL, NULL, NULL, NULL FROM u"""))
 def score_report(spark, sf):
     p = V.peptides(spark, sf).withColumn("hemolysis_score", F.col("p_size") / 50)
-    return R.score_report(p, "charge,hydrophobic", ["charge_score", "hydrophobic_score"])[1]
+    return rounded(R.score_report(p, "charge,hydrophobic", ["charge_score", "hydrophobic_score"])[1])
 
 
 @query("group_report", V.with_views(f"""t AS (SELECT conv_id, turn, role, length(text) AS score, {V.residues_sql('text')} AS aligned FROM conversations)""", """
