@@ -104,6 +104,8 @@ def running(
         {name: F.sum(_col(c)).over(upto) for name, c in sums.items()}
         | {name: F.max(_col(c)).over(here.rowsBetween(Window.unboundedPreceding, -1)) for name, c in peaks.items()}
     )
+    if not points:  # one bucket: nothing to carry
+        return local.drop("_b")
     totals = cut.groupBy(*by, "_b").agg(
         F.count("*").alias("_n"), *[F.sum(_col(c)).alias(f"_s_{name}") for name, c in sums.items()],
         *[F.max(_col(c)).alias(f"_m_{name}") for name, c in peaks.items()],
@@ -141,6 +143,8 @@ def neighbours(df: DataFrame, order: list, columns: dict, by: list = (), points:
         {name: fn[way](_col(c)).over(here) for name, (c, way) in columns.items()}
         | {"_first": F.row_number().over(here) == 1, "_last": F.lead(F.lit(1)).over(here).isNull()}
     )
+    if not points:
+        return local.drop("_b", "_first", "_last")
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(ordering)])
     edges = cut.groupBy(*by, "_b").agg(
         *[
@@ -178,6 +182,8 @@ def carry(df: DataFrame, order: list, columns: dict, by: list = (), points: list
         return F.first(c, ignorenulls=True).over(w.rowsBetween(strict, Window.unboundedFollowing))
 
     local = cut.withColumns({name: scan(_col(c), way, here, 0) for name, (c, way) in columns.items()})
+    if not points:
+        return local.drop("_b")
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(ordering)])
     edges = cut.groupBy(*by, "_b").agg(
         *[
