@@ -89,7 +89,7 @@ def repair(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: str
     """(conv_id, position, turn, role, new_role, action, inserted, cost, rendered): one row for each message.
 
     Legal is an optional system message, then user and assistant in turn from a user on. Messages are read in order of
-    turn (null first, ties by role and text) and each is kept, relabelled or merged into the one before, with empty
+    turn (null first, ties by role and a hash of the text) and each is kept, relabelled or merged into the one before, with empty
     messages before it where needed, at the least total cost (MERGE, RELABEL, NAME, INSERT). `rendered` in order of
     `position` is the transcript of the repaired conversation: the row that starts a message closes the one before, and
     the last row closes its own. Roles are read without case and outer space; others and null are unknown. Null texts are
@@ -102,8 +102,8 @@ def repair(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: str
     rows = turns.select(
         F.col(key).isNull().alias("unnamed"), F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("conv"), F.col(turn).cast("long").alias("turn"),
         F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"),
-    )
-    order = ["unnamed", "conv", F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
+    ).withColumn("tie", F.xxhash64("text"))
+    order = ["unnamed", "conv", F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), "tie"]
     state = State(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "turns")
 
     def weigh(group):
@@ -166,7 +166,7 @@ def repair(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: str
 
 def _sorted(table):
     rows = table.to_pylist()
-    at = sorted(range(len(rows)), key=lambda i: tuple(x for c in ("turn", "role", "text") for x in (rows[i][c] is not None, rows[i][c] if rows[i][c] is not None else 0)))
+    at = sorted(range(len(rows)), key=lambda i: tuple(x for c in ("turn", "role", "tie") for x in (rows[i][c] is not None, rows[i][c] if rows[i][c] is not None else 0)))
     return table.take(at)
 
 
