@@ -14,7 +14,7 @@ BANDS, ROWS = 56, 6
 BITS, ALIKE = 256, 196
 
 #: Heads of buckets that a document is compared with first.
-HEADS = 2
+HEADS = 4
 #: Coordinates of the wide sketch, a bit each, of documents that meet others outside their component, and the least
 #: number of equal bits: the mean at similarity 0.75 is 3584 with a deviation of 21, so a linked pair falls below with
 #: probability 1e-7, while most pairs of similarity under 0.69 are dropped unread.
