@@ -128,9 +128,10 @@ def read_blocks(spark, sf):
     )
 
 
-def file_stream(spark, sf, name):
-    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf}/{name}.parque[t]")
+def file_stream(spark, sf, name, files=1):
+    """`files` a batch; None reads all there are in one, as a watermark needs whose files overlap in time."""
+    reader = spark.readStream.schema(spark.read.parquet(f"{sf}/{name}.parquet").schema)
+    return (reader if files is None else reader.option("maxFilesPerTrigger", files)).parquet(f"{sf}/{name}.parque[t]")
 
 
 @query("incremental_scoring", V.with_views(V.SEQS, body=f"""SELECT doc_id, round(1 / (1 + exp(-({charge_sql(7.4)}))), 6) AS charge_score FROM v_seq WHERE length(sequence) > 0"""))
@@ -143,7 +144,7 @@ def incremental_scoring(spark, sf):
 
 def _windows(spark, sf, mode="update", **options):
     path = scratch_path(spark, "windows")
-    e = file_stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    e = file_stream(spark, sf, "events", None).withColumn("ts", F.col("ts").cast("timestamp"))
     N.run_to_table(N.windowed_metrics(e, "ts", "value", **options), f"{path}/table", f"{path}/checkpoint", mode).awaitTermination()
     wall = lambda c: F.unix_micros(F.from_utc_timestamp(c, F.current_timezone())).alias(c)
     keys = ["start", "end", *options.get("by", [])]

@@ -69,3 +69,20 @@ def test_late_rows_are_dropped(spark, tmp_path):
     at = [(12, 0, 1.0), (15, 0, 2.0), (15, 2, 16.0), (12, 30, 4.0), (15, 1, 8.0)]
     got = _windows_of(spark, tmp_path, [[(datetime(2024, 5, 1, h, m), "a", v)] for h, m, v in at], "late")
     assert [(r[0].hour, r[3], r[4]) for r in got] == [(12, 1, 1.0), (15, 3, 26.0)]
+
+
+def test_window_queries_do_not_depend_on_the_cut_of_the_table(spark, tmp_path):
+    from seqloom.catalog.files import sessions, sliding, tumbling
+
+    t = F.timestamp_micros(F.lit(1714521600000000) + F.col("id") * 420000000).cast("timestamp_ntz")
+    events = spark.range(63).select(t.alias("ts"), (F.col("id") % 3).alias("user_id"), F.lit("a").alias("event_type"), F.col("id").cast("double").alias("value"))
+    events = events.where("user_id <> 1 or id < 25 or id > 50")
+    rows = {}
+    for n in (1, 3, 7):
+        for i in range(n):  # every n-th row, so that each file covers the whole time range
+            events.where(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 420000000) % n == i).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{n}/events.parquet")
+        for q in (tumbling, sliding, sessions):
+            rows[q, n] = sorted(map(tuple, q(spark, f"{tmp_path}/{n}").collect()))
+    for q in (tumbling, sliding, sessions):
+        assert rows[q, 1] and rows[q, 1] == rows[q, 3] == rows[q, 7]
+    assert sum(r[3] for r in rows[tumbling, 7]) == events.count()
