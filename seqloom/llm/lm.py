@@ -10,7 +10,7 @@ from seqloom.llm.common import State, partitions, slices
 from seqloom.llm.text import mix, words
 
 #: Bytes of text in a block; documents are counted and scored block by block.
-BLOCK = 4 << 20
+BLOCK = 8 << 20
 #: Hashes of the end of a text and of the place before its first word.
 _END, _START = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
@@ -20,13 +20,25 @@ def held_out(key: Column) -> Column:
 
 
 def _planes(values) -> bytes:
-    """An integer array byte plane by byte plane, so that leading zeros stand together and compress well."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+    """An integer array byte plane by byte plane, each compressed for itself, as leading bytes are mostly zeros and last
+    ones are noise: the number of values, the sizes of the planes, the planes."""
+    import pyarrow as pa
+
+    codec = pa.Codec("zstd")
+    planes = [codec.compress(x.tobytes(), asbytes=True) for x in values.view(np.uint8).reshape(len(values), values.itemsize).T]
+    return np.array([len(values), *map(len, planes)], np.uint32).tobytes() + b"".join(planes)
 
 
 def _unplanes(raw: bytes, dtype) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(dtype).ravel()
+    import pyarrow as pa
+
+    codec, size = pa.Codec("zstd"), np.dtype(dtype).itemsize
+    n, *sizes = np.frombuffer(raw, np.uint32, size + 1).tolist()
+    out, at = np.empty((n, size), np.uint8), 4 * (size + 1)
+    for i, k in enumerate(sizes):
+        out[:, i] = np.frombuffer(codec.decompress(raw[at : at + k], n, asbytes=True), np.uint8)
+        at += k
+    return out.view(dtype).ravel()
 
 
 def ngrams(texts: list, order: int):
@@ -129,7 +141,7 @@ def _shards(keys, shards: int):
     return np.searchsorted(top, np.arange(shards + 1, dtype=np.uint64))
 
 
-def score(docs: DataFrame, order: int = 2, prior: float = 64.0, held: Column = None, text: str = "text", key: str = "doc_id") -> DataFrame:
+def score(docs: DataFrame, order: int = 3, prior: float = 64.0, held: Column = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of whole texts.
 
     Learns from the rows that are not held out (held_out() of the id by default). Tokens are the lower-cased (A-Z)
@@ -140,12 +152,11 @@ def score(docs: DataFrame, order: int = 2, prior: float = 64.0, held: Column = N
     Documents are bound into blocks. A block sends its distinct n-grams with their counts to shards by hash, one bundle
     for each shard; a shard adds up the counts of all blocks and returns each block the totals of what it asked for,
     from which the block builds the part of the automaton that its texts can reach. So an n-gram moves once for each
-    block it stands in, however frequent it is, and no task holds more than a block or a shard of the model, which grows
-    with the corpus. Blocks and totals are kept in the shared folder.
+    block it stands in, however frequent it is, and no task holds more than a block or a shard of the model, of which
+    there are as many as the corpus needs. Blocks and totals are kept in the shared folder.
     """
     spark = docs.sparkSession
     held = held_out(F.col(key)) if held is None else held
-    shards = max(8, partitions(spark))
 
     def bind(batches):
         import pyarrow as pa
@@ -157,7 +168,7 @@ def score(docs: DataFrame, order: int = 2, prior: float = 64.0, held: Column = N
             nonlocal number, rows, size
             table = pa.Table.from_batches(rows)
             sink = io.BytesIO()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 9))) as out:
                 out.write_table(table)
             done = pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue()], pa.binary())], names=["block", "data"])
             number, rows, size = number + 1, [], 0
@@ -213,6 +224,8 @@ def score(docs: DataFrame, order: int = 2, prior: float = 64.0, held: Column = N
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), held.alias("held"), F.col(text).cast("string").alias("text"))
     blocks = State(rows.mapInArrow(bind, "block long, data binary"), "blocks")
+    # A shard gets about as many n-grams as two blocks ask for.
+    shards = max(8, partitions(spark), -(-blocks.df.count() // 2))
     asked = blocks.df.mapInArrow(ask, "shard int, block long, keys binary, counts binary")
     answers = State(asked.groupBy("shard").applyInArrow(add, "block long, shard int, totals binary, tokens long, distinct long"), "totals")
     sums = answers.df.where("block is null").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first()

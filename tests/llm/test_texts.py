@@ -339,3 +339,26 @@ def test_language_model(odd, none, order):
     for a, b in zip(got, sorted(want, key=str)):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
     assert lm.score(none, order).count() == 0
+
+
+def test_language_model_query_uses_two_words_of_context(spark):
+    # "m" is followed by b and d alike; only the word before it tells which.
+    free = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 != 1]
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1]
+    learned = [(i, "x m b" if k % 2 else "y m d") for k, i in enumerate(free)]
+    docs = spark.createDataFrame([*learned, (held[0], "x m b"), (held[1], "x m d")], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm.score(docs).collect()}
+    assert got[held[0]] > got[held[1]] + 0.2
+
+
+def test_language_model_shards_follow_the_number_of_blocks(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i} w{i % 7} and w{i % 11}") for i in range(400)], "doc_id long, text string").coalesce(1)
+    want = sorted(map(tuple, lm.score(docs).collect()))
+    seen, old = [], lm.State
+    monkeypatch.setattr(lm, "State", lambda df, name: seen.append(old(df, name)) or seen[-1])
+    monkeypatch.setattr(lm, "BLOCK", 128)
+    got = sorted(map(tuple, lm.score(docs).collect()))
+    blocks = seen[0].df.count()
+    assert blocks > 40 and seen[1].df.select("shard").distinct().count() > blocks / 3
+    for a, b in zip(got, want, strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
