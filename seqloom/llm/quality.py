@@ -1,7 +1,9 @@
 """Quality classifier of documents: supervised subword embeddings trained by stochastic gradient descent."""
 
+import warnings
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from seqloom.llm.common import State, slices
 from seqloom.llm.text import STEP, _hash_words
@@ -91,7 +93,8 @@ def held_out(key: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> tuple:
     """Fit on at most `rows` labelled rows that are not held out and at most `chars` characters of their whole texts.
 
-    Rows are taken in the order of a hash of their id, so the sample is the same at every run. Labels that are neither
+    Rows are taken in the order of a hash of their id, so the sample is the same at every run; where the characters do
+    not suffice, texts of over an eighth of them come last and only those that do not fit are left out. Labels that are neither
     0 nor 1 and null ids are left out; of repeated labels the smaller counts. The sample's feature counts go to one
     task, which trains the model: both bounds hold there. Without rows of both labels the score is their share.
     """
@@ -101,7 +104,15 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     # At most `rows` rows are broadcast.
     sample = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "id").dropDuplicates(["id"])
     state = State(sample.withColumn("n", F.coalesce(F.length("text"), F.lit(0))), "sample")
-    fits = state.df.select("id", F.sum("n").over(Window.orderBy(F.xxhash64("id", F.lit(11)), "id")).alias("total")).where(F.col("total") <= chars).select("id")
+    # At most `rows` rows; a text that does not fit leaves the room to the next, and long ones come after all others.
+    sizes, left, fitting = state.df.select("id", "y", "n").orderBy(F.col("n") > chars // 8, F.xxhash64("id", F.lit(11)), "id").collect(), chars, []
+    for row in sizes:
+        if row["n"] <= left:
+            left -= row["n"]
+            fitting.append(row)
+    if {row["y"] for row in fitting} != {row["y"] for row in sizes}:
+        warnings.warn(f"no labelled text of one class fits {chars} characters; the score is the share of the other", stacklevel=2)
+    fits = docs.sparkSession.createDataFrame([(row["id"],) for row in fitting], "id long")
 
     def bags_of(batches):
         import pyarrow as pa

@@ -362,3 +362,20 @@ def test_language_model_shards_follow_the_number_of_blocks(spark, monkeypatch):
     assert blocks > 40 and seen[1].df.select("shard").distinct().count() > blocks / 3
     for a, b in zip(got, want, strict=True):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
+
+
+def test_a_long_text_does_not_end_the_training_sample(spark):
+    data = [(i, ("alpha beta river " if i % 2 else "zz!! qq## 0000 ") * 3, i % 2) for i in range(120)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in data], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in data], "doc_id long, quality int")
+    learned = [i for i, *_ in data if zlib.crc32(str(i).encode()) % 3 != 1]
+    first = docs.where(F.col("doc_id").isin(learned)).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").first()["doc_id"]
+    plain = quality.train(docs, labels, chars=10_000)
+    for long in (20_000, 9_900):  # over the bound, and nearly all of it
+        grown = docs.withColumn("text", F.when(F.col("doc_id") == first, F.repeat(F.lit("long "), long // 5)).otherwise(F.col("text")))
+        weights, bias = quality.train(grown, labels, chars=10_000)
+        assert np.abs(weights).sum() > 0.5 * np.abs(plain[0]).sum()
+        got = quality.score(grown, (weights, bias)).where(F.col("doc_id") != first).collect()
+        assert all((r["score"] >= 0.5) == (r["doc_id"] % 2 == 1) for r in got)
+    with pytest.warns(UserWarning, match="one class"):
+        quality.train(docs, labels, chars=50)
