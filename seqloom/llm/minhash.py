@@ -13,6 +13,8 @@ BANDS, ROWS = 56, 6
 #: At similarity 0.75 the mean is 224 with a deviation of 5.3, so a linked pair falls below with probability 2e-7.
 BITS, ALIKE = 256, 196
 
+#: Least similarity, in percent, that the bands and the bounds ALIKE and WIDE_ALIKE are made for.
+PERCENT = 75
 #: Heads of buckets that a document is compared with first.
 HEADS = 4
 #: Coordinates of the wide sketch, a bit each, of documents that meet others outside their component, and the least
@@ -141,7 +143,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, bands: i
     """(doc_id, n_shingles, component_id, kept, group): components of documents that are near copies of each other.
 
     A text's set holds the distinct `words`-word shingles of its lower-cased (A-Z) words, of the whole sequence if it
-    is shorter. Two documents are linked if 100 * intersection >= percent * union. component_id is the smallest doc_id
+    is shorter. Two documents are linked if 100 * intersection >= percent * union; percent is PERCENT at least, as the
+    bands and the bounds on equal bits are made for it. component_id is the smallest doc_id
     in the component, kept marks it, group is the same for the members of a component. Null and wordless texts have an
     empty set and are linked with nothing. Null ids take part and are never the smallest; repeated rows give one row
     each. Equal sets are one node (known by a 64-bit hash). Other columns are not read; an empty table gives no rows.
@@ -150,6 +153,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, bands: i
     heads. Then, in buckets whose members are not yet in one component, those of different components are compared. A pair is dropped unread only if its sketches differ
     far more than those of a linked pair can; every other is verified on full sets.
     """
+    if percent < PERCENT:
+        raise ValueError(f"the bands and sketches find links of {PERCENT} percent and more, not of {percent}")
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("check"), F.col(text).cast("string").alias("text"))
     described = State(_described(source, words, bands, rows), "sketches")
     all_docs = described.df.select("doc_id", "check", "node", "n_shingles")

@@ -379,3 +379,8 @@ def test_a_long_text_does_not_end_the_training_sample(spark):
         assert all((r["score"] >= 0.5) == (r["doc_id"] % 2 == 1) for r in got)
     with pytest.warns(UserWarning, match="one class"):
         quality.train(docs, labels, chars=50)
+
+
+def test_near_copies_of_less_than_the_sketches_find_are_refused(none):
+    with pytest.raises(ValueError, match="75"):
+        minhash.near_duplicates(none, percent=60)
