@@ -1,6 +1,6 @@
 """One query for each operator over its whole table, with production parameters."""
 
-from seqloom.llm import chat, codec, lm, minhash, packing, quality, secrets, token_files, vectors
+from seqloom.llm import chat, codec, levels, lm, minhash, packing, phrases, quality, secrets, token_files, trie, vectors
 from seqloom.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -112,3 +112,76 @@ FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN least ON least.a = e.v
 @query("op10_near_vectors", NEAR_VECTORS_SQL)
 def _near_vectors(spark, sf):
     return vectors.near_duplicate_vectors(table(spark, sf, "embeddings"))
+
+
+#: Pieces and words as lists; every phrase as a slice of its piece. Products in 128-bit integers.
+PHRASES_SQL = r"""
+WITH p AS (
+    SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+        SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), g AS (
+    SELECT lang, k, w[i:i + k - 1] AS w FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, 6) t(k) WHERE len(w) >= k)
+), f AS (SELECT lang, k, w, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+inner_ AS (
+    SELECT lang, w, max(f) AS longer FROM (SELECT lang, f, unnest([w[1:k - 1], w[2:k]]) AS w FROM f WHERE k > 2) GROUP BY ALL
+), kept AS (SELECT f.* FROM f LEFT JOIN inner_ USING (lang, w) WHERE k > 1 AND (longer IS NULL OR longer < f.f)),
+cuts AS (SELECT lang, k, w, f AS a, c, w[1:c] AS head, w[c + 1:k] AS tail FROM kept, range(1, 5) t(c) WHERE c < k),
+scored AS (
+    SELECT u.lang, u.w, a, c, x.f AS l, y.f AS r, n.n, (1000::HUGEINT * a * n.n) // (x.f::HUGEINT * y.f) AS score
+    FROM cuts u JOIN f x ON x.lang = u.lang AND x.w = u.head JOIN f y ON y.lang = u.lang AND y.w = u.tail JOIN n ON n.lang = u.lang
+), worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, c) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM (SELECT lang, array_to_string(w, ' ') AS phrase, a, l, r, n, score FROM worst) QUALIFY rank <= 2000
+"""
+
+
+@query("op11_phrases", PHRASES_SQL)
+def _phrases(spark, sf):
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
+@query("op12_online_packing")
+def _online_packing(spark, sf):
+    return levels.pack_online(table(spark, sf, "documents"))
+
+
+#: Nodes as lists of turns, subtrees by their members' prefixes; crc32 bit by bit.
+TRIE_SQL = r"""
+WITH RECURSIVE ids AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL),
+crc AS (
+    SELECT conv_id, CAST(conv_id AS VARCHAR) AS s, 0 AS i, CAST(4294967295 AS BIGINT) AS c FROM ids UNION ALL
+    SELECT conv_id, s, i + 1, list_reduce([xor(c, ascii(s[i + 1])), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)
+    FROM crc WHERE i < length(s)
+), h AS (SELECT conv_id, xor(c, 4294967295) % 4 AS h FROM crc WHERE i = length(s)),
+t AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, '')) - 1 AS i, coalesce(role, '') AS role, coalesce(text, '') AS text
+    FROM conversations WHERE conv_id IS NOT NULL
+), r AS (
+    SELECT h.conv_id, i, role, text FROM h JOIN t ON t.conv_id = h.conv_id - h.conv_id % 20 AND i < h
+    UNION ALL SELECT h.conv_id, i, role, text FROM h JOIN t ON t.conv_id = h.conv_id AND i >= h
+), d AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS depth FROM r),
+m AS (
+    SELECT conv_id, depth, list([role, text]) OVER (PARTITION BY conv_id ORDER BY depth) AS path, text FROM d
+    UNION ALL SELECT conv_id, 0, CAST([] AS VARCHAR[][]), '' FROM ids
+), nodes AS (SELECT path, any_value(depth) AS depth, min(conv_id) AS id, count(*) AS n, any_value(text) AS text FROM m GROUP BY path),
+spot AS (SELECT conv_id, m.depth, id FROM m JOIN nodes USING (path)),
+up AS (SELECT nodes.id, nodes.depth, nodes.n, nodes.text, spot.id AS parent FROM nodes LEFT JOIN spot ON spot.conv_id = nodes.id AND spot.depth = nodes.depth - 1),
+kids AS (SELECT parent AS id, depth - 1 AS depth, count(*) AS k FROM up WHERE depth > 0 GROUP BY ALL),
+own AS (SELECT up.*, coalesce(k, 0) AS k, (n - 1) * len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS saved FROM up LEFT JOIN kids USING (id, depth)),
+total AS (
+    SELECT spot.id, spot.depth, sum(CASE WHEN k = 0 THEN 1 ELSE 0 END) AS leaves, sum(saved) AS saved
+    FROM own JOIN spot ON spot.conv_id = own.id AND spot.depth <= own.depth GROUP BY ALL
+), ends AS (
+    SELECT spot.id, spot.depth, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS sha
+    FROM spot JOIN (SELECT conv_id, max(depth) AS depth FROM m GROUP BY conv_id) e USING (conv_id, depth) GROUP BY ALL
+)
+SELECT own.id AS conv_id, own.depth, parent AS parent_conv_id, n AS n_convs, k AS n_children, CAST(total.leaves AS BIGINT) AS n_leaves,
+       CAST(total.saved AS BIGINT) AS saved_tokens, coalesce(sha, sha256('')) AS ends_sha256
+FROM own JOIN total USING (id, depth) LEFT JOIN ends USING (id, depth)
+"""
+
+
+@query("op13_trie", TRIE_SQL)
+def _trie(spark, sf):
+    return trie.prefix_trie(table(spark, sf, "conversations"))

@@ -4,6 +4,7 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -53,6 +54,28 @@ def slices(sizes, limit: int):
         yield start, len(sizes)
 
 
+def planes(values) -> bytes:
+    """An integer array byte plane by byte plane, each compressed for itself, as leading bytes are mostly zeros and last
+    ones are noise: the number of values, the sizes of the planes, the planes."""
+    import pyarrow as pa
+
+    codec = pa.Codec("zstd")
+    planes = [codec.compress(x.tobytes(), asbytes=True) for x in values.view(np.uint8).reshape(len(values), values.itemsize).T]
+    return np.array([len(values), *map(len, planes)], np.uint32).tobytes() + b"".join(planes)
+
+
+def unplanes(raw: bytes, dtype) -> np.ndarray:
+    import pyarrow as pa
+
+    codec, size = pa.Codec("zstd"), np.dtype(dtype).itemsize
+    n, *sizes = np.frombuffer(raw, np.uint32, size + 1).tolist()
+    out, at = np.empty((n, size), np.uint8), 4 * (size + 1)
+    for i, k in enumerate(sizes):
+        out[:, i] = np.frombuffer(codec.decompress(raw[at : at + k], n, asbytes=True), np.uint8)
+        at += k
+    return out.view(dtype).ravel()
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """Place of a public tokenizer file; SEQLOOM_TOKENIZERS names another folder."""
     folder = os.environ.get("SEQLOOM_TOKENIZERS")

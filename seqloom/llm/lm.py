@@ -6,7 +6,7 @@ import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seqloom.llm.common import State, partitions, slices
+from seqloom.llm.common import State, partitions, planes, slices, unplanes
 from seqloom.llm.text import mix, words
 
 #: Bytes of text in a block; documents are counted and scored block by block.
@@ -19,28 +19,6 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
-def _planes(values) -> bytes:
-    """An integer array byte plane by byte plane, each compressed for itself, as leading bytes are mostly zeros and last
-    ones are noise: the number of values, the sizes of the planes, the planes."""
-    import pyarrow as pa
-
-    codec = pa.Codec("zstd")
-    planes = [codec.compress(x.tobytes(), asbytes=True) for x in values.view(np.uint8).reshape(len(values), values.itemsize).T]
-    return np.array([len(values), *map(len, planes)], np.uint32).tobytes() + b"".join(planes)
-
-
-def _unplanes(raw: bytes, dtype) -> np.ndarray:
-    import pyarrow as pa
-
-    codec, size = pa.Codec("zstd"), np.dtype(dtype).itemsize
-    n, *sizes = np.frombuffer(raw, np.uint32, size + 1).tolist()
-    out, at = np.empty((n, size), np.uint8), 4 * (size + 1)
-    for i, k in enumerate(sizes):
-        out[:, i] = np.frombuffer(codec.decompress(raw[at : at + k], n, asbytes=True), np.uint8)
-        at += k
-    return out.view(dtype).ravel()
-
-
 def ngrams(texts: list, order: int):
     """Tokens of all texts, an end after each: bounds (texts + 1), and for k = 1..order the keys of the k-grams that end
     at each token. A key is a 62-bit hash and k - 1; where a k-gram would reach over the start of the text it is 0."""
@@ -196,8 +174,8 @@ def score(docs: DataFrame, order: int = 3, prior: float = 64.0, held: Column = N
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([r[0] for r in rows], pa.int32()), pa.array([number] * len(rows), pa.int64()),
-                        pa.array([_planes(np.diff(found[a:b], prepend=np.uint64(0))) for _, a, b in rows], pa.binary()),
-                        pa.array([_planes(counts[a:b]) for _, a, b in rows], pa.binary()),
+                        pa.array([planes(np.diff(found[a:b], prepend=np.uint64(0))) for _, a, b in rows], pa.binary()),
+                        pa.array([planes(counts[a:b]) for _, a, b in rows], pa.binary()),
                     ],
                     names=["shard", "block", "keys", "counts"],
                 )
@@ -206,15 +184,15 @@ def score(docs: DataFrame, order: int = 3, prior: float = 64.0, held: Column = N
         import pyarrow as pa
 
         blocks = bundles.column("block").to_pylist()
-        parts = [np.cumsum(_unplanes(x.as_py(), np.uint64), dtype=np.uint64) for x in bundles.column("keys")]
+        parts = [np.cumsum(unplanes(x.as_py(), np.uint64), dtype=np.uint64) for x in bundles.column("keys")]
         keys = np.concatenate(parts)
-        counts = np.concatenate([_unplanes(x.as_py(), np.uint32) for x in bundles.column("counts")])
+        counts = np.concatenate([unplanes(x.as_py(), np.uint32) for x in bundles.column("counts")])
         distinct, inverse = np.unique(keys, return_inverse=True)
         totals = np.bincount(inverse, weights=counts, minlength=len(distinct)).astype(np.uint64)
         single = totals[(distinct & np.uint64(3)) == 0]
         cuts = np.cumsum([0] + [len(p) for p in parts]).tolist()
         shard = bundles.column("shard")[0].as_py()
-        answer = [_planes(totals[inverse[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])]
+        answer = [planes(totals[inverse[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])]
         n = len(blocks)
         # The last row holds the shard's tokens and distinct words.
         return pa.Table.from_arrays(
@@ -239,7 +217,7 @@ def score(docs: DataFrame, order: int = 3, prior: float = 64.0, held: Column = N
         bounds, keys = ngrams(texts, order)
         found, _ = _distinct(bounds, keys, ~out)
         by_shard = sorted(zip(totals.column("shard").to_pylist(), totals.column("totals").to_pylist()))
-        counts = np.concatenate([_unplanes(t, np.uint64) for _, t in by_shard])
+        counts = np.concatenate([unplanes(t, np.uint64) for _, t in by_shard])
         automaton = BackoffAutomaton(found, counts, total, distinct, order, prior)
         known, base, model = automaton.traverse(bounds, keys)
         return pa.Table.from_arrays(

@@ -31,10 +31,10 @@ def _power(kind: str, n: int):
     return have[:n]
 
 
-def _hash_words(raw: bytes):
-    """Hashes and start offsets of the words of one buffer."""
+def _hash_words(raw: bytes, gaps=_GAP):
+    """Hashes, start and end offsets of the words of one buffer; gaps marks the bytes that part words."""
     data = np.frombuffer(raw, dtype=np.uint8)
-    gap = _GAP[data]
+    gap = gaps[data]
     inside = np.concatenate(([True], gap, [True]))
     starts = np.flatnonzero(inside[:-1] & ~inside[1:])
     ends = np.flatnonzero(~inside[:-1] & inside[1:])
