@@ -21,6 +21,8 @@ HEADS = 4
 #: number of equal bits: the mean at similarity 0.75 is 3584 with a deviation of 21, so a linked pair falls below with
 #: probability 1e-7, while most pairs of similarity under 0.69 are dropped unread.
 WIDE, WIDE_ALIKE = 4096, 3474
+#: Members of a block that is compared by wide sketches, and by full sets.
+WIDE_BLOCK, EXACT_BLOCK = 1024, 256
 
 _SEEDS = np.random.default_rng(7).integers(0, 1 << 63, 1 << 14, dtype=np.uint64)
 
@@ -139,6 +141,109 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
 
 
+def forest(p, q) -> np.ndarray:
+    """Indices of edges (p[i], q[i]) that join all the labels which the edges join, and no more than needed."""
+    labels, ends = np.unique(np.concatenate((p, q)), return_inverse=True)
+    p, q = ends[: len(p)], ends[len(p) :]
+    label, left, chosen = np.arange(len(labels)), np.arange(len(p)), []
+    while True:
+        a, b = label[p[left]], label[q[left]]
+        apart = a != b
+        left, a, b = left[apart], a[apart], b[apart]
+        if not len(left):
+            return np.concatenate(chosen) if chosen else np.empty(0, np.int64)
+        high, first = np.unique(np.maximum(a, b), return_index=True)
+        chosen.append(left[first])
+        up = np.arange(len(labels))
+        up[high] = np.minimum(a, b)[first]
+        while True:
+            over = up[up]
+            if (over == up).all():
+                break
+            up = over
+        label = up[label]
+
+
+def _near(percent: int):
+    """Marks of pairs of a block whose sizes fit and whose wide sketches are alike."""
+
+    def find(left, right):
+        signs = [np.unpackbits(t.column("wide").combine_chunks().flatten().to_numpy().view(np.uint8).reshape(t.num_rows, -1), axis=1).astype(np.float32) * 2 - 1 for t in (left, right)]
+        n, m = (t.column("n_shingles").to_numpy() for t in (left, right))
+        fit = 100 * np.minimum(n[:, None], m[None, :]) >= percent * np.maximum(n[:, None], m[None, :])
+        return fit & (signs[0] @ signs[1].T >= 2 * WIDE_ALIKE - WIDE)
+
+    return find
+
+
+def _linked(words: int, percent: int):
+    """Marks of pairs of a block whose full sets are similar enough: sizes of intersections as a product of 0-1 rows."""
+
+    def find(left, right):
+        sets = shingle_sets(left.column("text").to_pylist() + right.column("text").to_pylist(), words)
+        sizes = np.array([len(x) for x in sets])
+        n, rows = left.num_rows, np.repeat(np.arange(len(sets)), sizes)
+        _, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        # What stands in one set only is in no intersection.
+        twice = seen[column] > 1
+        rows, column = rows[twice], np.unique(column[twice], return_inverse=True)[1]
+        order = np.argsort(column, kind="stable")
+        rows, column = rows[order], column[order]
+        common = np.zeros((n, len(sets) - n), dtype=np.float32)
+        for start in range(0, int(column[-1]) + 1 if len(column) else 0, 8192):
+            a, b = np.searchsorted(column, [start, start + 8192])
+            held = np.zeros((len(sets), 8192), dtype=np.float32)
+            held[rows[a:b], column[a:b] - start] = 1
+            common += held[:n] @ held[n:].T
+        common = common.astype(np.int64)
+        return 100 * common >= percent * (sizes[:n, None] + sizes[None, n:] - common)
+
+    return find
+
+
+def _blockwise(members: DataFrame, group: str, find, size: int, payload: str) -> DataFrame:
+    """(a, root, b, other): members a of a group that `find` marks with a member of another root, with b null; and of
+    these pairs as many as join the roots of a block.
+
+    The members of a group are cut into blocks of about `size` and every two blocks meet in a task of their own, but
+    for blocks of the group's largest root alone, which has nothing to find in itself.
+    """
+    name = payload.split()[0]
+    per_root = members.groupBy(group, "root").agg(F.count(F.lit(1)).alias("n"))
+    stats = per_root.groupBy(group).agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"))
+    blocks = lambda n: F.ceil(n / size).cast("int")
+    stats = stats.select(group, F.col("top.root").alias("most"), blocks(F.col("all") - F.col("top.n")).alias("strays"), blocks(F.col("top.n")).alias("bulk"))
+    rows = members.join(stats, group).withColumn("big", F.col("root") == F.col("most"))
+    spot = lambda n: F.pmod(F.xxhash64("node"), F.greatest(n, F.lit(1))).cast("int")
+    rows = rows.withColumn("own", F.when(F.col("big"), F.col("strays") + spot(F.col("bulk"))).otherwise(spot(F.col("strays"))))
+    others = F.when(F.col("big"), F.sequence(F.lit(0), F.col("strays") - 1)).otherwise(F.sequence(F.lit(0), F.col("strays") + F.col("bulk") - 1))
+    rows = rows.where("strays > 0").withColumn("meets", F.explode(others))
+    rows = rows.select(F.col(group).alias("grp"), F.least("own", "meets").alias("i"), F.greatest("own", "meets").alias("j"), "own", "node", "root", "n_shingles", name)
+
+    def run(table):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        left, right = table.filter(pc.equal(table.column("own"), i)), table.filter(pc.equal(table.column("own"), j))
+        names = ["a", "root", "b", "other"]
+        if not left.num_rows or not right.num_rows:
+            return pa.Table.from_arrays([pa.array([], pa.int64())] * 4, names=names)
+        (a, ra), (b, rb) = (((t.column("node").to_numpy(), t.column("root").to_numpy())) for t in (left, right))
+        x, y = np.nonzero(find(left, right) & (ra[:, None] != rb[None, :]))
+        keep = forest(ra[x], rb[y])
+        ends = [(a[k], ra[k]) for k in np.unique(x)] + [(b[k], rb[k]) for k in np.unique(y)]
+        ends = sorted(set((int(n), int(r)) for n, r in ends))
+        x, y = x[keep], y[keep]
+        blank = [None] * len(ends)
+        return pa.Table.from_arrays(
+            [pa.array([n for n, _ in ends] + a[x].tolist(), pa.int64()), pa.array([r for _, r in ends] + ra[x].tolist(), pa.int64()), pa.array(blank + b[y].tolist(), pa.int64()), pa.array(blank + rb[y].tolist(), pa.int64())],
+            names=names,
+        )
+
+    return rows.groupBy("grp", "i", "j").applyInArrow(run, "a long, root long, b long, other long")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, bands: int = BANDS, rows: int = ROWS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, group): components of documents that are near copies of each other.
 
@@ -150,8 +255,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, bands: i
     each. Equal sets are one node (known by a 64-bit hash). Other columns are not read; an empty table gives no rows.
 
     The member of a bucket that meets most others is its head; each document is compared with the first HEADS of its
-    heads. Then, in buckets whose members are not yet in one component, those of different components are compared. A pair is dropped unread only if its sketches differ
-    far more than those of a linked pair can; every other is verified on full sets.
+    heads. Then, in buckets whose members are not yet in one component, those of different components are compared block
+    by block, by matrix products over their wide sketches. Components that are near each other form clouds, and the
+    members of a cloud that are near another component are compared on their full sets, block by block too. A block
+    hands on no pairs but those that join its components, so rows follow the members, not their pairs. A pair is dropped
+    unread only if its sketches differ far more than those of a linked pair can; every other is verified on full sets.
     """
     if percent < PERCENT:
         raise ValueError(f"the bands and sketches find links of {PERCENT} percent and more, not of {percent}")
@@ -174,16 +282,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, bands: i
     same = source.join(shared.withColumnRenamed("doc_id", "id").withColumnRenamed("check", "hash"), (F.col("doc_id").eqNullSafe(F.col("id"))) & (F.col("check") == F.col("hash")))
     texts = State(same.dropDuplicates(["node"]).select("node", "bits", "text"), "texts")
 
-    def sizes_fit(x, y):
-        return (100 * F.least(x, y)) >= (percent * F.greatest(x, y))
-
     def alike(x, y):
         return sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(BITS // 64)), F.lit(0)) <= BITS - ALIKE
 
-    def widely_alike(x, y):
-        # A fold and not a sum of terms: the code of so many terms is too long for the JVM to compile.
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.bitwiseXOR(q)), F.lit(0), lambda n, z: n + F.bit_count(z)) <= WIDE - WIDE_ALIKE
-
     bits = texts.df.select("node", "bits")
     # A node's first few heads (it has one in each band at most); what they leave apart is compared below.
     own = members.df.join(heads, "bucket").where("head.node <> node").groupBy("node").agg(F.slice(F.sort_array(F.collect_set("head"), False), 1, HEADS).alias("heads"))
@@ -195,20 +296,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, bands: i
     # Buckets with members of several components: pairs across components.
     settled = members.df.join(roots, "node", "left").select("bucket", "node", "n_shingles", F.coalesce("root", "node").alias("root"))
     mixed = settled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-    open_rows = State(settled.join(mixed, "bucket").join(bits, "node"), "open")
+    open_rows = State(settled.join(mixed, "bucket"), "open")
     wide = State(_wide(texts.df.join(open_rows.df.select("node").distinct(), "node"), words), "wide")
     open_ = open_rows.df.join(wide.df, F.col("node") == F.col("wide_node")).drop("wide_node")
-    x, y = open_.alias("x"), open_.alias("y")
-    apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & sizes_fit(F.col("x.n_shingles"), F.col("y.n_shingles"))
-    near = alike(F.col("x.bits"), F.col("y.bits")) & widely_alike(F.col("x.wide"), F.col("y.wide"))
-    across = (
-        x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & apart & near)
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(links.df, ["a", "b"], "left_anti")
-    )
-    more = State(_verified(across, texts.df, words, percent), "links")
+    # Candidates by their wide sketches: which components are near each other, and by which members.
+    near = State(_blockwise(open_, "bucket", _near(percent), WIDE_BLOCK, "wide array<long>"), "near")
+    clouds = connected_components(near.df.where("b is not null").select(F.col("root").alias("a"), F.col("other").alias("b")))
+    # All members of a cloud that are near something outside their component meet on their full sets, each pair once.
+    meant = near.df.select(F.col("a").alias("node"), "root").distinct().join(clouds.select(F.col("root").alias("cloud"), F.col("node").alias("root")), "root")
+    meant = State(meant.join(texts.df.select("node", "text"), "node").withColumn("n_shingles", F.lit(0).cast("long")), "clouds")
+    more = State(_blockwise(meant.df, "cloud", _linked(words, percent), EXACT_BLOCK, "text string").where("b is not null").select("a", "b"), "links")
     if more.df.limit(1).count():
         roots = connected_components(links.df.union(more.df))
-    for state in (members, texts, links, open_rows, wide, more):
+    for state in (members, texts, links, open_rows, wide, near, meant, more):
         state.drop()
 
     grouped = all_docs.join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))

@@ -119,6 +119,8 @@ def test_elias_fano():
         back, end = elias_fano.EliasFano.from_bytes(b"xx" + made.to_bytes(), 2)
         assert end == 2 + len(made.to_bytes()) and back.values().tolist() == v.tolist()
         assert [back.select(i) for i in range(0, n, 7)] == v[::7].tolist()
+        for i, j in ((0, n), (n // 3, n // 2), (n, n), (n // 2, min(n, n // 2 + 1))):
+            assert back.select_range(i, j).tolist() == v[i:j].tolist()
     assert len(elias_fano.EliasFano.encode(np.arange(0, 10**7, 1000, dtype=np.uint64)).to_bytes()) < 10_000 * 1.6
     with pytest.raises(ValueError):
         elias_fano.EliasFano.encode([2, 1])
@@ -384,3 +386,46 @@ def test_a_long_text_does_not_end_the_training_sample(spark):
 def test_near_copies_of_less_than_the_sketches_find_are_refused(none):
     with pytest.raises(ValueError, match="75"):
         minhash.near_duplicates(none, percent=60)
+
+
+def test_rows_handed_on_follow_a_cloud_not_its_pairs(spark, monkeypatch):
+    """Copies of a text that is not in the table, each just under the limit of most others."""
+    made = {}
+
+    class Counted(common.State):
+        def __init__(self, df, name):
+            super().__init__(df, name)
+            made[name] = max(made.get(name, 0), self.df.count())
+
+    monkeypatch.setattr(minhash, "State", Counted)
+    counts = {}
+    for n in (100, 400):
+        rng = np.random.default_rng(n)
+        data = []
+        for k in range(n):
+            words = [f"b{i}" for i in range(400)]
+            for i in rng.choice(400, 7, replace=False):
+                words[i] = f"x{k}y{i}"
+            data.append((k, " ".join(words)))
+        made.clear()
+        got = minhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"))
+        same(got.select("doc_id", "n_shingles", "component_id", "kept").collect(), brute_components(data))
+        counts[n] = sum(made[x] for x in ("near", "clouds", "links"))
+    assert counts[400] < 6 * counts[100] + 1000
+
+
+def test_forest_joins_what_the_edges_join():
+    rng = np.random.default_rng(8)
+    for n in (1, 5, 60):
+        p, q = rng.integers(0, n, 40), rng.integers(0, n, 40)
+        kept = minhash.forest(p, q)
+
+        def groups(pairs):
+            label = {x: x for x in range(n)}
+            for a, b in pairs:
+                old, new = label[a], label[b]
+                label = {x: new if y == old else y for x, y in label.items()}
+            return len(set(label.values())), {frozenset(x for x in label if label[x] == y) for y in label.values()}
+
+        count, parts = groups(zip(p.tolist(), q.tolist()))
+        assert groups(zip(p[kept].tolist(), q[kept].tolist()))[1] == parts and len(kept) == n - count
