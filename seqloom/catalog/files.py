@@ -134,10 +134,10 @@ def file_stream(spark, sf, name, files=1):
     return (reader if files is None else reader.option("maxFilesPerTrigger", files)).parquet(f"{sf}/{name}.parque[t]")
 
 
-@query("incremental_scoring", V.with_views(V.SEQS, body=f"""SELECT doc_id, round(1 / (1 + exp(-({charge_sql(7.4)}))), 6) AS charge_score FROM v_seq WHERE length(sequence) > 0"""))
+@query("incremental_scoring", V.with_views(V.SEQS, body=f"""SELECT doc_id, round(1 / (1 + exp(-({charge_sql(7.4)}))), 6) AS charge_score FROM v_seq"""))
 def incremental_scoring(spark, sf):
     path = scratch_path(spark, "scores")
-    s = file_stream(spark, sf, "documents").select("doc_id", V.residues_of(F.col("text")).alias("sequence")).where(F.length("sequence") > 0)
+    s = file_stream(spark, sf, "documents").select("doc_id", V.residues_of(F.col("text")).alias("sequence"))
     N.incremental_scoring(s, "charge", f"{path}/table", f"{path}/checkpoint", "doc_id").awaitTermination()
     return spark.read.parquet(f"{path}/table").select("doc_id", F.round("charge_score", 6).alias("charge_score"))
 
@@ -148,7 +148,7 @@ def _windows(spark, sf, mode="update", **options):
     N.run_to_table(N.windowed_metrics(e, "ts", "value", **options), f"{path}/table", f"{path}/checkpoint", mode).awaitTermination()
     wall = lambda c: F.unix_micros(F.from_utc_timestamp(c, F.current_timezone())).alias(c)
     keys = ["start", "end", *options.get("by", [])]
-    out = N.latest(spark, f"{path}/table", keys)
+    out = N.final(spark, f"{path}/table") if mode == "complete" else N.latest(spark, f"{path}/table", keys)
     return out.select(wall("start"), wall("end"), *options.get("by", []), "n", F.round("mean", 6).alias("mean"))
 
 
@@ -169,11 +169,10 @@ def sliding(spark, sf):
 
 @query("stream_session_windows", f"""WITH l AS (SELECT user_id, value, epoch_us(ts) AS t, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events),
 s AS (SELECT *, sum(CASE WHEN p IS NULL OR t - p >= {2 * HOUR} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t) AS k FROM l)
-SELECT min(t) AS start, max(t) + {2 * HOUR} AS "end", user_id, count(*) AS n, round(avg(value), 6) AS mean FROM s GROUP BY user_id, k
-HAVING max(t) + {2 * HOUR} <= (SELECT epoch_us(max(ts)) // 1000 * 1000 - {HOUR // 6} FROM events)""")
+SELECT min(t) AS start, max(t) + {2 * HOUR} AS "end", user_id, count(*) AS n, round(avg(value), 6) AS mean FROM s GROUP BY user_id, k""")
 def sessions(spark, sf):
-    """The sessions that have closed: ten minutes after their end something newer was seen."""
-    return _windows(spark, sf, "append", by=["user_id"], gap="2 hours")
+    """All sessions of the stored table, those still open at its end too."""
+    return _windows(spark, sf, "complete", by=["user_id"], gap="2 hours")
 
 
 @query("stream_quality_counters", f"""SELECT source, CASE WHEN n_chars < 500 THEN 'too short' WHEN lang <> 'en' THEN 'wrong type' ELSE 'ok' END AS reason, count(*) AS n FROM documents GROUP BY ALL""")

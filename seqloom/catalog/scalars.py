@@ -259,10 +259,9 @@ SELECT event_id, CASE WHEN b <= 128 THEN
   (SELECT string_agg(CASE WHEN p.pos = m.b::VARCHAR THEN 'W' WHEN p.pos = '111A' THEN 'Y' WHEN p.pos = m.a::VARCHAR THEN 'E'
     WHEN p.pos = '1' THEN 'Q' ELSE '-' END, '' ORDER BY p.i)
    FROM (SELECT unnest([{','.join(repr(p) for p in K.HEAVY_POSITIONS)}]) AS pos, unnest(range(152)) AS i) p) END AS placed
-FROM m WHERE a <> 1 OR k % 26 <> 0""")
+FROM m""")
 def place(spark, sf):
-    k = F.get_json_object("props", "$.k").cast("int")
-    e = V.table(spark, sf, "events").where(k % 26 != 0)
+    e = V.table(spark, sf, "events")
     return e.select("event_id", S.place_by_position(_numbering(), K.HEAVY_POSITIONS).alias("placed"))
 
 
@@ -278,12 +277,12 @@ def region(spark, sf):
     )
 
 
-@query("segment", V.with_views(V.ALIGNED, body="""SELECT name, substr(s, 1, 10) || '|' || substr(s, 11, n - 20) || '|' || substr(s, n - 9, 10) AS pieces,
-  n - 20 <= 12 AS fits, true AS whole FROM (SELECT name, replace(aligned, '-', '') AS s, length(replace(aligned, '-', '')) AS n FROM v_aln) WHERE n >= 20"""))
+@query("segment", V.with_views(V.ALIGNED, body="""SELECT name, substr(s, 1, 10) || '|' || substr(s, 11, greatest(n - 20, 0)) || '|' || substr(s, 11 + greatest(n - 20, 0), 10) AS pieces,
+  n - 20 <= 12 AS fits, true AS whole FROM (SELECT name, replace(aligned, '-', '') AS s, length(replace(aligned, '-', '')) AS n FROM v_aln)"""))
 def segment(spark, sf):
     s = F.replace(F.col("aligned"), F.lit("-"), F.lit(""))
-    a = V.aligned(spark, sf).select("name", s.alias("s")).where(F.length("s") >= 20)
-    lengths = F.array(F.lit(10), F.length("s") - 20, F.lit(10))
+    a = V.aligned(spark, sf).select("name", s.alias("s"))
+    lengths = F.array(F.lit(10), F.greatest(F.length("s") - 20, F.lit(0)), F.lit(10))
     pieces = S.segment(F.col("s"), lengths)
     return a.select(
         "name", F.array_join(pieces, "|").alias("pieces"), S.fits(lengths, [26, 12, 17]).alias("fits"),

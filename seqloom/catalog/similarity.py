@@ -13,13 +13,46 @@ MATRIX = S.matrix_from_scale(K.KYTE_DOOLITTLE)
 SYM = K.RESIDUES + K.GAP
 
 
-@query("cluster_by_identity")
+#: Longest common subsequence as a fold over the rows of the table.
+LCS = """list_reduce(list_prepend(list_resize([0], length({y}) + 1, 0), list_transform(string_split({x}, ''), lambda c: [ord(c)])),
+  lambda row, c: list_reduce(list_prepend([0], list_transform(range(1, length({y}) + 1), lambda j: [CASE WHEN ord({y}[j]) = c[1] THEN row[j] + 1 ELSE row[j + 1] END])),
+    lambda cur, v: list_append(cur, greatest(v[1], cur[-1]))))[-1]"""
+BAG = "[" + ", ".join(f"length(s) - length(replace(s, '{c}', ''))" for c in K.RESIDUES) + "]"
+SHARED_LETTERS = "list_sum(list_transform(list_zip(x.bag, y.bag), lambda p: least(p[1], p[2])))"
+
+
+def greedy_sql(nodes: str, t: float) -> str:
+    """v_n (scope, s, id) in greedy order, v_e (a, b, identity) of similar ones and v_reps (id): one after the other, each
+    joins the first representative it is similar to."""
+    return f"""v_n AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY length(s) DESC, sha1(s), scope) AS id FROM (SELECT DISTINCT scope, s, {BAG} AS bag FROM ({nodes}))),
+v_c AS MATERIALIZED (SELECT x.id AS a, y.id AS b, x.s AS x, y.s AS y FROM v_n x JOIN v_n y ON x.scope = y.scope AND x.id < y.id AND {SHARED_LETTERS} >= {t}::DOUBLE * length(y.s) - 1e-9),
+v_e AS MATERIALIZED (SELECT a, b, l / length(y) AS identity FROM (SELECT *, {LCS.format(x="x", y="y")} AS l FROM v_c) WHERE l >= {t}::DOUBLE * length(y) - 1e-9),
+v_g(i, reps) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT g.i + 1, CASE WHEN count(e.a) = 0 THEN list_append(any_value(g.reps), g.i + 1) ELSE any_value(g.reps) END
+  FROM v_g g LEFT JOIN v_e e ON e.b = g.i + 1 AND list_contains(g.reps, e.a) WHERE g.i < (SELECT count(*) FROM v_n) GROUP BY g.i),
+v_reps AS (SELECT unnest(reps) AS id FROM (SELECT reps FROM v_g ORDER BY i DESC LIMIT 1))"""
+
+
+def against_sql(train: str, test: str, t: float) -> str:
+    """v_bad (s): training sequences that are similar to a test sequence."""
+    return f"""v_tr AS MATERIALIZED (SELECT DISTINCT s, {BAG} AS bag FROM ({train})), v_te AS MATERIALIZED (SELECT DISTINCT s, {BAG} AS bag FROM ({test})),
+v_tc AS MATERIALIZED (SELECT x.s AS x, y.s AS y FROM v_tr x JOIN v_te y ON {SHARED_LETTERS} >= {t}::DOUBLE * least(length(x.s), length(y.s)) - 1e-9),
+v_bad AS MATERIALIZED (SELECT DISTINCT x AS s FROM (SELECT *, {LCS.format(x="x", y="y")} AS l FROM v_tc) WHERE x = y OR l >= {t}::DOUBLE * least(length(x), length(y)) - 1e-9)"""
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("cluster_by_identity", recursive(V.with_views(V.PEPTIDES, greedy_sql("SELECT '' AS scope, sequence AS s FROM v_pep", 0.8), body="""
+, v_first AS (SELECT b AS id, min(a) AS rep FROM v_e WHERE a IN (SELECT id FROM v_reps) AND b NOT IN (SELECT id FROM v_reps) GROUP BY b UNION ALL SELECT id, id FROM v_reps)
+SELECT n.s AS sequence, sha1(r.s) AS cluster_id, r.s AS rep, round(coalesce(identity, 1), 6) AS identity, n.id = r.id AS is_rep
+FROM v_first f JOIN v_n n ON n.id = f.id JOIN v_n r ON r.id = f.rep LEFT JOIN v_e e ON e.a = f.rep AND e.b = f.id""")))
 def cluster_by_identity(spark, sf):
     c = S.cluster_by_identity(V.peptides(spark, sf), 0.8)
     return c.select("sequence", "cluster_id", "rep", F.round("identity", 6).alias("identity"), "is_rep")
 
 
-@query("representatives")
+@query("representatives", recursive(V.with_views(V.PEPTIDES, greedy_sql("SELECT '' AS scope, sequence AS s FROM v_pep", 0.9), body="SELECT s AS sequence FROM v_n JOIN v_reps USING (id)")))
 def representatives(spark, sf):
     return S.representatives(V.peptides(spark, sf), 0.9)
 
@@ -28,7 +61,10 @@ def benchmark(spark, sf):
     return V.table(spark, sf, "benchmark").select("item_id", V.residues_of(F.col("text")).alias("sequence"))
 
 
-@query("filter_against")
+TRAIN, TEST = "SELECT sequence AS s FROM v_pep WHERE p_type <> 'PROMO'", "SELECT sequence AS s FROM v_pep WHERE p_type = 'PROMO'"
+
+
+@query("filter_against", V.with_views(V.PEPTIDES, against_sql(TRAIN, TEST, 0.8), body="SELECT p_partkey, sequence FROM v_pep WHERE p_type <> 'PROMO' AND sequence NOT IN (SELECT s FROM v_bad)"))
 def filter_against(spark, sf):
     p = V.peptides(spark, sf)
     return S.filter_against(p.where("p_type <> 'PROMO'").select("p_partkey", "sequence"), p.where("p_type = 'PROMO'"), 0.8)
@@ -56,7 +92,10 @@ def leakage_counts(spark, sf):
     )
 
 
-@query("filter_training")
+@query("filter_training", recursive(V.with_views(
+    V.PEPTIDES, greedy_sql("SELECT p_type AS scope, sequence AS s FROM v_pep WHERE p_type <> 'PROMO'", 0.9), against_sql(TRAIN, TEST, 0.8), body="""
+SELECT scope AS p_type, count(*) AS before, count(*) FILTER (WHERE id IN (SELECT id FROM v_reps)) AS after_internal,
+  count(*) FILTER (WHERE id IN (SELECT id FROM v_reps) AND s NOT IN (SELECT s FROM v_bad)) AS after_train_vs_test FROM v_n GROUP BY scope""")))
 def filter_training(spark, sf):
     p = V.peptides(spark, sf)
     return S.filter_training(p.where("p_type <> 'PROMO'"), p.where("p_type = 'PROMO'"), 0.9, 0.8, by="p_type")[1]
@@ -114,12 +153,23 @@ LABELS = f"v_l40 AS (SELECT c_custkey AS k, rpad({V.residues_sql('c_name || c_mk
 CROSS = """v_x AS (SELECT k, n_nationkey, a[p] AS x, r[p] AS y FROM v_l40, v_ref, (SELECT unnest(range(1, 41)) AS p))"""
 
 
-@query("identity_matrix", V.with_views(LABELS, REFS, CROSS, body="""SELECT k, n_nationkey, round(100.0 * count(*) FILTER (WHERE x = y AND x <> '-') / nullif(count(*) FILTER (WHERE NOT (x = '-' AND y = '-')), 0), 6) AS identity
+@query("identity_to_references", V.with_views(LABELS, REFS, CROSS, body="""SELECT k, n_nationkey, round(100.0 * count(*) FILTER (WHERE x = y AND x <> '-') / nullif(count(*) FILTER (WHERE NOT (x = '-' AND y = '-')), 0), 6) AS identity
   FROM v_x GROUP BY ALL"""))
-def identity_matrix(spark, sf):
+def identity_to_references(spark, sf):
     return rounded(S.pairwise(labels40(spark, sf), references(spark, sf), S.aligned_identity, "k", "n_nationkey", name="identity"))
 
 
+SUPPLIERS = f"v_sup AS (SELECT s_suppkey, rpad(residues, 40, '-') AS a FROM (SELECT s_suppkey, {V.residues_sql('s_name || s_suppkey')} || translate(CAST(s_suppkey AS VARCHAR), '0123456789', 'ACDEFGHIKL') AS residues FROM supplier))"
+
+
+@query("identity_matrix", V.with_views(SUPPLIERS, body="""SELECT s_suppkey, s_suppkey_b, round(100.0 * count(*) FILTER (WHERE x = y AND x <> '-') / nullif(count(*) FILTER (WHERE NOT (x = '-' AND y = '-')), 0), 6) AS identity
+  FROM (SELECT l.s_suppkey, r.s_suppkey AS s_suppkey_b, l.a[p] AS x, r.a[p] AS y FROM v_sup l JOIN v_sup r ON l.s_suppkey <= r.s_suppkey, (SELECT unnest(range(1, 41)) AS p)) GROUP BY ALL"""))
+def identity_matrix(spark, sf):
+    digits = F.translate(F.col("s_suppkey").cast("string"), "0123456789", "ACDEFGHIKL")
+    rows = V.table(spark, sf, "supplier").select("s_suppkey", F.rpad(F.concat(V.residues_of(F.concat("s_name", "s_suppkey")), digits), 40, "-").alias("aligned"))
+    return rounded(S.identity_matrix(rows, "s_suppkey"))
+
+
 @query("pairwise", V.with_views(LABELS, REFS, body="SELECT k, n_nationkey, levenshtein(replace(a, '-', ''), replace(r, '-', '')) AS edits FROM v_l40, v_ref"))
 def pairwise(spark, sf):
     bare = lambda c: F.replace(c, F.lit("-"), F.lit(""))
@@ -129,12 +179,12 @@ def pairwise(spark, sf):
 SEGS = ", ".join(f"({i}, substr(t, {8 * i + 1}, 8))" for i in range(5))
 
 
-@query("similar_pairs", V.with_views(V.ALIGNED, f"""tx AS (SELECT aligned AS t, count(*) AS n FROM v_aln WHERE NOT contains(aligned, '-') GROUP BY 1),
+@query("similar_pairs", V.with_views(V.ALIGNED, f"""tx AS (SELECT aligned AS t, count(*) AS n FROM v_aln GROUP BY 1),
 sg AS (SELECT t, n, i, substr(t, 8 * i + 1, 8) AS s FROM tx, (SELECT unnest(range(5)) AS i)),
 pr AS (SELECT DISTINCT l.t AS a, r.t AS b, l.n AS n_a, r.n AS n_b FROM sg l JOIN sg r ON l.i = r.i AND l.s = r.s AND l.t < r.t)""",
     body="SELECT a, b, n_a, n_b, hamming(a, b) AS mutations FROM pr WHERE hamming(a, b) <= 4"))
 def similar_pairs(spark, sf):
-    return S.similar_pairs(V.aligned(spark, sf).where(~F.contains("aligned", F.lit("-"))), 4)
+    return S.similar_pairs(V.aligned(spark, sf), 4)
 
 
 @query("n_mutations", V.with_views(V.ALIGNED, NEXT, body="SELECT name, count(*) FILTER (WHERE x <> y) AS mutations FROM v_np GROUP BY name"))

@@ -90,9 +90,9 @@ def run_grid(spark, sf):
 
 
 @query("score_batch", V.with_views(V.SEQS, body=f"""SELECT doc_id, round(1 / (1 + exp(-({charge_sql(7.4)}))), 6) AS charge_score,
-  round(length(regexp_replace(sequence, '[^{K.HYDROPHOBIC}]', '', 'g')) / length(sequence), 6) AS hydrophobic_score FROM v_seq WHERE length(sequence) > 0"""))
+  round(length(regexp_replace(sequence, '[^{K.HYDROPHOBIC}]', '', 'g')) / nullif(length(sequence), 0), 6) AS hydrophobic_score FROM v_seq"""))
 def score_batch(spark, sf):
-    s = V.seqs(spark, sf).where(F.length("sequence") > 0)
+    s = V.seqs(spark, sf)
     return rounded(C.score_batch(s, "net-charge, hydro").drop("sequence"))
 
 

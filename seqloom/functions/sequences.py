@@ -121,18 +121,18 @@ def fits(lengths: Column, limits=None) -> Column:
 def place_by_position(numbering: Column, positions) -> Column:
     """Numbering text (region -> position -> residue) as a fixed-width gapped string.
 
-    Null where a position is not one of `positions`, so that the caller decides to drop the row.
+    Null where a position is not one of `positions`, so that the caller decides to drop the row. Of a position that
+    stands twice the last residue counts.
     """
     regions = F.from_json(F.replace(numbering, F.lit("'"), F.lit('"')), "map<string,map<string,string>>")
     entries = F.flatten(F.transform(F.map_values(regions), lambda m: F.map_entries(m)))
-    slots = F.map_from_entries(
-        F.transform(entries, lambda e: F.struct(F.trim(e["key"]).alias("k"), e["value"].alias("v")))
-    )
+    slots = F.transform(entries, lambda e: F.struct(F.trim(e["key"]).alias("k"), e["value"].alias("v")))
     wanted = F.array(*[F.lit(p) for p in positions])
 
     def fill(m):
-        placed = F.array_join(F.transform(wanted, lambda p: F.coalesce(F.try_element_at(m, p), F.lit(K.GAP))), "")
-        return F.when(F.size(F.array_except(F.map_keys(m), wanted)) == 0, placed)
+        last = lambda p: F.try_element_at(F.filter(m, lambda e: e["k"] == p), F.lit(-1))["v"]
+        placed = F.array_join(F.transform(wanted, lambda p: F.coalesce(last(p), F.lit(K.GAP))), "")
+        return F.when(F.size(F.array_except(F.transform(m, lambda e: e["k"]), wanted)) == 0, placed)
 
     return let(slots, fill)
 

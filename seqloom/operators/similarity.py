@@ -1,8 +1,8 @@
 """Similarity joins, greedy clustering, leakage control.
 
 Identity of two sequences is the length of their longest common subsequence over the shorter
-length (clustering, leakage) or the longer one (novelty). Two sequences are compared when they
-share at least one word of k residues; this candidate rule is part of the definition.
+length (clustering, leakage) or the longer one (novelty). All pairs that can reach the limit are
+compared; pairs are ruled out by bounds only (operators/composition.py).
 """
 
 from functools import reduce
@@ -14,71 +14,25 @@ from pyspark.sql.types import IntegerType
 
 from seqloom import constants as K
 from seqloom.functions.sequences import let
-from seqloom.operators import ordered as O
+from seqloom.operators import composition, ordered as O
 from seqloom.operators.fragments import text_windows
 from seqloom.operators.joins import product
-from seqloom.operators.storage import cut_lineage
+from seqloom.operators.storage import State, cut_lineage
 
-SALTS = 16
-FIRST_BATCH = 64
-GROWTH = 2
+#: Sequences that are compared with all others in the first round of the clustering.
+FIRST_BATCH = 1024
 
 
 def word_size(t: float) -> int:
     return 5 if t >= 0.7 else 4 if t >= 0.6 else 3 if t >= 0.5 else 2
 
 
-#: Pairs of one bit-parallel step.
-LANES = 4096
-
-
-def _lcs_lanes(short: list, long: list) -> np.ndarray:
-    """Longest common subsequence of many pairs at once, bit-parallel: one bit per letter of the shorter text, in as many
-    64-bit words as it needs, and one step per letter of the longest other text for all pairs together."""
-    n = len(short)
-    words = max(1, -(-max(map(len, short)) // 64))
-    steps = max(map(len, long))
-    letters = {c: i for i, c in enumerate(sorted(set("".join(short))))}
-    none = len(letters)
-    where = np.zeros((none + 1, n, words), dtype=np.uint64)
-    for k, t in enumerate(short):
-        for i, c in enumerate(t):
-            where[letters[c], k, i >> 6] |= np.uint64(1 << (i & 63))
-    other = np.full((steps, n), none, dtype=np.int64)
-    for k, t in enumerate(long):
-        other[: len(t), k] = [letters.get(c, none) for c in t]
-    row = np.full((n, words), np.iinfo(np.uint64).max, dtype=np.uint64)
-    lanes = np.arange(n)
-    for codes in other:
-        hit = row & where[codes, lanes]
-        carry = np.zeros(n, dtype=np.uint64)
-        rest = row ^ hit  # row - hit without borrows, as hit is part of row
-        for w in range(words):
-            total = row[:, w] + hit[:, w]
-            over = total < row[:, w]
-            total = total + carry
-            carry = (over | (total < carry)).astype(np.uint64)
-            row[:, w] = total | rest[:, w]
-    zeros = np.bitwise_count(~row).sum(axis=1)
-    return zeros.astype(np.int32)
-
-
 @F.pandas_udf(IntegerType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
-    pairs = [(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b)]
-    out = np.zeros(len(pairs), dtype=np.int32)
-    # Pairs of like size go together, so that no lane waits long for another.
-    order = sorted((i for i, p in enumerate(pairs) if p[0]), key=lambda i: (-(-len(pairs[i][0]) // 64), len(pairs[i][1])))
-    at = 0
-    while at < len(order):
-        size = -(-len(pairs[order[at]][0]) // 64)
-        upto = at
-        while upto < len(order) and upto - at < max(1, LANES // size) and -(-len(pairs[order[upto]][0]) // 64) == size:
-            upto += 1
-        some = order[at:upto]
-        out[some] = _lcs_lanes([pairs[i][0] for i in some], [pairs[i][1] for i in some])
-        at = upto
-    return pd.Series(out)
+    short = [x if len(x) <= len(y) else y for x, y in zip(a, b)]
+    long = [y if len(x) <= len(y) else x for x, y in zip(a, b)]
+    at = np.arange(len(short))
+    return pd.Series(composition.Texts(short, long).common(at, at).astype(np.int32))
 
 
 def lcs_native(a: Column, b: Column) -> Column:
@@ -102,100 +56,88 @@ def lcs_native(a: Column, b: Column) -> Column:
     return F.when((F.length(a) > 0) & (F.length(b) > 0), let(F.split(b, ""), fold)).otherwise(0)
 
 
-def residue_counts(s: Column) -> Column:
-    return F.array(*[F.length(s) - F.length(F.replace(s, F.lit(c), F.lit(""))) for c in K.RESIDUES])
-
-
-def residue_overlap(a: Column, b: Column) -> Column:
-    """Upper bound of the common subsequence from two count arrays: shared residues without order."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x)
-
-
 def lcs_identity(a: Column, b: Column) -> Column:
     """Common subsequence over the longer length; 0 if a side is empty."""
     return F.when((F.length(a) > 0) & (F.length(b) > 0), lcs_length(a, b) / F.greatest(F.length(a), F.length(b))).otherwise(0.0)
 
 
-def words(df: DataFrame, key: str, sequence: str, k: int) -> DataFrame:
-    """Distinct (word, key)."""
-    w = text_windows(df, key, sequence, k).where(F.length("window") == k)
-    return w.select(F.col("window").alias("word"), key).distinct()
+def _keyed(df: DataFrame, sequence: str, scope=None) -> DataFrame:
+    """Distinct (scope, sequence, id); id follows the sequence."""
+    rows = df.select((F.lit("") if scope is None else scope).cast("string").alias("scope"), F.col(sequence).alias("sequence"))
+    return rows.where(F.length("sequence") > 0).distinct().withColumn("id", F.sha1("sequence"))
 
 
-def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame, t: float) -> DataFrame:
-    """Pairs (a, b) whose common subsequence reaches t of the shorter length."""
-    j = pairs.join(left.select(F.col("id").alias("a"), F.col("sequence").alias("_sa"), F.col("counts").alias("_ca")), "a")
-    j = j.join(right.select(F.col("id").alias("b"), F.col("sequence").alias("_sb"), F.col("counts").alias("_cb")), "b")
-    need = F.least(F.length("_sa"), F.length("_sb")) * t - 1e-9
-    j = j.where(residue_overlap(F.col("_ca"), F.col("_cb")) >= need)
-    j = j.withColumn("_l", lcs_length("_sa", "_sb"))
-    return j.where(F.col("_l") >= need).select("a", "b", (F.col("_l") / F.least(F.length("_sa"), F.length("_sb"))).alias("identity"))
+def _earlier(t: float):
+    """Per block: the first open and the first accepted sequence before each one with which it reaches t."""
 
+    def run(key, left, right):
+        import pyarrow as pa
 
-def _leaders(posts: DataFrame, n: int) -> DataFrame:
-    """First n ids of every word. Salted first, so that a hot word is cut down before it meets one task."""
-    salt = F.pmod(F.col("id"), F.lit(SALTS))
-    first = Window.partitionBy("word", salt).orderBy("id")
-    then = Window.partitionBy("word").orderBy("id")
-    cut = posts.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= n)
-    return cut.withColumn("_r", F.row_number().over(then)).where(F.col("_r") <= n).select("word", "id")
+        right = right.sort_by("id")
+        ids, limit = left.column("id").to_numpy(), left.column("before").to_numpy()
+        other, kept = right.column("id").to_numpy(), np.array(right.column("kept").to_pylist(), dtype=bool)
+        texts = [x.column("sequence").to_pylist() for x in (left, right)]
+        out = []
+        for mark in (True, False):
+            some = np.flatnonzero(kept == mark)
+            first = composition.first_partner(texts[0], [texts[1][i] for i in some], t, other[some][None, :] < limit[:, None])
+            found = np.where(first >= 0, other[some][np.maximum(first, 0)] if len(some) else -1, -1)
+            out.append(pa.array(found, pa.int64(), mask=found < 0))
+            # Of the open ones only those before the accepted one matter.
+            limit = np.where(found >= 0, np.minimum(limit, found), limit)
+        return pa.Table.from_arrays([pa.array(ids, pa.int64()), *out], names=["id", "kept", "waits"])
 
+    return run
 
-def cluster_by_identity(
-    df: DataFrame, t: float = 0.8, sequence: str = "sequence", k: int = None, min_length: int = 0, by: str = None
-) -> DataFrame:
+
+def cluster_by_identity(df: DataFrame, t: float = 0.8, sequence: str = "sequence", min_length: int = 0, by: str = None) -> DataFrame:
     """Greedy clustering by falling length: (sequence, cluster_id, rep, identity, is_rep).
 
     Equals the sequential rule: take sequences by (length desc, sha1); each joins the first
-    representative with identity >= t that shares a word with it, else becomes one. `min_length`
-    drops shorter sequences, as the external tool does by default at 11. `by` clusters every value
-    of a column on its own, all of them in the same rounds.
-
-    Rounds. The `n` first undecided sequences of every word are compared with each other; one that
-    leads in all its words and has no similar predecessor is a representative. New representatives
-    then claim the rest of their words. Members are never compared with members, copies are one
-    row, and `n` grows, so a word shared by most rows costs representatives x members.
+    representative with identity >= t, else becomes one. `min_length` drops shorter sequences, as
+    the external tool does by default at 11. `by` clusters every value of a column on its own, all of
+    them in the same rounds.
+
+    Rounds. Every open sequence looks among the first open ones, twice as many in each round, and
+    those accepted in the last round, for the first before it that it is similar to. One of the first with
+    none is accepted; one whose first is accepted joins it; the others wait. A sequence is compared block by block inside the cells whose composition leaves
+    it a partner, and a block hands on one row for each sequence, so members of a cluster, copies
+    included, make no pair rows.
     """
-    k = k or word_size(t)
     scope = F.col(by) if by else F.lit("")
     base = df.select(scope.cast("string").alias("scope"), F.col(sequence).alias("sequence"))
     base = base.where(F.length("sequence") >= max(min_length, 1)).distinct()
     base = base.withColumns({"_len": -F.length("sequence"), "_sha": F.sha1("sequence")})
-    nodes = cut_lineage(O.running(base, ["_len", "_sha", "scope"], index="id").select("id", "scope", "sequence", residue_counts(F.col("sequence")).alias("counts")))
-    posts = words(nodes, "id", "sequence", k)
-    if by:
-        posts = posts.join(nodes.select("id", "scope"), "id").select(F.concat_ws("|", "word", "scope").alias("word"), "id")
-    posts = cut_lineage(posts)
-    size = posts.groupBy("id").agg(F.count("*").alias("n"))
-    none = nodes.join(size, "id", "left_anti")
-    state = cut_lineage(none.select("id", F.col("id").alias("rep"), F.lit(1.0).alias("identity")))
-    batch = FIRST_BATCH
+    cells, rows = composition.fit(State(O.running(base, ["_len", "_sha", "scope"], index="id").select(F.col("id").cast("long").alias("id"), F.coalesce("scope", F.lit("\u0000")).alias("scope"), F.col("scope").alias("_scope"), "sequence"), "sequences").df)
+    nodes = State(rows, "cells").df
+    status = State(nodes.select("id", F.lit(None).cast("long").alias("rep"), F.lit(True).alias("open"), F.lit(False).alias("fresh")), "status")
+    bound, waiting = FIRST_BATCH, int(cells.rows.sum())
     while True:
-        open_posts = posts.join(state.select("id"), "id", "left_anti")
-        lead = _leaders(open_posts, batch)
-        full = lead.groupBy("id").agg(F.count("*").alias("m")).join(size, "id").where("m = n").select("id")
-        later = lead.join(full, "id").withColumnRenamed("id", "b")
-        pairs = lead.withColumnRenamed("id", "a").join(later, "word").where("a < b").select("a", "b").distinct()
-        blocked = _verified(pairs, nodes, nodes, t).select(F.col("b").alias("id"))
-        fresh = cut_lineage(full.join(blocked, "id", "left_anti"))
-        if fresh.isEmpty():
-            break
-        settled = state.where("id = rep").select("id").union(fresh)
-        rep_words = posts.join(fresh, "id").withColumnRenamed("id", "a")
-        others = posts.join(settled, "id", "left_anti").withColumnRenamed("id", "b")
-        claims = rep_words.join(others, "word").where("a < b").select("a", "b").distinct()
-        claims = claims.join(state.select(F.col("id").alias("b"), F.col("rep").alias("_now")), "b", "left")
-        claims = claims.where(F.col("_now").isNull() | (F.col("a") < F.col("_now"))).select("a", "b")
-        won = _verified(claims, nodes, nodes, t).select(F.col("b").alias("id"), F.col("a").alias("rep"), "identity")
-        every = state.unionByName(won).unionByName(fresh.select("id", F.col("id").alias("rep"), F.lit(1.0).alias("identity")))
-        state = cut_lineage(
-            every.groupBy("id").agg(F.min(F.struct("rep", "identity")).alias("s")).select("id", "s.rep", "s.identity")
+        now = nodes.join(status.df, "id")
+        early = F.col("open") & (F.col("id") < bound)
+        targets = now.where(early | F.col("fresh")).select("scope", "cell", "id", "sequence", F.col("fresh").alias("kept"))
+        seekers = now.where("open").select("scope", "id", "sequence", F.coalesce("rep", "id").alias("before"), F.explode(composition.visits(cells, F.col("comp"), F.lit(t), "shorter")).alias("cell"))
+        hits = composition.meet(cells, seekers, targets, _earlier(t), "id long, kept long, waits long", waiting)
+        hits = hits.groupBy("id").agg(F.min("kept").alias("_k"), F.min("waits").alias("_w"))
+        seen = status.df.join(hits, "id", "left")
+        rep = F.least("rep", "_k")
+        waits = F.coalesce(F.col("_w") < F.coalesce(rep, F.col("id")), F.lit(False))
+        fresh = early & ~waits & rep.isNull()
+        seen = seen.select(
+            "id", F.when(fresh, F.col("id")).when(F.col("open"), rep).otherwise(F.col("rep")).alias("rep"),
+            (F.col("open") & (waits | (rep.isNull() & ~early))).alias("open"), fresh.alias("fresh"),
         )
-        batch *= GROWTH
+        after = State(seen, "status")
+        status.drop()
+        status = after
+        waiting, bound = status.df.where("open").count(), 2 * bound
+        if not waiting:
+            break
     reps = nodes.select(F.col("id").alias("rep"), F.col("sequence").alias("_rep"))
-    out = state.join(nodes, "id").join(reps, "rep")
+    out = status.df.select("id", "rep").join(nodes, "id").join(reps, "rep")
+    identity = F.when(F.col("id") == F.col("rep"), 1.0).otherwise(lcs_length("sequence", "_rep") / F.least(F.length("sequence"), F.length("_rep")))
     return out.select(
-        *([F.col("scope").alias(by)] if by else []), "sequence", F.sha1("_rep").alias("cluster_id"), F.col("_rep").alias("rep"), "identity", (F.col("id") == F.col("rep")).alias("is_rep")
+        *([F.col("_scope").alias(by)] if by else []), "sequence", F.sha1("_rep").alias("cluster_id"), F.col("_rep").alias("rep"), identity.alias("identity"), (F.col("id") == F.col("rep")).alias("is_rep")
     )
 
 
@@ -204,20 +146,28 @@ def representatives(df: DataFrame, t: float = 0.9, sequence: str = "sequence", m
     return kept.select(*([by] if by else []), "sequence")
 
 
-def similar_to(train: DataFrame, test: DataFrame, t: float = 0.6, sequence: str = "sequence", k: int = None) -> DataFrame:
-    """Distinct training sequences with identity >= t to some test sequence sharing a word."""
-    k = k or word_size(t)
-    keyed = lambda df: df.select(F.col(sequence).alias("sequence")).distinct().withColumns(
-        {"id": F.sha1("sequence"), "counts": residue_counts(F.col("sequence"))}
-    )
-    left, right = keyed(train), keyed(test)
+def similar_to(train: DataFrame, test: DataFrame, t: float = 0.6, sequence: str = "sequence") -> DataFrame:
+    """Distinct training sequences with identity >= t to some test sequence."""
+    left, right = _keyed(train, sequence), _keyed(test, sequence)
     same = left.join(right.select("id"), "id", "left_semi").select("sequence")
-    rest = left.join(right.select("id"), "id", "left_anti")
-    a = words(rest, "id", "sequence", k).withColumnRenamed("id", "a")
-    b = words(right, "id", "sequence", k).withColumnRenamed("id", "b")
-    pairs = a.join(b, "word").select("a", "b").distinct()
-    hits = _verified(pairs, rest, right, t).select(F.col("a").alias("id")).distinct()
-    return same.union(rest.join(hits, "id").select("sequence"))
+    cells, rows = composition.fit(State(right, "tests").df)
+    targets = State(rows, "cells").df
+    rest = State(left.join(right.select("id"), "id", "left_anti").withColumn("comp", composition.composition(F.col("sequence"))), "training").df
+    seekers = rest.select("scope", "id", "sequence", F.explode(composition.visits(cells, F.col("comp"), F.lit(t), "shorter")).alias("cell"))
+
+    def run(key, a, b):
+        x, y = a.column("sequence").to_pylist(), b.column("sequence").to_pylist()
+        hit = composition.first_partner(x, y, t, np.ones((len(x), len(y)), dtype=bool)) >= 0
+        return a.filter(pa_mask(hit)).select(["sequence"])
+
+    hits = composition.meet(cells, seekers, targets, run, "sequence string", rest.count()).distinct()
+    return same.union(hits)
+
+
+def pa_mask(marks):
+    import pyarrow as pa
+
+    return pa.array(marks, pa.bool_())
 
 
 def filter_against(train: DataFrame, test: DataFrame, t: float = 0.6, sequence: str = "sequence") -> DataFrame:
@@ -252,40 +202,42 @@ def filter_training(
 def novelty(df: DataFrame, train: DataFrame, key: str, sequence: str = "sequence") -> DataFrame:
     """(key, novelty): 1 - highest identity to any training sequence; null without training rows.
 
-    Exact, with pruning. A first guess per sequence comes from one training sequence per shared
-    word; then only training sequences whose length, and whose unordered residue overlap, could
-    beat the guess are aligned. Long and short texts never meet, as identity is at most the ratio
-    of the lengths.
+    Branch and bound over cells of similar composition. A sequence first meets the cell that it would
+    itself stand in, which gives it a good identity; then only the cells whose box can beat that. Inside
+    a cell partners are tried by falling bound until none can beat the best.
     """
-    q = df.select(key, F.col(sequence).alias("_q")).where(F.length("_q") > 0)
-    texts = cut_lineage(q.select("_q").distinct().withColumns({"a": F.sha1("_q"), "_cq": residue_counts(F.col("_q"))}))
-    tr = cut_lineage(train.select(F.col(sequence).alias("_t")).where(F.length("_t") > 0).distinct().withColumns({"b": F.sha1("_t"), "_ct": residue_counts(F.col("_t"))}))
-    k = 5
-    one = words(tr, "b", "_t", k).groupBy("word").agg(F.min("b").alias("b"))
-    guess = words(texts, "a", "_q", k).join(one, "word").select("a", "b").distinct()
-    guess = guess.join(texts, "a").join(tr, "b").where(
-        F.least(F.length("_q"), F.length("_t")) * 10 > F.greatest(F.length("_q"), F.length("_t"))
-    )
-    low = guess.groupBy("a").agg(F.max(lcs_identity(F.col("_q"), F.col("_t"))).alias("low"))
-    state = cut_lineage(texts.join(low, "a", "left").withColumn("low", F.coalesce("low", F.lit(0.0))))
-    # Lengths are joined in powers of two: a text visits every band its guess leaves open.
-    band = lambda n: F.floor(F.log2(n)).cast("int")
-    n = F.length("_q")
-    top = F.least(F.when(F.col("low") > 0, F.floor(n / F.col("low"))).otherwise(F.lit(2.0**30)), F.lit(2.0**30))
-    visits = state.withColumn("_band", F.explode(F.sequence(band(F.greatest(F.ceil(n * F.col("low")), F.lit(1))), band(top))))
-    # A band is spread over blocks, so that one common length is not one task.
-    spread = O.bucket_count(df.sparkSession)
-    visits = visits.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    banded = tr.withColumns({"_band": band(F.length("_t")), "_block": F.pmod(F.xxhash64("b"), F.lit(spread)).cast("int")})
-    pairs = visits.join(banded, ["_band", "_block"])
-    bound = residue_overlap(F.col("_cq"), F.col("_ct")) / F.greatest(F.length("_q"), F.length("_t"))
-    ratio = F.least(F.length("_q"), F.length("_t")) / F.greatest(F.length("_q"), F.length("_t"))
-    better = pairs.where(ratio > F.col("low")).where(bound > F.col("low"))
-    better = better.groupBy("a").agg(F.max(lcs_identity(F.col("_q"), F.col("_t"))).alias("high"))
-    best = state.join(better, "a", "left").select("_q", F.greatest("low", F.coalesce("high", F.lit(0.0))).alias("best"))
-    has = tr.agg(F.count("*") > 0).scalar()
-    rated = q.join(best, "_q").select(key, F.when(has, 1 - F.col("best")).alias("novelty"))
-    blank = df.where(F.coalesce(F.length(sequence), F.lit(0)) == 0).select(key, F.when(has, F.lit(1.0)).alias("novelty"))
+    q = df.select(key, F.col(sequence).alias("sequence")).where(F.length("sequence") > 0)
+    cells, rows = composition.fit(State(_keyed(train, sequence), "training").df)
+    targets = State(rows, "cells").df.select("scope", "cell", "id", "sequence")
+
+    @F.pandas_udf(IntegerType())
+    def nearest(comp: pd.Series) -> pd.Series:
+        points = composition._points(comp)
+        if not len(cells.cells):
+            return pd.Series([-1] * len(points))
+        bound = cells.shared(points) / np.maximum(np.maximum(points[:, -1:], cells.short[None, :]), 1)
+        home = cells.find(points)
+        known = np.isin(home, cells.cells)
+        return pd.Series(np.where(known, home, cells.cells[bound.argmax(axis=1)]).astype(np.int32))
+
+    def run(_, a, b):
+        import pyarrow as pa
+
+        low = a.column("low").to_numpy()
+        best = composition.best_share(a.column("sequence").to_pylist(), b.column("sequence").to_pylist(), low)
+        return pa.Table.from_arrays([a.column("id"), pa.array(best, pa.float64())], names=["id", "best"])
+
+    texts = State(_keyed(q, "sequence").withColumn("comp", composition.composition(F.col("sequence"))).withColumn("home", nearest("comp")), "queries").df
+    asked = texts.count()
+    first = composition.meet(cells, texts.select("scope", "id", "sequence", F.col("home").alias("cell"), F.lit(0.0).alias("low")), targets, run, "id string, best double", asked)
+    first = first.groupBy("id").agg(F.max("best").alias("low"))
+    state = State(texts.join(first, "id", "left").withColumn("low", F.coalesce("low", F.lit(0.0))), "guesses").df
+    more = state.withColumn("cell", F.explode(composition.visits(cells, F.col("comp"), F.col("low"), "longer"))).where("cell <> home")
+    second = composition.meet(cells, more.select("scope", "id", "sequence", "cell", "low"), targets, run, "id string, best double", asked).groupBy("id").agg(F.max("best").alias("high"))
+    best = state.join(second, "id", "left").select("sequence", F.greatest("low", "high").alias("best"))
+    has = len(cells.cells) > 0
+    rated = q.join(best, "sequence").select(key, (1 - F.col("best") if has else F.lit(None).cast("double")).alias("novelty"))
+    blank = df.where(F.coalesce(F.length(sequence), F.lit(0)) == 0).select(key, F.lit(1.0 if has else None).cast("double").alias("novelty"))
     return rated.unionByName(blank)
 
 
@@ -383,20 +335,26 @@ def identity_matrix(df: DataFrame, key: str, aligned: str = "aligned", blocks: i
 def similar_pairs(df: DataFrame, max_mutations: int, aligned: str = "aligned", width: int = 40) -> DataFrame:
     """Distinct aligned texts that differ in at most `max_mutations` columns: (a, b, mutations, n_a, n_b).
 
-    Exact: with m differences spread over m+1 segments one segment is equal. Equal texts are one
-    row with their count, so copies add no pairs.
+    Exact: with m differences spread over m+2 segments two segments are equal, so texts meet on two
+    segments, and one that many texts share, like one of gaps alone, does not bring them together. Equal
+    texts are one row with their count, so copies add no pairs.
     """
     texts = df.groupBy(F.col(aligned).alias("t")).agg(F.count("*").alias("n"))
-    m = max_mutations + 1
+    m = max_mutations + 2
     cuts = [width * i // m for i in range(m + 1)]
-    segs = F.array(*[F.struct(F.lit(i).alias("i"), F.substring("t", cuts[i] + 1, cuts[i + 1] - cuts[i]).alias("s")) for i in range(m)])
-    rows = texts.select("t", "n", F.posexplode(segs).alias("_p", "g")).select("t", "n", "g.i", "g.s")
+    part = lambda t, i: F.substring(t, cuts[i] + 1, cuts[i + 1] - cuts[i])
+    two = [(i, k) for i in range(m) for k in range(i + 1, m)]
+    segs = F.array(*[F.struct(F.lit(n).alias("i"), F.concat(part("t", i), part("t", k)).alias("s")) for n, (i, k) in enumerate(two)])
+    rows = texts.select("t", "n", F.explode(segs).alias("g")).select("t", "n", "g.i", "g.s")
     l, r = rows.alias("l"), rows.alias("r")
     j = l.join(r, (F.col("l.i") == F.col("r.i")) & (F.col("l.s") == F.col("r.s")) & (F.col("l.t") < F.col("r.t")))
-    # A pair counts at its first equal segment only.
-    part = lambda t, i: F.substring(t, cuts[i] + 1, cuts[i + 1] - cuts[i])
-    earlier = [(F.col("l.i") > i) & (part("l.t", i) == part("r.t", i)) for i in range(m - 1)]
-    j = j.where(~reduce(lambda a, b: a | b, earlier, F.lit(False)))
+    # A pair counts at its first two equal segments only.
+    same = [(part("l.t", i) == part("r.t", i)) for i in range(m)]
+    before = F.when(F.lit(False), False)
+    for n, (i, k) in enumerate(two):
+        none = [~same[x] for x in range(k) if x != i]
+        before = before.when(F.col("l.i") == n, reduce(lambda a, b: a & b, none, F.lit(True)))
+    j = j.where(before)
     pairs = j.select(F.col("l.t").alias("a"), F.col("r.t").alias("b"), F.col("l.n").alias("n_a"), F.col("r.n").alias("n_b"))
     return pairs.withColumn("mutations", n_mutations(F.col("a"), F.col("b"))).where(F.col("mutations") <= max_mutations)
 

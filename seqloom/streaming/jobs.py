@@ -43,7 +43,8 @@ def windowed_metrics(
 
     Works on streams and on tables. In update or append mode rows later than `delay` behind the newest one seen in an
     earlier batch are dropped, and so is the state of windows that end before; complete mode drops neither. Session
-    windows need append mode, which gives a window once, after it has closed."""
+    windows in append mode appear once, after they have closed; complete mode gives those still open too, which a table
+    that has an end needs (`final` reads it)."""
     when = F.session_window(time, gap) if gap else F.window(time, size, slide) if slide else F.window(time, size)
     return (
         stream.withWatermark(time, delay).groupBy(when.alias("w"), *by)
@@ -74,3 +75,10 @@ def latest(spark: SparkSession, table: str, keys: list) -> DataFrame:
     rows = spark.read.option("basePath", table).parquet(table)
     rest = [c for c in rows.columns if c not in (*keys, "batch")]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
+
+
+def final(spark: SparkSession, table: str) -> DataFrame:
+    """Rows of the last batch of a complete-mode table."""
+    rows = spark.read.option("basePath", table).parquet(table)
+    last = rows.agg(F.max("batch").alias("batch"))
+    return rows.join(last, "batch").drop("batch")

@@ -40,13 +40,12 @@ def peptides(n, seed=3, families=6):
     return out + out[:5] + ["ACD", "WY"]
 
 
-def sequential_greedy(seqs, t, k):
+def sequential_greedy(seqs, t):
     order = sorted(set(seqs), key=lambda s: (-len(s), hashlib.sha1(s.encode()).hexdigest()))
-    words = {s: {s[i:i + k] for i in range(len(s) - k + 1)} for s in order}
     reps, of = [], {}
     for s in order:
         for r in reps:
-            if words[s] & words[r] and lcs(s, r) >= t * min(len(s), len(r)) - 1e-9:
+            if lcs(s, r) >= t * min(len(s), len(r)) - 1e-9:
                 of[s] = r
                 break
         else:
@@ -56,12 +55,11 @@ def sequential_greedy(seqs, t, k):
 
 
 @pytest.mark.parametrize("t", [0.6, 0.8])
-def test_clustering_equals_sequential_greedy(spark, t, monkeypatch):
-    monkeypatch.setattr(S, "FIRST_BATCH", 3)  # force several rounds
-    seqs = peptides(150)
+def test_clustering_equals_sequential_greedy(spark, t):
+    seqs = peptides(150) + ["ACDEFGHIKL", "AWCWDWEWFWGWHWIWKWLW", "acdxyz", "x" * 70 + "ACDEFGHIKL" * 9]
     df = spark.createDataFrame([(s,) for s in seqs], "sequence string").repartition(4)
     got = {r["sequence"]: r["rep"] for r in S.cluster_by_identity(df, t).collect()}
-    assert got == sequential_greedy(seqs, t, S.word_size(t))
+    assert got == sequential_greedy(seqs, t)
 
 
 def test_clustering_with_one_hot_word(spark):
@@ -69,7 +67,7 @@ def test_clustering_with_one_hot_word(spark):
     seqs = ["MKTAYIAKQR" + "".join(random.Random(i).choice("AG") for _ in range(4)) for i in range(400)]
     df = spark.createDataFrame([(s,) for s in seqs], "sequence string")
     got = {r["sequence"]: r["rep"] for r in S.cluster_by_identity(df, 0.8).collect()}
-    assert got == sequential_greedy(seqs, 0.8, 5)
+    assert got == sequential_greedy(seqs, 0.8)
 
 
 def test_scoped_clustering_equals_separate_runs(spark):
@@ -79,15 +77,14 @@ def test_scoped_clustering_equals_separate_runs(spark):
     want = {}
     for g in "ab":
         part = [s for i, s in enumerate(seqs) if ("a" if i % 2 else "b") == g]
-        want |= {(g, s): r for s, r in sequential_greedy(part, 0.8, 5).items()}
+        want |= {(g, s): r for s, r in sequential_greedy(part, 0.8).items()}
     assert got == want
 
 
 def test_filter_against_brute_force(spark):
     train, test = peptides(80, seed=1), peptides(15, seed=2) + peptides(10, seed=1)
-    t, k = 0.6, 4
-    words = lambda s: {s[i:i + k] for i in range(len(s) - k + 1)}
-    similar = lambda a, b: a == b or (words(a) & words(b) and lcs(a, b) >= t * min(len(a), len(b)) - 1e-9)
+    t = 0.6
+    similar = lambda a, b: a == b or lcs(a, b) >= t * min(len(a), len(b)) - 1e-9
     want = sorted(a for a in train if not any(similar(a, b) for b in test))
     frame = lambda xs: spark.createDataFrame([(x,) for x in xs], "sequence string")
     assert sorted(r[0] for r in S.filter_against(frame(train), frame(test), t).collect()) == want
