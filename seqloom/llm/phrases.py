@@ -11,9 +11,9 @@ from seqloom.llm.common import State, partitions, planes, unplanes
 from seqloom.llm.text import _hash_words, mix
 
 #: Bytes of text in a block, and of a text that is cut at the ends of its pieces.
-BLOCK, LONG = 8 << 20, 1 << 20
+BLOCK, LONG = 4 << 20, 1 << 20
 #: Blocks whose n-grams a hash partition gets, about.
-SHARE = 8
+SHARE = 16
 #: Bits of an n-gram's fingerprint in the first pass. Different n-grams of one fingerprint are counted together, which
 #: can only let more of them through; the second pass counts words.
 BITS = 40
@@ -22,6 +22,7 @@ BREAKS = b".,;:!?\n\v\f\r"
 
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[list(BREAKS)] = True
+_COUNTED = ("lang", "n_words", "phrase", "f")
 _GAP = _BREAK.copy()
 _GAP[[32, 9]] = True
 
@@ -105,11 +106,8 @@ def _bind(batches, most):
 
     def block():
         nonlocal number, langs, texts, size
-        sink = io.BytesIO()
         table = pa.Table.from_arrays([pa.array(langs, pa.string()).dictionary_encode(), pa.array(texts, pa.binary())], names=["lang", "text"])
-        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            out.write_table(table)
-        row = pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue()], pa.binary())], names=["block", "data"])
+        row = pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([_packed(table)], pa.binary())], names=["block", "data"])
         number, langs, texts, size = number + 1, [], [], 0
         return row
 
@@ -126,6 +124,15 @@ def _bind(batches, most):
         yield block()
 
 
+def _packed(table) -> bytes:
+    import pyarrow as pa
+
+    sink = io.BytesIO()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue()
+
+
 def _grams(raw) -> Grams:
     import pyarrow as pa
 
@@ -140,7 +147,7 @@ def frequent(docs: DataFrame, least: int = 100, longest: int = 5, text: str = "t
     First pass: each block counts the fingerprints of its n-grams and sends them by hash. A hash partition merges what
     it gets into one Misra-Gries summary whose capacity exceeds its mass divided by `least`, so no n-gram that often can
     be lost, and memory is bounded by the capacity. What may reach `least` goes back to the blocks it came from. Second
-    pass: the blocks count the n-grams of these fingerprints by their words, and Spark adds the counts up.
+    pass: the blocks count the n-grams of these fingerprints by their words, and the hash partitions add these up.
     """
     spark = docs.sparkSession
     # Lower case and names of languages are made here; blocks hold bytes.
@@ -198,23 +205,34 @@ def frequent(docs: DataFrame, least: int = 100, longest: int = 5, text: str = "t
             for data, parts in zip(batch.column("data"), batch.column("parts").to_pylist()):
                 wanted = np.sort(np.concatenate([np.cumsum(unplanes(p, np.uint64), dtype=np.uint64) for p in parts or []] or [np.empty(0, np.uint64)]))
                 grams = _grams(data.as_buffer())
-                out = [(name, 0, None, int(c)) for name, c in zip(grams.names, np.bincount(grams.lang, minlength=len(grams.names)))]
+                words = np.bincount(grams.lang, minlength=len(grams.names)).tolist()
+                shard, rows = [0] * len(words), [(name, 0, None, c) for name, c in zip(grams.names, words)]
                 for n, at, keys in grams.keys(longest):
                     marks = _marks(keys)
                     i = np.minimum(np.searchsorted(wanted, marks), max(0, len(wanted) - 1))
                     hit = wanted[i] == marks if len(wanted) else np.zeros(len(marks), dtype=bool)
-                    _, first, counts = np.unique(keys[hit], return_index=True, return_counts=True)
+                    found, first, counts = np.unique(keys[hit], return_index=True, return_counts=True)
                     places = at[hit][first]
-                    langs = grams.lang[places].tolist()
-                    out += [(grams.names[x], n, grams.phrase(p, n), c) for x, p, c in zip(langs, places.tolist(), counts.tolist())]
-                for k in range(0, len(out), 1 << 16):
-                    cols = list(zip(*out[k : k + (1 << 16)]))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64())], names=["lang", "n_words", "phrase", "f"])
+                    shard += (_marks(found) * np.uint64(shards) >> np.uint64(BITS)).tolist()
+                    rows += [(grams.names[x], n, grams.phrase(p, n), c) for x, p, c in zip(grams.lang[places].tolist(), places.tolist(), counts.tolist())]
+                order = np.argsort(np.array(shard), kind="stable")
+                table = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.string(), pa.int64()))], names=list(_COUNTED)).take(order)
+                cuts = np.searchsorted(np.array(shard)[order], np.arange(shards + 1)).tolist()
+                made = [(s, _packed(table.slice(a, b - a))) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in made], pa.int32()), pa.array([x for _, x in made], pa.binary())], names=["shard", "data"])
+
+    def add(bundles):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        rows = pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in bundles.column("data")])
+        total = rows.group_by(["lang", "n_words", "phrase"]).aggregate([("f", "sum")]).rename_columns(list(_COUNTED))
+        return total.filter(pc.or_(pc.is_null(total.column("phrase")), pc.greater_equal(total.column("f"), least)))
 
     parts = left.df.groupBy("block").agg(F.collect_list("left").alias("parts"))
-    counted = blocks.df.join(parts, "block", "left").select("data", "parts").mapInArrow(count, "lang string, n_words int, phrase string, f long")
-    total = counted.groupBy("lang", "n_words", "phrase").agg(F.sum("f").alias("f"))
-    done = State(total.where(F.col("phrase").isNull() | (F.col("f") >= least)), "phrases")
+    counted = blocks.df.join(parts, "block", "left").select("data", "parts").mapInArrow(count, "shard int, data binary")
+    done = counted.groupBy("shard").applyInArrow(add, "lang string, n_words int, phrase string, f long")
+    done = State(done, "phrases")
     blocks.drop()
     left.drop()
     return done.df
