@@ -49,61 +49,93 @@ class BackoffAutomaton:
     With c counts and P' the probability one state down, an arc weighs (c(context word) + prior * P') / (c(context) +
     prior), a failure arc prior / (c(context) + prior), so each state's probabilities sum to one and failing is exact.
     The empty context gives (c + 0.5) / (N + 0.5 * (V + 1)).
-    """
-
-    def __init__(self, keys, counts, total: int, distinct: int, order: int, prior: float):
-        self.keys, self.counts, self.order, self.prior = keys, counts, order, prior
-        self.total, self.distinct = total, distinct
-        self.texts = self._count(np.array([mix(np.array([_END + np.uint64(1)], np.uint64))[0] & ~np.uint64(3)], np.uint64))[0]
 
-    def _count(self, keys):
-        if not len(self.keys):
-            return np.zeros(len(keys))
-        i = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[i] == keys, self.counts[i], 0).astype(np.float64)
+    An n-gram has one number: as a state, and as the arc of its last word. START is the state before a text, EMPTY the
+    empty context; `fail` holds failure arcs, `arc` and `back` the log10 weights of arcs and failure arcs.
+    """
 
-    def traverse(self, bounds, keys):
+    def __init__(self, keys, counts, spots: list, first, total: int, distinct: int, order: int, prior: float):
+        """keys: sorted distinct n-grams of some texts, counts: theirs in the corpus; spots: for n = 1..order the number
+        of the n-gram that ends at each token, -1 if it would reach over the start; first: tokens that begin a text."""
+        n, self.order, self.spots, self.first = len(keys), order, spots, first
+        self.START, self.EMPTY = n, n + 1
+        end = mix(np.array([_END + np.uint64(1)], np.uint64)) & ~np.uint64(3)
+        at = int(np.searchsorted(keys, end[0]))
+        texts = float(counts[at]) if at < n and keys[at] == end[0] else 0.0
+        self.counts = np.concatenate((counts.astype(np.float64), [texts, 0.0]))
+        self.fail = np.full(n + 2, self.EMPTY, dtype=np.int32)
+        context = np.full(n, self.EMPTY, dtype=np.int32)
+        for k in range(1, order):
+            here = spots[k] >= 0
+            self.fail[spots[k][here]] = spots[k - 1][here]
+            before = np.concatenate(([self.START], spots[k - 1][:-1])).astype(np.int32)
+            if k == 1:
+                before[first] = self.START
+            context[spots[k][here]] = before[here]
+        chance = np.zeros(n + 1)
+        for k in range(order):
+            own = np.flatnonzero((keys & np.uint64(3)) == np.uint64(k))
+            if k == 0:
+                chance[own] = (self.counts[own] + 0.5) / (total + 0.5 * (distinct + 1))
+            else:
+                chance[own] = (self.counts[own] + prior * chance[self.fail[own]]) / (self.counts[context[own]] + prior)
+        self.arc = np.log10(chance[:n])
+        self.back = np.log10(prior / (self.counts + prior))
+
+    def states(self) -> np.ndarray:
+        """The state before each token: the longest context seen of the words read so far in its text."""
+        after = np.full(len(self.spots[0]), self.EMPTY, dtype=np.int32)
+        for spot in self.spots[: self.order - 1]:
+            seen = (spot >= 0) & (self.counts[spot] > 0)
+            after[seen] = spot[seen]
+        before = np.concatenate(([self.EMPTY], after[:-1])).astype(np.int32)
+        before[self.first] = self.START if self.order > 1 and self.counts[self.START] > 0 else self.EMPTY
+        return before
+
+    def traverse(self, bounds):
         """(known tokens, base and model log10 probability) of each text, read left to right.
 
-        The state before a token is the longest context that was seen. From it the token's arc is taken if it is
-        there; if not, failure arcs are followed, adding their weights, until one is. As every part of a seen n-gram
-        was seen, the states of all tokens follow from the counts at once.
+        From the state before a token its arc is taken if it is there; if not, failure arcs are followed, adding their
+        weights, until one is. All tokens take their steps together.
         """
-        seen = [self._count(k) for k in keys]
-        lower = (seen[0] + 0.5) / (self.total + 0.5 * (self.distinct + 1))
-        base = np.log10(lower)
-        start = np.zeros(len(base), dtype=bool)
-        start[bounds[:-1]] = True
-        levels = []  # (count of the context, probability of the arc) of each level above the empty context
-        for k in range(2, self.order + 1):
-            context = np.concatenate(([0.0], seen[k - 2][:-1]))
-            if k == 2:
-                context[start] = self.texts  # the start stands before each text once
-            else:
-                context[keys[k - 1] == 0] = 0
-            lower = (seen[k - 1] + self.prior * lower) / (context + self.prior)
-            levels.append((context, lower))
-        weight, open_ = np.zeros(len(base)), np.ones(len(base), dtype=bool)
-        for k in range(self.order, 1, -1):
-            context, arc = levels[k - 2]
-            state = open_ & (context > 0)
-            taken = state & (seen[k - 1] > 0)
-            weight[taken] = weight[taken] + np.log10(arc[taken])
-            fails = state & ~taken
-            weight[fails] += np.log10(self.prior / (context[fails] + self.prior))
-            open_ &= ~taken
+        single = self.spots[0]
+        weight, state, open_ = np.zeros(len(single)), self.states(), np.arange(len(single))
+        for k in range(self.order - 1, 0, -1):
+            # Those that stand in a state of k words (the start of a text counts as one).
+            own, spot = state[open_], self.spots[k][open_]
+            down = self.spots[k - 1][np.maximum(open_ - 1, 0)]
+            deep = (own == np.where(self.first[open_], self.START, down) if k == 1 else (own == down) & ~self.first[open_]) & (own != self.EMPTY)
+            taken = deep & (spot >= 0) & (self.counts[spot] > 0)
+            weight[open_[taken]] += self.arc[spot[taken]]
+            fails = deep & ~taken
+            weight[open_[fails]] += self.back[own[fails]]
+            state[open_[fails]] = self.fail[own[fails]]
+            open_ = open_[~taken]
+        base = self.arc[single]
         weight[open_] += base[open_]
         add = lambda x: np.add.reduceat(x, bounds[:-1]) if len(x) else np.empty(0)
-        return add((seen[0] > 0).astype(np.int64)), add(base), add(weight)
+        return add((self.counts[single] > 0).astype(np.int64)), add(base), add(weight)
 
 
-def _distinct(bounds, keys, learned):
+def _asked(bounds, keys, learned):
     """Sorted distinct keys of a block and their counts in texts that are learned from."""
     every = np.concatenate(keys)
-    used = np.tile(np.repeat(learned, np.diff(bounds)), len(keys))
-    used, every = used[every != 0], every[every != 0]
-    found, inverse = np.unique(every, return_inverse=True)
-    return found, np.bincount(inverse[used], minlength=len(found)).astype(np.uint32)
+    found = np.unique(every)
+    found = found[np.searchsorted(found, 1) :]  # 0 is no key
+    used = np.repeat(learned, np.diff(bounds))
+    own, n = np.unique(np.concatenate([k[used] for k in keys]), return_counts=True)
+    counts = np.zeros(len(found), dtype=np.uint32)
+    real = own != 0
+    counts[np.searchsorted(found, own[real])] = n[real]
+    return found, counts
+
+
+def _numbered(keys):
+    """Sorted distinct keys of a block, and for each list of keys their numbers among these, -1 for no key."""
+    found, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    none = int(len(found) > 0 and found[0] == 0)
+    numbers = inverse.astype(np.int32) - np.int32(none)
+    return found[none:], np.split(numbers, len(keys))
 
 
 def _read(raw: bytes):
@@ -168,7 +200,7 @@ def score(docs: DataFrame, order: int = 3, prior: float = 64.0, held: Column = N
         for batch in batches:
             for number, data in zip(batch.column("block").to_pylist(), batch.column("data")):
                 _, out, texts = _read(data.as_py())
-                found, counts = _distinct(*ngrams(texts, order), ~out)
+                found, counts = _asked(*ngrams(texts, order), ~out)
                 cuts = _shards(found, shards).tolist()
                 rows = [(s, a, b) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
                 yield pa.RecordBatch.from_arrays(
@@ -215,11 +247,14 @@ def score(docs: DataFrame, order: int = 3, prior: float = 64.0, held: Column = N
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         ids, out, texts = _read(block.column("data")[0].as_py())
         bounds, keys = ngrams(texts, order)
-        found, _ = _distinct(bounds, keys, ~out)
+        found, spots = _numbered(keys)
+        del keys
         by_shard = sorted(zip(totals.column("shard").to_pylist(), totals.column("totals").to_pylist()))
         counts = np.concatenate([unplanes(t, np.uint64) for _, t in by_shard])
-        automaton = BackoffAutomaton(found, counts, total, distinct, order, prior)
-        known, base, model = automaton.traverse(bounds, keys)
+        first = np.zeros(bounds[-1], dtype=bool)
+        first[bounds[:-1]] = True
+        automaton = BackoffAutomaton(found, counts, spots, first, total, distinct, order, prior)
+        known, base, model = automaton.traverse(bounds)
         return pa.Table.from_arrays(
             [pa.array(ids, pa.int64()), pa.array(out), pa.array(np.diff(bounds), pa.int64()), pa.array(known, pa.int64()), pa.array([total] * len(ids), pa.int64()), pa.array(base, pa.float64()), pa.array(model, pa.float64())],
             names=names,
