@@ -65,6 +65,17 @@ class EliasFano:
         place = (block * _SAMPLE + byte) * 8 + int(bit)
         return ((place - i) << self.low_bits) | int(self._low(np.array([i]))[0])
 
+    def select_range(self, i: int, j: int) -> np.ndarray:
+        """The i-th to the (j-1)-th value: one sampled rank and one scan of the bytes between them."""
+        if not 0 <= i <= j <= self.n:
+            raise IndexError((i, j))
+        first = int(np.searchsorted(self._rank, i, "right")) - 1
+        last = int(np.searchsorted(self._rank, j, "left"))
+        ones = np.flatnonzero(np.unpackbits(self.high[first * _SAMPLE : last * _SAMPLE], bitorder="little"))
+        at = np.arange(i, j)
+        places = ones[at - int(self._rank[first])] + first * _SAMPLE * 8
+        return ((places - at).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(at)
+
     def values(self) -> np.ndarray:
         places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n].astype(np.uint64)
         i = np.arange(self.n)

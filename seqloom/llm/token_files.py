@@ -17,12 +17,13 @@ HEAD = "<8sBIQqQ"
 
 
 def pack(ids: list, doc_ids: list, end_id: int, width: int) -> bytes:
-    """One file. doc_ids ascend, nulls first; every id array already ends with end_id."""
+    """One file. doc_ids ascend, nulls first; end_id is put after every document's ids."""
     known = [d for d in doc_ids if d is not None]
     first = known[0] if known else 0
-    bounds = EliasFano.encode(np.concatenate(([0], np.cumsum([len(x) for x in ids], dtype=np.uint64))).astype(np.uint64))
+    bounds = EliasFano.encode(np.concatenate(([0], np.cumsum([len(x) + 1 for x in ids], dtype=np.uint64))).astype(np.uint64))
     names = EliasFano.encode(np.array([d - first for d in known], dtype=np.uint64))
-    body = np.concatenate(ids).astype(f"<u{width}") if ids else np.empty(0, f"<u{width}")
+    end = np.array([end_id], dtype=f"<u{width}")
+    body = np.concatenate([x for doc in ids for x in (doc, end)]).astype(f"<u{width}", copy=False) if ids else np.empty(0, f"<u{width}")
     head = struct.pack(HEAD, MAGIC, width, end_id, len(body), first, len(doc_ids) - len(known))
     return head + bounds.to_bytes() + names.to_bytes() + body.tobytes()
 
@@ -47,6 +48,11 @@ class TokenFile:
         a, b = self.bounds.select(i), self.bounds.select(i + 1)
         return a, self.ids[a:b]
 
+    def bounds_in_parts(self, size: int = 1 << 14):
+        """Starts of consecutive documents, and the end of the last one, `size` documents at a time."""
+        for i in range(0, len(self), size):
+            yield self.bounds.select_range(i, min(len(self), i + size) + 1).astype(np.int64)
+
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = None, end_id: int = 2, text: str = "text", key: str = "doc_id", file_ids: int = 1 << 22) -> DataFrame:
     """Encode whole texts and write token files of about `file_ids` ids to the folder `path`, in ascending order of key.
@@ -72,7 +78,6 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = None, end_id: int
         width = 2 if max(encoder.tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else 4
         store, folder = fs.FileSystem.from_uri(path)
         shard, part, ids, names, size = TaskContext.get().partitionId(), 0, [], [], 0
-        end = np.array([end_id], dtype=f"<u{width}")
 
         def flush():
             nonlocal part, ids, names, size
@@ -87,7 +92,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = None, end_id: int
             lengths = np.diff(np.array(_offsets(batch.column(1)), dtype=np.int64))
             for i, j in slices(lengths.tolist(), 1 << 21):
                 for k, got in zip(batch.column(0)[i:j].to_pylist(), encoder.encode(batch.column(1)[i:j].to_pylist())):
-                    ids.append(np.concatenate((got, end)))
+                    ids.append(got)
                     names.append(k)
                     size += len(got) + 1
                     if size >= file_ids:
@@ -139,11 +144,13 @@ def read_tokens(spark: SparkSession, path: str, manifest: DataFrame = None) -> D
             for name, content in zip(batch.column(0), batch.column(1)):
                 token_file = TokenFile(content.as_buffer())
                 starts, counts, crcs = [], [], []
-                for i in range(len(token_file)):
-                    a, ids = token_file.document(i)
-                    starts.append(a)
-                    counts.append(len(ids))
-                    crcs.append(zlib.crc32(ids.astype("<u4").tobytes()))
+                for bounds in token_file.bounds_in_parts():
+                    first = int(bounds[0])
+                    raw = memoryview(token_file.ids[first : bounds[-1]].astype("<u4")).cast("B")
+                    places = (4 * (bounds - first)).tolist()
+                    starts += bounds[:-1].tolist()
+                    counts += np.diff(bounds).tolist()
+                    crcs += [zlib.crc32(raw[a:b]) for a, b in zip(places[:-1], places[1:])]
                 n = len(starts)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name.as_py()] * n, pa.string()), pa.array(token_file.doc_ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(crcs, pa.int64())],
