@@ -7,13 +7,15 @@ import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from seqloom.llm.common import State, partitions, planes, unplanes
+from seqloom.llm.common import State, partitions, planes, slices, unplanes
 from seqloom.llm.text import _hash_words, mix
 
 #: Bytes of text in a block, and of a text that is cut at the ends of its pieces.
 BLOCK, LONG = 4 << 20, 1 << 20
+#: Bytes hashed in one numpy step.
+STEP = 1 << 20
 #: Blocks whose n-grams a hash partition gets, about.
-SHARE = 16
+SHARE = 8
 #: Bits of an n-gram's fingerprint in the first pass. Different n-grams of one fingerprint are counted together, which
 #: can only let more of them through; the second pass counts words.
 BITS = 40
@@ -57,9 +59,15 @@ class Grams:
 
     def __init__(self, langs: list, texts: list):
         self.raw = b"\n".join(texts)
-        hashes, self.starts, self.ends = _hash_words(self.raw, _GAP)
-        piece = np.cumsum(_BREAK[np.frombuffer(self.raw, np.uint8)])
-        self.piece = piece[self.starts] if len(self.starts) else np.empty(0, np.int64)
+        found, at = [], 0
+        # Hashed in steps, as a step takes several times its bytes.
+        for i, j in slices([len(t) for t in texts], STEP):
+            hashes, starts, ends = _hash_words(b"\n".join(texts[i:j]), _GAP)
+            found.append((hashes, starts + at, ends + at))
+            at += sum(len(t) + 1 for t in texts[i:j])
+        hashes, self.starts, self.ends = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 2)
+        piece = np.cumsum(_BREAK[np.frombuffer(self.raw, np.uint8)], dtype=np.int32)
+        self.piece = piece[self.starts]
         self.names = sorted(set(langs))
         code = {x: i for i, x in enumerate(self.names)}
         counts = np.searchsorted(self.starts, np.cumsum([0] + [len(t) + 1 for t in texts]))
@@ -161,7 +169,10 @@ def frequent(docs: DataFrame, least: int = 100, longest: int = 5, text: str = "t
         for batch in batches:
             for number, data in zip(batch.column("block").to_pylist(), batch.column("data")):
                 every = np.concatenate([_marks(k) for _, _, k in _grams(data.as_buffer()).keys(longest)])
-                found, counts = np.unique(every, return_counts=True)
+                every.sort()
+                first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.empty(0, np.int64)
+                found, counts = every[first], np.diff(np.append(first, len(every)))
+                del every
                 top = found * np.uint64(shards) >> np.uint64(BITS)
                 cuts = np.searchsorted(top, np.arange(shards + 1, dtype=np.uint64)).tolist()
                 made = [(s, a, b) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
