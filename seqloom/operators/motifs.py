@@ -1,7 +1,8 @@
 """Motif tables, hits, coverage profiles, windows and logos.
 
-Exact motifs are found by an equi-join on the first letters of every text position, so the cost is
-linear in the text and does not depend on the number of motifs. Coverage is counted over distinct
+Exact motifs are found by one automaton over all of them (Aho-Corasick), in one pass over each text where it lies, so
+no position becomes a row and nothing is shuffled. A table of more letters than AUTOMATON_LETTERS is not sent to the
+tasks; its motifs are found by an equi-join on the first letters of every text position. Coverage is counted over distinct
 (text, position) rows; no list of positions is built.
 """
 
@@ -9,18 +10,18 @@ import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BooleanType
 
 from seqloom import constants as K
 from seqloom.functions.sequences import letters
 from seqloom.operators import ordered as O
 from seqloom.operators.fragments import text_windows
-from seqloom.operators.joins import product
 from seqloom.operators.storage import cut_lineage
 
 HEAD = 5
-MAX_INLINE_PATTERNS = 500
-PATTERN_BLOCKS = 64
+#: Letters of all motifs that an automaton in every task may hold (about 100 bytes each).
+AUTOMATON_LETTERS = 2_000_000
 
 
 def prosite_to_regex(pattern: Column) -> Column:
@@ -80,7 +81,54 @@ def _no_hits(texts: DataFrame, key: str, extra: list = ()) -> DataFrame:
 def exact_hits(texts: DataFrame, motifs: DataFrame, key: str, sequence: str = "sequence", extra: list = ()) -> DataFrame:
     """(key, start, end, motif) of every occurrence, overlapping ones included; 0-based, end excluded.
     `extra` columns of the motif table are carried along."""
-    table = motifs.where("kind = 'exact'").select("motif", *extra).distinct()
+    table = motifs.where("kind = 'exact' and motif <> ''").select("motif", *extra).distinct()
+    letters_ = table.agg(F.coalesce(F.sum(F.length("motif")), F.lit(0))).first()[0]
+    find = _hits_by_automaton if letters_ <= AUTOMATON_LETTERS else _hits_by_head
+    return find(texts, table, key, sequence, list(extra))
+
+
+def _hits_by_automaton(texts: DataFrame, table: DataFrame, key: str, sequence: str, extra: list) -> DataFrame:
+    rows = [tuple(r) for r in table.collect()]  # at most AUTOMATON_LETTERS
+    if not rows:
+        return _no_hits(texts, key, extra)
+    sent = texts.sparkSession.sparkContext.broadcast(rows)
+    types = {**dict(texts.select(key).dtypes), **dict(table.dtypes)}
+    kinds = [to_arrow_type(table.schema[c].dataType) for c in extra]
+    schema = ", ".join([f"`{key}` {types[key]}, start bigint, end bigint, motif string", *(f"`{c}` {types[c]}" for c in extra)])
+
+    def run(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        automaton, by_motif = ahocorasick.Automaton(), {}
+        for motif, *rest in sent.value:
+            by_motif.setdefault(motif, []).append((motif, *rest))
+        for motif, found in by_motif.items():
+            automaton.add_word(motif, (len(motif), found))
+        automaton.make_automaton()
+        for batch in batches:
+            at, out = [], []
+
+            def made():
+                cols = list(zip(*out))
+                columns = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), *(pa.array(c, t) for c, t in zip(cols[3:], kinds))]
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], names=[key, "start", "end", "motif", *extra])
+
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                for last, (size, found) in automaton.iter(text or ""):
+                    for row in found:
+                        at.append(i)
+                        out.append((last + 1 - size, last + 1, *row))
+                if len(out) >= 1 << 16:
+                    yield made()
+                    at, out = [], []
+            if out:
+                yield made()
+
+    return texts.select(key, F.col(sequence).cast("string")).mapInArrow(run, schema)
+
+
+def _hits_by_head(texts: DataFrame, table: DataFrame, key: str, sequence: str, extra: list) -> DataFrame:
     head = F.least(F.length("motif"), F.lit(HEAD))
     info = table.agg(F.max(F.length("motif")).alias("longest"), F.collect_set(head).alias("heads")).first()
     if not info["heads"]:
@@ -97,10 +145,9 @@ def regex_hits(texts: DataFrame, motifs: DataFrame, key: str, sequence: str = "s
     """(key, start, end, motif) of the non-overlapping matches of every pattern, left to right.
 
     Matches are marked in place and the text is split at the marks; starts are prefix sums of the
-    piece lengths. A few patterns are tried inside one row; many are spread by a blocked join.
+    piece lengths. The patterns come to the texts as one array (a scalar subquery), for any number of them.
     """
     table = motifs.where("kind = 'regex'").select("motif", "regex").distinct()
-    few = table.limit(MAX_INLINE_PATTERNS + 1).collect()
 
     def pieces(regex):
         marked = F.regexp_replace(F.col(sequence), F.concat(F.lit("("), regex, F.lit(")")), F.lit("\u0001$1\u0002"))
@@ -109,14 +156,8 @@ def regex_hits(texts: DataFrame, motifs: DataFrame, key: str, sequence: str = "s
             lambda p: F.struct(F.greatest(F.instr(p, "\u0002") - 1, F.lit(0)).alias("m"), F.length(F.replace(p, F.lit("\u0002"), F.lit(""))).alias("n")),
         )
 
-    if len(few) <= MAX_INLINE_PATTERNS:
-        if not few:
-            return _no_hits(texts, key)
-        listed = F.array(*[F.struct(F.lit(r["motif"]).alias("motif"), F.lit(r["regex"]).alias("regex")) for r in few])
-        found = texts.select(key, F.explode(F.transform(listed, lambda p: F.struct(p["motif"].alias("motif"), pieces(p["regex"]).alias("p")))).alias("x"))
-        found = found.select(key, "x.motif", F.col("x.p").alias("p"))
-    else:
-        found = product(texts.select(key, sequence), table, PATTERN_BLOCKS).select(key, "motif", pieces(F.col("regex")).alias("p"))
+    listed = table.agg(F.sort_array(F.collect_list(F.struct("motif", "regex")))).scalar()
+    found = texts.select(key, sequence, F.explode(listed).alias("x")).select(key, "x.motif", pieces(F.col("x.regex")).alias("p"))
     rows = found.where(F.size("p") > 1).select(key, "motif", F.posexplode("p").alias("i", "x"))
     before = Window.partitionBy(key, "motif").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     at = rows.select(key, "motif", "i", F.col("x.m").alias("m"), F.coalesce(F.sum("x.n").over(before), F.lit(0)).alias("start"))

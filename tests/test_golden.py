@@ -72,13 +72,24 @@ def test_motif_rules(spark):
     assert region == {1: "11111", 2: "0000220000011", 3: "000", 4: ""}
 
 
-def test_many_patterns_take_the_blocked_path(spark, monkeypatch):
-    table = spark.createDataFrame([("C-x(2)-C", "PROSITE"), ("G-G", "PROSITE"), ("K-[WY]", "PROSITE")], "pattern string, type string")
+def test_any_number_of_patterns_takes_one_plan(spark):
     texts = spark.createDataFrame([(1, "CGGCKWGGG"), (2, "KYKW")], "id int, sequence string")
-    few = sorted(rows(M.regex_hits(texts, M.load_motifs(table), "id"), "id", "start", "end", "motif"))
-    monkeypatch.setattr(M, "MAX_INLINE_PATTERNS", 1)
-    assert few == sorted(rows(M.regex_hits(texts, M.load_motifs(table), "id"), "id", "start", "end", "motif"))
-    assert (1, 6, 8, "G-G") in few and (2, 2, 4, "K-[WY]") in few
+    few = [("C-x(2)-C", "PROSITE"), ("G-G", "PROSITE"), ("K-[WY]", "PROSITE")]
+    many = few + [(f"H-x({i})-W-W", "PROSITE") for i in range(600)]
+    hits = [sorted(rows(M.regex_hits(texts, M.load_motifs(spark.createDataFrame(t, "pattern string, type string")), "id"), "id", "start", "end", "motif")) for t in (few, many)]
+    assert hits[0] == hits[1] and (1, 6, 8, "G-G") in hits[0] and (2, 2, 4, "K-[WY]") in hits[0]
+    assert M.regex_hits(texts, M.load_motifs(spark.createDataFrame([], "pattern string, type string")), "id").count() == 0
+
+
+def test_automaton_and_join_find_the_same(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "AAAABAAB"), (2, None), (3, ""), (4, "好AB好AB"), (1, "AB")], "id int, sequence string")
+    table = spark.createDataFrame([(m, "exact", None, n) for n, m in enumerate(["A", "AA", "AAB", "B", "好A", "ZZ", "AAAABAAB", ""])] + [("AA", "exact", None, 9)], "motif string, kind string, regex string, n int")
+    want = sorted((r["id"], i, i + len(m["motif"]), m["motif"], m["n"]) for r in texts.collect() for m in table.collect() if m["motif"] for i in range(len(r["sequence"] or "")) if (r["sequence"] or "").startswith(m["motif"], i))
+    for letters in (2_000_000, 0):
+        monkeypatch.setattr(M, "AUTOMATON_LETTERS", letters)
+        got = M.exact_hits(texts, table, "id", extra=["n"])
+        assert sorted(map(tuple, got.collect())) == want
+        assert letters == 0 or "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
 
 
 def test_motif_window_centre(spark):
