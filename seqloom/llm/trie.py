@@ -320,7 +320,8 @@ def prefix_trie(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     # The root is in no conversation's turns; a trie without nodes is one leaf.
     root = nodes.agg(
         F.count(F.when(F.col("depth") == 1, 1)).alias("n_children"), F.greatest(F.coalesce(F.sum("n_leaves"), F.lit(0)), F.lit(1)).alias("n_leaves"), F.coalesce(F.sum("saved_tokens"), F.lit(0)).alias("saved_tokens"),
-    ).select("*", least.alias("conv_id"), F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("parent_conv_id"), F.lit(first["n"]).cast("long").alias("n_convs"), F.lit(EMPTY[0]).cast("long").alias("a"), F.lit(EMPTY[1]).cast("long").alias("c"))
-    root = root.where("n_convs > 0").join(hashed, ["a", "c"], "left")
+    ).select("*", least.alias("conv_id"), F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("parent_conv_id"), F.lit(first["n"]).cast("long").alias("n_convs"))
+    own = hashed.where((F.col("a") == EMPTY[0]) & (F.col("c") == EMPTY[1])).first()
+    root = root.where("n_convs > 0").withColumn("sha", F.lit(own["sha"] if own else None).cast("string"))
     both = below.select(*columns[:-1], "sha").union(root.select(*columns[:-1], "sha"))
     return both.select(*(F.col(c).cast("long").alias(c) for c in columns[:-1]), F.coalesce("sha", F.lit(hashlib.sha256(b"").hexdigest())).alias("ends_sha256"))
