@@ -1,5 +1,7 @@
 """Secrets in texts with DataFrame functions only: fixed patterns, and strings of high entropy."""
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Fixed patterns of the contract: name, pattern, group that is measured, least length of it. Kinds sort in this order.
@@ -10,17 +12,18 @@ HEX = r"[0-9a-f]{16,}"
 
 #: Strings that may hide a secret: runs of the letters of base-64 and of paths, 20 at least, with padding.
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
-#: Class, letters it is made of, window, least bits a letter in some window. A random window of 20 base-64 letters has
-#: 4.0 bits on average, one of 24 hex letters 3.5.
-CLASSES = (("hex", "0123456789abcdefABCDEF", r"^[0-9a-fA-F]+$", 24, 3.2), ("mixed", "", r"^.*$", 20, 3.7))
-#: What looks like a secret and is none: words, words joined by signs, repeated letters, ids of well-known form, examples.
-ALLOWED = (
-    r"^[A-Za-z/_=+-]+$",
-    r"^[0-9/_=+-]+$",
-    r"(?i)example|placeholder|changeme|xxxx|0123456789|abcdefgh",
-    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(.)\1{7,}",
-)
+#: Class, form of its runs, window, least bits a letter in some window; the first form that fits counts. A random window
+#: of 20 base-64 letters has 4.0 bits on average, one of 24 hex letters 3.5. Runs without a digit are mostly words, which
+#: stay under 4 bits, so their limit is stricter.
+CLASSES = (("hex", r"^[0-9a-fA-F]+$", 24, 3.2), ("letters", r"^[A-Za-z/_=+-]+$", 24, 4.1), ("mixed", r"^.*$", 20, 3.7))
+#: What looks like a secret and is none. Each match takes the windows that it touches out, not the run: examples and
+#: sequences of the keyboard, ids of well-known form, eight equal letters, runs of digits and signs.
+WORDS = ("example", "placeholder", "changeme", "xxxx", "0123456789", "abcdefgh")
+ID = r"(?<![0-9A-Za-z])[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?![0-9A-Za-z])"
+REPEATED = r"(.)(?=\1{7})"
+DIGITS = r"^[0-9/_=+-]+$"
+#: Stands for a letter that the allow-list takes out; no run has it.
+TAKEN = "~"
 
 
 def spans(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0) -> Column:
@@ -53,60 +56,88 @@ def spans(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0)
     return F.when(F.coalesce(text.rlike(pattern), F.lit(False)), kept).otherwise(none)
 
 
+#: Counts of a window stand five bits each, twelve to a number; letters are numbered from "+" to "~".
+FIRST, PACK, PACKS, BITS = ord("+"), 12, 7, 32
+#: c * log2(c) in units of 2^-40, so that sums over a window are exact.
+UNIT = 2.0**40
+TERMS = [round(c * math.log2(c) * UNIT) if c else 0 for c in range(BITS)]
+
+
 def top_entropy(word: Column, window: int) -> Column:
-    """Largest Shannon entropy (bits a letter) of the windows of an ASCII string; of the whole if it is shorter.
+    """Largest Shannon entropy (bits a letter) of the windows of a string of candidate letters; of the whole if it is
+    shorter. Windows that hold a taken letter do not count; 0 if none is left. `window` is 31 at most.
 
-    One pass holds the counts of the window's letters and the sum of c * log2(c). A step changes the counts of the
-    letter that comes in and of the one that goes out, and the sum by their four terms.
+    One pass holds the counts of the window's letters and the sum of c * log2(c). A step adds one to the count of the
+    letter that comes in, takes one from that of the letter that goes out, and changes the sum by their terms: its cost
+    does not depend on the window, the alphabet or the length of the string.
     """
-    def term(c):
-        return F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
-
     n = F.least(F.length(word), F.lit(window))
-    codes = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.struct(F.ascii(F.substr(word, i, F.lit(1))).alias("new"), F.when(i > n, F.ascii(F.substr(word, i - n, F.lit(1)))).otherwise(F.lit(-1)).alias("old"), i.alias("i")))
+    terms = F.array(*[F.lit(t) for t in TERMS])
 
-    def step(acc, x):
-        gone = F.when(x["old"] < 0, F.lit(0)).otherwise(F.get(acc["counts"], x["old"]))
-        less = F.when(x["old"] < 0, F.lit(0.0)).otherwise(term(gone - 1) - term(gone))
-        here = F.get(acc["counts"], x["new"]) - F.when(x["old"] == x["new"], F.lit(1)).otherwise(F.lit(0))
-        total = acc["total"] + less + term(here + 1) - term(here)
-        counts = F.transform(acc["counts"], lambda c, k: c + F.when(k == x["new"], F.lit(1)).otherwise(F.lit(0)) - F.when(k == x["old"], F.lit(1)).otherwise(F.lit(0)))
-        top = F.when(x["i"] >= n, F.greatest(acc["top"], F.log2(n) - total / n)).otherwise(acc["top"])
-        return F.struct(counts.alias("counts"), total.alias("total"), top.alias("top"))
+    def place(letter):
+        code = F.ascii(letter) - FIRST
+        return F.struct(F.floor(code / PACK).cast("int").alias("at"), F.pow(F.lit(float(BITS)), code % PACK).cast("long").alias("one"))
 
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("top"))
-    return F.aggregate(codes, start, step, lambda acc: acc["top"])
+    letters = F.transform(F.split(word, ""), place)
+    none = F.struct(F.lit(-1).alias("at"), F.lit(0).cast("long").alias("one"))
+    # The letter that goes out stands n places before the one that comes in.
+    gone = F.slice(F.concat(F.array_repeat(none, n), letters), 1, F.size(letters))
+    steps = F.transform(F.arrays_zip(letters.alias("new"), gone.alias("old")), lambda x, i: F.struct(x["new"].alias("new"), x["old"].alias("old"), (i + 1).alias("i")))
+    taken = F.struct(F.lit((ord(TAKEN) - FIRST) // PACK).alias("at"), F.lit(BITS ** ((ord(TAKEN) - FIRST) % PACK)).cast("long").alias("one"))
 
+    def count(counts, x):
+        return (F.get(counts, x["at"]).bitwiseAND(x["one"] * (BITS - 1)) / x["one"]).cast("int")
 
-def entropy_spans(text: Column) -> Column:
-    """Candidate strings that are not allowed and whose entropy reaches the limit of their class."""
-    def secret(word):
-        mixed = F.lit(False)
-        for i, (_, _, form, window, bits) in enumerate(CLASSES):
-            before = F.lit(True)
-            for _, _, other, _, _ in CLASSES[:i]:
-                before = before & ~word.rlike(other)
-            mixed = mixed | (before & word.rlike(form) & (top_entropy(word, window) >= bits))
-        return mixed
+    def term(c):
+        return F.get(terms, c)
+
+    def step(acc, x):
+        same = x["old"] == x["new"]
+        filling = x["old"]["at"] < 0
+        out = F.when(filling | same, F.lit(0)).otherwise(count(acc["counts"], x["old"]))
+        here = count(acc["counts"], x["new"])
+        total = acc["total"] + F.when(same, F.lit(0)).otherwise(
+            F.when(filling, F.lit(0)).otherwise(term(out - 1) - term(out)) + term(here + 1) - term(here)
+        )
+        counts = F.when(same, acc["counts"]).otherwise(F.transform(acc["counts"], lambda c, k: c + F.when(k == x["new"]["at"], x["new"]["one"]).otherwise(F.lit(0)) - F.when(k == x["old"]["at"], x["old"]["one"]).otherwise(F.lit(0))))
+        last = F.when(x["new"] == taken, x["i"]).otherwise(acc["last"])
+        least = F.when((x["i"] >= acc["n"]) & (x["i"] - last >= acc["n"]), F.least(acc["least"], total)).otherwise(acc["least"])
+        return F.struct(counts.alias("counts"), total.alias("total"), least.alias("least"), last.alias("last"), acc["n"].alias("n"))
+
+    most = F.lit(TERMS[-1]).cast("long")
+    # n goes along, as the expression itself would be worked out for every letter.
+    start = F.struct(F.array_repeat(F.lit(0).cast("long"), PACKS).alias("counts"), F.lit(0).cast("long").alias("total"), most.alias("least"), F.lit(0).alias("last"), n.alias("n"))
+    return F.aggregate(steps, start, step, lambda acc: F.when(acc["least"] == most, F.lit(0.0)).otherwise(F.log2(acc["n"]) - acc["least"] / (acc["n"] * UNIT)))
+
+
+def without_allowed(word: Column) -> Column:
+    """The string with every letter that an allow-list match covers taken out; its length stays."""
+    for w in WORDS:
+        word = F.regexp_replace(word, f"(?i){w}", TAKEN * len(w))
+    word = F.regexp_replace(word, ID, TAKEN * 36)
+    # Where eight equal letters begin; the rest of them are the next places of the same run.
+    return F.regexp_replace(word, REPEATED, TAKEN)
 
-    found = spans(text, CANDIDATE, "entropy")
-    open_ = F.filter(found, lambda m: ~_any(m["found"], ALLOWED))
-    return F.filter(open_, lambda m: secret(m["found"]))
 
+def entropy_spans(text: Column) -> Column:
+    """Candidate strings with a window that the allow-list leaves and whose entropy reaches the limit of the class."""
+    def secret(word):
+        reached, before = F.lit(False), ~word.rlike(DIGITS)
+        for _, form, window, bits in CLASSES:
+            reached = reached | (before & word.rlike(form) & (top_entropy(without_allowed(word), window) >= bits))
+            before = before & ~word.rlike(form)
+        return reached
 
-def _any(word: Column, patterns) -> Column:
-    out = F.lit(False)
-    for p in patterns:
-        out = out | word.rlike(p)
-    return out
+    return F.filter(spans(text, CANDIDATE, "entropy"), lambda m: secret(m["found"]))
 
 
 def scan(docs: DataFrame, text: str = "text", out: str = "secrets") -> DataFrame:
     """docs with an array of secrets: struct<start, rank, end, kind, found>, by start, then kind.
 
     Kinds: assign (a name such as password or token, a sign, a value of 12 or more), access (AKIA and 14 or more),
-    hex (16 or more lower-case hex digits), entropy (other strings of high entropy). Places are code points, end
-    exclusive. Null and empty texts have none. Every row and column stays; no shuffle, no Python.
+    hex (16 or more lower-case hex digits), entropy (other strings of high entropy in a window that no allow-list match
+    touches). Places are code points, end exclusive. Null and empty texts have none; a run of any length costs time in
+    proportion to it. Every row and column stays; no shuffle, no Python.
     """
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
     base = F.concat(spans(value, ASSIGN, "assign", 2, 12), spans(value, ACCESS, "access"), spans(value, HEX, "hex"))

@@ -297,6 +297,60 @@ def test_entropy_of_windows(spark):
         assert r["h"] == pytest.approx(brute(r["w"], 8), abs=1e-9)
 
 
+def brute_entropy(t):
+    from math import log2
+
+    found = []
+    for m in re.finditer(secrets.CANDIDATE, t):
+        run = m[0]
+        if re.search(secrets.DIGITS, run):
+            continue
+        taken = [False] * len(run)
+        for pattern in [f"(?i){w}" for w in secrets.WORDS] + [secrets.ID]:
+            for x in re.finditer(pattern, run):
+                taken[x.start() : x.end()] = [True] * (x.end() - x.start())
+        for i in range(len(run) - 7):
+            taken[i] |= len(set(run[i : i + 8])) == 1
+        window, bits = next((n, b) for _, form, n, b in secrets.CLASSES if re.search(form, run))
+        n = min(window, len(run))
+        h = [-sum(c / n * log2(c / n) for c in Counter(run[i : i + n]).values()) for i in range(len(run) - n + 1) if not any(taken[i : i + n])]
+        if max(h, default=0) >= bits:
+            found.append((m.start(), m.end()))
+    return found
+
+
+def entropies(df):
+    return {r["doc_id"]: [tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x.startswith("entropy")] for r in secrets.digest(df).collect()}
+
+
+def test_entropy_spans_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"))
+    texts = [
+        "QwErTyUiOpAsDfGhJkLzXcVbNmPq", "xxxxQ7w9E2r4T6y8U1i3O5p0A2s4", "A7c9E2r4T6y8U1i3O5p0A2s4/example", "exampleA7c9E2r4T6placeholder", "the_quick_brown_fox_jumps_over_the_lazy_dog",
+        "getUserAccountByIdentifierOrName", "/usr/local/share/doc/packages/readme", "2024-01-02/03-04-05/0607080910", "550e8400-e29b-41d4-a716-446655440000",
+        "550e8400-e29b-41d4-a716-446655440000/A7c9E2r4T6y8U1i3O5p0A2s4", "aaaaaaaaaaA7c9E2r4T6y8U1i3O5p0A2s4", "4f3c2b1a4f3C2B1A9e8d7c6b9E8D7C6B", "0" * 40, "Zx9Qp2Lm8Vk4Tr7Wy1Bn5Hd3==",
+    ]
+    for alphabet in (letters, letters[:52], letters[26:62], letters[52:62], np.array(list("0123456789abcdefABCDEF"))):
+        for n in (19, 20, 23, 24, 25, 40, 90):
+            texts += ["".join(rng.choice(alphabet, n)) for _ in range(6)]
+    texts += [f"é🙂 {a}{w}{b} {b}" for w in secrets.WORDS for a, b in [("".join(rng.choice(letters, 12)), "".join(rng.choice(letters, 24)))]]
+    got = entropies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8))
+    for i, t in enumerate(texts):
+        assert got[i] == brute_entropy(t), t
+    assert [len(got[i]) for i in range(11)] == [1, 1, 1, 0, 0, 0, 0, 0, 0, 1, 1]
+
+
+def test_a_long_run_costs_time_in_proportion(spark):
+    import time
+
+    rng = np.random.default_rng(9)
+    run = "".join(rng.choice(list("abcdefgh0123"), 1 << 20))  # at most log2(12) bits, so every window is measured
+    start = time.time()
+    assert entropies(spark.createDataFrame([(1, run), (2, run + "/A7c9E2r4T6y8U1i3O5p0A2s4")], "doc_id long, text string").repartition(2)) == {1: [], 2: [(0, (1 << 20) + 25)]}
+    assert time.time() - start < 60
+
+
 def test_quality(spark, none):
     rng = np.random.default_rng(3)
     good = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "river", "stone"], 40)) for _ in range(160)]
