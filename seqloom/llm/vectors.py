@@ -1,6 +1,7 @@
 """Near duplicates among vectors by collision-counting projections, and exact top-k search by KD-trees in shards."""
 
 import math
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
@@ -28,6 +29,55 @@ def usable(column):
     return column.isNotNull() & (F.size(column) > 0) & F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
 
 
+#: Pairs that a window scan hands on at once.
+PAIRS_BATCH = 1 << 18
+
+
+def window_pairs(batches):
+    """(a, b), a < b, of nodes within WINDOW of each other in one strip, from rows (label, t, cell, strip, place, node,
+    guest) sorted so. Two guests are left to the strip that they come from.
+
+    A row looks back at the rows before it that are inside the window, so a task holds the rows of one window and a batch.
+    """
+    import pyarrow as pa
+
+    keys, places, nodes, guests = np.empty((0, 4), np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0, bool)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        old = len(places)
+        column = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+        keys = np.concatenate((keys, np.stack([c.astype(np.int64) for c in column[:4]], axis=1)))
+        places, nodes, guests = np.concatenate((places, column[4])), np.concatenate((nodes, column[5])), np.concatenate((guests, column[6]))
+        n = len(places)
+        # First row of the strip, and first row of it that is inside the window; both by the order of the rows.
+        new = np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)]
+        head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        ends = np.r_[np.flatnonzero(new), n]
+        first = head.copy()
+        several = np.flatnonzero(np.diff(ends) > 1)
+        for i, j in zip(ends[several].tolist(), ends[several + 1].tolist()):
+            first[i:j] += np.searchsorted(places[i:j], places[i:j] - WINDOW)
+        counts = np.arange(n) - first
+        counts[:old] = 0
+        i = old
+        total = np.cumsum(counts)
+        while i < n:
+            done = total[i - 1] if i else 0
+            j = max(i + 1, int(np.searchsorted(total, done + PAIRS_BATCH, side="right")))
+            c = counts[i:j]
+            late = np.repeat(np.arange(i, j), c)
+            early = np.arange(len(late)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(first[i:j], c)
+            keep = ~(guests[late] & guests[early])
+            x, y = nodes[late[keep]], nodes[early[keep]]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+            i = j
+        # A later row of the last strip reaches back as far as the last one does.
+        cut = max(int(first[-1]), int(head[-1]))
+        keys, places, nodes, guests = keys[cut:], places[cut:], nodes[cut:], guests[cut:]
+
+
 def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row: links of cosine >= `cosine` between rows of equal label.
 
@@ -37,8 +87,8 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.98, key: str =
     different length are not linked; other columns are not read; an empty table gives no rows.
 
     Rows with the same label and vector are one node with a weight, so copies are linked through it and not pair by
-    pair. In each of TABLES tables nodes are sorted by a projection within cells of DEPTH more projections; pairs within
-    the window around each other in at least MEET tables are verified in double precision.
+    pair. In each of TABLES tables nodes are sorted by a projection within cells of DEPTH more projections and read once
+    in that order; pairs within the window around each other in at least MEET tables are verified in double precision.
     """
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"), F.col(vector).cast("array<double>").alias("v"))
     rows = State(rows.withColumn("ok", F.col("label").isNotNull() & F.coalesce(usable(F.col("v")), F.lit(False))), "vectors")
@@ -78,10 +128,13 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.98, key: str =
                 )
 
     met = nodes.df.select("node", "label", "v").mapInArrow(meet, "node long, label long, t int, cell long, place double")
-    x, y = met.alias("x"), met.alias("y")
-    same = (F.col("x.label") == F.col("y.label")) & (F.col("x.t") == F.col("y.t")) & (F.col("x.cell") == F.col("y.cell"))
-    inside = (F.col("x.node") < F.col("y.node")) & (F.abs(F.col("x.place") - F.col("y.place")) <= WINDOW)
-    pairs = x.join(y, same & inside).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= MEET).select("a", "b")
+    # Strips as wide as the window: a pair inside the window stands in one strip or in two that touch, so a node goes to
+    # its own strip and, as a guest, to the next one. Each strip is sorted by the projection and read once.
+    strip = F.floor(F.col("place") / WINDOW)
+    lined = met.withColumn("strip", F.explode(F.array(strip, strip + 1))).withColumn("guest", F.col("strip") > strip)
+    line = ["label", "t", "cell", "strip"]
+    lined = lined.repartition(*line).sortWithinPartitions(*line, "place", "node").select(*line, "place", "node", "guest")
+    pairs = lined.mapInArrow(window_pairs, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= MEET).select("a", "b")
 
     def verify(batches):
         import pyarrow as pa
@@ -173,8 +226,71 @@ class KDTree:
         return [(s, -n) for s, n in best]
 
 
-#: Rows of a shard and queries of a block.
-SHARD, QUERIES_BLOCK = 16_384, 512
+#: Rows of a shard, cells of the splits at most (their boxes are broadcast: 2 numbers a cell and component), rows that
+#: the splits are fitted on, shards a query is sent to before the k-th score goes to all, queries searched at once.
+SHARD, CELLS, FIT_ROWS, FIRST, QUERIES_BLOCK = 16_384, 4096, 20_000, 1, 512
+
+#: Copies of queries that are handed on at once.
+SENT = 8192
+
+#: Above this size of a possible score sums in double precision may be inexact.
+EXACT = 2.0**53
+LONG = 2**63 - 1
+
+
+def median_splits(points, cells: int) -> list:
+    """[(side, median, left, right) or (None, cell, ...)] of a tree with at most `cells` leaves over sampled points: the
+    widest side is split at its median; node 0 is the root."""
+    nodes, leaves = [], 0
+
+    def grow(rows, wanted):
+        nonlocal leaves
+        at = len(nodes)
+        nodes.append(None)
+        spread = rows.max(axis=0) - rows.min(axis=0) if len(rows) else np.zeros(1)
+        side = int(np.argmax(spread))
+        if wanted < 2 or len(rows) < 2 or not spread[side] > 0:
+            nodes[at] = (None, leaves, 0, 0)
+            leaves += 1
+            return at
+        value = float(np.median(rows[:, side]))
+        low = rows[:, side] < value
+        if not low.any():
+            value = float(rows[:, side][rows[:, side] > value].min())
+            low = rows[:, side] < value
+        nodes[at] = (side, value, grow(rows[low], wanted // 2), grow(rows[~low], wanted - wanted // 2))
+        return at
+
+    grow(points, cells)
+    return nodes
+
+
+def cells_of(nodes: list, points) -> np.ndarray:
+    """Leaf of every point."""
+    out, todo = np.zeros(len(points), np.int32), [(0, np.arange(len(points)))]
+    while todo:
+        at, rows = todo.pop()
+        side, value, left, right = nodes[at]
+        if side is None:
+            out[rows] = value
+        elif len(rows):
+            low = points[rows, side] < value
+            todo += [(left, rows[low]), (right, rows[~low])]
+    return out
+
+
+def _matrix(column) -> np.ndarray:
+    """An Arrow list column of one length as a matrix."""
+    flat = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+
+
+def _scaled(v, scale: int):
+    """floor(scale * x) of doubles as whole doubles, or as Python integers if one is not whole in double precision."""
+    if np.abs(v).max(initial=0) * scale < EXACT:
+        return np.floor(v * scale)
+    whole = [int(x) * scale if abs(x) >= EXACT else math.floor(Fraction(x) * scale) for x in v.ravel().tolist()]
+    return np.array(whole, dtype=object).reshape(v.shape)
 
 
 def top_k(vectors: DataFrame, queries=None, k: int = 10, scale: int = 1024, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -183,55 +299,183 @@ def top_k(vectors: DataFrame, queries=None, k: int = 10, scale: int = 1024, key:
     Queries are the rows whose id is divisible by 100 unless a condition on `vec_id` is given; candidates are all other
     rows. Ties go to the smaller vec_id. Null, empty vectors, those that hold null or non-finite components and null
     ids take no part; of rows with one id the smallest vector counts; vectors of different length do not meet; other
-    columns are not read; fewer candidates give fewer rows. Sums are exact up to 2^53; larger vectors raise an error.
+    columns are not read; fewer candidates give fewer rows. Where a score may pass 2^53, whole numbers of any size are
+    used; a score beyond a long is returned as the nearest long, its rank is exact within a shard.
 
-    Rows are dealt to shards, queries to blocks; each pair of a shard and a block is one task's group with one KD-tree.
-    A first pass searches one shard of each length only; the k-th score it finds is a lower bound that goes along to
-    all shards, which return only scores that reach it.
+    Median splits, fitted on FIT_ROWS rows, cut the space into cells, a cell of many rows into shards of about SHARD by
+    a hash; cells keep the tight boxes of all their rows. A query goes to the cells in falling order of its bound: first to
+    FIRST of them, then, with the k-th score found there, to those whose bound reaches it. A shard's rows go to one
+    task once a round, which builds its KD-tree and reads the queries after them; queries are what is copied.
     """
+    import pyarrow as pa
+
+    spark = vectors.sparkSession
     queries = F.col("vec_id") % 100 == 0 if queries is None else queries
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & F.coalesce(usable(F.col("v")), F.lit(False)))
-    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("d", F.size("v"))
-    points = State(rows.withColumn("p", F.transform("v", lambda x: F.floor(x * scale).cast("double"))).drop("v"), "points")
-    shards = max(1, -(-points.df.count() // SHARD))
-    asked = points.df.where(queries)
-    blocks = max(1, -(-asked.count() // QUERIES_BLOCK))
-    dealt = points.df.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int"))
-    # New names: both sides of the cogroup come from one table.
-    asked = asked.select(F.col("vec_id").alias("query_id"), F.col("p").alias("q"), F.col("d").alias("q_d"), F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int").alias("q_block"))
-
-    def search(tree_rows, block):
-        import pyarrow as pa
+    points = State(rows.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("d", F.size("v")), "points")
+    sizes = {r["d"]: r["n"] for r in points.df.groupBy("d").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(16).collect()}
+    # Lengths of vectors beyond the 16 most frequent ones have one cell each.
+    trees = {}
+    for d, n in sizes.items():
+        cells = min(CELLS // len(sizes), -(-n // SHARD))
+        if cells > 1:
+            part = points.df.where(F.col("d") == d).orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("v")
+            trees[d] = median_splits(np.array([r["v"] for r in part.toLocalIterator()]), cells)
+
+    def place(batches):
+        for batch in batches:
+            d = batch.column("d").to_numpy()
+            out = np.zeros(len(d), np.int32)
+            for size in np.unique(d).tolist():
+                if size in trees:
+                    at = np.flatnonzero(d == size)
+                    out[at] = cells_of(trees[size], _matrix(batch.column("v").take(pa.array(at))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=["vec_id", "v", "d", "cell"])
+
+    placed = State(points.df.mapInArrow(place, "vec_id long, v array<double>, d int, cell int"), "placed")
+
+    def box(batches):
+        """Corners and number of rows of the cells of one task's rows."""
+        found = {}
+        for batch in batches:
+            d, c = batch.column("d").to_numpy(), batch.column("cell").to_numpy()
+            for size, cell in set(zip(d.tolist(), c.tolist())):
+                at = np.flatnonzero((d == size) & (c == cell))
+                v = _matrix(batch.column("v").take(pa.array(at)))
+                low, high, n = found.get((size, cell), (math.inf, -math.inf, 0))
+                found[size, cell] = np.minimum(low, v.min(axis=0)), np.maximum(high, v.max(axis=0)), n + len(at)
+        if found:
+            yield pa.RecordBatch.from_pylist(
+                [{"d": s, "cell": c, "low": lo.tolist(), "high": hi.tolist(), "n": n} for (s, c), (lo, hi, n) in found.items()],
+                pa.schema([("d", pa.int32()), ("cell", pa.int32()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("n", pa.int64())]),
+            )
+
+    parts = placed.df.select("v", "d", "cell").mapInArrow(box, "d int, cell int, low array<double>, high array<double>, n long")
+    flat = parts.select("d", "cell", "n", F.posexplode(F.arrays_zip("low", "high")).alias("pos", "x")).groupBy("d", "cell", "pos").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high"), F.sum("n").alias("n"))
+    boxes = State(flat.groupBy("d", "cell").agg(F.array_sort(F.collect_list(F.struct("pos", "low", "high"))).alias("box"), F.max("n").alias("n")).select("d", "cell", F.col("box.low").alias("low"), F.col("box.high").alias("high"), "n"), "boxes")
+    shards = F.ceil(F.col("n") / SHARD).cast("int")
+    dealt = State(placed.df.join(boxes.df.select("d", "cell", shards.alias("shards")), ["d", "cell"]).withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("shards")).cast("int")), "dealt")
+    known = spark.sparkContext.broadcast({
+        d: [np.array(x) for x in zip(*((r["cell"], r["shards"], r["low"], r["high"]) for r in found))]
+        for d, found in _by_length(boxes.df.where(F.col("d").isin(list(sizes))).select("d", "cell", shards.alias("shards"), "low", "high").collect()).items()
+    })
+
+    def route(first):
+        """Shards that a query goes to: those of its FIRST cells, or of all others whose bound reaches its floor."""
+        def run(batches):
+            for batch in batches:
+                d = batch.column("d").to_numpy()
+                for size in np.unique(d).tolist():
+                    at = np.flatnonzero(d == size)
+                    for i in range(0, len(at), QUERIES_BLOCK):
+                        yield from sent(batch.take(pa.array(at[i : i + QUERIES_BLOCK])), size)
+
+        def sent(batch, size):
+            rows, cells, parts = [], [], []
+            if size in known.value:
+                cell, n, low, high = known.value[size]
+                q, floors = _matrix(batch.column("v")), batch.column("floor").to_numpy(zero_copy_only=False)
+                # floor(scale * x) grows with x. A product that may pass 2^53 has no bound.
+                with np.errstate(over="ignore", invalid="ignore"):
+                    p, lo, hi = np.floor(q * scale), np.floor(low * scale), np.floor(high * scale)
+                    largest = np.maximum(np.abs(lo), np.abs(hi)).max(axis=1)[None, :] * np.abs(p).max(axis=1)[:, None] * size
+                    bound = np.maximum(p, 0) @ hi.T + np.minimum(p, 0) @ lo.T
+                    bound = np.where(largest < EXACT, bound, np.inf)
+                order = np.argsort(-bound, axis=1, kind="stable")
+                for i in range(len(q)):
+                    reached = order[i, :FIRST] if first else order[i, FIRST:]
+                    for c in reached[~(bound[i, reached] < floors[i])].tolist():
+                        rows += [i] * int(n[c])
+                        cells += [int(cell[c])] * int(n[c])
+                        parts += range(int(n[c]))
+            elif first:
+                # One cell, in as many shards as stand on the row.
+                for i, n in enumerate(batch.column("shards").to_pylist()):
+                    rows += [i] * n
+                    cells += [0] * n
+                    parts += range(n)
+            for i in range(0, len(rows), SENT):
+                taken = batch.take(pa.array(rows[i : i + SENT], pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [taken.column("vec_id"), taken.column("v"), taken.column("d"), pa.array(cells[i : i + SENT], pa.int32()), pa.array(parts[i : i + SENT], pa.int32()), taken.column("floor")],
+                    names=["vec_id", "v", "d", "cell", "shard", "floor"],
+                )
 
-        names = ["query_id", "vec_id", "score"]
-        out = ([], [], [])
-        if tree_rows.num_rows and block.num_rows:
-            ids = tree_rows.column("vec_id").to_numpy()
-            p = np.array(tree_rows.column("p").to_pylist())
-            q = np.array(block.column("q").to_pylist())
-            if np.abs(p).max(initial=0) * np.abs(q).max(initial=0) * p.shape[1] >= 2.0**53:
-                raise ValueError("components are too large for exact scores")
-            tree = KDTree(ids, p)
-            bounds = tree.bounds(q)
-            floors = block.column("floor").to_pylist()
-            for i, own in enumerate(block.column("query_id").to_pylist()):
-                for score, name in tree.search(q[i], own, k, bounds[i], -math.inf if floors[i] is None else floors[i]):
-                    out[0].append(own)
-                    out[1].append(name)
-                    out[2].append(int(score))
-        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in out], names=names)
-
-    schema = "query_id long, vec_id long, score long"
-
-    def searched(some, block_rows):
-        """Every shard with every block of the stated queries: both are copied to the pairs of their numbers."""
-        left = some.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).groupBy("d", "shard", "block")
-        return left.cogroup(block_rows.groupBy("q_d", "q_shard", "q_block")).applyInArrow(search, schema)
-
-    first = searched(dealt.where("shard = 0"), asked.withColumn("q_shard", F.lit(0)).withColumn("floor", F.lit(None).cast("double")))
-    floors = State(first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").cast("double").alias("floor")).where(F.col("n") >= k).select("query_id", "floor"), "floors")
-    to_all = asked.join(floors.df, "query_id", "left").withColumn("q_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    found = searched(dealt, to_all)
-    # Spark keeps the k first rows of a query in each task before the shuffle.
+        return run
+
+    def search(batches):
+        """Rows sorted by shard, a shard's own rows before its queries: the tree is built when the first query comes."""
+        shard, held, tree = None, [], None
+        for batch in batches:
+            column = {c: batch.column(c) for c in batch.schema.names}
+            keys = np.stack([column[c].to_numpy().astype(np.int64) for c in ("d", "cell", "shard", "query")], axis=1)
+            cuts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, len(keys)]
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if j == i:
+                    continue
+                if shard != tuple(keys[i, :3]):
+                    shard, held, tree = tuple(keys[i, :3]), [], None
+                v = _scaled(_matrix(column["v"].slice(i, j - i)), scale)
+                names = column["vec_id"].slice(i, j - i).to_numpy()
+                if not keys[i, 3]:
+                    held.append((names, v))
+                    continue
+                if not held:
+                    continue
+                if tree is None:
+                    tree = KDTree(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
+                    held = [(tree.ids, tree.points)]
+                    size = max(int(abs(x)) for x in (tree.points.max(), tree.points.min()))
+                floors = column["floor"].slice(i, j - i).to_numpy(zero_copy_only=False)
+                for at in range(0, len(v), QUERIES_BLOCK):
+                    out = ([], [], [])
+                    some = v[at : at + QUERIES_BLOCK]
+                    if size * max(int(abs(some.max())), int(abs(some.min()))) * some.shape[1] >= EXACT:
+                        found = [large_search(tree, q, own, k) for q, own in zip(some, names[at:].tolist())]
+                    else:
+                        bounds = tree.bounds(some.astype(np.float64))
+                        found = [tree.search(some[r], own, k, bounds[r], -math.inf if math.isnan(f) else f) for r, (own, f) in enumerate(zip(names[at : at + len(some)].tolist(), floors[at:].tolist()))]
+                    for own, best in zip(names[at:].tolist(), found):
+                        for score, name in best:
+                            out[0].append(own)
+                            out[1].append(name)
+                            out[2].append(max(-LONG - 1, min(LONG, int(score))))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["query_id", "vec_id", "score"])
+
+    for state in (points, placed, boxes):
+        state.drop()
+    asked = dealt.df.where(queries).select("vec_id", "v", "d", "shards")
+    no_floor = F.lit(float("nan"))
+    columns = ["vec_id", "v", "d", "cell", "shard"]
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def searched(some, first):
+        sent = some.mapInArrow(route(first), "vec_id long, v array<double>, d int, cell int, shard int, floor double")
+        # The first round reads the shards that a query goes to.
+        wanted = dealt.df.join(sent.select("d", "cell", "shard").distinct(), ["d", "cell", "shard"], "left_semi")
+        lined = wanted.select(*columns, no_floor.alias("floor"), F.lit(0).alias("query")).unionByName(sent.withColumn("query", F.lit(1)))
+        lined = lined.repartition("d", "cell", "shard").sortWithinPartitions("d", "cell", "shard", "query")
+        found = lined.mapInArrow(search, "query_id long, vec_id long, score long")
+        # Spark keeps the k first rows of a query in each task before the shuffle.
+        return State(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"), "found")
+
+    best = searched(asked.withColumn("floor", no_floor), True)
+    # A score at the end of the longs may stand for a larger one, so it bounds nothing.
+    kth = best.df.groupBy(F.col("query_id").alias("vec_id")).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth")).where((F.col("n") >= k) & (F.abs(F.col("kth").cast("double")) < EXACT))
+    rest = searched(asked.join(kth.select("vec_id", F.col("kth").cast("double").alias("floor")), "vec_id", "left").withColumn("floor", F.coalesce("floor", no_floor)), False)
+    every = best.df.union(rest.df)
+    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _by_length(rows) -> dict:
+    out = {}
+    for r in rows:
+        out.setdefault(r["d"], []).append(r)
+    return out
+
+
+def large_search(tree: KDTree, query, own, k: int) -> list:
+    """The k best (score, id) in whole numbers of any size, from all rows of the tree."""
+    points = np.array([[int(x) for x in p] for p in tree.points], dtype=object)
+    scores = points @ np.array([int(x) for x in query], dtype=object)
+    return sorted(((s, n) for s, n in zip(scores.tolist(), tree.ids.tolist()) if n != own), key=lambda x: (-x[0], x[1]))[:k]

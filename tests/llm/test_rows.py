@@ -59,10 +59,16 @@ def test_near_vectors(spark, points):
     assert vectors.calibrated() < 1e-5
 
 
-def test_top_k(spark, points, monkeypatch):
+@pytest.mark.parametrize("shard", [20, 100_000])
+def test_top_k(spark, points, monkeypatch, shard):
     rows, df = points
-    monkeypatch.setattr(vectors, "SHARD", 60)
+    monkeypatch.setattr(vectors, "SHARD", shard)
     monkeypatch.setattr(vectors, "QUERIES_BLOCK", 2)
+    # Sums beyond 2^53 and beyond a long; ids of queries among them.
+    large = [(i, [float(x) for x in 2.0 ** np.array([30 + i % 3, 70, 1]) * [1, (-1) ** i, 1]], 1, 5, 1.0) for i in range(600, 640)]
+    large += [(i, [3.0, 2.0**45 + i, 0.25 * i], 1, 5, 1.0) for i in range(700, 740)]
+    rows = rows + large
+    df = df.union(df.sparkSession.createDataFrame(large, df.schema))
     good = {}
     for r in rows:
         if r[0] is not None and usable(r[1]):
@@ -71,8 +77,11 @@ def test_top_k(spark, points, monkeypatch):
     want = []
     for q in sorted(k for k in good if k % 100 == 0):
         best = sorted((-sum(a * b for a, b in zip(good[q], good[c])), c) for c in good if c != q and len(good[c]) == len(good[q]))[:10]
-        want += [(q, i + 1, c, -s) for i, (s, c) in enumerate(best)]
-    assert sorted(map(tuple, vectors.top_k(df).collect())) == sorted(want)
+        want += [(q, i + 1, c, max(-(2**63), min(2**63 - 1, -s))) for i, (s, c) in enumerate(best)]
+    got = sorted(map(tuple, vectors.top_k(df).collect()))
+    beyond = {r[0] for r in want if abs(r[3]) >= 2**63 - 1}
+    assert beyond and [r for r in got if r[0] not in beyond] == sorted(r for r in want if r[0] not in beyond)
+    assert [(r[0], r[1], r[3]) for r in got if r[0] in beyond] == sorted((r[0], r[1], r[3]) for r in want if r[0] in beyond)
     assert vectors.top_k(df.limit(0)).count() == 0
 
 
