@@ -95,14 +95,17 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
     Rows are taken in the order of a hash of their id, so the sample is the same at every run; where the characters do
     not suffice, texts of over an eighth of them come last and only those that do not fit are left out. Labels that are neither
-    0 nor 1 and null ids are left out; of repeated labels the smaller counts. The sample's feature counts go to one
+    0 nor 1 and null ids are left out; of repeated labels the smaller counts, of documents with one id the text of the
+    least hash. The sample's feature counts go to one
     task, which trains the model: both bounds hold there. Without rows of both labels the score is their share.
     """
     order = F.xxhash64(F.col(key), F.lit(11))
     chosen = labels.where(F.col("quality").isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).cast("long").alias("id")).agg(F.min("quality").cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(rows)
     # At most `rows` rows are broadcast.
-    sample = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "id").dropDuplicates(["id"])
+    sample = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    # Of documents with one id the text of the least hash trains, wherever it lies.
+    sample = sample.groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("id", F.col("t.text").alias("text"), "y")
     state = State(sample.withColumn("n", F.coalesce(F.length("text"), F.lit(0))), "sample")
     # At most `rows` rows; a text that does not fit leaves the room to the next, and long ones come after all others.
     sizes, left, fitting = state.df.select("id", "y", "n").orderBy(F.col("n") > chars // 8, F.xxhash64("id", F.lit(11)), "id").collect(), chars, []

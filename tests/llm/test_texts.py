@@ -420,6 +420,66 @@ def test_language_model_shards_follow_the_number_of_blocks(spark, monkeypatch):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
 
 
+def test_of_documents_with_one_id_the_same_trains_under_any_partitioning(spark):
+    rows = [(i // 2, f"{'good river' if i // 2 % 2 else 'BAD BAD'} {i} " * 5) for i in range(240)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
+    models = [quality.train(spark.createDataFrame(data, "doc_id long, text string").repartition(n), labels) for data, n in ((rows, 1), (rows[::-1], 7))]
+    assert (models[0][0] == models[1][0]).all() and models[0][1] == models[1][1]
+
+
+def brute_features(raw):
+    """Buckets one by one: every gram and word of a text."""
+    bits, out = quality.BUCKETS.bit_length() - 1, Counter()
+    for i in range(len(raw) - 2):
+        a = int.from_bytes(raw[i : i + 3], "little")
+        out[(a * 2654435761 & 0xFFFFFFFF) >> 32 - bits] += 1
+        if i + 4 <= len(raw):
+            b = int.from_bytes(raw[i : i + 4], "little")
+            out[((b * 2246822519 & 0xFFFFFFFF ^ b >> 15) * 3266489917 & 0xFFFFFFFF) >> 32 - bits] += 1
+    words, _, _ = text._hash_words(raw)
+    for k, w in enumerate(words.tolist()):
+        out[w >> 64 - bits] += 1
+        out[0] += k > 0 and words[k - 1] == w
+    return +out
+
+
+def test_quality_features_training_and_scores_equal_brute_force(spark):
+    texts = ["good river stone stone", "BAD BAD BAD", "é好 the the river", "ab", "", "stone good", "BAD xx BAD"]
+    bags = [quality.bag(t) for t in texts]
+    for t, (at, count) in zip(texts, bags):
+        assert dict(zip(at.tolist(), count.tolist())) == dict(brute_features(t.encode())), t
+    y, epochs, rate, seed = [1, 0, 1, 0, 1, 1, 0], 3, 0.5, 3
+    # The same steps on dictionaries, component by component.
+    rng = np.random.default_rng(seed)
+    start = rng.uniform(-1 / quality.DIM, 1 / quality.DIM, (quality.BUCKETS, quality.DIM)).astype(np.float32)
+    output, bias, moved, done = rng.uniform(-0.5, 0.5, (2, quality.DIM)).astype(np.float32).tolist(), [0.0, 0.0], {}, 0
+    for _ in range(epochs):
+        for k in rng.permutation(len(texts)).tolist():
+            found = brute_features(texts[k].encode())
+            n, pace = sum(found.values()), rate * (1 - done / (epochs * len(texts)))
+            done += 1
+            w = {b: c / n for b, c in found.items()}
+            v = {b: moved.setdefault(b, start[b].tolist()) for b in w}
+            hidden = [sum(w[b] * v[b][j] for b in w) for j in range(quality.DIM)]
+            logit = [sum(o * h for o, h in zip(output[c], hidden)) + bias[c] for c in (0, 1)]
+            p = [np.exp(x) / sum(np.exp(logit)) for x in logit]
+            error = [p[c] - (y[k] == c) for c in (0, 1)]
+            down = [sum(error[c] * output[c][j] for c in (0, 1)) for j in range(quality.DIM)]
+            square = sum(x * x for x in w.values())
+            for c in (0, 1):
+                output[c] = [o - pace * 4 * error[c] * h for o, h in zip(output[c], hidden)]
+                bias[c] -= 0.05 * pace * error[c]
+            for b in w:
+                moved[b] = [x - w[b] * g * pace / max(square, 1e-6) for x, g in zip(v[b], down)]
+    model = quality.fit(bags, y, epochs, rate, seed)
+    for t in texts:
+        found = brute_features(t.encode())
+        n = sum(found.values())
+        z = sum(c * sum((output[1][j] - output[0][j]) * moved[b][j] for j in range(quality.DIM)) for b, c in found.items()) / max(n, 1) + bias[1] - bias[0]
+        got = quality.score(spark.createDataFrame([(t,)], "text string"), model).first()["score"]
+        assert got == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4), t
+
+
 def test_a_long_text_does_not_end_the_training_sample(spark):
     data = [(i, ("alpha beta river " if i % 2 else "zz!! qq## 0000 ") * 3, i % 2) for i in range(120)]
     docs = spark.createDataFrame([(i, t) for i, t, _ in data], "doc_id long, text string")
