@@ -254,6 +254,22 @@ def kmeans(spark, sf):
     return assigned.join(members.select("cluster", "member"), "cluster")
 
 
+@query("kmeans_round", """WITH x AS (SELECT vec_id, label, list_transform(embedding, e -> e::DOUBLE) AS v FROM embeddings),
+c AS (SELECT label, pos, avg(e) AS m FROM (SELECT label, unnest(v) AS e, unnest(range(len(v))) AS pos FROM x) GROUP BY label, pos),
+centres AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS cluster, list(m ORDER BY pos) AS c FROM c GROUP BY label),
+d AS (SELECT vec_id, cluster, list_distance(v, c) AS distance FROM x, centres),
+best AS (SELECT vec_id, cluster, distance FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, cluster) = 1)
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, round(distance, 6) AS distance FROM best""")
+def kmeans_round(spark, sf):
+    """One round of Lloyd's algorithm: each vector goes to the nearest of the means of the labels."""
+    e = V.table(spark, sf, "embeddings")
+    means = e.select("label", F.posexplode("embedding").alias("pos", "e")).groupBy("label", "pos").agg(F.avg(F.col("e").cast("double")).alias("m"))
+    centres = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("c")).orderBy("label").select("c.m")
+    # One row a label.
+    placed = C.assign(e, "vec_id", "embedding", [r["m"] for r in centres.collect()])
+    return placed.withColumn("distance", F.round("distance", 6))
+
+
 @query("threshold_clusters", """WITH x AS (SELECT s_suppkey, s_acctbal / (SELECT sum(s_acctbal) FROM supplier) AS v FROM supplier),
 g AS (SELECT s_suppkey, v, v - lag(v) OVER (ORDER BY v, s_suppkey) AS gap FROM x)
 SELECT s_suppkey, CAST(sum(CASE WHEN gap > 0.00005::DOUBLE THEN 1 ELSE 0 END) OVER (ORDER BY v, s_suppkey) AS BIGINT) AS cluster_id FROM g""")

@@ -88,18 +88,125 @@ def best_eps(df: DataFrame, key: str, vector: str, candidates: list, min_samples
     return max((count(e), e) for e in candidates)[1]
 
 
+def _vectors(batch, cosine: bool):
+    """Rows of an Arrow batch as a matrix; of unit length for the cosine (a zero vector stays zero)."""
+    import numpy as np
+
+    column = batch.column("v")
+    x = column.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+    if not cosine:
+        return x
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(length > 0, length, 1)
+
+
+def _nearest(x, centres) -> tuple:
+    """(number of the nearest centre, squared distance to it); the smaller number on a tie. Centres one by one, so that a
+    batch needs no rows x centres x components."""
+    import numpy as np
+
+    best, found = np.full(len(x), np.inf), np.zeros(len(x), np.int32)
+    for i, c in enumerate(centres):
+        d = ((x - c) ** 2).sum(axis=1)
+        near = d < best
+        best[near], found[near] = d[near], i
+    return found, best
+
+
+def assign(df: DataFrame, key: str, vector: str, centres: list, cosine: bool = False) -> DataFrame:
+    """(key, cluster, distance): number of the nearest of `centres` (k lists, sent to the tasks) and the distance to it;
+    the smaller number on a tie. For the cosine rows are scaled to unit length first. Both are null for a null vector."""
+    import numpy as np
+
+    fixed = np.array(centres, dtype=float)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                found, d = _nearest(_vectors(batch, cosine), fixed)
+                yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(found), pa.array(np.sqrt(d))], names=["k", "cluster", "distance"])
+
+    rows = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    kind = dict(rows.dtypes)["k"]
+    none = rows.where("v is null").select("k", F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("double").alias("distance"))
+    found = rows.where("v is not null").mapInArrow(run, f"k {kind}, cluster int, distance double")
+    return found.union(none).withColumnRenamed("k", key)
+
+
+def centre_means(df: DataFrame, vector: str, centres: list, cosine: bool = False) -> list:
+    """One round: the mean of the rows nearest to each centre; a centre without rows stays. Each task adds up its rows,
+    so k vectors a task are shuffled and k come back."""
+    import numpy as np
+
+    fixed = np.array(centres, dtype=float)
+
+    def run(batches):
+        import pyarrow as pa
+
+        sums, n = np.zeros_like(fixed), np.zeros(len(fixed), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                x = _vectors(batch, cosine)
+                found, _ = _nearest(x, fixed)
+                np.add.at(sums, found, x)
+                n += np.bincount(found, minlength=len(fixed))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at].tolist(), pa.list_(pa.float64())), pa.array(n[at])], names=["cluster", "s", "n"])
+
+    parts = df.select(F.col(vector).cast("array<double>").alias("v")).where("v is not null").mapInArrow(run, "cluster int, s array<double>, n long")
+    means = parts.select("cluster", "n", F.posexplode("s").alias("pos", "x")).groupBy("cluster", "pos").agg((F.sum("x") / F.sum("n")).alias("mean"))
+    out = [list(c) for c in centres]
+    for r in means.collect():
+        out[r["cluster"]][r["pos"]] = r["mean"]
+    if cosine:
+        out = [(np.array(c) / (np.linalg.norm(c) or 1)).tolist() for c in out]
+    return out
+
+
+def seeds(df: DataFrame, key: str, vector: str, k: int, cosine: bool = False, seed: int = 7) -> list:
+    """k rows as first centres, each drawn with a weight of its squared distance to the nearest one so far.
+
+    A row's draw is an exponential of that rate made from a hash of its key, the round and the seed, and the smallest one
+    wins: one aggregate a centre, the same under any partitioning. Fewer distinct vectors give fewer centres.
+    """
+    rows = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    if cosine:
+        length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x))
+        rows = rows.select("k", F.when(length > 0, F.transform("v", lambda x: x / length)).otherwise(F.col("v")).alias("v"))
+    centres = []
+    for i in range(k):
+        # 2^53 steps; never 0.
+        u = (F.shiftrightunsigned(F.xxhash64("k", F.lit(seed), F.lit(i)), 11) + F.lit(1)).cast("double") / F.lit(2.0**53)
+        weighed = rows.withColumn("w", F.lit(1.0))
+        if centres:
+            # The vector goes along with the key.
+            weighed = assign(rows.select(F.struct("k", "v").alias("r"), "v"), "r", "v", centres).select("r.k", "r.v", (F.col("distance") * F.col("distance")).alias("w"))
+        drawn = weighed.where("w > 0").agg(F.min(F.struct((-F.log(u) / F.col("w")).alias("e"), "k", "v")).alias("m")).first()["m"]
+        if drawn is None:
+            break
+        centres.append(list(drawn["v"]))
+    return centres
+
+
 def kmeans(df: DataFrame, key: str, vector: str, k: int, cosine: bool = False, seed: int = 7, max_iter: int = 20) -> tuple:
-    """(assignment (key, cluster), centroids (cluster, member, n)): Lloyd's algorithm of Spark ML; the
-    centroid member is the row nearest to its mean."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = df.select(key, array_to_vector(F.col(vector)).alias("features"), vector)
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, distanceMeasure="cosine" if cosine else "euclidean", predictionCol="cluster").fit(rows)
-    centres = df.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, _c array<double>")
-    placed = model.transform(rows).select(key, "cluster", vector)
-    far = placed.join(centres, "cluster").withColumn("_d", euclidean(F.col(vector), F.col("_c")))
-    members = far.groupBy("cluster").agg(F.min_by(key, F.struct("_d", key)).alias("member"), F.count("*").alias("n"))
+    """(assignment (key, cluster), centroids (cluster, member, n)): Lloyd's rounds from `seeds` until no mean moves or
+    `max_iter` is reached; the centroid member is the row nearest to its mean, the smaller key on a tie.
+
+    An empty cluster keeps its mean (it has no member and no row in the second table). With the cosine, rows and means
+    have unit length. Null vectors get a null cluster; an empty table gives no rows. Only k centres reach the driver.
+    """
+    centres = seeds(df, key, vector, k, cosine, seed)
+    for _ in range(max_iter):
+        moved = centre_means(df, vector, centres, cosine)
+        # Sums of floating numbers depend on their order in the last bits.
+        still = all(abs(x - y) <= 1e-12 * max(1.0, abs(x)) for a, b in zip(centres, moved) for x, y in zip(a, b))
+        centres = moved
+        if still:
+            break
+    placed = assign(df, key, vector, centres, cosine)
+    members = placed.where("cluster is not null").groupBy("cluster").agg(F.min_by(key, F.struct("distance", key)).alias("member"), F.count("*").alias("n"))
     return placed.select(key, "cluster"), members
 
 

@@ -227,6 +227,40 @@ def test_kmeans_members(spark):
     assert all(r["member"] in groups[r["cluster"]] and r["n"] == 20 for r in members.collect())
 
 
+@pytest.mark.parametrize("cosine", [False, True])
+def test_kmeans_rounds_equal_brute_force(spark, cosine):
+    g = np.random.default_rng(5)
+    x = np.vstack([g.normal(c, 0.6, (40, 3)) for c in ((0, 0, 4), (5, 0, 0), (0, 6, 1))] + [np.zeros((2, 3))])
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(500, None)]
+    df = spark.createDataFrame(rows, "k int, v array<double>")
+    starts = [U.seeds(df.repartition(n), "k", "v", 4, cosine) for n in (1, 5)]
+    assert starts[0] == starts[1] and len({tuple(c) for c in starts[0]}) == 4
+    unit = x / np.where(np.linalg.norm(x, axis=1, keepdims=True) > 0, np.linalg.norm(x, axis=1, keepdims=True), 1) if cosine else x
+    far = [[-900.0] * 3]  # nothing is near it: it keeps its mean
+    centres = starts[0] + far
+    for _ in range(3):
+        near = np.array([np.argmin([((r - np.array(c)) ** 2).sum() for c in centres]) for r in unit])
+        want = [unit[near == i].mean(axis=0) if (near == i).any() else np.array(c) for i, c in enumerate(centres)]
+        if cosine:
+            want = [c / (np.linalg.norm(c) or 1) for c in want]
+        got = U.centre_means(df.repartition(3), "v", centres, cosine)
+        assert np.allclose(got, want, atol=1e-12)
+        assert [r["cluster"] for r in U.assign(df, "k", "v", centres, cosine).orderBy("k").collect()] == [*near.tolist(), None]
+        centres = got
+    assert np.allclose(centres[4], np.array(far[0]) / (np.linalg.norm(far[0]) if cosine else 1))
+    assigned, members = U.kmeans(df, "k", "v", 4, cosine)
+    found = {r["k"]: r["cluster"] for r in assigned.collect()}
+    assert len(found) == 123 and found[500] is None and sum(r["n"] for r in members.collect()) == 122
+
+
+def test_kmeans_of_few_or_no_vectors(spark):
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(6)], "k int, v array<double>")
+    assigned, members = U.kmeans(same, "k", "v", 3)
+    assert [tuple(r) for r in members.collect()] == [(0, 0, 6)] and assigned.count() == 6
+    assigned, members = U.kmeans(same.limit(0), "k", "v", 3)
+    assert assigned.count() == members.count() == 0
+
+
 @pytest.mark.parametrize("parts", [1, 4, 17])
 def test_masks_hold_and_do_not_depend_on_partitions(spark, parts):
     seqs = peptides(50, seed=12)
