@@ -254,7 +254,7 @@ def kmeans(spark, sf):
     return assigned.join(members.select("cluster", "member"), "cluster")
 
 
-@query("kmeans_round", """WITH x AS (SELECT vec_id, label, list_transform(embedding, e -> e::DOUBLE) AS v FROM embeddings),
+@query("kmeans_round", """WITH x AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 c AS (SELECT label, pos, avg(e) AS m FROM (SELECT label, unnest(v) AS e, unnest(range(len(v))) AS pos FROM x) GROUP BY label, pos),
 centres AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS cluster, list(m ORDER BY pos) AS c FROM c GROUP BY label),
 d AS (SELECT vec_id, cluster, list_distance(v, c) AS distance FROM x, centres),
