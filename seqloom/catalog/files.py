@@ -139,7 +139,7 @@ def incremental_scoring(spark, sf):
     path = scratch_path(spark, "scores")
     s = file_stream(spark, sf, "documents").select("doc_id", V.residues_of(F.col("text")).alias("sequence"))
     N.incremental_scoring(s, "charge", f"{path}/table", f"{path}/checkpoint", "doc_id").awaitTermination()
-    return spark.read.parquet(f"{path}/table").select("doc_id", F.round("charge_score", 6).alias("charge_score"))
+    return N.scored(spark, f"{path}/table", "doc_id").select("doc_id", F.round("charge_score", 6).alias("charge_score"))
 
 
 def _windows(spark, sf, mode="update", **options):

@@ -207,6 +207,13 @@ def distance_between(spark, sf):
     return rounded(S.distance_between(labels40(spark, sf), references(spark, sf), MATRIX, "k", "n_nationkey"))
 
 
+@query("nearest_by_distance", V.with_views(LABELS, REFS, CROSS, body=f"""SELECT k, n_nationkey, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY distance, n_nationkey) AS rank FROM (SELECT k, n_nationkey, round(sum({dist_sql('x', 'y')}), 9) AS distance FROM v_x GROUP BY ALL)) WHERE rank <= 3"""))
+def nearest_by_distance(spark, sf):
+    near = S.nearest_by_distance(labels40(spark, sf), references(spark, sf), MATRIX, "k", "n_nationkey", 3)
+    return near.withColumn("distance", F.round("distance", 6))
+
+
 CODES = slot_codes("H", "kabat_vernier")[:V.WIDTH]
 SLOTS = f"(SELECT unnest(range(1, 41)) AS pos, unnest([{','.join(str(c) for c in CODES)}]) AS code) s"
 

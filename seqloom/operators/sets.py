@@ -19,11 +19,9 @@ def vstack(a: DataFrame, b: DataFrame, key: str, overwrite: bool = False) -> Dat
 
 def intersect_all(frames: list, column: str) -> DataFrame:
     """Values present in every frame, in one pass over their union."""
-    tagged = reduce(
-        lambda a, b: a.union(b), [f.select(column, F.lit(2**i).cast("bigint").alias("_i")) for i, f in enumerate(frames)]
-    )
-    hits = tagged.groupBy(column).agg(F.bit_or("_i").alias("m"))
-    return hits.where(F.col("m") == 2 ** len(frames) - 1).select(column)
+    tagged = reduce(lambda a, b: a.union(b), [f.select(column, F.lit(i).alias("_i")) for i, f in enumerate(frames)])
+    hits = tagged.distinct().groupBy(column).agg(F.count("*").alias("n"))
+    return hits.where(F.col("n") == len(frames)).select(column)
 
 
 def except_sets(pool: DataFrame, sets: list, key: str) -> DataFrame:

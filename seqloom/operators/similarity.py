@@ -10,7 +10,8 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from seqloom import constants as K
 from seqloom.functions.sequences import let
@@ -277,45 +278,95 @@ def matrix_from_scale(scale: dict, gap: float = 1.0) -> dict:
     return out
 
 
-def distance_between(
-    a: DataFrame, b: DataFrame, matrix: dict, key_a: str, key_b: str, aligned: str = "aligned",
-    columns: list = None, rows_per_block: int = 2000, alphabet: str = K.RESIDUES + K.GAP,
-) -> DataFrame:
-    """Distances of all rows of `a` to all rows of `b`: (key_a, key_b, distance).
+def _block_products(a, b, key_a, key_b, matrix, aligned, columns, rows_per_block, alphabet, result, schema) -> DataFrame:
+    """`result(keys_a, keys_b, distances)` of every block pair; a block holds about `rows_per_block` rows of either side.
 
-    Both sides are cut into blocks of about `rows_per_block`; one task computes one block pair as
-    a matrix product of one-hot rows. `columns` limits the sum to some 0-based columns.
+    One task computes one block pair as a matrix product of one-hot rows. The rows of `b` come in the order of their keys.
     """
-    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
-    blocks = lambda df: max(1, -(-df.count() // rows_per_block))
-    na, nb = blocks(a), blocks(b)
+    tag = lambda df, side: df.select(F.lit(side).alias("side"))
+    sizes = {r["side"]: r["count"] for r in tag(a, "a").union(tag(b, "b")).groupBy("side").count().collect()}
+    na, nb = (max(1, -(-sizes.get(side, 0) // rows_per_block)) for side in "ab")
     place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = a.select(F.col(key_a), F.col(aligned).alias("_s"), place(key_a, na).alias("_i"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("_j"))
-    right = b.select(F.col(key_b), F.col(aligned).alias("_s"), place(key_b, nb).alias("_j"), F.explode(F.sequence(F.lit(0), F.lit(na - 1))).alias("_i"))
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = a.select(F.col(key_a).alias("_k"), F.col(aligned).alias("_s"), place(key_a, na).alias("_i"), copies(nb).alias("_j"))
+    right = b.select(F.col(key_b).alias("_k"), F.col(aligned).alias("_s"), place(key_b, nb).alias("_j"), copies(na).alias("_i"))
     table = np.array([[matrix[(x, y)] for y in alphabet] for x in alphabet], dtype="float64")
     code = np.full(256, -1, dtype="int64")
     for i, c in enumerate(alphabet):
         code[ord(c)] = i
 
     def encode(texts):
-        m = np.vstack([code[np.frombuffer(s.encode("ascii"), dtype="uint8")] for s in texts])
+        joined = "".join(texts.to_pylist()).encode("ascii")
+        m = code[np.frombuffer(joined, dtype="uint8")].reshape(len(texts), -1)
         return m if columns is None else m[:, columns]
 
-    def one_block(x, y):
+    def one_block(x: pa.Table, y: pa.Table) -> pa.Table:
         if not len(x) or not len(y):
-            return pd.DataFrame({key_a: x[key_a][:0], key_b: y[key_b][:0], "distance": pd.Series(dtype="float64")})
+            return empty
+        y = y.take(pc.sort_indices(y["_k"]))
         mx, my = encode(x["_s"]), encode(y["_s"])
-        rows = table[mx].reshape(len(x), -1)
-        hot = np.eye(len(alphabet))[my].reshape(len(y), -1)
-        d = rows @ hot.T
-        return pd.DataFrame(
-            {key_a: np.repeat(x[key_a].to_numpy(), len(y)), key_b: np.tile(y[key_b].to_numpy(), len(x)), "distance": d.ravel()}
-        )
+        hot = np.zeros((my.size, len(alphabet)))
+        hot[np.arange(my.size), my.ravel()] = 1
+        d = table[mx].reshape(len(x), -1) @ hot.reshape(len(y), -1).T
+        return result(x["_k"].combine_chunks(), y["_k"].combine_chunks(), d)
+
+    empty = to_arrow_schema(schema).empty_table()
+    return left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInArrow(one_block, schema)
+
+
+def distance_between(
+    a: DataFrame, b: DataFrame, matrix: dict, key_a: str, key_b: str, aligned: str = "aligned",
+    columns: list = None, rows_per_block: int = 2000, alphabet: str = K.RESIDUES + K.GAP,
+) -> DataFrame:
+    """Distances of all rows of `a` to all rows of `b`: (key_a, key_b, distance).
+
+    `columns` limits the sum to some 0-based columns. The result is the product of both sides by definition; where only
+    the nearest rows are wanted, `nearest_by_distance` leaves no pair table.
+    """
+    import pyarrow as pa
+
+    def every(ka, kb, d):
+        i, j = np.divmod(np.arange(d.size), len(kb))
+        return pa.table({key_a: ka.take(pa.array(i)), key_b: kb.take(pa.array(j)), "distance": d.ravel()})
+
+    schema = StructType([a.schema[key_a], b.schema[key_b], StructField("distance", DoubleType())])
+    return _block_products(a, b, key_a, key_b, matrix, aligned, columns, rows_per_block, alphabet, every, schema)
+
+
+def nearest_by_distance(
+    a: DataFrame, b: DataFrame, matrix: dict, key_a: str, key_b: str, k: int = 1, aligned: str = "aligned",
+    columns: list = None, rows_per_block: int = 2000, alphabet: str = K.RESIDUES + K.GAP,
+) -> DataFrame:
+    """The `k` nearest rows of `b` of every row of `a`: (key_a, key_b, distance, rank from 1); all, if there are fewer.
+
+    Ties go to the smaller key of `b`; distances are compared after rounding to nine places, as sums of one block shape
+    differ from those of another in the last bits. Every block pair hands on its k nearest a row, which are ranked again:
+    rows of `a` x blocks of `b` x k are shuffled, not the pairs. Keys are unique on either side. Without rows on one side
+    the result is empty.
+    """
+    import pyarrow as pa
 
-    types = {**dict(a.dtypes), **dict(b.dtypes)}
-    schema = f"{key_a} {types[key_a]}, {key_b} {types[key_b]}, distance double"
-    return left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInPandas(one_block, schema)
+    def nearest(ka, kb, d):
+        d = np.round(d, 9)
+        if k == 1:
+            i, j = np.arange(len(d)), d.argmin(axis=1)  # the first of equal ones has the smallest key
+        else:
+            limit = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if k < d.shape[1] else np.inf
+            i, j = np.nonzero(d <= limit)
+            order = np.lexsort((j, d[i, j], i))
+            i, j = i[order], j[order]
+            first = np.searchsorted(i, np.arange(len(d)))
+            kept = np.arange(len(i)) - first[i] < k
+            i, j = i[kept], j[kept]
+        return pa.table({key_a: ka.take(pa.array(i)), key_b: kb.take(pa.array(j)), "distance": d[i, j]})
+
+    schema = StructType([a.schema[key_a], b.schema[key_b], StructField("distance", DoubleType())])
+    parts = _block_products(a, b, key_a, key_b, matrix, aligned, columns, rows_per_block, alphabet, nearest, schema)
+    best = Window.partitionBy(key_a).orderBy("distance", key_b)
+    return parts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def pairwise(a: DataFrame, b: DataFrame, fn, key_a: str, key_b: str, text: str = "aligned", blocks: int = 8, name: str = "value") -> DataFrame:

@@ -3,36 +3,53 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from seqloom.operators import joins as J, scoring as C
+from seqloom.operators import ordered as O, scoring as C
+
+
+#: A sequence that very many keys share reaches its state through so many places.
+SALTS = 16
+
+
+class Running:
+    """Streaming queries that belong together."""
+
+    def __init__(self, *queries: StreamingQuery):
+        self.queries = queries
+
+    def awaitTermination(self) -> None:
+        for q in self.queries:
+            q.awaitTermination()
 
 
 def incremental_scoring(
     stream: DataFrame, scorers: str, table: str, checkpoint: str, key: str = "name", sequence: str = "sequence"
-) -> StreamingQuery:
-    """Scores every new sequence once and appends (key, sequence, scores) to `table`.
+) -> Running:
+    """Scores every sequence of the stream once, however many keys and batches bring it; `scored` reads the result.
 
-    Each micro-batch drops keys that are already stored, takes scores of known sequences from the
-    table and computes the rest. A batch writes its own folder, so a replayed batch after a
-    failure overwrites itself; progress resumes from the checkpoint.
+    What was seen is keyed state, so a batch reads no earlier rows: `table/keys` gets each new (key, sequence) and
+    `table/scores` each new sequence with its scores. Both are append-only; a batch writes its own folder, so one that is
+    replayed after a failure overwrites itself, and progress resumes from the checkpoint. The state keeps all keys and
+    sequences; set `spark.sql.streaming.stateStore.providerClass` to the RocksDB provider to hold it on disk.
     """
-    names = [f"{n}_score" for n in C.resolve(scorers)]
-
-    def run(batch: DataFrame, batch_id: int):
-        spark = batch.sparkSession
-        rows = batch.groupBy(key).agg(F.max(sequence).alias(sequence))
-        if batch_id > 0:
-            # Earlier batches are committed, so their folders are complete.
-            done = spark.read.parquet(table).where(F.col("batch") < batch_id).drop("batch")
-            rows = rows.join(done.select(key), key, "left_anti")
-            cache = done.groupBy(F.col(sequence).alias("seq")).agg(F.first(F.struct(*names)).alias("hit"))
-            filled, pending = J.fill_from_cache(rows, done, cache, key, [sequence], "hit")
-            reused = filled.select(key, sequence, *[F.col(f"{sequence}_hit.{n}").alias(n) for n in names])
-            out = reused.unionByName(C.score_distinct(pending, scorers, sequence).select(key, sequence, *names))
-        else:
-            out = C.score_distinct(rows, scorers, sequence).select(key, sequence, *names)
-        out.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
-
-    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    keys = stream.select(key, sequence).dropDuplicates([key, sequence])
+    salt = F.pmod(F.xxhash64(key), F.lit(SALTS)).alias("_salt")
+    each = stream.select(sequence, salt).dropDuplicates([sequence, "_salt"]).select(sequence).dropDuplicates([sequence])
+
+    def start(rows: DataFrame, name: str, done) -> StreamingQuery:
+        def save(batch: DataFrame, batch_id: int):
+            done(batch).write.mode("overwrite").parquet(f"{table}/{name}/batch={batch_id}")
+
+        write = rows.writeStream.foreachBatch(save).option("checkpointLocation", f"{checkpoint}/{name}")
+        return write.trigger(availableNow=True).start()
+
+    return Running(start(keys, "keys", lambda b: b), start(each, "scores", lambda b: C.score_batch(b, scorers, sequence)))
+
+
+def scored(spark: SparkSession, table: str, key: str = "name", sequence: str = "sequence") -> DataFrame:
+    """(key, sequence, scores) of all batches. Of several sequences of one key the greatest counts, whichever batch
+    brought it; null counts only where the key has no other."""
+    keys = spark.read.parquet(f"{table}/keys").groupBy(key).agg(F.max(sequence).alias(sequence))
+    return O.join_on(keys, spark.read.parquet(f"{table}/scores").drop("batch"), [sequence])
 
 
 def windowed_metrics(

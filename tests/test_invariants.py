@@ -126,6 +126,30 @@ def test_identity_matrix_and_distances(spark):
         assert v == pytest.approx(sum(m[(x, y)] for x, y in zip(rows[i][1], rows[j][1])))
 
 
+@pytest.mark.parametrize("k", [1, 3, 40])
+def test_nearest_by_distance_brute_force(spark, k):
+    r = random.Random(5)
+    text = lambda: "".join(r.choice("AC-") for _ in range(5))  # noqa: E731  (many ties)
+    a, b = [(f"a{i}", text()) for i in range(30)], [(i, text()) for i in range(23)]
+    left, right = spark.createDataFrame(a, "x string, aligned string"), spark.createDataFrame(b, "y int, aligned string")
+    m = S.matrix_from_scale(K.KYTE_DOOLITTLE)
+    want = set()
+    for x, s in a:
+        near = sorted((round(sum(m[p] for p in zip(s, t)), 9), y) for y, t in b)[:k]
+        want |= {(x, y, d, n + 1) for n, (d, y) in enumerate(near)}
+    for rows in (5, 2000):
+        got = {(z["x"], z["y"], z["distance"], z["rank"]) for z in S.nearest_by_distance(left, right, m, "x", "y", k, rows_per_block=rows).collect()}
+        assert got == want
+    assert S.nearest_by_distance(left, right.limit(0), m, "x", "y", k).count() == 0
+
+
+def test_intersect_all_of_many_lists(spark):
+    from seqloom.operators import sets as T
+
+    lists = [spark.range(i % 3, 9).withColumnRenamed("id", "k") for i in range(70)]
+    assert sorted(r["k"] for r in T.intersect_all(lists, "k").collect()) == list(range(2, 9))
+
+
 def test_similar_pairs_brute_force(spark):
     r = random.Random(11)
     base = "".join(r.choice(K.RESIDUES) for _ in range(40))

@@ -6,25 +6,42 @@ from seqloom.operators import scoring as C
 from seqloom.streaming import jobs as N
 
 
-def test_incremental_scoring_in_parts(spark, tmp_path):
-    parts = [[("a", "MKTAYK"), ("b", "DDEE")], [("c", "MKTAYK"), ("a", "MKTAYK")], [("d", "RRRR")]]
-    src, table, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
-    schema = "name string, sequence string"
-
-    def run():
-        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-        N.incremental_scoring(stream, "charge", table, state).awaitTermination()
-        return {(r["name"], r["sequence"], round(r["charge_score"], 9)) for r in spark.read.parquet(table).collect()}
-
-    for p in parts[:2]:
-        spark.createDataFrame(p, schema).coalesce(1).write.mode("append").parquet(src)
-    first = run()
-    spark.createDataFrame(parts[2], schema).coalesce(1).write.mode("append").parquet(src)
-    both = run()
-    every = spark.createDataFrame([r for p in parts for r in p], schema).distinct()
-    want = {(r["name"], r["sequence"], round(r["charge_score"], 9)) for r in C.score_batch(every, "charge").collect()}
-    assert first < both == want
-    assert spark.read.parquet(table).count() == 4
+SCHEMA = "name string, sequence string"
+
+
+def _score(spark, src, at):
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+    N.incremental_scoring(stream, "charge", f"{at}/out", f"{at}/state").awaitTermination()
+    return sorted(map(tuple, N.scored(spark, f"{at}/out").collect()), key=str)
+
+
+def test_incremental_scoring_does_not_depend_on_the_batches(spark, tmp_path):
+    rows = [("a", "MKTAYK"), ("b", "DDEE"), ("c", "MKTAYK"), ("a", "MKTAYK"), ("d", "RRRR"), ("b", "KK"), ("e", None), ("f", ""), ("b", "DDEE"), (None, "RRRR")]
+    rows += [(f"n{i}", "MKTAYK") for i in range(60)]
+    got = {}
+    for n in (1, 3, 7):
+        src = str(tmp_path / f"in{n}")
+        for i in range(n):
+            spark.createDataFrame(rows[i::n], SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        got[n] = _score(spark, src, tmp_path / f"job{n}")
+        assert spark.read.parquet(f"{tmp_path}/job{n}/out/scores").count() == 6  # each sequence once
+    assert got[1] == got[3] == got[7]
+    want = dict(sorted(((k, s) for k, s in rows), key=lambda r: r[1] or ""))
+    assert {r[0]: r[1] for r in got[1]} == want
+    scores = {r["sequence"]: r["charge_score"] for r in C.score_batch(spark.createDataFrame(rows, SCHEMA), "charge").collect()}
+    assert all(r[2] == scores[r[1]] for r in got[1])
+
+
+def test_a_later_batch_reads_no_earlier_rows(spark, tmp_path):
+    src, out = str(tmp_path / "in"), tmp_path / "job" / "out"
+    for rows in ([("a", "MKTAYK"), ("b", "DDEE")], [("a", "MKTAYK"), ("c", "DDEE"), ("d", "RRRR")]):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        _score(spark, src, tmp_path / "job")
+        for name in ("keys", "scores"):  # what is stored is moved out of the job's sight
+            (out / name).rename(tmp_path / f"{name}-{len(list(tmp_path.iterdir()))}")
+    last = {n: max(p for p in tmp_path.iterdir() if p.name.startswith(f"{n}-")) for n in ("keys", "scores")}
+    assert sorted(r["name"] for r in spark.read.parquet(str(last["keys"])).collect()) == ["c", "d"]
+    assert [r["sequence"] for r in spark.read.parquet(str(last["scores"])).collect()] == ["RRRR"]
 
 
 def test_counters_in_update_mode(spark, tmp_path):
