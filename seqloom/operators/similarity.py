@@ -278,17 +278,24 @@ def matrix_from_scale(scale: dict, gap: float = 1.0) -> dict:
     return out
 
 
+#: Block pairs beyond so many share tasks.
+MAX_TASKS = 20_000
+
+
 def _block_products(a, b, key_a, key_b, matrix, aligned, columns, rows_per_block, alphabet, result, schema) -> DataFrame:
-    """`result(keys_a, keys_b, distances)` of every block pair; a block holds about `rows_per_block` rows of either side.
+    """`result(keys_a, keys_b, distances)` of every block pair; a block holds about `rows_per_block` rows of `b` and as many
+    of `a`, or up to 16 times as many where `b` has only few.
 
-    One task computes one block pair as a matrix product of one-hot rows. The rows of `b` come in the order of their keys.
+    One task computes one block pair as matrix products of one-hot rows, `rows_per_block` rows of `a` at a time. The rows of
+    `b` come in the order of their keys.
     """
     import pyarrow as pa
     import pyarrow.compute as pc
 
     tag = lambda df, side: df.select(F.lit(side).alias("side"))
     sizes = {r["side"]: r["count"] for r in tag(a, "a").union(tag(b, "b")).groupBy("side").count().collect()}
-    na, nb = (max(1, -(-sizes.get(side, 0) // rows_per_block)) for side in "ab")
+    long = rows_per_block * max(1, min(16, rows_per_block // max(1, sizes.get("b", 0))))
+    na, nb = max(1, -(-sizes.get("a", 0) // long)), max(1, -(-sizes.get("b", 0) // rows_per_block))
     place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = a.select(F.col(key_a).alias("_k"), F.col(aligned).alias("_s"), place(key_a, na).alias("_i"), copies(nb).alias("_j"))
@@ -307,14 +314,20 @@ def _block_products(a, b, key_a, key_b, matrix, aligned, columns, rows_per_block
         if not len(x) or not len(y):
             return empty
         y = y.take(pc.sort_indices(y["_k"]))
-        mx, my = encode(x["_s"]), encode(y["_s"])
+        my = encode(y["_s"])
         hot = np.zeros((my.size, len(alphabet)))
         hot[np.arange(my.size), my.ravel()] = 1
-        d = table[mx].reshape(len(x), -1) @ hot.reshape(len(y), -1).T
-        return result(x["_k"].combine_chunks(), y["_k"].combine_chunks(), d)
+        hot, keys, parts = hot.reshape(len(y), -1).T, y["_k"].combine_chunks(), []
+        for at in range(0, len(x), rows_per_block):
+            some = x.slice(at, rows_per_block)
+            d = table[encode(some["_s"])].reshape(len(some), -1) @ hot
+            parts.append(result(some["_k"].combine_chunks(), keys, d))
+        return pa.concat_tables(parts)
 
     empty = to_arrow_schema(schema).empty_table()
-    return left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInArrow(one_block, schema)
+    # The work grows with pairs, not bytes, so partitions are counted in blocks and not merged by size.
+    spread = lambda df: df.repartition(min(na * nb, MAX_TASKS), "_i", "_j").groupBy("_i", "_j")
+    return spread(left).cogroup(spread(right)).applyInArrow(one_block, schema)
 
 
 def distance_between(
