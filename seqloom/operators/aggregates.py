@@ -42,7 +42,7 @@ def aggregate_activity(df: DataFrame, key: str = "sequence") -> DataFrame:
 def summarize_metrics(df: DataFrame, columns: list) -> DataFrame:
     """Long table (metric, n, mean, std, median, min, max); nulls and NaN dropped, booleans as 0/1.
 
-    A column without values keeps its row with n = 0.
+    A column without values keeps its row with n = 0. The median is exact; only values near it are shuffled.
     """
     doubles = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns]
     wide = df.select(*doubles)
@@ -51,10 +51,10 @@ def summarize_metrics(df: DataFrame, columns: list) -> DataFrame:
         for c in columns
     ]
     base = wide.agg(F.array(*parts).alias("r")).select(F.inline("r"))
-    long = wide.unpivot([], columns, "metric", "v")
-    median = O.quantiles(long, "v", {"median": 0.5}, ["metric"])
+    near = O.bracketed(wide, columns, 0.5).withColumnRenamed("column", "metric")
+    median = O.quantiles(near, "value", {"median": 0.5}, ["metric"], count="n")
     return (
-        base.join(median, "metric", "left")
+        base.join(median, "metric", "left").withColumn("median", O.at_quantile("median", "min", "max"))
         .select("metric", F.coalesce("n", F.lit(0)).alias("n"), "mean", "std", "median", "min", "max")
     )
 

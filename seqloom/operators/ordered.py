@@ -265,5 +265,39 @@ def quantiles(df: DataFrame, value, probs: dict, by: list = (), interpolate: boo
     return grouped.agg(*out)
 
 
+#: Relative rank error of the sketch that brackets a quantile.
+SKETCH_ERROR = 0.001
+
+
+def bracketed(df: DataFrame, columns: list, p: float) -> DataFrame:
+    """(column, value, n): counts of the double `columns` from which `quantiles` gives the exact quantile `p` of each.
+
+    A mergeable sketch of each column gives two values around the quantile; rows below and above count as infinite
+    ones, so that of a column only the values between them are shuffled, about 4 `SKETCH_ERROR` of all, and one row a
+    partition for the rest. Nulls don't count. The sketch's rank error is at most half the room left on either side, so
+    the quantile lies inside; `at_quantile` raises an error rather than give an infinite value that isn't in the data.
+    """
+    room = 2 * SKETCH_ERROR
+    sides = [max(0.0, p - room), min(1.0, p + room)]
+    bounds = df.agg(F.struct(*[
+        F.struct(
+            (F.percentile_approx(c, F.lit(sides[0]), F.lit(round(1 / SKETCH_ERROR))) if sides[0] else F.min(c)).alias("lo"),
+            (F.percentile_approx(c, F.lit(sides[1]), F.lit(round(1 / SKETCH_ERROR))) if sides[1] < 1 else F.max(c)).alias("hi"),
+        ).alias(f"_{i}") for i, c in enumerate(columns)
+    ])).scalar()
+    far = lambda c, b: F.when(F.col(c) < b["lo"], float("-inf")).when(F.col(c) > b["hi"], float("inf")).otherwise(F.col(c))
+    cut = df.withColumn("_q", bounds).select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), far(c, F.col("_q")[f"_{i}"]).alias("value")) for i, c in enumerate(columns)
+    ])))
+    return cut.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count("*").alias("n"))
+
+
+def at_quantile(value: str, low: str, high: str) -> Column:
+    """`value`, checked: it must lie between the column's own least and greatest value (NaN: between two infinite ones)."""
+    infinite = F.greatest(F.abs(low), F.abs(high)) == float("inf")
+    outside = ((F.col(value) < F.col(low)) | (F.col(value) > F.col(high))) & ~(F.isnan(value) & infinite)
+    return F.when(outside, F.raise_error(F.lit("a sketch missed its quantile"))).otherwise(F.col(value))
+
+
 def union_all(frames: list) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)

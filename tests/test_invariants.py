@@ -143,6 +143,34 @@ def test_nearest_by_distance_brute_force(spark, k):
     assert S.nearest_by_distance(left, right.limit(0), m, "x", "y", k).count() == 0
 
 
+def test_median_from_a_bracket_is_exact(spark):
+    from seqloom.operators import aggregates as G, ordered as O
+
+    r = random.Random(8)
+    n = 20001
+    odd = [None, float("nan"), 0.0]
+    rows = [(r.gauss(0, 1), float(r.randint(0, 3)), 5.0 if i % 3 else -1e9 * i, odd[i % 3] if i < 5 else None, None) for i in range(n)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double").repartition(13)
+    got = {x["metric"]: (x["n"], x["median"]) for x in G.summarize_metrics(df, list("abcde")).collect()}
+    for i, c in enumerate("abc"):
+        assert got[c] == (n, sorted(x[i] for x in rows)[n // 2])
+    assert got["d"] == (1, 0.0) and got["e"] == (0, None)
+    half = df.limit(2 * (n // 2))
+    assert G.summarize_metrics(half, ["b"]).first()["median"] in (1.0, 1.5, 2.0)
+    # Of 20,001 values of `a` only those near the median are rows.
+    assert O.bracketed(df.select("a"), ["a"], 0.5).count() < 0.01 * n
+    ends = [(O.bracketed(df.select("a"), ["a"], p), p) for p in (0.0, 0.001, 0.9, 1.0)]
+    want = sorted(x[0] for x in rows)
+    for near, p in ends:
+        assert O.quantiles(near, "value", {"q": p}, ["column"], interpolate=False, count="n").first()["q"] == want[int((n - 1) * p)]
+    inf = float("inf")
+    ends = spark.createDataFrame([(inf, -inf), (inf, -inf), (1.0, 2.0)], "a double, b double")
+    got = {x["metric"]: x["median"] for x in G.summarize_metrics(ends, ["a", "b"]).collect()}
+    assert not math.isfinite(got["a"]) and not math.isfinite(got["b"])
+    empty = G.summarize_metrics(df.limit(0), ["a"]).first()
+    assert empty["n"] == 0 and empty["median"] is None
+
+
 def test_intersect_all_of_many_lists(spark):
     from seqloom.operators import sets as T
 
