@@ -125,7 +125,7 @@ def _hits_by_automaton(texts: DataFrame, table: DataFrame, key: str, sequence: s
             if out:
                 yield made()
 
-    return texts.select(key, F.col(sequence).cast("string")).mapInArrow(run, schema)
+    return texts.select(key, F.col(sequence).cast("string").alias("_text")).mapInArrow(run, schema)
 
 
 def _hits_by_head(texts: DataFrame, table: DataFrame, key: str, sequence: str, extra: list) -> DataFrame:
