@@ -16,7 +16,7 @@ from pyspark.sql.types import BooleanType
 from seqloom import constants as K
 from seqloom.functions.sequences import letters
 from seqloom.operators import ordered as O
-from seqloom.operators.fragments import text_windows
+from seqloom.operators.fragments import text_blocks, text_windows
 from seqloom.operators.storage import cut_lineage
 
 HEAD = 5
@@ -231,15 +231,24 @@ def free_mask(region: Column) -> Column:
     return F.transform(letters(region), lambda c: c == "0")
 
 
+#: Letters of a text that meet the spans on them in one row.
+WINDOW_BLOCK = 1024
+
+
 def motif_windows(texts: DataFrame, spans: DataFrame, key: str, sequence: str = "sequence", width: int = 15) -> DataFrame:
-    """Text of `width` letters around the centre of each span, '-' outside the sequence; 1-based columns."""
-    half = width // 2
+    """Text of `width` letters around the centre of each span, '-' outside the sequence; 1-based columns.
+
+    Spans meet blocks of their text and cut their windows out of them: every text is shuffled once, not every position.
+    """
+    half, size = width // 2, max(WINDOW_BLOCK, width)
     pad = F.lit(K.GAP * half)
     padded = texts.select(key, F.concat(pad, F.col(sequence), F.lit(K.GAP * (width - 1 - half))).alias("_t"))
-    windows = text_windows(padded, key, "_t", width).where(F.length("window") == width)
+    blocks = text_blocks(padded, [key], "_t", size, width - 1).drop("_own")
     centred = spans.withColumn("_c", F.floor((F.col("start") + F.col("end") - 1) / 2))
-    return centred.join(windows.withColumnRenamed("start", "_c"), [key, "_c"]).select(
-        key, "motif", (F.col("start") + 1).alias("motif_start"), F.col("end").alias("motif_end"), (F.col("_c") + 1).alias("motif_center"), "window"
+    centred = centred.where("_c >= 0").withColumn("_i", F.floor(F.col("_c") / size).cast("int"))
+    window = F.substr("_b", (F.col("_c") - F.col("_i") * F.lit(size) + 1).cast("int"), F.lit(width))
+    return centred.join(blocks, [key, "_i"]).where(F.length(window) == width).select(
+        key, "motif", (F.col("start") + 1).alias("motif_start"), F.col("end").alias("motif_end"), (F.col("_c") + 1).alias("motif_center"), window.alias("window")
     )
 
 

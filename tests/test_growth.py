@@ -33,3 +33,21 @@ def test_columns_of_uneven_texts(spark):
         assert c["same"] == sum(p == q for p, q in both)
         assert c["one"] == sum(q is not None and "-" in (p, q) for p, q in both)
         assert c["mutations"] == sum(p == "X" or None not in (p, q) and p != q for p, q in z)
+
+
+def test_windows_are_cut_out_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(M, "WINDOW_BLOCK", 8)
+    r = random.Random(2)
+    texts = [(i, "".join(r.choice("ACDé") for _ in range(r.choice([0, 1, 7, 8, 9, 40])))) for i in range(40)] + [(7, "ACDA"), (None, "ACAC")]
+    spans = [(i, s, s + n, "m") for i in list(range(40)) + [None] for s in range(-2, 42, 3) for n in (1, 2, 5)]
+    t = spark.createDataFrame(texts, "k int, sequence string")
+    got = M.motif_windows(t, spark.createDataFrame(spans, "k int, start long, end long, motif string"), "k", width=6)
+    plan = got._jdf.queryExecution().toString()
+    assert "sequence(1," not in plan  # no row a position
+    want = []
+    for k, s, e, _ in spans:
+        c = (s + e - 1) // 2
+        for j, x in texts:
+            if j == k is not None and 0 <= c < len(x):
+                want.append((k, s + 1, e, c + 1, ("---" + x + "--")[c : c + 6]))
+    assert sorted(tuple(x[c] for c in ("k", "motif_start", "motif_end", "motif_center", "window")) for x in got.collect()) == sorted(want)
