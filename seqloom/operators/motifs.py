@@ -2,8 +2,8 @@
 
 Exact motifs are found by one automaton over all of them (Aho-Corasick), in one pass over each text where it lies, so
 no position becomes a row and nothing is shuffled. A table of more letters than AUTOMATON_LETTERS is not sent to the
-tasks; its motifs are found by an equi-join on the first letters of every text position. Coverage is counted over distinct
-(text, position) rows; no list of positions is built.
+tasks; its motifs are found by an equi-join on the first letters of every text position. Coverage is a
+table of disjoint runs, swept over the ends of the spans; no position is a row.
 """
 
 import re
@@ -87,6 +87,19 @@ def exact_hits(texts: DataFrame, motifs: DataFrame, key: str, sequence: str = "s
     return find(texts, table, key, sequence, list(extra))
 
 
+def _automaton(rows: list):
+    """Automaton over rows (motif, ...); a motif gives its length and its rows."""
+    import ahocorasick
+
+    automaton, by_motif = ahocorasick.Automaton(), {}
+    for motif, *rest in rows:
+        by_motif.setdefault(motif, []).append((motif, *rest))
+    for motif, found in by_motif.items():
+        automaton.add_word(motif, (len(motif), found))
+    automaton.make_automaton()
+    return automaton
+
+
 def _hits_by_automaton(texts: DataFrame, table: DataFrame, key: str, sequence: str, extra: list) -> DataFrame:
     rows = [tuple(r) for r in table.collect()]  # at most AUTOMATON_LETTERS
     if not rows:
@@ -97,15 +110,9 @@ def _hits_by_automaton(texts: DataFrame, table: DataFrame, key: str, sequence: s
     schema = ", ".join([f"`{key}` {types[key]}, start bigint, end bigint, motif string", *(f"`{c}` {types[c]}" for c in extra)])
 
     def run(batches):
-        import ahocorasick
         import pyarrow as pa
 
-        automaton, by_motif = ahocorasick.Automaton(), {}
-        for motif, *rest in sent.value:
-            by_motif.setdefault(motif, []).append((motif, *rest))
-        for motif, found in by_motif.items():
-            automaton.add_word(motif, (len(motif), found))
-        automaton.make_automaton()
+        automaton = _automaton(sent.value)
         for batch in batches:
             at, out = [], []
 
@@ -173,22 +180,86 @@ def covered_positions(spans: DataFrame, key: str) -> DataFrame:
     return spans.select(key, F.explode(F.sequence("start", F.col("end") - 1)).alias("pos")).distinct()
 
 
-def coverage(texts: DataFrame, active: DataFrame, negative: DataFrame, key: str, sequence: str = "sequence") -> DataFrame:
-    """(key, pos, active, negative) for every position under a span of either set."""
+def _runs_by_automaton(texts: DataFrame, table: DataFrame, key: str, sequence: str) -> DataFrame:
+    """(key, start, end, _a, _n): per text the longest runs of positions under the same sets of exact motifs."""
+    rows = [tuple(r) for r in table.collect()]  # at most AUTOMATON_LETTERS
+    sent = texts.sparkSession.sparkContext.broadcast(rows)
+    schema = f"`{key}` {dict(texts.select(key).dtypes)[key]}, start bigint, end bigint, _a int, _n int"
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        automaton = _automaton([(m, a | n << 1) for m, a, n in sent.value]) if sent.value else None
+        for batch in batches:
+            at, parts = [], []
+            for i, text in enumerate(batch.column(1).to_pylist() if automaton else ()):
+                ends, sizes, sets = [], [], []
+                for last, (size, found) in automaton.iter(text or ""):
+                    ends.append(last + 1)
+                    sizes.append(size)
+                    sets.append(found[0][1] if len(found) == 1 else found[0][1] | found[1][1])
+                if not ends:
+                    continue
+                end, size, sets = np.array(ends), np.array(sizes), np.array(sets)
+                code = np.zeros(len(text) + 2, dtype=np.int8)
+                for bit in (1, 2):
+                    own = (sets & bit) > 0
+                    steps = np.bincount(end[own] - size[own], minlength=len(text) + 1) - np.bincount(end[own], minlength=len(text) + 1)
+                    code[1:] |= np.where(np.cumsum(steps) > 0, bit, 0).astype(np.int8)
+                cuts = np.flatnonzero(np.diff(code))
+                start, stop, kind = cuts[:-1], cuts[1:], code[cuts[:-1] + 1]
+                kept = kind > 0
+                at.append(np.full(int(kept.sum()), i))
+                parts.append(np.stack((start[kept], stop[kept], kind[kept] & 1, kind[kept] >> 1)))
+            if parts:
+                start, stop, a, n = np.concatenate(parts, axis=1)
+                columns = [pa.array(start, pa.int64()), pa.array(stop, pa.int64()), pa.array(a, pa.int32()), pa.array(n, pa.int32())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(at), pa.int64())), *columns], names=[key, "start", "end", "_a", "_n"])
+
+    return texts.select(key, F.col(sequence).cast("string").alias("_text")).mapInArrow(run, schema)
+
+
+def covered_runs(texts: DataFrame, active: DataFrame, negative: DataFrame, key: str, sequence: str = "sequence") -> DataFrame:
+    """(key, start, end, active, negative): the positions under a span of either set as disjoint runs.
+
+    An automaton gives the runs of each text where it lies; those of all its spans and rows of one key are merged by a
+    sweep over their ends, two rows a run, so that no position is a row.
+    """
     side = lambda df, a, n: df.withColumn("_a", F.lit(a)).withColumn("_n", F.lit(n))
     table = side(active, 1, 0).unionByName(side(negative, 0, 1))
     table = table.groupBy("motif", "kind").agg(F.max("_a").alias("_a"), F.max("_n").alias("_n"))
-    exact = exact_hits(texts, table, key, sequence, ["_a", "_n"]).select(key, "start", "end", "_a", "_n")
-    both = exact.unionByName(side(regex_hits(texts, active, key, sequence), 1, 0).select(key, "start", "end", "_a", "_n"))
-    rows = both.select(key, "_a", "_n", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"))
-    return rows.groupBy(key, "pos").agg(F.max("_a").alias("active"), F.max("_n").alias("negative"))
+    exact = table.where("kind = 'exact' and motif <> ''").select("motif", "_a", "_n")
+    letters_ = exact.agg(F.coalesce(F.sum(F.length("motif")), F.lit(0))).first()[0]
+    if letters_ <= AUTOMATON_LETTERS:
+        spans = _runs_by_automaton(texts, exact, key, sequence)
+    else:
+        spans = _hits_by_head(texts, exact, key, sequence, ["_a", "_n"]).select(key, "start", "end", "_a", "_n")
+    if not active.where("kind = 'regex'").isEmpty():
+        spans = spans.unionByName(side(regex_hits(texts, active, key, sequence), 1, 0).select(key, "start", "end", "_a", "_n"))
+    ends = spans.select(key, F.inline(F.array(
+        F.struct(F.col("start").alias("start"), F.col("_a").alias("a"), F.col("_n").alias("n")),
+        F.struct(F.col("end").alias("start"), (-F.col("_a")).alias("a"), (-F.col("_n")).alias("n")),
+    )))
+    ends = ends.groupBy(key, "start").agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
+    order = Window.partitionBy(key).orderBy("start")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    open_ = lambda c: (F.sum(c).over(upto) > 0).cast("int").alias(c)
+    swept = ends.select(key, "start", F.lead("start").over(order).alias("end"), open_("a"), open_("n"))
+    return swept.where("a + n > 0").select(key, "start", "end", F.col("a").alias("active"), F.col("n").alias("negative"))
+
+
+def coverage(texts: DataFrame, active: DataFrame, negative: DataFrame, key: str, sequence: str = "sequence") -> DataFrame:
+    """(key, pos, active, negative) for every position under a span of either set."""
+    runs = covered_runs(texts, active, negative, key, sequence)
+    return runs.select(key, F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"), "active", "negative")
 
 
 def motif_profile(texts: DataFrame, active: DataFrame, negative: DataFrame, key: str, sequence: str = "sequence") -> DataFrame:
     """Ten numbers per text: length, covered positions, free positions in both modes, fractions, flags."""
-    cov = coverage(texts, active, negative, key, sequence)
-    sums = cov.groupBy(key).agg(
-        F.sum("active").alias("a"), F.sum("negative").alias("n"), F.count("*").alias("u")
+    runs = covered_runs(texts, active, negative, key, sequence).withColumn("l", F.col("end") - F.col("start"))
+    sums = runs.groupBy(key).agg(
+        F.sum(F.col("active") * F.col("l")).alias("a"), F.sum(F.col("negative") * F.col("l")).alias("n"), F.sum("l").alias("u")
     )
     z = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
     out = texts.select(key, F.length(sequence).cast("bigint").alias("length")).join(sums, key, "left")
@@ -211,16 +282,17 @@ def task_flags(profile: DataFrame) -> DataFrame:
 
 def region_index(texts: DataFrame, active: DataFrame, negative: DataFrame, key: str, sequence: str = "sequence") -> DataFrame:
     """(key, region): one digit per position, 0 free, 1 active, 2 negative; active wins."""
-    cov = coverage(texts, active, negative, key, sequence)
+    runs = covered_runs(texts, active, negative, key, sequence)
     code = F.when(F.col("active") == 1, "1").otherwise("2")
-    per = cov.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), code.alias("c")))).alias("p"))
+    run = F.struct(F.col("start").cast("int").alias("s"), F.col("end").cast("int").alias("e"), code.alias("c"))
+    per = runs.groupBy(key).agg(F.array_sort(F.collect_list(run)).alias("p"))
     both = texts.select(key, F.length(sequence).alias("n")).join(per, key, "left")
     zeros = lambda n: F.repeat(F.lit("0"), n)
     marked = F.array_join(
-        F.transform("p", lambda x, i: F.concat(zeros(x["pos"] - F.when(i > 0, F.get("p", i - 1)["pos"]).otherwise(-1) - 1), x["c"])), ""
+        F.transform("p", lambda x, i: F.concat(zeros(x["s"] - F.when(i > 0, F.get("p", i - 1)["e"]).otherwise(0)), F.repeat(x["c"], x["e"] - x["s"]))), ""
     )
-    last = F.element_at("p", -1)["pos"]
-    return both.select(key, F.when(F.col("p").isNull(), zeros(F.col("n"))).otherwise(F.concat(marked, zeros(F.col("n") - last - 1))).alias("region"))
+    last = F.element_at("p", -1)["e"]
+    return both.select(key, F.when(F.col("p").isNull(), zeros(F.col("n"))).otherwise(F.concat(marked, zeros(F.col("n") - last))).alias("region"))
 
 
 def region_codes(region: Column) -> Column:

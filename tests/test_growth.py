@@ -51,3 +51,35 @@ def test_windows_are_cut_out_of_blocks(spark, monkeypatch):
             if j == k is not None and 0 <= c < len(x):
                 want.append((k, s + 1, e, c + 1, ("---" + x + "--")[c : c + 6]))
     assert sorted(tuple(x[c] for c in ("k", "motif_start", "motif_end", "motif_center", "window")) for x in got.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("letters", [0, 2_000_000])
+def test_coverage_is_a_table_of_runs(spark, monkeypatch, letters):
+    import re
+
+    monkeypatch.setattr(M, "AUTOMATON_LETTERS", letters)
+    r = random.Random(8)
+    text = lambda n: "".join(r.choice("ACD") for _ in range(n))
+    texts = [(i, text(r.choice([0, 1, 5, 30, 90]))) for i in range(30)] + [(3, "ACAACACA" * 6), (None, "AACAD"), (40, None)]
+    active = [("AAC", "exact", None), ("CACA", "exact", None), ("DD", "exact", None), ("A-x(2)-D", "regex", "A.{2}D")]
+    negative = [("ACA", "exact", None), ("DD", "exact", None)]
+    kinds = "motif string, kind string, regex string"
+    t, a, n = spark.createDataFrame(texts, "k int, sequence string"), spark.createDataFrame(active, kinds), spark.createDataFrame(negative, kinds)
+    marks = {}
+    for k, s in texts:
+        for bit, table in ((0, active), (1, negative)):
+            for motif, kind, regex in table:
+                found = re.finditer(f"(?={motif})" if kind == "exact" else regex, s or "")
+                for m in found:
+                    for p in range(m.start(), m.start() + len(motif) if kind == "exact" else m.end()):
+                        marks.setdefault((k, p), [0, 0])[bit] = 1
+    runs = M.covered_runs(t, a, n, "k").collect()
+    assert sum(x["end"] - x["start"] for x in runs) == len(marks) > len(runs)
+    assert {(x["k"], x["pos"]): [x["active"], x["negative"]] for x in M.coverage(t, a, n, "k").collect()} == marks
+    for x in M.motif_profile(t, a, n, "k").where("k <> 3").collect():
+        own = [v for (k, _), v in marks.items() if k == x["k"]]
+        assert (x["active_positions"], x["negative_positions"], x["fixed_positions"]) == (sum(v[0] for v in own), sum(v[1] for v in own), len(own))
+    for k, region in M.region_index(t, a, n, "k").where("k <> 3").collect():
+        code = lambda v: "0" if v is None else "1" if v[0] else "2"
+        s = dict(texts)[k]
+        assert region == (None if s is None else "".join(code(marks.get((k, p))) for p in range(len(s))))
