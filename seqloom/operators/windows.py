@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from seqloom.operators import ordered as O
+from seqloom.operators.storage import cut_lineage
 
 CHUNK = 4096
 
@@ -63,13 +64,24 @@ def contiguous_split(df: DataFrame, series: list, value: str) -> DataFrame:
 
 
 def merge_ranges(df: DataFrame, series: list, start: str = "start", end: str = "end") -> DataFrame:
-    """Overlapping or touching ranges merged; an island starts where no earlier range reaches."""
-    rows = df.select(*series, start, end).distinct()
+    """Overlapping or touching ranges merged; an island starts where no earlier range reaches.
+
+    Ranges are merged inside buckets of the order first, in one pass over the input; only what is left of them is merged
+    across buckets.
+    """
+    rows = df.select(*series, start, end)
     points = O.cut_points(rows, [start, end], O.bucket_count(df.sparkSession))
-    reach = O.running(rows, [start, end], series, max_before={"_reach": end}, index="_i", points=points)
-    opens = F.col("_reach").isNull() | (F.col(start) > F.col("_reach"))
-    marked = reach.withColumn("_open", F.when(opens, F.col(start)))
-    held = O.carry(marked, [start, end], {"_from": ("_open", "back")}, series, points)
+    opened = F.when(F.col("_reach").isNull() | (F.col(start) > F.col("_reach")), F.col(start))
+    here = Window.partitionBy(*series, "_b").orderBy(start, end)
+    before, upto = here.rowsBetween(Window.unboundedPreceding, -1), here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = rows.withColumn("_b", O.bucket_of([start, end], points)).withColumn("_reach", F.max(end).over(before))
+    local = local.withColumn("_from", F.last(opened, ignorenulls=True).over(upto)).groupBy(*series, "_b", "_from").agg(F.max(end).alias(end))
+    local = local.select(*series, F.col("_from").alias(start), end)
+    if not points:  # one bucket, so all is merged
+        return local
+    local = cut_lineage(local)
+    reach = O.running(local, [start, end], series, max_before={"_reach": end}, index="_i", points=points)
+    held = O.carry(reach.withColumn("_open", opened), [start, end], {"_from": ("_open", "back")}, series, points)
     return held.groupBy(*series, "_from").agg(F.max(end).alias(end)).withColumnRenamed("_from", start)
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.operators import fragments, motifs as M, similarity as S
+from seqloom.operators import composition, motifs as M, similarity as S, windows as W
 
 
 def test_pairs_of_a_small_file_are_spread(spark):
@@ -83,3 +83,28 @@ def test_coverage_is_a_table_of_runs(spark, monkeypatch, letters):
         code = lambda v: "0" if v is None else "1" if v[0] else "2"
         s = dict(texts)[k]
         assert region == (None if s is None else "".join(code(marks.get((k, p))) for p in range(len(s))))
+
+
+def test_ranges_are_read_twice_at_most(spark):
+    r = random.Random(4)
+    rows = [(r.choice([1, 2, None]), a, a + r.randrange(12)) for a in (r.randrange(9000) for _ in range(3000))]
+    reads = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame(rows, "s int, start long, end long").mapInArrow(count, "s int, start long, end long")
+    want = set()
+    for s in (1, 2, None):
+        at = None
+        for a, b in sorted(x[1:] for x in rows if x[0] == s):
+            if at and a <= at[1]:
+                at[1] = max(at[1], b)
+            else:
+                at and want.add((s, *at))
+                at = [a, b]
+        want.add((s, *at))
+    assert {tuple(x) for x in W.merge_ranges(df, ["s"]).collect()} == want
+    assert reads.value <= 2 * len(rows)
