@@ -16,6 +16,8 @@ from seqloom import constants as K
 
 #: Rows of a cell and of a block, most cells, and rows that the tree is fitted on.
 CELL_ROWS, BLOCK_ROWS, MOST_CELLS, SAMPLE_ROWS = 4096, 4096, 1024, 20_000
+#: Letters of a block; long texts make blocks of fewer rows.
+BLOCK_LETTERS = 1 << 21
 #: Pairs whose letters are compared at once.
 SLAB = 1 << 22
 #: Letters in the padded texts of one bit-parallel step.
@@ -78,9 +80,9 @@ class Cells:
             at = np.where(inner, self.down[at, right.astype(np.int64)], at)
 
     def set_boxes(self, boxes: list) -> None:
-        """boxes: (cell, most of each letter..., shortest, longest, rows)."""
-        table = np.array(boxes, dtype=np.int64).reshape(len(boxes), len(K.RESIDUES) + 5)
-        self.cells, self.most, self.short, self.long, self.rows = table[:, 0], table[:, 1:-3], table[:, -3], table[:, -2], table[:, -1]
+        """boxes: (cell, most of each letter..., shortest, longest, rows, letters)."""
+        table = np.array(boxes, dtype=np.int64).reshape(len(boxes), len(K.RESIDUES) + 6)
+        self.cells, self.most, self.short, self.long, self.rows, self.size = table[:, 0], table[:, 1:-4], *table[:, -4:].T
 
     def shared(self, points: np.ndarray) -> np.ndarray:
         """(points, cells): upper bound of the letters that a point shares with a member of a cell."""
@@ -111,7 +113,7 @@ def fit(df: DataFrame, sequence: str = "sequence", cell_rows: int = CELL_ROWS, m
     rows = rows.withColumn("cell", place("comp"))
     letters = [F.max(F.get("comp", F.lit(i))) for i in range(len(K.RESIDUES) + 1)]
     size = F.get("comp", F.lit(len(K.RESIDUES) + 1))
-    cells.set_boxes([tuple(r) for r in rows.groupBy("cell").agg(*letters, F.min(size), F.max(size), F.count(F.lit(1))).collect()])
+    cells.set_boxes([tuple(r) for r in rows.groupBy("cell").agg(*letters, F.min(size), F.max(size), F.count(F.lit(1)), F.sum(size)).collect()])
     return cells, rows
 
 
@@ -137,9 +139,11 @@ def meet(cells: Cells, left: DataFrame, right: DataFrame, kernel, schema: str, n
     """kernel(key, left table, right table) for every two blocks of rows that have `scope` and `cell` in common.
 
     Both sides carry scope, cell and id; left has about n_left ids, right rows are those of the cells. The left side is
-    cut into blocks of about `rows`, and so is a cell that could not be split, as its rows have one composition.
+    cut into blocks of about `rows`, and so is a cell that could not be split, as its rows have one composition. Cells of
+    long texts are cut into blocks of about BLOCK_LETTERS, so that a task's memory depends on neither.
     """
-    full = {int(c): -(-int(n) // rows) for c, n in zip(cells.cells, cells.rows) if n > 2 * rows}
+    blocks = [max(-(-int(n) // rows) if n > 2 * rows else 1, -(-int(m) // BLOCK_LETTERS)) for n, m in zip(cells.rows, cells.size)]
+    full = {int(c): n for c, n in zip(cells.cells, blocks) if n > 1}
     split = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in full.items() for x in pair]), F.col("cell")), F.lit(1)) if full else F.lit(1)
     parts = F.lit(max(1, -(-n_left // rows)))
     place = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
@@ -156,16 +160,22 @@ class Texts:
     """Sequences of a block as codes of their letters, with letter and letter-pair counts."""
 
     def __init__(self, left: list, right: list):
-        raw = [np.frombuffer("".join(x).encode("utf-32-le", "surrogatepass"), np.uint32) for x in (left, right)]
-        letters, codes = np.unique(np.concatenate(raw), return_inverse=True)
+        raw = [self._raw(x) for x in (left, right)]
+        letters = np.union1d(*(np.unique(x) for x in raw))
         self.letters, self.grams, self.masks = len(letters), None, {}
         self.sides = []
-        for texts, flat in ((left, codes[: len(raw[0])]), (right, codes[len(raw[0]) :])):
+        for texts, flat in zip((left, right), (np.searchsorted(letters, x).astype(np.int32) for x in raw)):
             size = np.array([len(t) for t in texts], dtype=np.int64)
             first = np.concatenate(([0], np.cumsum(size)))[:-1]
-            row = np.repeat(np.arange(len(texts)), size)
-            counts = np.bincount(row * self.letters + flat, minlength=len(texts) * self.letters).reshape(len(texts), self.letters)
-            self.sides.append({"size": size, "first": first, "flat": flat.astype(np.int32), "row": row, "counts": counts.astype(np.int32)})
+            row = np.repeat(np.arange(len(texts), dtype=np.int32), size)
+            counts = np.bincount(row.astype(np.int64) * self.letters + flat, minlength=len(texts) * self.letters).reshape(len(texts), self.letters)
+            self.sides.append({"size": size, "first": first, "flat": flat, "row": row, "counts": counts.astype(np.int32)})
+
+    @staticmethod
+    def _raw(texts: list) -> np.ndarray:
+        """Code points of all letters, a byte each where that is enough."""
+        joined = "".join(texts)
+        return np.frombuffer(joined.encode("ascii"), np.uint8) if joined.isascii() else np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
 
     def shared(self, start: int, stop: int) -> np.ndarray:
         """Letters that the left texts start..stop have in common with every right one, order aside."""
@@ -262,7 +272,7 @@ class Texts:
             self.grams = []
             for side in self.sides:
                 inner = np.flatnonzero(side["row"][1:] == side["row"][:-1])
-                code = side["row"][inner] * width + side["flat"][inner] * self.letters + side["flat"][inner + 1]
+                code = side["row"][inner].astype(np.int64) * width + side["flat"][inner] * self.letters + side["flat"][inner + 1]
                 found, counts = np.unique(code, return_counts=True)
                 self.grams.append(np.zeros((len(side["size"]), width), dtype=np.int16))
                 self.grams[-1].ravel()[found] = np.minimum(counts, 30_000)

@@ -108,3 +108,23 @@ def test_ranges_are_read_twice_at_most(spark):
         want.add((s, *at))
     assert {tuple(x) for x in W.merge_ranges(df, ["s"]).collect()} == want
     assert reads.value <= 2 * len(rows)
+
+
+def test_blocks_of_long_texts_are_bounded_in_letters(spark, monkeypatch):
+    monkeypatch.setattr(composition, "BLOCK_LETTERS", 2000)
+    r = random.Random(6)
+    texts = ["".join(r.choice("ACDE") for _ in range(r.choice([40, 400]))) for _ in range(120)]
+    df = spark.createDataFrame([(str(i), "", t) for i, t in enumerate(texts)], "id string, scope string, sequence string")
+    cells, rows = composition.fit(df, cell_rows=200)
+    assert len(cells.cells) == 1 and cells.size.tolist() == [sum(map(len, texts))]
+    rows = rows.select("scope", "cell", "id", "sequence").localCheckpoint()
+
+    def run(key, a, b):
+        import pyarrow as pa
+
+        size = sum(map(len, b.column("sequence").to_pylist()))
+        return pa.table({"id": a.column("id"), "letters": pa.array([size] * len(a), pa.int64()), "rows": pa.array([len(b)] * len(a), pa.int64())})
+
+    met = composition.meet(cells, rows.limit(3), rows, run, "id string, letters long, rows long", 3).groupBy("id").agg(F.sum("rows").alias("n"), F.max("letters").alias("most"))
+    for x in met.collect():
+        assert x["n"] == len(texts) and x["most"] < sum(map(len, texts)) / 3
