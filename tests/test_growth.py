@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from seqloom import bindings
 from seqloom.operators import composition, motifs as M, similarity as S, windows as W
 
 
@@ -128,3 +129,17 @@ def test_blocks_of_long_texts_are_bounded_in_letters(spark, monkeypatch):
     met = composition.meet(cells, rows.limit(3), rows, run, "id string, letters long, rows long", 3).groupBy("id").agg(F.sum("rows").alias("n"), F.max("letters").alias("most"))
     for x in met.collect():
         assert x["n"] == len(texts) and x["most"] < sum(map(len, texts)) / 3
+
+
+def test_a_file_of_one_row_group_is_spread(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, 400_000, 1, 1).select("id", F.sha2(F.col("id").cast("string"), 512).alias("s")).write.parquet(str(tmp_path / "t.parquet"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        df = spark.read.parquet(str(tmp_path / "t.parquet"))
+        assert df.rdd.getNumPartitions() >= cores  # most of them empty
+        filled = lambda x: x.select(F.spark_partition_id()).distinct().count()
+        assert filled(df) < cores == filled(bindings.spread(df))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
