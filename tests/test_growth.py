@@ -143,3 +143,22 @@ def test_a_file_of_one_row_group_is_spread(spark, tmp_path):
         assert filled(df) < cores == filled(bindings.spread(df))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_gaps_bring_no_texts_together(spark):
+    """Texts of few letters share no key because of the gaps beside them; pairs equal brute force."""
+    r = random.Random(4)
+    word = lambda n: "".join(r.choice("ACD") for _ in range(n))
+    few = ["".join(r.choice("ACDEFGHIKL") for _ in range(8)).ljust(40, "-") for _ in range(60)]
+    base = word(40)
+    texts = set(few) | {base, base[:38] + "--", "--" + base[2:], "-" * 40, base[:9] + "--" + base[11:], "AC", base + "AC"}
+    for n in (1, 2, 3, 4, 5, 6, 12, 30, 39):
+        texts |= {x for _ in range(6) for x in (word(n).ljust(40, "-"), word(n).rjust(40, "-"), ("--" + word(n)).ljust(40, "-")[:40])}
+    texts = sorted(texts)
+    got = {(x["a"], x["b"]) for x in S.similar_pairs(spark.createDataFrame([(t,) for t in texts], "aligned string"), 4).collect()}
+    wide = [t for t in texts if len(t) == 40]
+    ham = lambda a, b: sum(x != y for x, y in zip(a, b))
+    assert {(a, b) for a, b in got if len(a) == len(b) == 40} == {(a, b) for a in wide for b in wide if a < b and ham(a, b) <= 4}
+    rows = spark.createDataFrame([(t, 1, 0, 8) for t in few], "t string, n long, lo int, hi int")
+    keys = S._meeting_keys(rows, 4, 40, True).groupBy("z", "y", "last", "h").count().agg(F.max("count")).first()[0]
+    assert keys < len(set(few)) / 4
