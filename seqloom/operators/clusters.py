@@ -27,26 +27,105 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+#: Components of the vectors of a block, fewest rows of a block, and pairs that are compared at once.
+BLOCK_PARTS, BLOCK_ROWS, SLAB = 1 << 20, 256, 1 << 21
+
+
+def _near_rows(x, y, eps: float):
+    """(i, j, distance) of rows of two matrices at most eps apart. A product rules out what is farther by more than its own
+    rounding; the rest is added up component by component, as `euclidean` does."""
+    import numpy as np
+
+    sx, sy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    slack = 1e-12 * max(1, x.shape[1])
+    step = max(1, SLAB // max(1, len(y)))
+    for at in range(0, len(x), step):
+        own = sx[at : at + step, None]
+        i, j = np.nonzero(own + sy - 2 * (x[at : at + step] @ y.T) <= eps * eps * (1 + 1e-9) + slack * (own + sy))
+        i += at
+        for k in range(0, len(i), SLAB):
+            p, q = i[k : k + SLAB], j[k : k + SLAB]
+            d = np.zeros(len(p))
+            for c in range(x.shape[1]):
+                d += (x[p, c] - y[q, c]) ** 2
+            d = np.sqrt(d)
+            good = d <= eps
+            yield p[good], q[good], d[good]
+
+
 def pairs_within(df: DataFrame, vector: str, eps: float) -> DataFrame:
-    """(a, b, d) with a < b and Euclidean distance at most eps, over `id` and the vector column.
+    """(a, b, d) with a < b and Euclidean distance at most eps, over `id` and the vector column; ids are unique.
 
-    Distances to two pivots differ by at most eps for such pairs (triangle inequality), so rows
-    meet only in equal or neighbouring rings. Exact for any pivots.
+    Rows are cut into blocks along their distance to a pivot. Distances to it differ by at most eps for such pairs
+    (triangle inequality), so only blocks whose ranges are that near meet, each two in one task as matrix products. Exact
+    for any pivot. Vectors that are null, hold null or are not finite are near nothing.
     """
-    pivots = [r[0] for r in df.select(vector).orderBy(F.xxhash64("id")).limit(2).collect()]
-    if not pivots:
-        return df.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("d")).where(F.lit(False))
-    lit = lambda v: F.array(*[F.lit(float(x)) for x in v])
-    ring = lambda p: F.floor(euclidean(F.col(vector), lit(p)) / eps)
-    names = [f"_r{i}" for i in range(len(pivots))]
-    placed = df.select("id", F.col(vector).alias("_v"), *[ring(p).alias(n) for p, n in zip(pivots, names)])
-    wide = placed
-    for n in names:
-        wide = wide.withColumn(n, F.explode(F.array(F.col(n) - 1, F.col(n), F.col(n) + 1)))
-    left = wide.select(*names, F.col("id").alias("a"), F.col("_v").alias("_va"))
-    right = placed.select(*names, F.col("id").alias("b"), F.col("_v").alias("_vb"))
-    near = left.join(right, names).where("a < b").withColumn("d", euclidean(F.col("_va"), F.col("_vb")))
-    return near.where(F.col("d") <= eps).select("a", "b", "d")
+    import numpy as np
+    import pyarrow as pa
+
+    spark = df.sparkSession
+    kind = dict(df.dtypes)["id"]
+    rows = df.select("id", F.col(vector).cast("array<double>").alias("v"))
+    odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    rows = rows.where(F.col("v").isNotNull() & ~F.exists("v", odd)).withColumn("m", F.size("v"))
+    pivot = rows.orderBy(F.xxhash64("id"), "id").limit(1).select("v").collect()
+    none = spark.createDataFrame([], f"a {kind}, b {kind}, d double")
+    if not pivot:
+        return none
+    # Vectors of another length have no distance to the pivot, and none to those of its length.
+    ring = F.coalesce(euclidean(F.col("v"), F.array(*[F.lit(float(x)) for x in pivot[0][0]])), F.lit(0.0))
+    rows = cut_lineage(rows.withColumn("r", ring))
+    n, parts = rows.agg(F.count("*"), F.sum("m")).first()
+    count = max(-(-parts // BLOCK_PARTS), min(8, n // BLOCK_ROWS), 1)
+    cuts = sorted(set(rows.approxQuantile("r", [i / count for i in range(1, count)], 0.1 / count))) if count > 1 else []
+    bucket = F.coalesce(sum([(F.col("r") > c).cast("int") for c in cuts], F.lit(0)), F.lit(0))
+    rows = rows.withColumn("p", bucket)
+    boxes = rows.groupBy("m", "p").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.count("*").alias("n")).orderBy("m", "p").collect()
+    # A range that many rows share is cut by hash.
+    blocks, first, pieces = [], {}, {}
+    size = -(-n // count)
+    for x in boxes:
+        first[x["m"], x["p"]], pieces[x["m"], x["p"]] = len(blocks), max(1, round(x["n"] / size))
+        blocks += [(x["m"], x["lo"], x["hi"])] * pieces[x["m"], x["p"]]
+    slack = lambda x: 1e-9 * (eps + abs(x))
+    meets = [[j for j, (m, lo, hi) in enumerate(blocks) if m == own and lo - high <= eps + slack(lo) and low - hi <= eps + slack(low)] for own, low, high in blocks]
+    meets = [[(i, j) if i <= j else (j, i) for j in near] for i, near in enumerate(meets)]
+    table = spark.createDataFrame(
+        [(m, p, k, i, j, first[m, p] + k == i, first[m, p] + k == j) for (m, p), n_ in pieces.items() for k in range(n_) for i, j in meets[first[m, p] + k]],
+        "m int, p int, k int, i int, j int, left boolean, right boolean",
+    )
+    share = spark.createDataFrame([(m, p, n_) for (m, p), n_ in pieces.items()], "m int, p int, pieces int")
+    placed = rows.join(share, ["m", "p"]).withColumn("k", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")).join(table, ["m", "p", "k"])
+
+    def matrix(t):
+        flat = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return flat.reshape(t.num_rows, -1) if t.num_rows else np.zeros((0, 1))
+
+    def run(key, left, right):
+        out = []
+        if left.num_rows and right.num_rows:
+            ka, kb = left.column("id").combine_chunks(), right.column("id").combine_chunks()
+            for i, j, d in _near_rows(matrix(left), matrix(right), eps):
+                a, b = ka.take(pa.array(i)), kb.take(pa.array(j))
+                t = pa.table({"a": a, "b": b, "d": pa.array(d)})
+                if key[0] == key[1]:
+                    t = t.filter(pc.less(t["a"], t["b"]))
+                else:
+                    t = t.filter(pc.not_equal(t["a"], t["b"]))
+                    swap = pc.greater(t["a"], t["b"])
+                    t = pa.table({"a": pc.if_else(swap, t["b"], t["a"]), "b": pc.if_else(swap, t["a"], t["b"]), "d": t["d"]})
+                out.append(t)
+        return pa.concat_tables(out) if out else empty
+
+    import pyarrow.compute as pc
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    empty = to_arrow_schema(none.schema).empty_table()
+    # The work grows with pairs, not bytes, so partitions are counted in block pairs and not merged by size.
+    tasks = max(1, min(20_000, sum(map(len, meets))))
+    # Names of their own, as both sides come from one table.
+    spread = lambda side: placed.where(side).select(*(F.col(c).alias(c) for c in ("i", "j", "id", "v"))).repartition(tasks, "i", "j").groupBy("i", "j")
+    return spread("left").cogroup(spread("right")).applyInArrow(run, f"a {kind}, b {kind}, d double")
 
 
 def distance_percentile(df: DataFrame, vector: str, percent: float, blocks: int = 8) -> DataFrame:

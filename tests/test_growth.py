@@ -162,3 +162,20 @@ def test_gaps_bring_no_texts_together(spark):
     rows = spark.createDataFrame([(t, 1, 0, 8) for t in few], "t string, n long, lo int, hi int")
     keys = S._meeting_keys(rows, 4, 40, True).groupBy("z", "y", "last", "h").count().agg(F.max("count")).first()[0]
     assert keys < len(set(few)) / 4
+
+
+def test_pairs_of_vectors_meet_in_blocks(spark, monkeypatch):
+    """Blocks of few rows, many rows of one distance to the pivot, and vectors that are near nothing."""
+    from seqloom.operators import clusters as C
+
+    monkeypatch.setattr(C, "BLOCK_PARTS", 64)
+    monkeypatch.setattr(C, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(C, "SLAB", 50)
+    r = random.Random(8)
+    rows = [(i, [r.choice([0.0, 0.5, r.random()]) for _ in range(3)]) for i in range(150)]
+    odd = [(200, None), (201, [0.0, None, 0.0]), (202, [float("nan"), 0.0, 0.0]), (203, [0.1, 0.1])]
+    df = spark.createDataFrame(rows + odd, "id long, v array<double>").repartition(3)
+    got = {(x["a"], x["b"]): x["d"] for x in C.pairs_within(df, "v", 0.4).collect()}
+    dist = lambda x, y: sum((p - q) ** 2 for p, q in zip(x, y)) ** 0.5
+    want = {(i, j): dist(x, y) for i, x in rows for j, y in rows if i < j and dist(x, y) <= 0.4}
+    assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
