@@ -1,13 +1,21 @@
 """Splits, masks, resampling and run grids. Randomness is a hash of row key and seed, so results do
 not depend on partitioning."""
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seqloom import constants as K
 from seqloom.functions.sequences import let, tokenize
 from seqloom.operators import ordered as O
+from seqloom.operators.storage import State
 from seqloom.operators.windows import take_until
 
+#: Draws of a step, and ranks x runs of a bucket of drawn ranks, that are held at once.
+DRAWN_CELLS = 1 << 22
+
 
 def seeded_key(key: Column, seed) -> Column:
     return F.sha1(F.concat_ws("|", key.cast("string"), F.lit(str(seed))))
@@ -119,8 +127,9 @@ def bert_mask(df: DataFrame, key: str, sequence: str = "sequence", p: float = 0.
 
 
 def resample(df: DataFrame, value: str, runs: int, order: list, seed=0, poisson: bool = False) -> DataFrame:
-    """(run, value, w): bootstrap samples. Exact: n draws with replacement per run, by rank. `poisson`
-    gives every row a Poisson(1) weight per run instead, which needs no join."""
+    """(run, value, w): bootstrap samples. Exact: n draws with replacement per run, by rank; draws travel as four bytes each
+    to the bucket of the rank drawn, which hands on a row for each run and value in it. `poisson` gives every row a
+    Poisson(1) weight per run instead, which needs no join."""
     each = F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run")
     if poisson:
         u = (F.pmod(F.xxhash64(*order, "run", F.lit(str(seed))), F.lit(2**52)) + 0.5) / float(2**52)
@@ -131,18 +140,51 @@ def resample(df: DataFrame, value: str, runs: int, order: list, seed=0, poisson:
             w = w + F.when(u > total, 1).otherwise(0)
             term /= i
         return rows.select("run", "value", w.alias("w")).where("w > 0")
-    ranked = O.running(df.select(*order, F.col(value).alias("value")), order, index="_i").select("_i", "value")
-    n = df.agg(F.count("*")).scalar()
-    draws = ranked.select("_i", each)
-    # 60 bits of a digest, so that every rank of a table of any size can be drawn.
-    digest = F.sha1(F.concat_ws("|", F.col("_i").cast("string"), F.col("run").cast("string"), F.lit(str(seed))))
-    draws = draws.select("run", (F.conv(F.left(digest, F.lit(15)), 16, 10).cast("bigint") % n).alias("_i"))
-    return draws.join(ranked, "_i").select("run", "value", F.lit(1).alias("w"))
+    ranked = State(O.running(df.select(*order, F.col(value).alias("value")), order, index="_i").select("_i", "value"), "ranks").df
+    n, kind = ranked.count(), dict(ranked.dtypes)["value"]
+    width = max(1, DRAWN_CELLS // runs)
+    tails = [f"|{run}|{seed}".encode() for run in range(runs)]
+
+    def draw(batches):
+        """The draws of some ranks, packed by buckets of the drawn ranks: rank in the bucket x runs + run."""
+        step = max(1, DRAWN_CELLS // 8 // runs)
+        for batch in batches:
+            ranks = batch.column(0).to_pylist()
+            for at in range(0, len(ranks), step):
+                some = [b"%d" % i for i in ranks[at : at + step]]
+                # 60 bits of a digest, so that every rank of a table of any size can be drawn.
+                digests = b"".join([hashlib.sha1(i + t).digest()[:8] for i in some for t in tails])
+                drawn = ((np.frombuffer(digests, ">u8") >> np.uint64(4)) % np.uint64(n)).astype(np.int64)
+                bucket = drawn // width
+                cell = ((drawn - bucket * width) * runs + np.tile(np.arange(runs), len(some))).astype(np.uint32)
+                by = np.argsort(bucket, kind="stable")
+                found, first = np.unique(bucket[by], return_index=True)
+                cells = [c.tobytes() for c in np.split(cell[by], first[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(cells, pa.binary())], names=["b", "cells"])
+
+    def weigh(key, draws, rows):
+        flat = np.frombuffer(b"".join(draws.column("cells").to_pylist()), np.uint32)
+        weights = np.bincount(flat, minlength=width * runs).reshape(-1, runs)
+        values = rows.column("value").combine_chunks().dictionary_encode("encode")
+        code = values.indices.to_numpy(zero_copy_only=False)
+        by = np.argsort(code, kind="stable")
+        own = weights[rows.column("_i").to_numpy()[by] % width]
+        total = np.add.reduceat(own, np.flatnonzero(np.diff(code[by], prepend=-1))) if len(by) else own
+        at, run = np.nonzero(total)
+        return pa.table({"run": pa.array(run.astype(np.int32)), "value": values.dictionary.take(pa.array(at)), "w": pa.array(total[at, run].astype(np.int32))})
+
+    # The work grows with draws, not bytes.
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    draws = ranked.select("_i").repartition(4 * cores).mapInArrow(draw, "b long, cells binary")
+    rows = ranked.select("_i", "value", F.floor(F.col("_i") / width).cast("long").alias("b"))
+    return draws.groupBy("b").cogroup(rows.groupBy("b")).applyInArrow(weigh, f"run int, value {kind}, w int")
 
 
 def bootstrap(df: DataFrame, value: str, order: list, runs: int = 100, seed=0, poisson: bool = False) -> DataFrame:
     """One row: bootstrap mean and median, their standard errors and 95 % intervals."""
     s = resample(df, value, runs, order, seed, poisson)
+    # Draws are made once.
+    s = State(s.groupBy("run", "value").agg(F.sum("w").alias("w")), "draws").df
     means = s.groupBy("run").agg((F.sum(F.col("value") * F.col("w")) / F.sum("w")).alias("mean"))
     counted = s.groupBy("run", F.col("value").cast("double").alias("value")).agg(F.sum("w").alias("n"))
     upto = O.running(counted, ["value"], ["run"], {"upto": "n"}, "_i")

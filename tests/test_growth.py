@@ -179,3 +179,21 @@ def test_pairs_of_vectors_meet_in_blocks(spark, monkeypatch):
     dist = lambda x, y: sum((p - q) ** 2 for p, q in zip(x, y)) ** 0.5
     want = {(i, j): dist(x, y) for i, x in rows for j, y in rows if i < j and dist(x, y) <= 0.4}
     assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_draws_of_a_bootstrap_are_packed(spark, monkeypatch):
+    """One row for each run and value of a bucket, not one a draw; equal to drawing one by one."""
+    import hashlib
+    from collections import Counter
+
+    from seqloom.operators import splits as P
+
+    monkeypatch.setattr(P, "DRAWN_CELLS", 200)
+    values = [None, "a", "b"] * 40
+    df = spark.createDataFrame(list(enumerate(values)), "k int, v string")
+    got = P.resample(df, "v", 5, ["k"], seed=3).collect()
+    want = Counter((run, values[int(hashlib.sha1(f"{i}|{run}|3".encode()).hexdigest()[:15], 16) % 120]) for i in range(120) for run in range(5))
+    sums = Counter()
+    for x in got:
+        sums[x["run"], x["value"]] += x["w"]
+    assert sums == want and len(got) <= 3 * 5 * 3
