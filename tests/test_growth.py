@@ -197,3 +197,15 @@ def test_draws_of_a_bootstrap_are_packed(spark, monkeypatch):
     for x in got:
         sums[x["run"], x["value"]] += x["w"]
     assert sums == want and len(got) <= 3 * 5 * 3
+
+
+def test_strict_clusters_join_no_chains(spark, monkeypatch):
+    """Strict mode has no use for the connected clusters, whose rounds go over all pairs."""
+    from seqloom.operators import clusters as C
+
+    def chains(*_):
+        raise AssertionError("connected clusters are not asked for")
+
+    monkeypatch.setattr(C, "connected_components", chains)
+    df = spark.createDataFrame([(i, 100.0 + i, 100.0 - i % 3) for i in range(12)], "k int, a double, b double")
+    assert C.threshold_clusters(df, "k", ["a", "b"], threshold=0.01, strict=True).count() == 12
