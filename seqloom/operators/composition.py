@@ -312,6 +312,21 @@ def first_partner(left: list, right: list, share: float, open_: np.ndarray) -> n
     return out
 
 
+def partners(left: list, right: list, share: float, open_: np.ndarray):
+    """(left, right) index arrays of the pairs marked open whose common subsequence reaches `share` of the shorter length."""
+    texts = Texts(left, right)
+    m, n = texts.sides[0]["size"], texts.sides[1]["size"]
+    for start, stop in texts.slabs():
+        size = np.minimum.outer(m[start:stop], n)
+        x, y = np.nonzero(open_[start:stop] & (size > 0) & (texts.shared(start, stop) >= share * size - SLACK))
+        x = x + start
+        need = np.ceil(share * np.minimum(m[x], n[y]) - SLACK).astype(np.int64)
+        good = texts.fits(x, y, need)
+        x, y, need = x[good], y[good], need[good]
+        hit = texts.common(x, y) >= need
+        yield x[hit], y[hit]
+
+
 def best_share(left: list, right: list, low: np.ndarray) -> np.ndarray:
     """For each left text the highest common subsequence over the longer length that beats `low`, else `low`. Candidates
     are tried by falling upper bound until none can beat the best so far."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from seqloom import constants as K
 from seqloom.functions import chemistry as C, sequences as Q
-from seqloom.operators import aggregates as G, clusters as U, joins as J, metrics as M, ordered as O, similarity as S, splits as P, windows as W
+from seqloom.operators import aggregates as G, clusters as U, joins as J, metrics as M, ordered as O, prefixes as X, similarity as S, splits as P, windows as W
 
 
 def lcs(a, b):
@@ -62,6 +62,62 @@ def test_clustering_equals_sequential_greedy(spark, t):
     assert got == sequential_greedy(seqs, t)
 
 
+@pytest.mark.parametrize("t", [0.6, 0.9])
+def test_clustering_windows_and_cut_lists(spark, monkeypatch, t):
+    """Windows of few sequences whose lists of similar ones are cut short decide the same clusters."""
+    for name, value in {"FIRST_BATCH": 8, "LEAST_BATCH": 4, "MOST_BATCH": 64, "BATCH_PAIRS": 64, "FEW_PAIRS": 40, "LEAST_PAIRS": 2}.items():
+        monkeypatch.setattr(S, name, value)
+    seqs = peptides(60, seed=3) + ["".join(random.Random(i).choice("AG") for _ in range(6)) for i in range(30)] + ["".join(random.Random(i).choice("CDE") for _ in range(30)) for i in range(12)]
+    df = spark.createDataFrame([(s,) for s in seqs], "sequence string").repartition(3)
+    got = {r["sequence"]: r["rep"] for r in S.cluster_by_identity(df, t).collect()}
+    assert got == sequential_greedy(seqs, t)
+
+
+@pytest.mark.parametrize("t", [0.6, 0.8, 1.0])
+def test_trie_equals_brute_force(t):
+    rnd = random.Random(4)
+    some = lambda n, top: ["".join(rnd.choice("ACDE") for _ in range(rnd.randint(1, top))) for _ in range(n)]
+    items, texts = sorted(set(some(80, 10))), some(40, 14)
+    reaches = lambda x, y: len(x) <= len(y) and lcs(x, y) >= t * len(x) - 1e-9
+    trie = X.trie_of(items, t)
+    got = {(i, j) for found in trie.walk(texts) if found is not None for i, j in zip(*(a.tolist() for a in found))}
+    assert got == {(i, j) for i, y in enumerate(texts) for j, x in enumerate(items) if reaches(x, y)}
+    first = X.first_texts(trie, texts, np.arange(40), np.full(len(items), 30))
+    assert first.tolist() == [next((i for i, y in enumerate(texts[:30]) if reaches(x, y)), -1) for x in items]
+    assert X.meets_any(texts, items, t).tolist() == [any(reaches(x, y) for x in items) for y in texts]
+
+
+def test_trie_work_grows_less_than_pairs(monkeypatch):
+    """Ten times as many sequences leave a text far less than ten times the branches."""
+    def branches(n):
+        words = [w + "".join("ACDEFGHIKL"[int(d)] for d in str(i * 7919 % 1_000_000).zfill(6)) for i, w in zip(range(n), ["LARGERNG", "SMALLGEAR"] * n)]
+        seen, down = [0], X.Trie._down
+
+        def counted(self, *rest):
+            out = down(self, *rest)
+            seen[0] += 0 if out is None else len(out[1])
+            return out
+
+        with monkeypatch.context() as m:
+            m.setattr(X.Trie, "_down", counted)
+            list(X.trie_of(words, 0.9).walk(words[:200]))
+        return seen[0]
+
+    assert branches(20_000) < 5 * branches(2_000)
+
+
+@pytest.mark.parametrize("t", [0.6, 0.8])
+def test_filter_against_long_and_short(spark, t):
+    """Short rows inside long ones, long ones around short ones, and long ones of both sides."""
+    rnd = random.Random(6)
+    some = lambda n, low, top: ["".join(rnd.choice("ACDEG") for _ in range(rnd.randint(low, top))) for _ in range(n)]
+    train, test = some(40, 1, 9) + some(30, 20, 45), some(4, 4, 9) + some(4, 20, 45)
+    train += [s[:10] + "G" + s[11:] for s in test]
+    want = sorted(a for a in train if not any(a == b or lcs(a, b) >= t * min(len(a), len(b)) - 1e-9 for b in test))
+    frame = lambda xs: spark.createDataFrame([(x,) for x in xs], "sequence string")
+    assert sorted(r[0] for r in S.filter_against(frame(train), frame(test), t).collect()) == want
+
+
 def test_clustering_with_one_hot_word(spark):
     """All sequences share their words: few representatives, no pairs among members."""
     seqs = ["MKTAYIAKQR" + "".join(random.Random(i).choice("AG") for _ in range(4)) for i in range(400)]
