@@ -14,12 +14,12 @@ _SAFE = re.compile(r"(?<=\S)(?=[ \t\n\r])")
 _loaded = {}
 
 
-def load(path: str):
-    """The encoder of a tokenizer file, one for each Python worker."""
-    if path not in _loaded:
+def load(path: str, keep: int = 1_000_000):
+    """The encoder of a tokenizer file that keeps so many chunks, one for each Python worker."""
+    if (path, keep) not in _loaded:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _loaded[path] = Encoder(path)
-    return _loaded[path]
+        _loaded[path, keep] = Encoder(path, keep)
+    return _loaded[path, keep]
 
 
 def _byte_letters() -> dict:
@@ -34,7 +34,7 @@ class Encoder:
 
     Texts are cut where a space follows a character that is no space. No match of the byte-level pattern crosses such
     a place and none looks back, so each chunk has the same ids in every text; a chunk is encoded by the library when
-    it is first met and kept (at most `keep` chunks). Added tokens are cut out first. Tokenizers of another kind are
+    it is first met and kept (at most `keep` chunks, of more those of the texts at hand). Added tokens are cut out first. Tokenizers of another kind are
     called with whole texts.
     """
 
@@ -102,8 +102,7 @@ class Encoder:
         spaced = set().union(*(rest for parts in cut for _, rest in parts))
         new = spaced.difference(self.cache)
         if new and len(self.cache) + len(new) > self.keep:
-            self.cache.clear()
-            new = spaced
+            self.cache = {c: self.cache[c] for c in spaced.difference(new)}
         new = list(new)
         self.cache.update(zip(new, self._ids([" " + c for c in new])))
         heads = list({head for parts in cut for head, _ in parts if head})

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from seqloom.llm.common import State, partitions, slices, tokenizer_path
 
+#: Chunks of texts whose ids a Python worker keeps. They stay in its memory after the stage.
+CHUNKS = 250_000
+
 
 def pieces(docs: DataFrame, capacity: int = 1024, tokenizer: str = None, end_id: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): whole texts as ids with the end id, longer ones cut.
@@ -23,7 +26,7 @@ def pieces(docs: DataFrame, capacity: int = 1024, tokenizer: str = None, end_id:
 
         from seqloom.llm.bpe import load
 
-        encoder = load(tokenizer)
+        encoder = load(tokenizer, CHUNKS)
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
             for i, j in slices(sizes, 1 << 21):

@@ -543,3 +543,18 @@ def test_forest_joins_what_the_edges_join():
 
         count, parts = groups(zip(p.tolist(), q.tolist()))
         assert groups(zip(p[kept].tolist(), q[kept].tolist()))[1] == parts and len(kept) == n - count
+
+
+def test_encoder_keeps_chunks_in_use_and_no_more():
+    """A full cache drops what the texts at hand do not need; ids stay the library's."""
+    from seqloom.llm import bpe, packing
+    from seqloom.llm.common import tokenizer_path
+
+    assert packing.CHUNKS < 1_000_000
+    small, plain = bpe.Encoder(tokenizer_path(), keep=40), bpe.Encoder(tokenizer_path())
+    for k in range(8):
+        texts = [f"the common words come with number {k} {i} and w{k}x{i}." for i in range(12)]
+        held = dict(small.cache)
+        assert [a.tolist() for a in small.encode(texts)] == [a.tolist() for a in plain.encode(texts)]
+        assert len(small.cache) <= 40
+        assert all(small.cache[c] is held[c] for c in ("common", "words") if k)
