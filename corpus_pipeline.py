@@ -37,7 +37,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, packed into sequences of 1024 tokens."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, keep=packing.CHUNKS)
 
 
 STAGES = [("quality", keep_good), ("near_copies", drop_near_copies), ("secrets", redact_secrets), ("packing", pack)]

@@ -6,7 +6,7 @@ from array import array
 
 import numpy as np
 
-_DOUBLE = re.compile(r"\s ")
+_DOUBLE = re.compile(r" (?<=\s )")
 #: One pre-token: letters (the Latin blocks hold no others here), with the space before them.
 _WORD = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -34,14 +34,14 @@ class Encoder:
 
     Texts are cut where a space follows a character that is no space. No match of the byte-level pattern crosses such
     a place and none looks back, so each chunk has the same ids in every text; a chunk is encoded by the library when
-    it is first met and kept (at most `keep` chunks, of more those of the texts at hand). Added tokens are cut out first. Tokenizers of another kind are
-    called with whole texts.
+    it is first met and kept (at most `keep` chunks, of more those of the texts at hand; the last used ones stay). Added
+    tokens are cut out first. Tokenizers of another kind are called with whole texts.
     """
 
     def __init__(self, path: str, keep: int = 1_000_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep, self.cache, self.tails = Tokenizer.from_file(path), keep, {}, {}
+        self.tokenizer, self.keep, self.cache, self.old, self.tails = Tokenizer.from_file(path), keep, {}, {}, {}
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         pre = type(self.tokenizer.pre_tokenizer).__name__
@@ -55,35 +55,61 @@ class Encoder:
         self.code, self.dtype = ("H", np.uint16) if size <= 1 << 16 else ("I", np.uint32)
         self._lengths = None
         self.model, self.letters = self.tokenizer.model, {b: c for c, b in _byte_letters().items()}
+        self.space = self.letters[32]
         if self.chunked:
             self.model._resize_cache(0)  # chunks are kept here
 
     def _ids(self, chunks: list) -> list:
-        """Ids of chunks as bytes. A word and the signs after it are pre-tokens of their own; what is one pre-token goes
-        to the library's model, all else to its encoder."""
+        """Ids of chunks as bytes. A word is one pre-token and goes to the library's model, all else to its encoder."""
         out, rest, places = [b""] * len(chunks), [], []
+        tokenize, code = self.model.tokenize, self.code
         for k, c in enumerate(chunks):
-            body = c.rstrip(_PUNCTUATION)
-            if not _WORD.fullmatch(body):
+            if not _WORD.fullmatch(c):
                 rest.append(c)
                 places.append(k)
                 continue
-            raw = body.encode().decode("latin-1").translate(self.letters)
-            out[k] = array(self.code, [t.id for t in self.model.tokenize(raw)]).tobytes()
-            if len(body) < len(c):
-                tail = c[len(body) :]
-                if tail not in self.tails:
-                    self.tails[tail] = array(self.code, self.tokenizer.encode(tail, add_special_tokens=False).ids).tobytes() if len(tail) < 9 else None
-                if self.tails[tail] is None:
-                    rest.append(c)
-                    places.append(k)
-                else:
-                    out[k] += self.tails[tail]
+            raw = c.replace(" ", self.space) if c.isascii() else c.encode().decode("latin-1").translate(self.letters)
+            out[k] = array(code, [t.id for t in tokenize(raw)]).tobytes()
         for i in range(0, len(rest), 20_000):
             for k, e in zip(places[i : i + 20_000], self.tokenizer.encode_batch_fast(rest[i : i + 20_000], add_special_tokens=False)):
-                out[k] = array(self.code, e.ids).tobytes()
+                out[k] = array(code, e.ids).tobytes()
         return out
 
+    def _words(self, words: list) -> list:
+        """Ids as bytes of chunks that are given without the space they start with. The signs after a word are pre-tokens
+        of their own, so words are kept without them."""
+        stems, signed = [w.rstrip(_PUNCTUATION) for w in words], []
+        for i, (word, stem) in enumerate(zip(words, stems)):
+            if word is not stem and word != stem:
+                if len(word) - len(stem) < 9 and (stem.isascii() and stem.isalpha() or _WORD.fullmatch(stem)):
+                    signed.append(i)
+                else:
+                    stems[i] = word
+        ids = self._kept(stems)
+        for i in signed:
+            tail = words[i][len(stems[i]) :]
+            if tail not in self.tails:
+                self.tails[tail] = array(self.code, self.tokenizer.encode(tail, add_special_tokens=False).ids).tobytes()
+            ids[i] += self.tails[tail]
+        return ids
+
+    def _kept(self, stems: list) -> list:
+        """Ids of stems after a space, from those that are kept. When these grow too many, the ones that were not needed
+        since the last time go."""
+        ids = list(map(self.cache.get, stems))
+        new = {stems[i] for i, x in enumerate(ids) if x is None}
+        if new and len(self.cache) + len(new) > self.keep // 2:
+            self.old, self.cache = self.cache, {c: x for c, x in zip(stems, ids) if x is not None}
+            for c in self.cache:
+                del self.old[c]
+        again = self.old.keys() & new
+        self.cache.update((c, self.old.pop(c)) for c in again)
+        new = list(new.difference(again))
+        self.cache.update(zip(new, self._ids([" " + c for c in new])))
+        if len(self.cache) + len(self.old) > self.keep:
+            self.old = {}
+        return [self.cache[c] if x is None else x for c, x in zip(stems, ids)]
+
     def _cut(self, text: str) -> list:
         """(chunk without or None, chunks whose leading space is left out) in turn."""
         if self.special is not None and self.special.search(text):
@@ -98,19 +124,48 @@ class Encoder:
         texts = ["" if t is None else t for t in texts]
         if not self.chunked:
             return [np.array(e.ids, dtype=self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        parted = [bool(_DOUBLE.search(t) or self.special is not None and self.special.search(t)) for t in texts]
+        whole = iter(self._plain([t for t, p in zip(texts, parted) if not p]))
+        cut = iter(self._parts([t for t, p in zip(texts, parted) if p]))
+        return [next(cut if p else whole) for p in parted]
+
+    def _parts(self, texts: list) -> list:
         cut = [self._cut(t) for t in texts]
-        spaced = set().union(*(rest for parts in cut for _, rest in parts))
-        new = spaced.difference(self.cache)
-        if new and len(self.cache) + len(new) > self.keep:
-            self.cache = {c: self.cache[c] for c in spaced.difference(new)}
-        new = list(new)
-        self.cache.update(zip(new, self._ids([" " + c for c in new])))
+        rest = list({c for parts in cut for _, rest in parts for c in rest})
         heads = list({head for parts in cut for head, _ in parts if head})
-        first = dict(zip(heads, self._ids(heads)))
+        spaced, first = dict(zip(rest, self._words(rest))), dict(zip(heads, self._ids(heads)))
         first[None] = first[""] = b""
-        get = self.cache.__getitem__
+        get = spaced.__getitem__
         return [np.frombuffer(b"".join([x for head, rest in parts for x in (first[head], *map(get, rest))]), dtype=self.dtype) for parts in cut]
 
+    def _plain(self, texts: list) -> list:
+        """Texts that are cut at every space: their chunks are told apart as a column, and their ids put together so."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not texts:
+            return []
+        chunks = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        first = chunks.offsets.to_numpy().astype(np.int64)
+        coded = chunks.flatten().dictionary_encode()
+        words, at = coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy().astype(np.int64)
+        # The first chunk of a text has no space before it.
+        head = np.zeros(len(at), dtype=bool)
+        head[first[:-1]] = True
+        used = np.flatnonzero(np.bincount(at[~head], minlength=len(words)))
+        heads, place = np.unique(at[head], return_inverse=True)
+        ids = self._words(words[used].tolist()) + self._ids(words[heads].tolist())
+        rank = np.zeros(len(words), dtype=np.int64)
+        rank[used] = np.arange(len(used))
+        at = rank[at]
+        at[head] = len(used) + place
+        flat = np.frombuffer(b"".join(ids), dtype=self.dtype)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype().itemsize
+        start, n = np.cumsum(size) - size, size[at]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        flat = flat[np.repeat(start[at] - ends[:-1], n) + np.arange(ends[-1])]
+        return [flat[a:b] for a, b in zip(ends[first[:-1]].tolist(), ends[first[1:]].tolist())]
+
     def _tables(self):
         if self._lengths is None:
             letters = _byte_letters()

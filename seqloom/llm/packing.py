@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from seqloom.llm.common import State, partitions, slices, tokenizer_path
 
-#: Chunks of texts whose ids a Python worker keeps. They stay in its memory after the stage.
+#: Chunks of texts whose ids a Python worker keeps where other stages follow, as they stay in its memory after the stage.
 CHUNKS = 250_000
 
 
-def pieces(docs: DataFrame, capacity: int = 1024, tokenizer: str = None, end_id: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = 1024, tokenizer: str = None, end_id: int = 2, text: str = "text", key: str = "doc_id", keep: int = 1_000_000) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): whole texts as ids with the end id, longer ones cut.
 
     A document longer than the capacity is cut into full pieces; what is left over is its first piece. Null texts are
-    empty (the end id alone).
+    empty (the end id alone). A Python worker keeps the ids of so many chunks of texts.
     """
     tokenizer = tokenizer or tokenizer_path()
 
@@ -26,7 +26,7 @@ def pieces(docs: DataFrame, capacity: int = 1024, tokenizer: str = None, end_id:
 
         from seqloom.llm.bpe import load
 
-        encoder = load(tokenizer, CHUNKS)
+        encoder = load(tokenizer, keep)
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
             for i, j in slices(sizes, 1 << 21):
@@ -151,10 +151,10 @@ def _columns(rows: list):
     return tuple(np.ascontiguousarray(cols[:, i]) for i in range(5))
 
 
-def pack_documents(docs: DataFrame, capacity: int = 1024, tokenizer: str = None, end_id: int = 2) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = 1024, tokenizer: str = None, end_id: int = 2, keep: int = 1_000_000) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for all documents.
 
     Null texts and null ids are kept; repeated rows are documents of their own; other columns are not read; an empty
     table gives no rows.
     """
-    return pack(pieces(docs, capacity, tokenizer, end_id), capacity)
+    return pack(pieces(docs, capacity, tokenizer, end_id, keep=keep), capacity)

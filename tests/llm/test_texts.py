@@ -558,3 +558,47 @@ def test_encoder_keeps_chunks_in_use_and_no_more():
         assert [a.tolist() for a in small.encode(texts)] == [a.tolist() for a in plain.encode(texts)]
         assert len(small.cache) <= 40
         assert all(small.cache[c] is held[c] for c in ("common", "words") if k)
+
+
+def test_encoder_keeps_words_it_met_lately(monkeypatch):
+    """Words that come back are not encoded again when others fill the cache, nor for the signs that follow them."""
+    from seqloom.llm import bpe
+    from seqloom.llm.common import tokenizer_path
+
+    small, plain = bpe.Encoder(tokenizer_path(), keep=60), bpe.Encoder(tokenizer_path())
+    met, ids = [], small._ids
+    monkeypatch.setattr(small, "_ids", lambda chunks: met.extend(chunks) or ids(chunks))
+    letters = "abcdefghijklmnop"
+    for k in range(16):
+        texts = [f"x common{',.!?'[k % 4]} w{letters[k]}{letters[i]}" + " often" * (k % 2) for i in range(12)]
+        assert [a.tolist() for a in small.encode(texts)] == [a.tolist() for a in plain.encode(texts)]
+        assert len(small.cache) + len(small.old) <= 60
+    assert met.count(" common") == 1 and met.count(" often") == 1
+
+
+@pytest.mark.parametrize("keep", [4, 1_000])
+def test_encoding_of_odd_chunks_equals_the_library(library, keep):
+    from seqloom.llm import bpe
+    from seqloom.llm.common import tokenizer_path
+
+    texts = ["", " ", "  ", "a", " a", "a ", "a  b", "a b ", "a\n b", "a \nb", "a\nb, c.\nd", "don't don' t' 's", "é É, ñ. \u00d7 x\u00d7", "a\x1f b", "a\u3000 b",
+             "a<|endoftext|> b", "x ......... y.........", "... , .", "12, a1. 1a.", "好 好, 好。", None, "a\x00 b", "b, b b. a,", "\u0130 \u01c5, \U0001d538."]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    encoder = bpe.Encoder(tokenizer_path(), keep)
+    for some in (texts, texts[::-1], texts):
+        assert [x.tolist() for x in encoder.encode(some)] == (want if some is texts else want[::-1])
+    assert [encoder.encode([t])[0].tolist() for t in texts] == want
+
+
+def test_packing_keeps_as_many_chunks_as_asked(spark, monkeypatch):
+    """Alone it keeps the encoder's million; with stages after it fewer."""
+    import corpus_pipeline
+    from seqloom.llm import bpe, packing
+
+    asked = []
+    monkeypatch.setattr(packing, "pack", lambda items, capacity: items)
+    pieces = packing.pieces
+    monkeypatch.setattr(packing, "pieces", lambda *args, **named: asked.append(named.get("keep")) or pieces(*args, **named))
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    assert packing.pack_documents(docs).count() == corpus_pipeline.pack(spark, docs, "").count() == 1
+    assert asked == [bpe.load.__defaults__[0], packing.CHUNKS]
