@@ -209,3 +209,24 @@ def test_strict_clusters_join_no_chains(spark, monkeypatch):
     monkeypatch.setattr(C, "connected_components", chains)
     df = spark.createDataFrame([(i, 100.0 + i, 100.0 - i % 3) for i in range(12)], "k int, a double, b double")
     assert C.threshold_clusters(df, "k", ["a", "b"], threshold=0.01, strict=True).count() == 12
+
+
+def test_quantiles_of_small_groups_are_ranked_once(spark, monkeypatch):
+    """Groups that fit a window are not cut into buckets of values; larger ones are. Both give the same quantiles."""
+    from seqloom.operators import ordered
+
+    monkeypatch.setattr(ordered, "bucket_count", lambda spark: 4)
+    data = [(None if i % 5 == 0 else f"g{i % 5}", None if i % 17 == 0 else float(i * 37 % 101), 1 + i % 3) for i in range(400)]
+    df = spark.createDataFrame(data, "g string, v double, n int")
+    want = {}
+    for g in {r[0] for r in data}:
+        every = sorted(v for h, v, n in data if h == g and v is not None for _ in range(n))
+        low, high = every[(len(every) - 1) // 2], every[len(every) // 2]
+        want[g] = low + (high - low) * 0.5
+    plans = []
+    for limit in (ordered.GROUP_VALUES, 2):
+        monkeypatch.setattr(ordered, "GROUP_VALUES", limit)
+        got = ordered.quantiles(df, "v", {"m": 0.5}, ["g"], count="n")
+        assert {r["g"]: r["m"] for r in got.collect()} == pytest.approx(want)
+        plans.append(got._jdf.queryExecution().optimizedPlan().toString().count("Window ["))
+    assert plans[0] == 1 < plans[1]
