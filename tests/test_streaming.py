@@ -103,3 +103,16 @@ def test_window_queries_do_not_depend_on_the_cut_of_the_table(spark, tmp_path):
     for q in (tumbling, sliding, sessions):
         assert rows[q, 1] and rows[q, 1] == rows[q, 3] == rows[q, 7]
     assert sum(r[3] for r in rows[tumbling, 7]) == events.count()
+
+
+def test_state_of_scoring_holds_no_sequences_and_stays_on_disk(spark, tmp_path):
+    src, at = str(tmp_path / "in"), tmp_path / "job"
+    text = "MKTAYKWQ" * 500
+    rows = [(f"k{i}", text + "ACDEFGHIKL"[i % 10] * i) for i in range(200)] + [("k0", text), ("none", None), ("empty", "")]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(src)
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", *N.ON_DISK)}
+    assert len(_score(spark, src, at)) == 202 and spark.read.parquet(f"{at}/out/scores").count() == 202
+    state = [p for n in ("keys", "scores") for p in (at / "state" / n / "state").rglob("*") if p.is_file()]
+    assert any(p.suffix in (".changelog", ".zip") for p in state)  # RocksDB's, not the files of maps in memory
+    assert sum(p.stat().st_size for p in state) < 4000 * len(rows) / 8
+    assert {k: spark.conf.get(k, None) for k in before} == before
