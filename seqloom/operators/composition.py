@@ -96,12 +96,21 @@ def _points(column) -> np.ndarray:
     return np.array(column.tolist(), dtype=np.int64).reshape(len(column), len(K.RESIDUES) + 2)
 
 
+def fitted_on(rows: DataFrame, n: int, sequence: str, sample: int) -> DataFrame:
+    """(h, comp) of about 1.5 times `sample` rows of the `n` by the hash of their sequence; all, if there are not many more.
+
+    Each partition sends its first rows to the driver, so few rows may be left in all of them, and none with its text."""
+    rows = rows.select(F.xxhash64(sequence).alias("h"), "comp")
+    share = 1.5 * sample / max(1, n)
+    return rows if share >= 1 else rows.where(F.col("h") < F.lit(int(2**64 * share) - 2**63))
+
+
 def fit(df: DataFrame, sequence: str = "sequence", cell_rows: int = CELL_ROWS, most: int = MOST_CELLS, sample: int = SAMPLE_ROWS) -> tuple:
     """(cells, rows with `comp` and `cell`). The tree is fitted on at most `sample` rows chosen by hash; boxes hold all rows,
     and there are at most `most` of them."""
     rows = df.withColumn("comp", composition(F.col(sequence)))
     n = df.count()
-    points = [r[0] for r in rows.orderBy(F.xxhash64(sequence), sequence).limit(sample).select("comp").collect()]
+    points = [r[0] for r in fitted_on(rows, n, sequence, sample).orderBy("h", "comp").limit(sample).select("comp").collect()]
     cells = Cells(np.array(points, dtype=np.int64).reshape(len(points), len(K.RESIDUES) + 2), max(1, min(most, -(-n // cell_rows))))
 
     @F.pandas_udf(IntegerType())

@@ -22,3 +22,19 @@ def test_identity_to_references_takes_suppliers_and_long_names(spark, tmp_path):
     assert len(got) == 10 and difference(out, con, ORACLES["identity_to_references"]) is None
     # The first 60 letters are equal, those after them are not.
     assert got["customer", 1, 4] == round(100 * 60 / 68, 6) and got["supplier", 1, 4] == round(100 * 60 / 66, 6)
+
+
+def test_cells_are_fitted_on_few_rows_without_their_texts(spark):
+    from pyspark.sql import functions as F
+
+    from seqloom.operators import composition
+
+    n = 20_000
+    rows = spark.range(n, numPartitions=40).select(F.concat(F.lit("MKTAYKWQ" * 20), F.translate(F.col("id").cast("string"), "0123456789", "ACDEFGHIKL")).alias("s"))
+    rows = rows.withColumn("comp", composition.composition(F.col("s")))
+    # Rows that leave the partitions, of which each would send `sample` otherwise.
+    some = composition.fitted_on(rows, n, "s", 400)
+    assert some.columns == ["h", "comp"] and 400 <= some.count() < 800
+    assert composition.fitted_on(rows, n, "s", n).count() == n
+    cells, placed = composition.fit(rows.select("s"), "s", cell_rows=2000, sample=400)
+    assert int(cells.rows.sum()) == n == placed.count() and len(cells.cells) > 5
