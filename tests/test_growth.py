@@ -230,3 +230,22 @@ def test_quantiles_of_small_groups_are_ranked_once(spark, monkeypatch):
         assert {r["g"]: r["m"] for r in got.collect()} == pytest.approx(want)
         plans.append(got._jdf.queryExecution().optimizedPlan().toString().count("Window ["))
     assert plans[0] == 1 < plans[1]
+
+
+def test_identity_matrix_meets_in_blocks(spark, monkeypatch):
+    r = random.Random(8)
+    text = lambda n: "".join(r.choice("AC-Xé") for _ in range(n))
+    key = lambda i: None if i == 5 else i // 2  # noqa: E731  keys come twice
+    even = [(key(i), r.choice(["A-C-", "----", text(4).replace("é", "C")])) for i in range(60)]
+    uneven = [(key(i), r.choice([None, "", text(3), text(300)])) for i in range(30)]
+    monkeypatch.setattr(S, "MATRIX_LETTERS", 4000)
+    for rows in (even, uneven):
+        df = spark.createDataFrame(rows, "k int, aligned string")
+        pairs = df.select(F.col("k").alias("a"), F.col("aligned").alias("x")).crossJoin(df.select(F.col("k").alias("b"), F.col("aligned").alias("y"))).where("a <= b")
+        want = pairs.select("a", "b", F.round(S.aligned_identity(F.col("x"), F.col("y")), 6).alias("v"))
+        out = S.identity_matrix(df, "k", digits=6)
+        # No row of the plan is a pair of texts.
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "FlatMapGroupsInArrow" in plan
+        assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+        assert S.identity_matrix(df.limit(0), "k").count() == 0
