@@ -1,10 +1,11 @@
 """Clustering of numeric rows: density, k-means, thresholded norms, connected components."""
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seqloom.operators import ordered as O
 from seqloom.operators.joins import product
-from seqloom.operators.storage import cut_lineage
+from seqloom.operators.storage import State, cut_lineage
 
 
 def euclidean(a: Column, b: Column) -> Column:
@@ -34,8 +35,6 @@ BLOCK_PARTS, BLOCK_ROWS, SLAB = 1 << 20, 256, 1 << 21
 def _near_rows(x, y, eps: float):
     """(i, j, distance) of rows of two matrices at most eps apart. A product rules out what is farther by more than its own
     rounding; the rest is added up component by component, as `euclidean` does."""
-    import numpy as np
-
     sx, sy = (x * x).sum(axis=1), (y * y).sum(axis=1)
     slack = 1e-12 * max(1, x.shape[1])
     step = max(1, SLAB // max(1, len(y)))
@@ -60,7 +59,6 @@ def pairs_within(df: DataFrame, vector: str, eps: float) -> DataFrame:
     (triangle inequality), so only blocks whose ranges are that near meet, each two in one task as matrix products. Exact
     for any pivot. Vectors that are null, hold null or are not finite are near nothing.
     """
-    import numpy as np
     import pyarrow as pa
 
     spark = df.sparkSession
@@ -169,8 +167,6 @@ def best_eps(df: DataFrame, key: str, vector: str, candidates: list, min_samples
 
 def _vectors(batch, cosine: bool):
     """Rows of an Arrow batch as a matrix; of unit length for the cosine (a zero vector stays zero)."""
-    import numpy as np
-
     column = batch.column("v")
     x = column.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
     if not cosine:
@@ -182,8 +178,6 @@ def _vectors(batch, cosine: bool):
 def _nearest(x, centres) -> tuple:
     """(number of the nearest centre, squared distance to it); the smaller number on a tie. Centres one by one, so that a
     batch needs no rows x centres x components."""
-    import numpy as np
-
     best, found = np.full(len(x), np.inf), np.zeros(len(x), np.int32)
     for i, c in enumerate(centres):
         d = ((x - c) ** 2).sum(axis=1)
@@ -195,8 +189,6 @@ def _nearest(x, centres) -> tuple:
 def assign(df: DataFrame, key: str, vector: str, centres: list, cosine: bool = False) -> DataFrame:
     """(key, cluster, distance): number of the nearest of `centres` (k lists, sent to the tasks) and the distance to it;
     the smaller number on a tie. For the cosine rows are scaled to unit length first. Both are null for a null vector."""
-    import numpy as np
-
     fixed = np.array(centres, dtype=float)
 
     def run(batches):
@@ -217,8 +209,6 @@ def assign(df: DataFrame, key: str, vector: str, centres: list, cosine: bool = F
 def centre_means(df: DataFrame, vector: str, centres: list, cosine: bool = False) -> list:
     """One round: the mean of the rows nearest to each centre; a centre without rows stays. Each task adds up its rows,
     so k vectors a task are shuffled and k come back."""
-    import numpy as np
-
     fixed = np.array(centres, dtype=float)
 
     def run(batches):
@@ -325,7 +315,7 @@ def threshold_clusters(
         limit = mean + (sigma or 0.0) * sd
         threshold = df.sparkSession.range(1).select(limit.alias("t")).first()["t"]
     if strict:
-        labels = complete_linkage(rows.select("id"), pairs_within(rows, "v", threshold))
+        labels = cut_lineage(complete_linkage(rows, len(columns), threshold))
         rank = O.running(labels.select("label").distinct(), ["label"], index="cluster_id")
         return labels.join(rank, "label").select(F.col("id").alias(key), "cluster_id")
     if len(columns) == 1:
@@ -341,28 +331,171 @@ def threshold_clusters(
     return part.withColumnRenamed("id", key)
 
 
-def complete_linkage(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, label) of clusters whose members are all paired with each other; label is the smallest id.
+#: Points of a block of clusters, and points in all that one task joins to the end.
+LINK_POINTS, LINK_LAST = 1024, 2048
+
+
+def _outline(x):
+    """Of the points of a cluster those that can be farthest from some other point: the ends of a line, the corners in a plane."""
+    if x.shape[1] > 2 or len(x) < 3:
+        return x
+    if x.shape[1] < 2:
+        return np.array([x.min(axis=0), x.max(axis=0)])
+    x = x[np.lexsort((x[:, 1], x[:, 0]))]
+    sides = []
+    for way in (x.tolist(), x[::-1].tolist()):
+        side = []
+        for p in way:
+            while len(side) > 1 and (side[-1][0] - side[-2][0]) * (p[1] - side[-2][1]) <= (side[-1][1] - side[-2][1]) * (p[0] - side[-2][0]):
+                side.pop()
+            side.append(p)
+        sides += side[:-1]
+    return np.array(sides) if sides else x[:1]
+
+
+def _farthest(x, y):
+    """Largest distances between the points of clusters, two lists of matrices, added up component by component as in
+    `euclidean`."""
+    out = np.zeros((len(x), len(y)))
+    if not len(x) or not len(y):
+        return out
+    of, flat_x, flat_y = np.repeat(np.arange(len(x)), [len(p) for p in x]), np.concatenate(x), np.concatenate(y)
+    first = np.cumsum([0, *(len(p) for p in y[:-1])])
+    step = max(1, SLAB // len(flat_y))
+    for at in range(0, len(flat_x), step):
+        d = np.zeros((len(flat_x[at : at + step]), len(flat_y)))
+        for c in range(flat_x.shape[1]):
+            d += (flat_x[at : at + step, c, None] - flat_y[None, :, c]) ** 2
+        np.maximum.at(out, of[at : at + step], np.maximum.reduceat(d, first, axis=1))
+    return np.sqrt(out)
+
+
+def _linked(eps: float, width: int, first: bool):
+    """One task for all clusters: (c, new) of those that end in another one."""
+    import pyarrow as pa
+
+    def run(batches):
+        t = pa.Table.from_batches(list(batches), pa.schema([("c", pa.int64()), ("p", pa.list_(pa.float64())), ("still", pa.bool_()), ("hidden", pa.bool_())])).sort_by("c")
+        own, points = t["c"].to_numpy(), [np.array(p).reshape(-1, width) for p in t["p"].to_pylist()]
+        still, hidden = (t[c].to_numpy() for c in ("still", "hidden"))
+        d = _farthest(points, points)
+        d[~(d <= eps)] = np.inf
+        np.fill_diagonal(d, np.inf)
+        root, open_, begin = np.arange(len(own)), np.arange(len(own)), first
+        while len(open_) > 1:
+            m = d[np.ix_(open_, open_)]
+            if begin:
+                m[hidden[open_]], m[:, hidden[open_]] = np.inf, np.inf
+            near = m.argmin(axis=1)  # the first of equal ones
+            at = np.arange(len(open_))
+            pairs = (near[near] == at) & (at < near) & np.isfinite(m[at, near])
+            if begin:
+                pairs &= ~(still[open_] | still[open_][near])
+            a, b = open_[pairs], open_[near[pairs]]
+            if not len(a) and not (begin and still.any()):
+                break
+            for x, y in zip(a.tolist(), b.tolist()):
+                d[x] = np.maximum(d[x], d[y])
+                d[:, x] = d[x]
+                root[root == y] = x
+            np.fill_diagonal(d, np.inf)
+            open_, begin = np.setdiff1d(open_, b), False
+        moved = np.flatnonzero(root != np.arange(len(own)))
+        yield pa.RecordBatch.from_arrays([pa.array(own[moved]), pa.array(own[root[moved]])], names=["old", "new"])
+
+    return run
+
+
+def _nearest_cluster(eps: float, width: int):
+    """Per two blocks: for each cluster the nearest of the other block that it could be joined with wholly."""
+    import pyarrow as pa
+
+    def run(key, t):
+        i, j = (x.as_py() for x in key)
+        t = t.sort_by("c")
+        own, block, points = t["c"].to_numpy(), t["b"].to_numpy(), [np.array(p).reshape(-1, width) for p in t["p"].to_pylist()]
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        d = _farthest([points[k] for k in left], [points[k] for k in right])
+        d[~(d <= eps)] = np.inf
+        if i == j:
+            np.fill_diagonal(d, np.inf)
+        out = []
+        for rows, others, m in ((left, right, d), (right, left, d.T))[: 1 if i == j else 2]:
+            if m.size:
+                best = m.argmin(axis=1)  # the first of equal ones has the smallest number
+                low = m[np.arange(len(rows)), best]
+                some = np.isfinite(low)
+                out.append(pa.table({"c": own[rows[some]], "d": low[some], "o": own[others[best[some]]]}))
+        return pa.concat_tables(out) if out else pa.table({"c": own[:0], "d": np.zeros(0), "o": own[:0]})
+
+    return run
+
+
+def complete_linkage(rows: DataFrame, width: int, eps: float) -> DataFrame:
+    """(id, label) of clusters whose members are all within `eps` of each other; label is the smallest id. `rows` has the
+    vector v of `width` components; one that is null, holds null or is not finite stays alone.
 
     Clusters grow in rounds: of the clusters that could be joined wholly, two that are each other's nearest are. Their
     distance is the largest of a pair between them; equal distances are ordered by the smaller, then the larger label.
-    The work is over the pair table (a, b, d), which shrinks every round; nothing depends on the size of a cluster.
+    Equal vectors are joined at once, as nothing is nearer to them. No pair is a row: clusters carry the points that can
+    be farthest from others, and in a round every two blocks of clusters meet in one task, which hands on the nearest one
+    of each. The last points are joined in one task of bounded size. An id that comes more than once is a cluster from the
+    start and can be joined from the second round on.
     """
-    labels = cut_lineage(nodes.select("id", F.col("id").alias("label")))
-    table = cut_lineage(pairs.select("a", "b", "d", F.lit(1).cast("bigint").alias("n")))
+    odd = F.col("v").isNull() | F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    nodes = rows.select("id", F.col("id").alias("label"))
+    if not eps >= 0:
+        return nodes
+    ids = rows.groupBy("id").agg(F.count("*").alias("k"), F.count_if(odd).alias("bad"), F.array_sort(F.collect_set("v")).alias("p"))
+    ids = State(ids.where("id is not null and bad = 0").select("id", "k", "p"), "ids").df
+    equal = ids.where("k = 1").groupBy("p").agg(F.min("id").alias("label"), (F.count("*") > 1).alias("still")).withColumn("hidden", F.lit(False))
+    alone = ids.where("k > 1").select("p", F.col("id").alias("label"), F.lit(False).alias("still"), F.lit(True).alias("hidden"))
+    numbered = O.running(equal.union(alone), ["label"], index="c")
+    clusters = State(numbered.select(F.col("c").cast("long").alias("c"), "label", F.flatten("p").alias("p"), "still", "hidden"), "clusters")
+    names = clusters
+    roots = State(names.df.select("c", F.col("c").alias("root")), "roots")
+    wake = not names.df.where("still").isEmpty()
+    outline = F.udf(lambda p: _outline(np.array(p).reshape(-1, width)).ravel().tolist(), "array<double>")
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    first = True
     while True:
-        size = labels.groupBy("label").agg(F.count("*").alias("m"))
-        whole = table.join(size.select(F.col("label").alias("a"), F.col("m").alias("ma")), "a")
-        whole = whole.join(size.select(F.col("label").alias("b"), F.col("m").alias("mb")), "b").where(F.col("n") == F.col("ma") * F.col("mb"))
-        step = F.struct("d", "a", "b")
-        ends = whole.select(F.col("a").alias("c"), step.alias("s")).union(whole.select(F.col("b").alias("c"), step.alias("s")))
-        # A pair that is the nearest of both its ends.
-        near = ends.groupBy("c").agg(F.min("s").alias("s")).groupBy("s").agg(F.count("*").alias("k")).where("k = 2")
-        moves = cut_lineage(near.select(F.col("s.b").alias("old"), F.col("s.a").alias("new")))
-        if moves.isEmpty():
-            return labels
-        labels = cut_lineage(labels.join(moves, F.col("label") == F.col("old"), "left").select("id", F.coalesce("new", "label").alias("label")))
-        for c in ("a", "b"):
-            table = table.join(moves, F.col(c) == F.col("old"), "left").withColumn(c, F.coalesce("new", c)).drop("old", "new")
-        merged = table.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d", "n")
-        table = cut_lineage(merged.groupBy("a", "b").agg(F.max("d").alias("d"), F.sum("n").alias("n")))
+        state = clusters.df.select("c", "p", "still", "hidden")
+        n, points = state.agg(F.count("*"), F.coalesce(F.sum(F.size("p") / width), F.lit(0)).cast("long")).first()
+        last = points <= LINK_LAST
+        if last:
+            moves = State(state.repartition(1).mapInArrow(_linked(eps, width, first), "old long, new long"), "moves")
+        else:
+            count = max(-(-points // LINK_POINTS), min(n, -int(-((8 * cores) ** 0.5) // 1)))
+            block = (state.where("not hidden") if first else state).select("c", "p", F.pmod(F.xxhash64("c"), F.lit(count)).cast("int").alias("b"))
+            other = block.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+            placed = other.select("c", "p", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+            # The work grows with pairs, not bytes, so partitions are counted in block pairs and not merged by size.
+            spread = placed.repartition(min(count * (count + 1) // 2, 20_000), "i", "j")
+            near = spread.groupBy("i", "j").applyInArrow(_nearest_cluster(eps, width), "c long, d double, o long")
+            near = State(near.groupBy("c").agg(F.min(F.struct("d", "o")).alias("s")).select("c", F.col("s.o").alias("o")), "near")
+            both = near.df.alias("x").join(near.df.alias("y"), (F.col("x.c") == F.col("y.o")) & (F.col("x.o") == F.col("y.c")) & (F.col("x.c") < F.col("x.o")))
+            pairs = both.select(F.col("x.o").alias("old"), F.col("x.c").alias("new"))
+            if first and wake:  # equal vectors are still being joined
+                busy = state.where("still").select("c")
+                pairs = pairs.join(busy, F.col("old") == F.col("c"), "left_anti").join(busy, F.col("new") == F.col("c"), "left_anti")
+            moves = State(pairs, "moves")
+            near.drop()
+        ended = moves.df.isEmpty() and not (first and wake)
+        if not ended:
+            moved = State(roots.df.join(moves.df, F.col("root") == F.col("old"), "left").select("c", F.coalesce("new", "root").alias("root")), "roots")
+            roots.drop()
+            roots = moved
+        if ended or last:
+            break
+        merged = state.join(moves.df, F.col("c") == F.col("old"), "left").select(F.coalesce("new", "c").alias("c"), "p")
+        merged = merged.groupBy("c").agg(F.count("*").alias("k"), F.flatten(F.collect_list("p")).alias("p"))
+        merged = merged.select("c", F.when(F.col("k") > 1, outline("p")).otherwise(F.col("p")).alias("p"), F.lit(False).alias("still"), F.lit(False).alias("hidden"))
+        grown = State(merged, "clusters")
+        for done in (moves, clusters) if clusters is not names else (moves,):
+            done.drop()
+        clusters, first = grown, False
+    known = roots.df.join(names.df.select("c", "label"), "c").select(F.col("label").alias("l"), "root")
+    known = known.join(names.df.select(F.col("c").alias("root"), F.col("label").alias("r")), "root").select("l", "r")
+    same = ids.where("k = 1").join(equal.select("p", F.col("label").alias("l")), "p").select("id", "l").union(ids.where("k > 1").select("id", F.col("id").alias("l")))
+    found = same.join(known, "l").select("id", "r")
+    return nodes.join(found, "id", "left").select("id", F.coalesce("r", "label").alias("label"))

@@ -84,3 +84,30 @@ def test_strict_clusters_are_complete_and_maximal(spark):
     assert sorted(got) == list(range(50)) and len(groups) < 43
     assert all(d[np.ix_(g, g)].max() <= 0.006 for g in groups)
     assert not any(d[np.ix_(g, h)].max() <= 0.006 for k, g in enumerate(groups) for h in groups[:k])
+
+
+@pytest.mark.parametrize("last, points", [(2048, 1024), (0, 16)])
+def test_strict_clusters_without_a_pair_table(spark, monkeypatch, last, points):
+    from seqloom.operators import clusters as C
+
+    def pairs(*_):
+        raise AssertionError("a table of all pairs within the threshold")
+
+    monkeypatch.setattr(C, "pairs_within", pairs)
+    monkeypatch.setattr(C, "LINK_LAST", last)
+    monkeypatch.setattr(C, "LINK_POINTS", points)
+    rng = np.random.default_rng(3)
+    x = np.concatenate((rng.integers(0, 8, (30, 2)).astype(float), rng.uniform(0, 8, (30, 2))))
+    x[40:55] = x[40]  # many equal rows
+    got = dict(C.complete_linkage(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>"), 2, 2.0).collect())
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    groups = {i: [i] for i in range(len(x))}
+    while True:
+        far = {(a, b): d[np.ix_(groups[a], groups[b])].max() for a in groups for b in groups if a < b}
+        near = {c: min((far[p], p) for p in far if c in p) for c in groups if any(c in p and far[p] <= 2.0 for p in far)}
+        moves = {p for s, p in near.values() if s <= 2.0 and all(near[c][1] == p for c in p)}
+        if not moves:
+            break
+        for a, b in moves:
+            groups[a] += groups.pop(b)
+    assert got == {i: a for a, g in groups.items() for i in g}
